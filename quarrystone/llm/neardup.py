@@ -114,9 +114,9 @@ def _linked(pairs: DataFrame, docs: DataFrame, sig: DataFrame, least: float) ->
     pairs = durable(pairs.distinct())
     need = pairs.select(F.col("va").alias("v")).unionAll(pairs.select(F.col("vb").alias("v"))).distinct()
     first = sig.join(need, "v").groupBy("th", "v").agg(F.min("doc_id").alias("doc_id"))
-    texts = durable(docs.join(first, "doc_id").withColumn("__same", F.xxhash64("text")).dropDuplicates(["th"]).select("th", "v", "text"))
-    one = pairs.join(texts.select(F.col("v").alias("vb"), F.col("th").alias("b"), F.col("text").alias("text_b")), "vb")
-    two = one.join(texts.select(F.col("v").alias("va"), F.col("th").alias("a"), F.col("text").alias("text_a")), "va")
+    texts = durable(docs.join(first.hint("merge"), "doc_id").dropDuplicates(["th"]).select("th", "v", "text"))
+    one = pairs.join(texts.select(F.col("v").alias("vb"), F.col("th").alias("b"), F.col("text").alias("text_b")).hint("merge"), "vb")
+    two = one.join(texts.select(F.col("v").alias("va"), F.col("th").alias("a"), F.col("text").alias("text_a")).hint("merge"), "va")
     return durable(two.select("a", "b", "text_a", "text_b").mapInArrow(_verify(least), "a binary, b binary"))
 
 
@@ -140,7 +140,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     texts = sig.dropDuplicates(["th"]).select("v", "n", "bands", "bits")
     buckets = texts.select("v", "n", "bits", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("v").alias("va")).where("size > 1")
-    held = durable(buckets.join(shared, "bucket"))
+    held = durable(buckets.join(shared.hint("merge"), "bucket"))
     stars = held.where("v <> va").select("va", F.col("v").alias("vb"))
     source = docs.where(F.col("doc_id").isNotNull())
     links = _linked(stars, source, sig, least)
@@ -177,5 +177,5 @@ def one_of_each(docs: DataFrame, least: float = 0.8) -> DataFrame:
     found = near_duplicates(docs, least)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
     kept = kept.groupBy("__id").agg(F.min("__key").alias("__key"), F.count("*").alias("__n"))
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"])).drop("__id", "__key", "__n")
+    out = docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["__id"])).drop("__id", "__key", "__n")
     return out.dropDuplicates(["doc_id", "text"])
