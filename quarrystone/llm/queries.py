@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, neardup, packing, quality
+from . import imatch, linededup, media, mixing, neardup, packing, quality, substring, tokencount
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +39,38 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_back(media.store(table(spark, sf_dir, "documents")))
+
+
+def op9_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op10_edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every text before and after three edits: words replaced, characters deleted, words inserted."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.coalesce(F.length("text"), F.lit(0))
+    part = lambda k: F.floor(n * k / 4).cast("int")
+    edit = lambda start, length, text: F.struct(start.alias("start"), (start + length).cast("int").alias("end"), text.alias("text"))
+    edits = F.array(
+        edit(part(1), 24, F.coalesce(F.substring("text", 1, 30), F.lit(""))),
+        edit(part(2), 11, F.lit("")),
+        edit(part(3), 0, F.lit(" and 3 more words, here")),
+    )
+    return tokencount.count_tokens(docs.withColumn("edits", edits.cast(tokencount.EDIT_TYPE))).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op6_source_mixing, op7_minhash_near_dedup, op8_line_dedup)
+    f.__name__: f for f in (
+        op1_best_fit_packing, op2_quality_classifier, op3_substring_dedup, op5_media_columns, op6_source_mixing, op7_minhash_near_dedup,
+        op8_line_dedup, op9_imatch_fingerprints, op10_edited_token_counts,
+    )
 }
 
 OP8_SQL = r"""
