@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
@@ -47,7 +47,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i up to n."""
     if base not in _powers or len(_powers[base][0]) <= n:
-        size = max(n + 1, CHUNK_BYTES + (CHUNK_BYTES >> 2))
+        size = max(1 << 16, 1 << n.bit_length())
         both = []
         for b in (base, pow(base, -1, 2**64)):
             out = np.full(size, b, U)

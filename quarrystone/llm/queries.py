@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import imatch, linededup, media, mixing, neardup, packing, quality, substring, tokencount
+from . import imatch, linededup, media, mixing, neardup, packing, pitmanyor, quality, substring, tokencount
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_pitman_yor_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    return pitmanyor.score(table(spark, sf_dir, "documents"), held_out)
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.store(table(spark, sf_dir, "documents")))
 
@@ -68,7 +73,7 @@ def op10_edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_best_fit_packing, op2_quality_classifier, op3_substring_dedup, op5_media_columns, op6_source_mixing, op7_minhash_near_dedup,
+        op1_best_fit_packing, op2_quality_classifier, op3_substring_dedup, op4_pitman_yor_scoring, op5_media_columns, op6_source_mixing, op7_minhash_near_dedup,
         op8_line_dedup, op9_imatch_fingerprints, op10_edited_token_counts,
     )
 }
