@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES, CHUNK_ROWS = 2 << 20, 4096
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
@@ -129,14 +129,14 @@ def words_of(texts: pa.Array, wide: bool = False, lower: bool = False) -> Words:
     return Words(data, offsets, doc, start, end, hashes[0], hashes[1] if wide else None)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each has at most ``limit`` bytes of text, or one row."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each has at most ``rows`` rows and ``limit`` bytes of text, or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = np.cumsum(np.maximum(pc.binary_length(pc.fill_null(batch.column(text), "")).to_numpy(zero_copy_only=False), 1))
         at, done = 0, 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(sizes, done + limit, side="right")))
+            to = min(at + rows, max(at + 1, int(np.searchsorted(sizes, done + limit, side="right"))))
             yield batch.slice(at, to - at)
             at, done = to, int(sizes[to - 1])

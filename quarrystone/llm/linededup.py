@@ -57,7 +57,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         F.posexplode(F.expr("transform(sequence(0, size(l) - 3), i -> struct(xxhash64(l[i], l[i + 1], l[i + 2]) as a, xxhash64(1, l[i], l[i + 1], l[i + 2]) as b))")).alias("pos", "w"),
     ).select("doc_id", "tag", "pos", "w.a", "w.b")
     first = windows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "pos")).alias("first")).where("n > 1")
-    later = windows.join(first, ["a", "b"]).where(F.struct("doc_id", "tag", "pos") > F.col("first"))
+    later = windows.join(first.hint("merge"), ["a", "b"]).where(F.struct("doc_id", "tag", "pos") > F.col("first"))
     return later.groupBy("doc_id", "tag").agg(F.collect_set("pos").alias("starts"))
 
 
@@ -74,7 +74,7 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     source = docs.drop("n_removed")
     found = repeated_windows(source).select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("starts").alias("__starts"))
     joined = source.join(
-        durable(found), source["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(source["text"]) == F.col("__tag")), "left"
+        durable(found).hint("merge"), source["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(source["text"]) == F.col("__tag")), "left"
     ).drop("__id", "__tag")
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
     return joined.mapInArrow(_cut, f"{names}, n_removed long")

@@ -24,10 +24,11 @@ from .arrays import U, chunks, mix, words_of
 
 SHINGLE = 5
 BANDS, ROWS = 40, 6
-REGISTERS = BANDS * ROWS
-#: Agreeing low bits of signatures at similarity 0.8: 216 of 240, less five deviations.
-DIFFERENT_BITS = 47
-SIG_SCHEMA = "doc_id long, th binary, v long, n int, bands array<long>, bits array<long>"
+#: The first 240 registers make the bands; the low four bits of all are kept to estimate similarities.
+REGISTERS, NIBBLES = 480, 16
+#: Registers whose low bits differ at similarity 0.8: 90 are expected, and 128, 4.4 deviations more, are exceeded once in 200,000 pairs.
+EXPECTED, MOST = 90, 128
+SIG_SCHEMA = "doc_id long, tag long, th binary, v long, n int, bands array<long>, bits array<long>"
 
 
 def weighted(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,23 +71,24 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig = prob_minhash(doc, h, 1 + np.log(count) / 4, w.n_docs)
         n = np.bincount(doc, minlength=w.n_docs)
         band = np.arange(BANDS, dtype=U)[None, :] * U(0xA0761D6478BD642F)
-        parts = sig.reshape(-1, BANDS, ROWS)
+        parts = sig[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
         for i in range(ROWS):
             band = mix(band + parts[:, :, i])
-        bits = ((sig & U(1)).reshape(-1, 4, REGISTERS // 4) << np.arange(REGISTERS // 4, dtype=U)).sum(axis=2, dtype=U)
+        bits = ((sig & U(15)).reshape(-1, REGISTERS // NIBBLES, NIBBLES) << np.arange(0, 64, 4, dtype=U)).sum(axis=2, dtype=U)
         has = n > 0
         th = [xxhash.xxh3_128_digest(x.as_buffer()) if x.is_valid else b"" for x in texts.cast(pa.binary())]
         offsets = np.concatenate(([0], np.cumsum(has * BANDS))).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id").cast(pa.int64()),
+                batch.column("doc_id"),
+                batch.column("tag"),
                 pa.array(th, pa.binary()),
                 pa.array([int.from_bytes(x[:8], "little", signed=True) for x in th], pa.int64()),
                 pa.array(n.astype(np.int32)),
                 pa.ListArray.from_arrays(offsets, band[has].view(np.int64).ravel()),
-                pa.ListArray.from_arrays(np.arange(0, 4 * len(n) + 1, 4, dtype=np.int32), bits.view(np.int64).ravel()),
+                pa.ListArray.from_arrays(np.arange(0, bits.size + 1, bits.shape[1], dtype=np.int32), bits.view(np.int64).ravel()),
             ],
-            ["doc_id", "th", "v", "n", "bands", "bits"],
+            ["doc_id", "tag", "th", "v", "n", "bands", "bits"],
         )
 
 
@@ -113,54 +115,81 @@ def _linked(pairs: DataFrame, docs: DataFrame, sig: DataFrame, least: float) ->
     """The pairs (va, vb) whose whole texts are as similar as ``least``, as (a, b) text hashes."""
     pairs = durable(pairs.distinct())
     need = pairs.select(F.col("va").alias("v")).unionAll(pairs.select(F.col("vb").alias("v"))).distinct()
-    first = sig.join(need, "v").groupBy("th", "v").agg(F.min("doc_id").alias("doc_id"))
-    texts = durable(docs.join(first.hint("merge"), "doc_id").dropDuplicates(["th"]).select("th", "v", "text"))
+    first = sig.join(need, "v").groupBy("th", "v", "tag").agg(F.min("doc_id").alias("__id"))
+    same = docs["doc_id"].eqNullSafe(first["__id"]) & (F.xxhash64(docs["text"]) == first["tag"])
+    texts = durable(docs.join(first.hint("merge"), same).select("th", "v", "text").dropDuplicates(["th"]))
     one = pairs.join(texts.select(F.col("v").alias("vb"), F.col("th").alias("b"), F.col("text").alias("text_b")).hint("merge"), "vb")
     two = one.join(texts.select(F.col("v").alias("va"), F.col("th").alias("a"), F.col("text").alias("text_a")).hint("merge"), "va")
     return durable(two.select("a", "b", "text_a", "text_b").mapInArrow(_verify(least), "a binary, b binary"))
 
 
+def _apart(x: str, y: str) -> F.Column:
+    """The number of registers in whose low four bits two signatures differ."""
+    out = F.lit(0)
+    for i in range(REGISTERS // NIBBLES):
+        z = F.col(x)[i].bitwiseXOR(F.col(y)[i])
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        out = out + F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
+    return out
+
+
+def _labels(sig: DataFrame, classes: DataFrame) -> DataFrame:
+    known = sig.select("th", "v").distinct().join(classes.withColumnRenamed("vertex", "th"), "th", "left")
+    return known.select("v", F.xxhash64(F.coalesce("component", "th")).alias("label"))
+
+
+def _between(rest: DataFrame, label: DataFrame, least: float, low: int, high: int) -> DataFrame:
+    """Pairs of a bucket, of different classes, whose signatures differ in more than ``low`` and at most ``high`` registers."""
+    rows = rest.join(label, "v")
+    mixed = rows.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a <> z")
+    rows = durable(rows.join(mixed.select("bucket"), "bucket", "left_semi"))
+    x, y = rows.alias("x"), rows.alias("y")
+    apart = _apart("x.bits", "y.bits")
+    pairs = x.join(
+        y,
+        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.v") < F.col("y.v")) & (F.col("x.label") != F.col("y.label"))
+        & (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")) & (apart > low) & (apart <= high),
+    )
+    return pairs.select(F.col("x.v").alias("va"), F.col("y.v").alias("vb"))
+
+
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """``(doc_id, class_id, text_key)``, one row for each row of ``docs(doc_id, text)``.
 
     Documents whose texts are equal, or are linked by a chain of pairs with a Jaccard similarity of
-    at least ``least`` between their sets of five-word runs, share a class; ``class_id`` is its
+    at least ``least`` (0.8 or more) between their sets of five-word runs, share a class; ``class_id`` is its
     smallest doc_id. Exact copies are folded first, so they cost one signature entry. Within a
-    bucket every text is paired with the bucket's first; where a bucket then still holds several
-    classes, the pairs between those classes follow whose signatures do not rule the similarity
-    out. So no group is expanded into all pairs, and no link between different texts depends on
-    the size of a bucket. At similarity 0.8 a pair shares none of 40 bands with probability 5e-6.
+    bucket every text is compared with the bucket's first. Where a bucket then still holds several
+    classes, pairs between those classes follow: first those whose signatures look similar enough, then, between
+    what is still apart, those whose signatures do not rule it out. So no group is expanded into all pairs,
+    and a link between different texts is found whatever the size of its bucket. At similarity 0.8 a pair shares none of the 40
+    bands, or is ruled out, once in 100,000.
 
     Null texts count as empty; empty texts are copies of each other; a text of one to four words is
     one run. Rows that repeat a doc_id with another text are judged by their own text. Rows with a
     null doc_id get the class of their text. Other columns are ignored; an empty table gives none.
     """
+    if least < 0.8:
+        raise ValueError("bands and estimates are laid out for similarities of 0.8 or more")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sig = durable(docs.mapInArrow(_signatures, SIG_SCHEMA))
-    texts = sig.dropDuplicates(["th"]).select("v", "n", "bands", "bits")
-    buckets = texts.select("v", "n", "bits", F.explode("bands").alias("bucket"))
+    sig = durable(docs.withColumn("tag", F.xxhash64("text")).mapInArrow(_signatures, SIG_SCHEMA))
+    texts = sig.dropDuplicates(["th"])
+    buckets = texts.select("v", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("v").alias("va")).where("size > 1")
     held = durable(buckets.join(shared.hint("merge"), "bucket"))
     stars = held.where("v <> va").select("va", F.col("v").alias("vb"))
-    source = docs.where(F.col("doc_id").isNotNull())
-    links = _linked(stars, source, sig, least)
+    links = _linked(stars, docs, sig, least)
     classes = connected_components(links)
 
-    known = sig.select("th", "v").distinct().join(classes.withColumnRenamed("vertex", "th"), "th", "left")
-    label = known.select("v", F.xxhash64(F.coalesce("component", "th")).alias("label"))
-    open_ = held.where("size > 2").join(label, "v")
-    mixed = open_.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    rest = durable(open_.join(mixed.select("bucket"), "bucket", "left_semi").select("bucket", "v", "n", "bits", "label"))
-    x, y = rest.alias("x"), rest.alias("y")
-    apart = sum((F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(4)), F.lit(0))
-    cross = x.join(
-        y,
-        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.v") < F.col("y.v")) & (F.col("x.label") != F.col("y.label"))
-        & (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")) & (apart <= DIFFERENT_BITS),
-    ).select(F.col("x.v").alias("va"), F.col("y.v").alias("vb"))
-    more = _linked(cross.join(stars.distinct(), ["va", "vb"], "left_anti"), source, sig, least)
-    if not more.isEmpty():
-        classes = connected_components(links.unionAll(more))
+    wide = held.where("size > 2").select("bucket", "v")
+    rest = wide.join(sig.select("v", "n", "bits").dropDuplicates(["v"]).hint("merge"), "v")
+    for low, high in ((-1, EXPECTED), (EXPECTED, MOST)):
+        pairs = _between(rest, _labels(sig, classes), least, low, high)
+        more = _linked(pairs.join(stars.distinct(), ["va", "vb"], "left_anti"), docs, sig, least)
+        if not more.isEmpty():
+            links = links.unionAll(more)
+            classes = connected_components(links)
 
     rows = sig.select("doc_id", "th").join(classes.withColumnRenamed("vertex", "th"), "th", "left")
     rows = rows.select("doc_id", "th", F.coalesce("component", "th").alias("root"))

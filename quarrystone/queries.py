@@ -1,15 +1,740 @@
-"""All queries over the test tables, by name, and the SQL that they are held against."""
+"""All queries over the test tables, by name, and the SQL that they are held against.
+
+The tables are mapped to the engine's model: a customer of ``orders`` is a customer, status P is a refund and any other a
+sale; ``events`` are clicks of users; customers and suppliers are two sources of identities, whose shared identifiers are made from
+nation and balance, and from segment and balance.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def customer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import clean
+from .operators import identity, metrics, retrieval, segments, serving
+from .operators import quality_rules as dq
+from .sources.readers import table
+from .sources.sinks import upserted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+ORDERS_AS_OF, EVENTS_AS_OF = "2001-08-02", "2024-01-31"
+SESSION_GAP = 1440
+#: Thresholds of the baseline segments at the scale of the test tables.
+SCALED = {"high_value_spend_threshold": 1500000, "new_customer_days": 400, "active_days": 90, "cart_abandon_lookback_days": 14, "high_engagement_score": 80, "repeat_buyer_min_orders": 2}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def as_of(day: str = ORDERS_AS_OF) -> Column:
+    return F.lit(day).cast("date")
+
+
+def money(c: str | Column) -> Column:
+    return F.round((F.col(c) if isinstance(c, str) else c).cast("double"), 4)
+
+
+# Orders and metrics
+
+
+def order_facts(spark: SparkSession, d: str) -> DataFrame:
+    none = F.lit(None).cast("decimal(14,2)")
+    raw = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias(metrics.CUSTOMER), F.col("o_orderdate").alias("order_ts"), "o_orderpriority",
+        F.when(F.col("o_orderstatus") == "P", "refund").otherwise("sale").alias("order_type"), F.col("o_totalprice").cast("decimal(14,2)").alias("gross_amount"),
+        none.alias("discount_amount"), none.alias("shipping_amount"), none.alias("tax_amount"),
+    )
+    return metrics.enrich_orders(raw)
+
+
+FACTS = """
+facts as (
+    select o_orderkey order_id, o_custkey cid, o_orderdate ts, o_orderpriority, case when o_orderstatus = 'P' then 'refund' else 'sale' end typ,
+        cast(o_totalprice as decimal(14,2)) net, case when o_orderstatus = 'P' then 0 else cast(o_totalprice as decimal(14,2)) end rev,
+        row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) = 1 is_first,
+        date_diff('day', lag(o_orderdate) over (partition by o_custkey order by o_orderdate, o_orderkey), o_orderdate) gap
+    from orders
+)"""
+
+
+@query(f"with {FACTS} select order_id, cid as customer, typ as order_type, cast(net as double) net_amount, cast(rev as double) revenue_amount, is_first as is_first_order, gap as days_since_previous_order from facts")
+def orders_enriched(spark, d):
+    return order_facts(spark, d).select(
+        "order_id", F.col(metrics.CUSTOMER).alias("customer"), "order_type", F.col("net_amount").cast("double").alias("net_amount"),
+        F.col("revenue_amount").cast("double").alias("revenue_amount"), "is_first_order", F.col("days_since_previous_order").cast("long").alias("days_since_previous_order"),
+    )
+
+
+@query("""select l_orderkey as order_id, l_linenumber as line_number, l_partkey as product_id,
+    round(cast(cast(l_extendedprice as decimal(14,2)) * (1 - cast(l_discount as decimal(4,2)) + cast(l_tax as decimal(4,2))) as double), 4) as net_amount from lineitem""")
+def line_net_amounts(spark, d):
+    return order_lines(spark, d).select("order_id", "line_number", "product_id", money("net_amount").alias("net_amount"))
+
+
+def order_lines(spark, d) -> DataFrame:
+    price = F.col("l_extendedprice").cast("decimal(14,2)")
+    share = lambda c: price * F.col(c).cast("decimal(4,2)")
+    raw = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_number"), F.col("l_partkey").alias("product_id"), F.col("l_quantity").alias("quantity"),
+        price.alias("gross_amount"), share("l_discount").alias("discount_amount"),
+        F.lit(None).cast("decimal(14,2)").alias("shipping_amount"), share("l_tax").alias("tax_amount"),
+    )
+    return raw.withColumn("net_amount", metrics.net_amount())
+
+
+def click_events(spark, d) -> DataFrame:
+    kinds = {"click": "add_to_cart", "signup": "checkout_start"}
+    named = F.coalesce(*[F.when(F.col("event_type") == a, b) for a, b in kinds.items()], F.col("event_type"))
+    return table(spark, d, "events").select(
+        "event_id", F.col("user_id").alias(metrics.CUSTOMER), F.lit("web").alias("device_cookie"), named.alias("event_type"), F.col("ts").alias("event_ts"),
+        F.get_json_object("props", "$.k").alias("page_url"), F.when(F.col("value") > 50, F.col("event_type")).alias("utm_source"),
+    )
+
+
+SESSIONS = f"""
+marked as (
+    select *, case when epoch(date_trunc('second', ts)) - epoch(date_trunc('second', lag(ts) over w)) <= {SESSION_GAP} * 60 then 0 else 1 end as fresh
+    from events window w as (partition by user_id order by ts, event_id)
+), numbered as (
+    select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as seq from marked
+), sessions as (
+    select sha256(concat_ws(':', user_id, 'web', cast(seq as bigint))) as session_id, user_id as customer, count(*) as event_count, min(ts) as s, max(ts) as e,
+        count(distinct json_extract_string(props, '$.k')) as distinct_pages, bool_or(event_type = 'click') as has_add_to_cart, bool_or(event_type = 'signup') as has_checkout_start,
+        bool_or(event_type = 'purchase') as has_purchase, arg_min(json_extract_string(props, '$.k'), struct_pack(ts, event_id)) as entry_page,
+        cast(epoch(date_trunc('second', max(ts))) - epoch(date_trunc('second', min(ts))) as bigint) as duration_s
+    from numbered group by user_id, seq
+)"""
+
+
+@query(f"with {SESSIONS} select session_id, customer, event_count, distinct_pages, has_add_to_cart, has_checkout_start, has_purchase, entry_page, duration_s, event_count = 1 and duration_s < 10 as is_bounce from sessions")
+def sessionise(spark, d):
+    s, _ = metrics.sessionise(click_events(spark, d), SESSION_GAP)
+    return s.select("session_id", F.col(metrics.CUSTOMER).alias("customer"), "event_count", "distinct_pages", "has_add_to_cart", "has_checkout_start", "has_purchase", "entry_page", "duration_s", "is_bounce")
+
+
+@query(f"with {SESSIONS} select cast(event_id as varchar) as event_id, sha256(concat_ws(':', user_id, 'web', cast(seq as bigint))) as session_id from numbered")
+def session_events(spark, d):
+    _, e = metrics.sessionise(click_events(spark, d), SESSION_GAP)
+    return e.select("event_id", "session_id")
+
+
+def metric_table(spark, d) -> DataFrame:
+    s, _ = metrics.sessionise(click_events(spark, d), SESSION_GAP)
+    return metrics.customer_metrics(order_facts(spark, d), as_of(), s)
+
+
+METRICS = f"""{FACTS}, {SESSIONS},
+o as (
+    select cid, count(*) filter (typ = 'sale') order_count, sum(rev) filter (typ = 'sale') total_spend, min(ts) filter (typ = 'sale') first_at, max(ts) filter (typ = 'sale') last_at,
+        avg(cast(rev as double)) filter (typ = 'sale') aov, quantile_disc(gap, 0.5) filter (typ = 'sale') ipi, coalesce(sum(abs(net)) filter (typ = 'refund'), 0) refunded
+    from facts where cid is not null group by cid having count(*) filter (typ = 'sale') > 0
+), s as (
+    select customer, count(*) sessions, count(*) filter (has_add_to_cart) carts, sum(event_count) events, max(e) last_seen from sessions group by customer
+), m as (
+    select o.*, coalesce(carts, 0) carts, coalesce(sessions, 0) * 1.0 + coalesce(events, 0) * 0.1 engagement_raw,
+        date_diff('day', cast(last_at as date), date '{ORDERS_AS_OF}') days_last, date_diff('day', cast(first_at as date), date '{ORDERS_AS_OF}') days_first
+    from o left join s on o.cid = s.customer
+), metrics as (
+    select *, ntile(5) over (order by days_last, cid) r, ntile(5) over (order by order_count, cid) f, ntile(5) over (order by total_spend, cid) mo,
+        ntile(10) over (order by engagement_raw, cid) * 10 engagement,
+        case when days_last <= 90 then 'active' when days_last <= 365 then 'at_risk' else 'churned' end band
+    from m
+)"""
+
+
+@query(f"""with {METRICS} select cid as customer, order_count, round(cast(total_spend as double), 4) total_spend, round(aov, 6) aov, ipi as median_ipi_days, round(cast(refunded as double), 4) refunded_amount,
+    days_last as days_since_last_order, round(order_count / greatest(days_first / 365.0, 0.01), 4) purchase_frequency_per_year, round(cast(total_spend - refunded as double), 4) historical_clv from metrics""")
+def customer_metrics(spark, d):
+    return metric_table(spark, d).select(
+        F.col(metrics.CUSTOMER).alias("customer"), "order_count", money("total_spend").alias("total_spend"), F.round(F.col("aov").cast("double"), 6).alias("aov"), F.col("median_ipi_days").cast("long").alias("median_ipi_days"),
+        money("refunded_amount").alias("refunded_amount"), F.col("days_since_last_order").cast("long").alias("days_since_last_order"),
+        F.round(F.col("purchase_frequency_per_year").cast("double"), 4).alias("purchase_frequency_per_year"), money("historical_clv").alias("historical_clv"),
+    )
+
+
+@query(f"with {METRICS} select cid as customer, r as r_score, f as f_score, mo as m_score, concat(r, f, mo) as rfm_segment from metrics")
+def rfm_scores(spark, d):
+    return metric_table(spark, d).select(F.col(metrics.CUSTOMER).alias("customer"), *[F.col(c).cast("long").alias(c) for c in ("r_score", "f_score", "m_score")], "rfm_segment")
+
+
+@query(f"with {METRICS} select cid as customer, band as churn_risk_band from metrics")
+def churn_bands(spark, d):
+    return metric_table(spark, d).select(F.col(metrics.CUSTOMER).alias("customer"), "churn_risk_band")
+
+
+@query(f"with {METRICS} select cid as customer, round(cast(engagement_raw as double), 4) as engagement_raw, engagement as engagement_score, carts as cart_abandon_sessions_90d from metrics")
+def engagement(spark, d):
+    return metric_table(spark, d).select(
+        F.col(metrics.CUSTOMER).alias("customer"), money("engagement_raw").alias("engagement_raw"), F.col("engagement_score").cast("long").alias("engagement_score"), "cart_abandon_sessions_90d"
+    )
+
+
+@query(f"""with {METRICS} select c_custkey as customer, coalesce(order_count, 0) as order_count, coalesce(band, 'no_purchase_history') as churn_risk_band from customer left join metrics on c_custkey = cid""")
+def all_customers_with_bands(spark, d):
+    everyone = table(spark, d, "customer").select(F.col("c_custkey").alias(metrics.CUSTOMER))
+    m = metrics.customer_metrics(order_facts(spark, d), as_of(), None, everyone)
+    return m.select(F.col(metrics.CUSTOMER).alias("customer"), "order_count", "churn_risk_band")
+
+
+# Data quality: one query a rule type
+
+CUSTOMER_RULES = [
+    dq.Rule("C-1", "name_present", "completeness", "not_blank", "reject", "c_name"),
+    dq.Rule("C-2", "balance_not_negative", "validity", "numeric_range", "quarantine", "c_acctbal", args={"min": 0, "max": 9000}),
+    dq.Rule("C-3", "segment_known", "validity", "in_set", "warn", "c_mktsegment", args={"values": ("BUILDING", "MACHINERY", "HOUSEHOLD")}),
+    dq.Rule("C-4", "key_unique", "uniqueness", "unique", "reject", columns=("c_custkey",)),
+    dq.Rule("C-5", "nation_has_one_segment", "consistency", "set_consistency", "info", columns=("c_acctbal", "c_mktsegment"), applies_when="c_nationkey < 5"),
+]
+CUSTOMER_DQ = """
+f as (
+    select *, c_acctbal < 0 or c_acctbal > 9000 b2, c_mktsegment not in ('BUILDING', 'MACHINERY', 'HOUSEHOLD') b3, count(*) over (partition by c_custkey) > 1 b4,
+        c_nationkey < 5 and min(c_mktsegment) over (partition by c_acctbal) <> max(c_mktsegment) over (partition by c_acctbal) b5, c_name is null or trim(c_name) = '' b1
+    from customer
+)"""
+RULE_SQL = """
+rules as (
+    select 'C-1' rule_id, 'completeness' dimension, 'reject' severity, 1.0 w, count(*) applicable, count(*) filter (b1) failed from f union all
+    select 'C-2', 'validity', 'quarantine', 1.0, count(*), count(*) filter (b2) from f union all
+    select 'C-3', 'validity', 'warn', 0.4, count(*), count(*) filter (b3) from f union all
+    select 'C-4', 'uniqueness', 'reject', 1.0, count(*), count(*) filter (b4) from f union all
+    select 'C-5', 'consistency', 'info', 0.1, count(*) filter (c_nationkey < 5), count(*) filter (b5) from f
+)"""
+
+
+@query(f"""with {CUSTOMER_DQ} select c_custkey as customer, concat_ws(',', case when b1 then 'C-1' end, case when b2 then 'C-2' end, case when b3 then 'C-3' end, case when b4 then 'C-4' end, case when b5 then 'C-5' end) as failed,
+    case when b1 or b4 then 'rejected' when b2 then 'quarantined' when b3 or b5 then 'accepted_with_warning' else 'accepted' end as dq_status from f""")
+def dq_classified(spark, d):
+    out = dq.classify(table(spark, d, "customer"), CUSTOMER_RULES)
+    return out.select(F.col("c_custkey").alias("customer"), F.array_join(F.transform("dq_failed_rules", lambda x: x["rule_id"]), ",").alias("failed"), "dq_status")
+
+
+@query(f"with {CUSTOMER_DQ}, {RULE_SQL} select rule_id, dimension, severity, applicable, failed, applicable - failed as passed, round(failed / applicable, 5) as failure_rate from rules")
+def dq_rule_results(spark, d):
+    return dq.rule_results(table(spark, d, "customer"), CUSTOMER_RULES).select("rule_id", "dimension", "severity", "applicable", "failed", "passed", "failure_rate")
+
+
+@query(f"with {CUSTOMER_DQ}, {RULE_SQL} select dimension, round_even(100 * (1 - sum(cast(failed * w as double)) / sum(cast(applicable * w as double))), 2) as score from rules group by dimension")
+def dq_dimension_scores(spark, d):
+    return dq.dimension_scores(dq.rule_results(table(spark, d, "customer"), CUSTOMER_RULES))
+
+
+@query(f"""with {CUSTOMER_DQ}, {RULE_SQL}, s as (select dimension, round_even(100 * (1 - sum(cast(failed * w as double)) / sum(cast(applicable * w as double))), 2) as score from rules group by dimension),
+    w as (select s.*, case dimension when 'completeness' then 0.25 when 'validity' then 0.25 else 0.15 end as wd from s)
+    select round_even(sum(score * cast(wd as double)) / sum(cast(wd as double)), 2) as score_overall from w""")
+def dq_overall_score(spark, d):
+    return dq.overall_score(dq.dimension_scores(dq.rule_results(table(spark, d, "customer"), CUSTOMER_RULES)))
+
+
+@query(f"with {CUSTOMER_DQ} select c_custkey as customer from f where not (b1 or b2 or b4)")
+def dq_accepted(spark, d):
+    return dq.accepted(dq.classify(table(spark, d, "customer"), CUSTOMER_RULES)).select(F.col("c_custkey").alias("customer"))
+
+
+@query(f"with {CUSTOMER_DQ} select c_custkey as customer, case when b1 or b4 then 'rejected' else 'quarantined' end as dq_status from f where b1 or b2 or b4")
+def dq_quarantined(spark, d):
+    return dq.quarantined_payloads(dq.classify(table(spark, d, "customer"), CUSTOMER_RULES), "c_custkey").select(F.col("record_key").alias("customer"), "dq_status")
+
+
+def _rule_query(name: str, frame: Callable, rule: dq.Rule, sql: str, ctx: dq.Context = dq.Context()) -> None:
+    """A query that counts applicable and failed rows of one rule; ``sql`` gives ``bad`` for each applicable row."""
+
+    def run(spark, d):
+        return dq.rule_results(frame(spark, d), [rule], ctx).select("rule_id", "applicable", "failed")
+
+    QUERIES[name] = run
+    ORACLES[name] = f"select '{rule.id}' as rule_id, count(*) as applicable, count(*) filter (bad) as failed from ({sql}) t"
+
+
+def _plain(name: str, **more: Column) -> Callable:
+    return lambda spark, d: table(spark, d, name).withColumns(more) if more else table(spark, d, name)
+
+
+def _typed_parts(spark, d):
+    return table(spark, d, "part").select(F.substring("p_brand", 7, 1).alias("size"), F.substring("p_name", 1, 1).alias("letter")).select(
+        F.when(F.col("size") < "3", F.col("letter")).otherwise(F.col("size")).alias("raw")
+    ).withColumn("raw_typed", F.expr("try_cast(raw as int)"))
+
+
+def _contacts(spark, d):
+    docs = table(spark, d, "documents")
+    mail = F.regexp_extract("text", r"([^ ,;\n]+@[^ ,;\n]+)", 1)
+    number = F.regexp_extract("text", r"([0-9][0-9 ()-]{8,14}[0-9])", 1)
+    out = docs.select("doc_id", F.when(mail != "", mail).alias("email"), F.when(number != "", number).alias("phone"))
+    return out.withColumns({"email_norm": clean.email(F.col("email")), "phone_norm": clean.phone(F.col("phone"))})
+
+
+CONTACTS = r"""(select doc_id, nullif(regexp_extract(text, '([^ ,;\n]+@[^ ,;\n]+)', 1), '') as email, nullif(regexp_extract(text, '([0-9][0-9 ()-]{8,14}[0-9])', 1), '') as phone from documents)"""
+PHONE_SQL = r"""(select *, regexp_replace(phone, '[^0-9]', '', 'g') as dg from """ + CONTACTS + " c)"
+PHONE_NORM = "case when length(dg) = 10 or (length(dg) = 11 and dg like '0%') or (length(dg) = 12 and dg like '91%') or (length(dg) = 13 and dg like '091%') then concat('+91', right(dg, 10)) end"
+
+_rule_query("dq_not_null", _plain("documents", lang2=F.expr("nullif(lang, 'en')")), dq.Rule("R1", "", "completeness", "not_null", column="lang2"), "select nullif(lang, 'en') is null as bad from documents")
+_rule_query("dq_not_blank", _plain("documents", first=F.expr("substring(text, 4, 1)")), dq.Rule("R2", "", "completeness", "not_blank", column="first"), "select trim(substring(text, 4, 1)) = '' as bad from documents")
+_rule_query("dq_type_cast", _typed_parts, dq.Rule("R3", "", "validity", "type_cast", column="raw"), "select try_cast(case when substring(p_brand, 7, 1) < '3' then substring(p_name, 1, 1) else substring(p_brand, 7, 1) end as int) is null as bad from part")
+_rule_query("dq_regex", _plain("customer"), dq.Rule("R4", "", "validity", "regex", column="c_name", args={"pattern": "[02468]$"}), "select not regexp_matches(c_name, '[02468]$') as bad from customer")
+_rule_query("dq_in_set", _plain("customer"), dq.Rule("R5", "", "validity", "in_set", column="c_mktsegment", args={"values": ("BUILDING", "FURNITURE")}), "select c_mktsegment not in ('BUILDING', 'FURNITURE') as bad from customer")
+_rule_query("dq_numeric_range", _plain("customer"), dq.Rule("R6", "", "validity", "numeric_range", column="c_acctbal", args={"min": 0, "max": 5000, "exclusive": True}), "select not (c_acctbal > 0 and c_acctbal < 5000) as bad from customer")
+_rule_query("dq_length_range", _plain("documents"), dq.Rule("R7", "", "validity", "length_range", column="text", args={"min": 100, "max": 3000}), "select length(text) not between 100 and 3000 as bad from documents")
+_rule_query("dq_unique", _plain("lineitem"), dq.Rule("R8", "", "uniqueness", "unique", columns=("l_orderkey", "l_linenumber")), "select count(*) over (partition by l_orderkey, l_linenumber) > 1 as bad from lineitem")
+_rule_query("dq_timestamp_not_future", _plain("events"), dq.Rule("R10", "", "timeliness", "timestamp_not_future", column="ts"), "select ts > timestamp '2024-01-20 00:05:00' as bad from events", dq.Context(as_of="2024-01-20 00:00:00"))
+_rule_query("dq_timestamp_range", _plain("events"), dq.Rule("R11", "", "timeliness", "timestamp_range", column="ts", args={"min": "2024-01-05 00:00:00", "max": "2024-01-25 00:00:00"}), "select ts not between timestamp '2024-01-05' and timestamp '2024-01-25' as bad from events")
+_rule_query("dq_date_range", _plain("orders"), dq.Rule("R12", "", "validity", "date_range", column="o_orderdate", args={"min": "1996-01-01", "max": "2001-01-01", "max_age_years": 4}), "select not (cast(o_orderdate as date) between date '1996-01-01' and date '2001-01-01' and date_diff('day', cast(o_orderdate as date), date '2001-01-01') <= 4 * 366) as bad from orders")
+_rule_query("dq_temporal_order", lambda s, d: table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")), dq.Rule("R13", "", "consistency", "temporal_order", columns=("o_orderdate", "l_shipdate")), "select l_shipdate < o_orderdate as bad from lineitem join orders on l_orderkey = o_orderkey")
+_rule_query("dq_email_syntax", _contacts, dq.Rule("R14", "", "validity", "email_syntax", column="email", applies_when="email is not null"), r"select not regexp_matches(email, '^[^@\s]+@[^@\s.]+\.[^@\s]{2,}$') as bad from " + CONTACTS + " c where email is not null")
+_rule_query("dq_phone_normalisable", _contacts, dq.Rule("R15", "", "validity", "phone_normalisable", column="phone", applies_when="phone is not null"), f"select {PHONE_NORM} is null as bad from {PHONE_SQL} c where phone is not null")
+_rule_query("dq_cross_field_consistency", _plain("lineitem"), dq.Rule("R16", "", "consistency", "cross_field_consistency", args={"expression": "l_discount <= l_tax"}), "select l_discount > l_tax as bad from lineitem")
+_rule_query("dq_duplicate_composite", _plain("orders"), dq.Rule("R17", "", "uniqueness", "duplicate_composite", columns=("o_custkey", "o_orderdate")), "select count(*) over (partition by o_custkey, o_orderdate) > 1 as bad from orders")
+_rule_query("dq_set_consistency", _plain("part"), dq.Rule("R18", "", "consistency", "set_consistency", columns=("p_name", "p_type")), "select min(p_type) over (partition by p_name) <> max(p_type) over (partition by p_name) as bad from part")
+_rule_query("dq_referential_parity", _plain("lineitem"), dq.Rule("R9", "", "integrity", "referential", column="l_orderkey"), "select false as bad from lineitem")
+REFERENCE = dq.Rule("R9", "", "integrity", "referential", column="l_orderkey")
+_rule_query(
+    "dq_referential", lambda s, d: dq.with_references(table(s, d, "lineitem"), REFERENCE, table(s, d, "orders").where("o_orderstatus = 'F'"), "o_orderkey"), REFERENCE,
+    "select l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F') as bad from lineitem", dq.Context(referential=True),
+)
+
+
+# Typing and cleaning
+
+
+@query(rf"""select doc_id, regexp_replace(lower(trim(email)), '\.$', '') as email_norm, {PHONE_NORM} as phone_norm from {PHONE_SQL} c where email is not null or phone is not null""")
+def typed_clean_contacts(spark, d):
+    return _contacts(spark, d).where("email is not null or phone is not null").select("doc_id", "email_norm", "phone_norm")
+
+
+@query("""select c_custkey as customer, lower(trim(c_mktsegment)) as status_norm, try_cast(regexp_replace(concat('₹ ', cast(c_custkey as varchar), ',5'), '[,₹$\\s]', '', 'g') as decimal(14,2))::double as amount,
+    split_part(lower(c_name), '#', 1) as first_token, cast(sha256(concat('crm_id:', upper(c_name))) as varchar) as id_hash, case when c_nationkey = 1 then 'IN' when c_nationkey = 2 then 'US' else upper(concat('n', c_nationkey)) end as country from customer""")
+def typed_clean_customers(spark, d):
+    word = F.when(F.col("c_nationkey") == 1, " Bharat").when(F.col("c_nationkey") == 2, "USA ").otherwise(F.concat(F.lit("n"), F.col("c_nationkey")))
+    return table(spark, d, "customer").select(
+        F.col("c_custkey").alias("customer"), clean.status(F.col("c_mktsegment")).alias("status_norm"),
+        clean.number_text(F.concat(F.lit("₹ "), F.col("c_custkey"), F.lit(",5"))).try_cast("decimal(14,2)").cast("double").alias("amount"),
+        clean.first_token(F.replace("c_name", F.lit("#"), F.lit("  "))).alias("first_token"),
+        clean.value_hash(F.lit("crm_id"), clean.authoritative_id(F.col("c_name"))).alias("id_hash"), clean.country(word).alias("country"),
+    )
+
+
+@query(f"""select doc_id, case when email is not null then concat(left(split_part(email, '@', 1), 2), '***@', substr(email, instr(email, '@') + 1)) end as primary_email,
+    case when length(phone) >= 4 then concat(left(phone, 3), '***', right(phone, 2)) else phone end as primary_phone from {CONTACTS} c where email is not null or phone is not null""")
+def masked_profiles(spark, d):
+    rows = _contacts(spark, d).where("email is not null or phone is not null").select("doc_id", F.col("email").alias("primary_email"), F.col("phone").alias("primary_phone"))
+    return serving.masked_profile(rows, "viewer")
+
+
+# Identity
+
+
+def _sources(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(identifiers, attributes) of customers and suppliers; widths keep blocks small at every scale."""
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+    n = F.broadcast(c.agg(F.count("*").alias("__n")))
+    wide = lambda w: (F.lit(w) * 1500.0 / F.col("__n"))
+    bucket = lambda c, w: F.floor(F.col(c) / wide(w)).cast("string")
+    by_nation = lambda p: F.concat_ws(":", F.col(f"{p}_nationkey").cast("string"), bucket(f"{p}_acctbal", 50.0))
+    cust = identity.identifiers(c.crossJoin(n), "cust", "c_custkey", {"email": by_nation("c"), "phone": F.concat_ws(":", "c_mktsegment", bucket("c_acctbal", 20.0))})
+    supp = identity.identifiers(s.crossJoin(n), "supp", "s_suppkey", {"email": by_nation("s")})
+    attrs = c.select(F.lit("cust").alias("source_system"), F.col("c_custkey").cast("string").alias("source_record_id"), F.lower("c_mktsegment").alias("first_name_norm"), F.col("c_nationkey").cast("string").alias("last_name_norm"))
+    attrs = attrs.withColumn("full_name_norm", clean.full_name(F.col("first_name_norm"), F.col("last_name_norm")))
+    return cust.unionByName(supp), attrs
+
+
+SCREEN = identity.Settings(max_records=3, max_names=2)
+IDS = """
+n as (select count(*) * 1.0 as c from customer),
+ids as (
+    select 'cust' s, cast(c_custkey as varchar) r, 'email' ns, concat(c_nationkey, ':', cast(floor(c_acctbal / (50.0 * 1500.0 / cast(n.c as double))) as bigint)) v from customer, n union all
+    select 'cust', cast(c_custkey as varchar), 'phone', concat(c_mktsegment, ':', cast(floor(c_acctbal / (20.0 * 1500.0 / cast(n.c as double))) as bigint)) from customer, n union all
+    select 'supp', cast(s_suppkey as varchar), 'email', concat(s_nationkey, ':', cast(floor(s_acctbal / (50.0 * 1500.0 / cast(n.c as double))) as bigint)) from supplier, n
+)"""
+SCREENED = f"""{IDS},
+names as (select cast(c_custkey as varchar) r, lower(c_mktsegment) fn, cast(c_nationkey as varchar) ln from customer),
+stat as (
+    select ns, v, count(distinct s || ':' || ids.r) records, count(distinct s) sources, count(distinct case when ns = 'phone' then fn || ' ' || ln end) nm
+    from ids left join names on ids.s = 'cust' and ids.r = names.r group by ns, v
+), scr as (
+    select ids.*, s || ':' || ids.r as rec, records, sources, case when records > 3 and sources >= 2 then 'S3_frequency_threshold' when nm > 2 then 'S4_phone_name_conflict' end reason
+    from ids join stat using (ns, v)
+)"""
+EDGES = f"""{SCREENED},
+pair as (
+    select a.rec record_a, b.rec record_b, case when a.ns = 'email' then 'R-02' when na.ln = nb.ln and na.fn[1] = nb.fn[1] then 'R-04' else 'R-03' end rule_id, a.ns,
+        left(a.v, 2) || '***' || case when length(a.v) > 4 then right(a.v, 2) else '' end masked
+    from scr a join scr b on a.ns = b.ns and a.v = b.v and a.rec < b.rec left join names na on a.s = 'cust' and na.r = a.r left join names nb on b.s = 'cust' and nb.r = b.r
+    where a.reason is null and b.reason is null
+), edge as (
+    select * from (select *, case rule_id when 'R-02' then 0.95 when 'R-04' then 0.92 else 0.8 end::double confidence from pair)
+    qualify row_number() over (partition by record_a, record_b order by confidence desc, rule_id, ns, masked) = 1
+)"""
+COMPONENTS = f"""{EDGES},
+walk as (select rec as a, rec as b from scr union select walk.a, case when e.record_a = walk.b then e.record_b else e.record_a end from walk join edge e on e.record_a = walk.b or e.record_b = walk.b),
+comp as (select a as source_record_key, min(b) as cluster_key from walk group by a)"""
+GUARDED = f"""{COMPONENTS},
+size as (select cluster_key, count(*) n from comp group by cluster_key),
+info as (select cluster_key, count(*) k, min(rule_id) r from edge join comp on record_a = source_record_key group by cluster_key),
+cutc as (select cluster_key from size join info using (cluster_key) where n = 2 and k = 1 and r = 'R-03'),
+final as (select source_record_key, case when cluster_key in (select cluster_key from cutc) then source_record_key else cluster_key end as cluster_key from comp)"""
+
+
+@query(f"with {IDS} select s as source_system, r as source_record_id, ns as identity_namespace, v as identity_value_norm from ids")
+def identity_edges(spark, d):
+    return _sources(spark, d)[0]
+
+
+@query(f"with {SCREENED} select s as source_system, r as source_record_id, ns as identity_namespace, v as identity_value_norm, reason as screen_reason from scr where reason is not null")
+def screened_identifiers(spark, d):
+    ids, attrs = _sources(spark, d)
+    return identity.screen(ids, attrs, SCREEN).where("is_screened").select("source_system", "source_record_id", "identity_namespace", "identity_value_norm", "screen_reason")
+
+
+def _edges(spark, d) -> tuple[DataFrame, DataFrame]:
+    ids, attrs = _sources(spark, d)
+    return ids, identity.match(identity.screen(ids, attrs, SCREEN), attrs)
+
+
+@query(f"with {EDGES} select record_a, record_b, rule_id, confidence, ns as namespace, masked as value_masked from edge")
+def match_edges(spark, d):
+    return _edges(spark, d)[1]
+
+
+@query(f"with recursive {COMPONENTS} select * from comp")
+def components(spark, d):
+    ids, edges = _edges(spark, d)
+    return identity.clusters(identity.record_keys(ids), edges)
+
+
+def _guarded(spark, d, cfg=identity.Settings()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    ids, edges = _edges(spark, d)
+    edges = identity.durable(edges)
+    return ids, *identity.guard(identity.durable(identity.clusters(identity.record_keys(ids), edges)), edges, cfg)
+
+
+@query(f"with recursive {GUARDED} select * from final")
+def guarded_clusters(spark, d):
+    return _guarded(spark, d)[1]
+
+
+@query(f"""with recursive {GUARDED} select cluster_key as candidate_cluster_key, 'attribute_conflict' as reason, cast(1 as bigint) as cut_edges, cast(0.8 as double) as min_edge_confidence, array_to_string(list_sort(list(source_record_key)), ',') as members
+    from comp where cluster_key in (select cluster_key from cutc) group by cluster_key""")
+def review_queue(spark, d):
+    review = _guarded(spark, d)[2]
+    return review.select("candidate_cluster_key", "reason", "cut_edges", "min_edge_confidence", F.array_join("member_record_keys", ",").alias("members"))
+
+
+@query()
+def oversized_clusters(spark, d):
+    """Clusters under a limit of four records, which peels the larger ones."""
+    return _guarded(spark, d, identity.Settings(max_cluster_size=4))[1]
+
+
+def _assigned(spark, d):
+    found = _guarded(spark, d)[1]
+    return identity.canonical(found, _prior(found), 2)
+
+
+def _prior(found: DataFrame) -> DataFrame:
+    """Ids of an earlier run, in which each cluster had other borders: records by the last two digits of their number."""
+    key = F.concat(F.lit("P"), F.substring_index("cluster_key", ":", -1), F.lit("-"), F.right("source_record_key", F.lit(1)))
+    number = F.substring_index("source_record_key", ":", -1).cast("int")
+    return found.where(number % 3 == 0).select("source_record_key", key.alias("prior_id"), (number % 7).alias("first_seen_run"))
+
+
+CANONICAL = f"""{GUARDED},
+num as (select *, cast(split_part(source_record_key, ':', 2) as int) k from final),
+prior as (select source_record_key, cluster_key, 'P' || split_part(cluster_key, ':', 2) || '-' || right(source_record_key, 1) prior_id, k % 7 run from num where k % 3 = 0),
+held as (select prior_id, cluster_key, count(*) n, min(run) run from prior group by 1, 2),
+stay as (select * from held qualify row_number() over (partition by prior_id order by n desc, cluster_key) = 1),
+ranked as (select *, row_number() over w as place, first_value(prior_id) over w as survivor from stay window w as (partition by cluster_key order by n desc, run, prior_id)),
+named as (select k.cluster_key, coalesce(r.prior_id, 'CX' || left(sha256(k.cluster_key), 16)) id, coalesce(r.run, 2) run from (select distinct cluster_key from final) k left join ranked r on r.cluster_key = k.cluster_key and place = 1)"""
+
+
+@query(f"with recursive {CANONICAL} select source_record_key, cluster_key, id as canonical_customer_id from final join named using (cluster_key)")
+def canonical_ids(spark, d):
+    return _assigned(spark, d)[0]
+
+
+@query(f"""with recursive {CANONICAL} select id as prior_canonical_customer_id, id as canonical_customer_id, 'current' as status, run as first_seen_run_id from named
+    union all select prior_id, survivor, 'merged', run from ranked where place > 1
+    union all select h.prior_id, named.id, 'split', h.run from held h join stay s on s.prior_id = h.prior_id and s.cluster_key <> h.cluster_key join named on named.cluster_key = h.cluster_key""")
+def crosswalk(spark, d):
+    return _assigned(spark, d)[1].drop("merged_in_run_id")
+
+
+@query(f"with recursive {CANONICAL} select 'cluster_merged' as event, survivor as canonical_customer_id, string_agg(prior_id, ',' order by prior_id) as related_canonical_ids from ranked where place > 1 group by survivor union all select 'cluster_split', prior_id, string_agg(cluster_key, ',' order by cluster_key) from held group by prior_id having count(*) > 1")
+def identity_audit(spark, d):
+    return _assigned(spark, d)[2]
+
+
+@query(f"""with recursive {GUARDED}, r as (select source_record_key k, cluster_key c, coalesce(c_nationkey, -1) t from final left join customer on source_record_key = 'cust:' || c_custkey),
+    b as (select t, c, count(*) n from r group by t, c), tr as (select t, sum(n) n, count(*) p from b group by t), gr as (select c, sum(n) n, count(*) p from b group by c),
+    x as (select (select cast(sum(n * (n - 1) / 2) as bigint) from b) tp, (select cast(sum(n * (n - 1) / 2) as bigint) from tr) true_pairs, (select cast(sum(n * (n - 1) / 2) as bigint) from gr) resolved_pairs,
+        (select count(*) from tr where p > 1) under_merges, (select count(*) from gr where p > 1) over_merges)
+    select tp, true_pairs, resolved_pairs, under_merges, over_merges, round(tp / resolved_pairs, 6) as precision, round(tp / true_pairs, 6) as recall from x""")
+def identity_eval(spark, d):
+    found = _guarded(spark, d)[1]
+    c = table(spark, d, "customer").select(F.concat(F.lit("cust:"), F.col("c_custkey")).alias("source_record_key"), F.col("c_nationkey").alias("true_id"))
+    truth = found.select("source_record_key").join(c, "source_record_key", "left").fillna(-1, ["true_id"])
+    out = identity.evaluate(truth, found)
+    return out.select("tp", "true_pairs", "resolved_pairs", "under_merges", "over_merges", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+def _person_attrs(spark, d) -> DataFrame:
+    c = table(spark, d, "customer").select(F.lit("cust").alias("source_system"), F.col("c_custkey").cast("string").alias("source_record_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    s = table(spark, d, "supplier").select(F.lit("supp").alias("source_system"), F.col("s_suppkey").cast("string").alias("source_record_id"), F.col("s_name").alias("name"), F.lit(None).cast("string").alias("segment"))
+    owner = _guarded(spark, d)[1].withColumn("canonical_customer_id", identity.minted(F.col("cluster_key")))
+    rows = c.unionByName(s).withColumn("source_record_key", F.concat_ws(":", "source_system", "source_record_id"))
+    return rows.join(owner.select("source_record_key", "canonical_customer_id"), "source_record_key").drop("source_record_key")
+
+
+GOLDEN = f"""{GUARDED}, a as (
+    select 1 p, 'supp' s, cast(s_suppkey as varchar) r, s_name nm, cast(null as varchar) as segment from supplier union all select 2, 'cust', cast(c_custkey as varchar), c_name, c_mktsegment from customer
+), own as (select a.*, 'CX' || left(sha256(cluster_key), 16) id from a join final on source_record_key = s || ':' || r)"""
+
+
+@query(f"with recursive {GOLDEN} select id as canonical_customer_id, arg_min(nm, struct_pack(p, r)) as name, list(segment order by p, r)[1] as segment, count(distinct s) as source_system_count from own group by id")
+def golden_records(spark, d):
+    return identity.golden_records(_person_attrs(spark, d), {"supp": 1, "cust": 2})
+
+
+@query(f"with recursive {GOLDEN} select id as canonical_customer_id, arg_min(nm, struct_pack(p, r)) as name, arg_min(segment, struct_pack(p, r)) filter (segment is not null) as segment, count(distinct s) as source_system_count from own group by id")
+def golden_records_per_field(spark, d):
+    return identity.golden_records(_person_attrs(spark, d), {"supp": 1, "cust": 2}, per_field=True)
+
+
+@query(f"""with recursive {GUARDED}, ref as (
+        select o_orderkey, case when o_orderkey % 3 = 0 then 'C' || lpad(cast(o_custkey as varchar), 6, '0') when o_orderkey % 3 = 1 then 'u' || lpad(cast(o_custkey as varchar), 8, '0') else 'X' || o_custkey || '@Mail.com' end rf from orders
+    ), nv as (select o_orderkey, case when regexp_matches(rf, '^[Cc][0-9]{{6}}$') then 'crm_id' when regexp_matches(rf, '^[Uu][0-9A-Za-z]{{8,}}$') then 'app_user_id' else 'email' end ns, rf from ref),
+    v as (select o_orderkey, ns, case when ns = 'email' then lower(rf) else upper(rf) end val from nv),
+    look as (select 'crm_id' ns, 'C' || lpad(cast(c_custkey as varchar), 6, '0') val, 'CX' || left(sha256(cluster_key), 16) id from customer join final on source_record_key = 'cust:' || c_custkey)
+    select o_orderkey as order_id, v.ns as ref_namespace, v.val as ref_value_norm, id as canonical_customer_id from v left join look using (ns, val)""")
+def order_attribution(spark, d):
+    key = F.col("o_custkey").cast("string")
+    ref = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("C"), F.lpad(key, 6, "0"))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("u"), F.lpad(key, 8, "0"))).otherwise(F.concat(F.lit("X"), key, F.lit("@Mail.com")))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"), ref.alias("customer_ref"), F.lit(None).cast("string").alias("customer_ref_type"))
+    own = identity.identifiers(table(spark, d, "customer"), "cust", "c_custkey", {"crm_id": F.concat(F.lit("C"), F.lpad(F.col("c_custkey").cast("string"), 6, "0"))})
+    found = _guarded(spark, d)[1].select("source_record_key", identity.minted(F.col("cluster_key")).alias("canonical_customer_id"))
+    out = identity.attribute_orders(identity.order_references(orders), own, found)
+    return out.select("order_id", "ref_namespace", "ref_value_norm", "canonical_customer_id")
+
+
+# Segments
+
+
+def _scaled() -> list[segments.Segment]:
+    return [segments.Segment(s.id, s.name, s.rule, {k: SCALED[k] for k in s.thresholds}, s.null_handling) for s in segments.BASELINE]
+
+
+def _memberships(spark, d) -> DataFrame:
+    return segments.members(metric_table(spark, d), _scaled())
+
+
+MEMBERS = f"""{METRICS}, seg as (
+    select 'S-01' segment_id, cid from metrics where total_spend >= 1500000 union all select 'S-02', cid from metrics where days_first <= 400 and order_count <= 1 union all
+    select 'S-03', cid from metrics where days_last <= 90 union all select 'S-04', cid from metrics where band = 'at_risk' union all select 'S-05', cid from metrics where band = 'churned' union all
+    select 'S-06', cid from metrics where carts >= 1 and (days_last > 14 or days_last is null) union all select 'S-07', cid from metrics where engagement >= 80 union all select 'S-08', cid from metrics where order_count >= 2
+)"""
+
+
+@query(f"with {MEMBERS} select segment_id, cid as customer from seg")
+def segment_members(spark, d):
+    return _memberships(spark, d).select("segment_id", F.col(metrics.CUSTOMER).alias("customer"))
+
+
+@query(f"with {MEMBERS}, old as (select 'S-08' segment_id, c_custkey cid from customer where c_custkey % 2 = 0), new as (select * from seg where segment_id = 'S-08') select segment_id, cid as customer, 'entered' as event from (select * from new except select * from old) union all select segment_id, cid, 'exited' from (select * from old except select * from new)")
+def segment_delta(spark, d):
+    now = _memberships(spark, d).where("segment_id = 'S-08'")
+    before = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.lit("S-08").alias("segment_id"), F.col("c_custkey").alias(metrics.CUSTOMER))
+    return segments.changes(before, now).withColumnRenamed(metrics.CUSTOMER, "customer")
+
+
+@query(f"""with {MEMBERS}, old as (select 'S-08' segment_id, c_custkey cid from customer where c_custkey % 2 = 0)
+    select s.segment_id, (select count(*) from seg where seg.segment_id = s.segment_id) member_count, (select count(*) from (select * from seg except select * from old) x where x.segment_id = s.segment_id) entered,
+    (select count(*) from (select * from old except select * from seg) x where x.segment_id = s.segment_id) exited from (values ('S-01'), ('S-02'), ('S-03'), ('S-04'), ('S-05'), ('S-06'), ('S-07'), ('S-08')) s(segment_id)""")
+def segment_run_stats(spark, d):
+    before = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.lit("S-08").alias("segment_id"), F.col("c_custkey").alias(metrics.CUSTOMER))
+    return segments.run_stats(before, _memberships(spark, d), _scaled()).select("segment_id", "member_count", "entered", "exited")
+
+
+# Serving
+
+
+def _customers(spark, d) -> DataFrame:
+    return table(spark, d, "customer").select(
+        F.col("c_custkey").alias(metrics.CUSTOMER), clean.display_name(F.col("c_name"), F.lit("")).alias("full_name_display"), F.concat(F.lower("c_mktsegment"), F.lit("@example.com")).alias("primary_email")
+    )
+
+
+@query(f"with {METRICS} select (select count(*) from customer) total_customers, (select count(*) from metrics where band = 'active') active_customers, (select count(*) from metrics where band = 'at_risk') at_risk_customers, (select round(avg(round(aov, 2)), 2) from metrics) avg_aov, (select round(cast(sum(rev) as double), 4) from facts) total_revenue, (select count(*) from facts where typ = 'sale') total_orders")
+def summary_kpis(spark, d):
+    m = metric_table(spark, d).withColumn("aov", F.round(F.col("aov").cast("double"), 2))
+    out = serving.summary(_customers(spark, d), m, order_facts(spark, d)).drop("dq_score", "last_run_id")
+    return out.withColumns({"avg_aov": F.round("avg_aov", 2), "total_revenue": money("total_revenue")})
+
+
+@query(f"with {FACTS} select strftime(date_trunc('month', ts), '%Y-%m-%d') as period, round(cast(sum(rev) as double), 4) as revenue, count(*) as orders from facts where ts >= date '{ORDERS_AS_OF}' - interval 12 month group by 1")
+def revenue_by_month(spark, d):
+    return serving.revenue_by_month(order_facts(spark, d), as_of()).withColumns({"revenue": money("revenue"), "period": F.col("period").cast("string")})
+
+
+@query(f"with {METRICS} select cid as customer, trim(c_name) as full_name_display, round(cast(total_spend as double), 4) as total_spend, order_count from metrics join customer on c_custkey = cid order by metrics.total_spend desc, cid limit 10")
+def top_customers(spark, d):
+    out = serving.top_customers(_customers(spark, d), metric_table(spark, d))
+    return out.select(F.col(metrics.CUSTOMER).alias("customer"), "full_name_display", money("total_spend").alias("total_spend"), "order_count")
+
+
+@query(f"with {METRICS} select band as churn_risk_band, count(*) as customers from metrics group by 1")
+def churn_distribution(spark, d):
+    return serving.churn_distribution(metric_table(spark, d))
+
+
+@query(f"with {METRICS} select concat(r, f, mo) as rfm_segment, count(*) as customers from metrics group by 1")
+def rfm_distribution(spark, d):
+    return serving.rfm_distribution(metric_table(spark, d))
+
+
+@query(f"with {METRICS} select round(count(*) filter (order_count >= 2) / count(*), 6) as repeat_rate, count(*) as purchasers from metrics")
+def repeat_rate(spark, d):
+    return serving.repeat_rate(metric_table(spark, d)).withColumn("repeat_rate", F.round("repeat_rate", 6))
+
+
+@query(f"with {METRICS} select c_custkey as customer, round(cast(total_spend as double), 4) as total_spend, band as churn_risk_band from customer left join metrics on c_custkey = cid where lower(c_name) like '%00012%' or lower(c_mktsegment) || '@example.com' like '%00012%' order by metrics.total_spend desc nulls last, c_custkey limit 20 offset 5")
+def customer_search(spark, d):
+    out = serving.search(_customers(spark, d), metric_table(spark, d), "00012", limit=20, offset=5)
+    return out.select(F.col(metrics.CUSTOMER).alias("customer"), money("total_spend").alias("total_spend"), "churn_risk_band")
+
+
+@query("select * from (select o_orderdate as event_ts, 'order' as event_kind, 'order ' || o_orderkey as summary from orders where o_custkey = 7 union all select ts, 'web', event_type || ' ' || event_id from events where user_id = 7) order by event_ts desc, event_kind, summary limit 50")
+def customer_timeline(spark, d):
+    key = F.col
+    orders = table(spark, d, "orders").select(key("o_custkey").alias(metrics.CUSTOMER), key("o_orderdate").alias("event_ts"), F.lit("order").alias("event_kind"), F.concat(F.lit("order "), key("o_orderkey")).alias("summary"))
+    web = table(spark, d, "events").select(key("user_id").alias(metrics.CUSTOMER), key("ts").alias("event_ts"), F.lit("web").alias("event_kind"), F.concat_ws(" ", "event_type", key("event_id").cast("string")).alias("summary"))
+    return serving.timeline([orders, web], 7).withColumn("event_ts", F.col("event_ts").cast("timestamp_ntz"))
+
+
+@query(f"with {MEMBERS}, sg as (select cid, string_agg(segment_id, ',' order by segment_id) g from seg group by cid), ro as (select cid, string_agg(cast(order_id as varchar), ',' order by n) o from (select *, row_number() over (partition by cid order by ts desc, order_id) n from facts) where n <= 5 group by cid) select c_custkey as customer, order_count, g as segments, o as recent_orders from customer left join metrics on cid = c_custkey left join sg on sg.cid = c_custkey left join ro on ro.cid = c_custkey")
+def customer_profile(spark, d):
+    ids = table(spark, d, "customer").select(F.col("c_custkey").alias(metrics.CUSTOMER), F.lit("cust").alias("source_system"), F.col("c_custkey").alias("source_record_id"))
+    out = serving.profiles(_customers(spark, d), metric_table(spark, d), ids, _memberships(spark, d), order_facts(spark, d))
+    ordered = F.array_join(F.transform("recent_orders", lambda x: x["order_id"].cast("string")), ",")
+    return out.select(F.col(metrics.CUSTOMER).alias("customer"), "order_count", F.array_join(F.transform("segments", lambda x: x["segment_id"]), ",").alias("segments"), ordered.alias("recent_orders"))
+
+
+@query(f"with {FACTS} select order_id, ts as order_ts, round(cast(rev as double), 4) as revenue_amount from facts where cid = 7 order by ts desc, order_id limit 50")
+def customer_orders(spark, d):
+    return serving.customer_orders(order_facts(spark, d), 7).select("order_id", F.col("order_ts").cast("timestamp_ntz").alias("order_ts"), money("revenue_amount").alias("revenue_amount"))
+
+
+@query(f"with {FACTS} select strftime(ts, '%Y-%m-%d') as day, round(cast(sum(rev) as double), 4) as revenue, round(cast(sum(case when is_first then rev else 0 end) as double), 4) as new_revenue, count(*) as orders from facts group by 1")
+def revenue_daily(spark, d):
+    return serving.revenue_daily(order_facts(spark, d)).withColumns({"revenue": money("revenue"), "new_revenue": money("new_revenue"), "day": F.col("day").cast("string")})
+
+
+@query(f"with {FACTS}, b as (select distinct cid, cast(date_trunc('month', ts) as date) m from facts where typ = 'sale'), c as (select cid, min(m) cohort from b group by cid) select strftime(cohort, '%Y-%m-%d') as cohort, date_diff('month', cohort, m) as month_number, count(*) as customers from b join c using (cid) group by 1, 2")
+def cohort_retention(spark, d):
+    return serving.cohort_retention(order_facts(spark, d)).withColumns({"month_number": F.col("month_number").cast("long"), "cohort": F.col("cohort").cast("string")})
+
+
+def _products(spark, d) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_type").alias("category"), F.col("p_brand").alias("brand"))
+
+
+LINES = """lines as (select l_orderkey order_id, l_partkey product_id, l_quantity q, cast(l_extendedprice as decimal(14,2)) * (1 - cast(l_discount as decimal(4,2)) + cast(l_tax as decimal(4,2))) net from lineitem)"""
+
+
+@query(f"with {LINES} select product_id, p_type as category, sum(q) as units, round(cast(sum(net) as double), 4) as revenue, count(distinct order_id) as orders from lines join part on p_partkey = product_id group by 1, 2")
+def product_performance(spark, d):
+    return serving.product_performance(order_lines(spark, d), _products(spark, d)).select("product_id", "category", "units", money("revenue").alias("revenue"), "orders")
+
+
+@query(f"with {LINES} select p_type as category, sum(q) as units, round(cast(sum(net) as double), 4) as revenue, count(distinct product_id) as products from lines join part on p_partkey = product_id group by 1")
+def category_performance(spark, d):
+    return serving.category_performance(order_lines(spark, d), _products(spark, d)).withColumn("revenue", money("revenue"))
+
+
+@query(f"with {LINES}, s as (select o_custkey customer, p_type category, sum(net) spend from lines join part on p_partkey = product_id join orders on o_orderkey = order_id group by 1, 2) select customer, category, round(cast(spend as double), 4) as spend, round(cast(spend as double) / cast(sum(spend) over (partition by customer) as double), 6) as share from s")
+def category_affinity(spark, d):
+    owner = table(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias(metrics.CUSTOMER))
+    out = serving.category_affinity(order_lines(spark, d).join(owner, "order_id"), _products(spark, d))
+    return out.select(F.col(metrics.CUSTOMER).alias("customer"), "category", money("spend").alias("spend"), F.round("share", 6).alias("share"))
+
+
+@query("with b as (select distinct l_orderkey o, l_partkey p from lineitem), c as (select p, count(*) n from b group by p) select x.p as product_a, y.p as product_b, count(*) as orders_together, round(count(*) * (select count(distinct o) from b) / (any_value(ca.n) * any_value(cb.n)), 6) as lift from b x join b y on x.o = y.o and x.p < y.p join c ca on ca.p = x.p join c cb on cb.p = y.p group by 1, 2 having count(*) >= 2")
+def co_purchase(spark, d):
+    return serving.co_purchase(order_lines(spark, d)).withColumn("lift", F.round("lift", 6))
+
+
+@query(f"select user_id as customer, count(*) filter (g >= 0 and g < 30) as events_30d, count(*) filter (g >= 0 and g < 90) as events_90d, count(*) filter (g >= 0 and g < 365) as events_365d from (select user_id, date_diff('day', cast(ts as date), date '{EVENTS_AS_OF}') g from events) group by 1")
+def event_windows(spark, d):
+    return serving.event_windows(click_events(spark, d), as_of(EVENTS_AS_OF)).withColumnRenamed(metrics.CUSTOMER, "customer")
+
+
+@query(f"with {FACTS} select typ as order_type, o_orderpriority, count(*) as orders, round(cast(sum(rev) as double), 4) as revenue from facts group by cube(typ, o_orderpriority)")
+def order_cube(spark, d):
+    return serving.order_status_cube(order_facts(spark, d), ("order_type", "o_orderpriority")).withColumn("revenue", money("revenue"))
+
+
+@query(f"with {METRICS} select 'order_count_not_negative' as check_name, count(*) filter (order_count < 0) as violations from metrics union all select 'aov_not_negative', count(*) filter (aov < 0) from metrics union all select 'churn_band_known', 0 from (select 1)")
+def check_violations(spark, d):
+    return serving.check_violations(metric_table(spark, d))
+
+
+@query("select o_orderkey as order_id, case when o_orderkey % 2 = 0 then 0.0 else o_totalprice end as amount from orders where o_orderkey % 5 <> 1 or o_orderkey % 2 = 0")
+def keyed_upsert(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("amount"))
+    old, new = o.where("order_id % 5 <> 1"), o.where("order_id % 2 = 0").withColumn("amount", F.lit(0.0))
+    return upserted(old, new, ["order_id"])
+
+
+# Documents and retrieval
+
+
+@query("select doc_id, min(doc_id) over (partition by md5(text)) as group_id, count(*) over (partition by md5(text)) as copies from documents")
+def doc_exact_groups(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.md5("text").alias("digest"))
+    groups = docs.groupBy("digest").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("copies"))
+    return docs.join(groups, "digest").select("doc_id", "group_id", "copies")
+
+
+@query("""with q as (select [cast(x as double) for x in embedding] v from embeddings where vec_id = 0), e as (select vec_id, [cast(x as double) for x in embedding] w from embeddings)
+    select vec_id, round(list_dot_product(w, v) / (sqrt(list_dot_product(w, w)) * sqrt(list_dot_product(v, v))), 6) as score from e, q order by list_dot_product(w, v) / (sqrt(list_dot_product(w, w)) * sqrt(list_dot_product(v, v))) desc, vec_id limit 10""")
+def vector_topk(spark, d):
+    vectors = table(spark, d, "embeddings")
+    asked = vectors.where("vec_id = 0").first()["embedding"]
+    return retrieval.nearest(vectors, asked, 10).withColumn("score", F.round("score", 6))
+
+
+@query("""with q as (select [cast(x as double) for x in embedding] v from embeddings where vec_id = 0), e as (select vec_id, [cast(x as double) for x in embedding] w from embeddings)
+    select * from (select vec_id, round(list_dot_product(w, v) / (sqrt(list_dot_product(w, w)) * sqrt(list_dot_product(v, v))), 6) as score from e, q) where score >= 0.25 order by score desc, vec_id limit 50""")
+def retrieval_floor(spark, d):
+    vectors = table(spark, d, "embeddings")
+    asked = vectors.where("vec_id = 0").first()["embedding"]
+    return retrieval.nearest(vectors, asked, 50, floor=retrieval.FLOOR).withColumn("score", F.round("score", 6))
+
+
+EMBEDDED = """t as (select item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) tok from benchmark),
+    h as (select item_id, sha256(tok) s from t), e as (select item_id, cast(cast('0x' || left(s, 8) as bigint) % 256 as int) idx, sum(case when cast('0x' || substring(s, 9, 2) as int) % 2 = 0 then 1 else -1 end) v from h group by 1, 2)"""
+
+
+@query(f"with {EMBEDDED} select item_id, idx, round(v / sqrt(sum(v * v) over (partition by item_id)), 6) as value from e where v <> 0")
+def hashed_embedding(spark, d):
+    return retrieval.embedding_entries(table(spark, d, "benchmark"), "item_id", "text").withColumn("value", F.round("value", 6))
+
+
+@query()
+def chunk_text(spark, d):
+    return retrieval.chunks(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query("select conv_id, turn, case when lower(text) like '%the%' then 'get_customer_profile' else '' end as tools from (select * from conversations) where not regexp_matches(lower(text), 'segment|high value|high-value|identit|same customer|merge|linked|quality|data issue|dq |data-quality|timeline|recent|activity|history|changed|event|rfm|metric|value|spend|clv|churn|engagement')")
+def routed_questions(spark, d):
+    turns = table(spark, d, "conversations")
+    words = "|".join(w for ws, _ in retrieval.ROUTES for w in ws)
+    plain = turns.where(~F.lower("text").rlike(words))
+    return plain.select("conv_id", "turn", F.array_join(retrieval.routed(F.col("text"), F.lower("text").contains("the")), ",").alias("tools"))
