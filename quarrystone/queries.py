@@ -255,8 +255,8 @@ def _rule_query(name: str, frame: Callable, rule: dq.Rule, sql: str, ctx: dq.Con
     ORACLES[name] = f"select '{rule.id}' as rule_id, count(*) as applicable, count(*) filter (bad) as failed from ({sql}) t"
 
 
-def _plain(name: str, **more: Column) -> Callable:
-    return lambda spark, d: table(spark, d, name).withColumns(more) if more else table(spark, d, name)
+def _plain(name: str, **more: str) -> Callable:
+    return lambda spark, d: table(spark, d, name).selectExpr("*", *[f"{e} as {c}" for c, e in more.items()])
 
 
 def _typed_parts(spark, d):
@@ -277,8 +277,8 @@ CONTACTS = r"""(select doc_id, nullif(regexp_extract(text, '([^ ,;\n]+@[^ ,;\n]+
 PHONE_SQL = r"""(select *, regexp_replace(phone, '[^0-9]', '', 'g') as dg from """ + CONTACTS + " c)"
 PHONE_NORM = "case when length(dg) = 10 or (length(dg) = 11 and dg like '0%') or (length(dg) = 12 and dg like '91%') or (length(dg) = 13 and dg like '091%') then concat('+91', right(dg, 10)) end"
 
-_rule_query("dq_not_null", _plain("documents", lang2=F.expr("nullif(lang, 'en')")), dq.Rule("R1", "", "completeness", "not_null", column="lang2"), "select nullif(lang, 'en') is null as bad from documents")
-_rule_query("dq_not_blank", _plain("documents", first=F.expr("substring(text, 4, 1)")), dq.Rule("R2", "", "completeness", "not_blank", column="first"), "select trim(substring(text, 4, 1)) = '' as bad from documents")
+_rule_query("dq_not_null", _plain("documents", lang2="nullif(lang, 'en')"), dq.Rule("R1", "", "completeness", "not_null", column="lang2"), "select nullif(lang, 'en') is null as bad from documents")
+_rule_query("dq_not_blank", _plain("documents", first="substring(text, 4, 1)"), dq.Rule("R2", "", "completeness", "not_blank", column="first"), "select trim(substring(text, 4, 1)) = '' as bad from documents")
 _rule_query("dq_type_cast", _typed_parts, dq.Rule("R3", "", "validity", "type_cast", column="raw"), "select try_cast(case when substring(p_brand, 7, 1) < '3' then substring(p_name, 1, 1) else substring(p_brand, 7, 1) end as int) is null as bad from part")
 _rule_query("dq_regex", _plain("customer"), dq.Rule("R4", "", "validity", "regex", column="c_name", args={"pattern": "[02468]$"}), "select not regexp_matches(c_name, '[02468]$') as bad from customer")
 _rule_query("dq_in_set", _plain("customer"), dq.Rule("R5", "", "validity", "in_set", column="c_mktsegment", args={"values": ("BUILDING", "FURNITURE")}), "select c_mktsegment not in ('BUILDING', 'FURNITURE') as bad from customer")
