@@ -27,7 +27,7 @@ BANDS, ROWS = 40, 6
 #: The first 240 registers make the bands; the low four bits of all are kept to estimate similarities.
 REGISTERS, NIBBLES = 480, 16
 #: Registers whose low bits differ at similarity 0.8: 90 are expected, and 128, 4.4 deviations more, are exceeded once in 200,000 pairs.
-EXPECTED, MOST = 90, 128
+MOST = 128
 SIG_SCHEMA = "doc_id long, tag long, th binary, v long, n int, bands array<long>, bits array<long>"
 
 
@@ -111,15 +111,14 @@ def _verify(least: float):
     return run
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, sig: DataFrame, least: float) -> DataFrame:
+def _linked(pairs: DataFrame, docs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (va, vb) whose whole texts are as similar as ``least``, as (a, b) text hashes."""
-    pairs = durable(pairs.distinct())
     need = pairs.select(F.col("va").alias("v")).unionAll(pairs.select(F.col("vb").alias("v"))).distinct()
-    first = sig.join(need, "v").groupBy("th", "v", "tag").agg(F.min("doc_id").alias("__id"))
+    first = texts.select("th", "v", "tag", F.col("doc_id").alias("__id")).join(need.hint("merge"), "v")
     same = docs["doc_id"].eqNullSafe(first["__id"]) & (F.xxhash64(docs["text"]) == first["tag"])
-    texts = durable(docs.join(first.hint("merge"), same).select("th", "v", "text").dropDuplicates(["th"]))
-    one = pairs.join(texts.select(F.col("v").alias("vb"), F.col("th").alias("b"), F.col("text").alias("text_b")).hint("merge"), "vb")
-    two = one.join(texts.select(F.col("v").alias("va"), F.col("th").alias("a"), F.col("text").alias("text_a")).hint("merge"), "va")
+    whole = durable(docs.join(first.hint("merge"), same).select("th", "v", "text").dropDuplicates(["th"]))
+    one = pairs.join(whole.select(F.col("v").alias("vb"), F.col("th").alias("b"), F.col("text").alias("text_b")).hint("merge"), "vb")
+    two = one.join(whole.select(F.col("v").alias("va"), F.col("th").alias("a"), F.col("text").alias("text_a")).hint("merge"), "va")
     return durable(two.select("a", "b", "text_a", "text_b").mapInArrow(_verify(least), "a binary, b binary"))
 
 
@@ -134,35 +133,48 @@ def _apart(x: str, y: str) -> F.Column:
     return out
 
 
-def _labels(sig: DataFrame, classes: DataFrame) -> DataFrame:
-    known = sig.select("th", "v").distinct().join(classes.withColumnRenamed("vertex", "th"), "th", "left")
-    return known.select("v", F.xxhash64(F.coalesce("component", "th")).alias("label"))
+def _buckets(texts: DataFrame) -> DataFrame:
+    """``(bucket, v, size, centre)`` of buckets with several texts; the centre is the text that meets most others over all its buckets."""
+    every = texts.select("v", F.explode("bands").alias("bucket"))
+    shared = every.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    held = durable(every.join(shared.hint("merge"), "bucket"))
+    met = held.groupBy("v").agg(F.sum("size").alias("met"))
+    centres = held.join(met.hint("merge"), "v").groupBy("bucket").agg(F.max_by("v", "met").alias("centre"))
+    return durable(held.join(centres.hint("merge"), "bucket"))
 
 
-def _between(rest: DataFrame, label: DataFrame, least: float, low: int, high: int) -> DataFrame:
-    """Pairs of a bucket, of different classes, whose signatures differ in more than ``low`` and at most ``high`` registers."""
-    rows = rest.join(label, "v")
-    mixed = rows.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a <> z")
-    rows = durable(rows.join(mixed.select("bucket"), "bucket", "left_semi"))
-    x, y = rows.alias("x"), rows.alias("y")
-    apart = _apart("x.bits", "y.bits")
+def _between(wide: DataFrame, texts: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Pairs of a bucket, of different classes, whose signatures do not rule out that they are linked.
+
+    Texts outside the class of a bucket's centre are held against all others of the bucket, so a bucket that is one
+    class but for a few texts costs a few rows for each of its texts. A pair comes from the least bucket that it shares, and not if that
+    bucket's centre is one of the two: those are judged already.
+    """
+    known = texts.select("th", "v").join(classes.withColumnRenamed("vertex", "th"), "th", "left")
+    label = known.select("v", F.xxhash64(F.coalesce("component", "th")).alias("label"))
+    rows = durable(wide.join(label.hint("merge"), "v"))
+    several = rows.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.max_by("label", F.col("v") == F.col("centre")).alias("main"))
+    rows = rows.join(several.where("a <> z").drop("a", "z").hint("merge"), "bucket").where("v <> centre")
+    rows = durable(rows.join(texts.select("v", "n", "bands", "bits").hint("merge"), "v"))
+    x, y = rows.where("label <> main").alias("x"), rows.alias("y")
     pairs = x.join(
         y,
-        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.v") < F.col("y.v")) & (F.col("x.label") != F.col("y.label"))
-        & (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")) & (apart > low) & (apart <= high),
+        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label"))
+        & ((F.col("y.label") == F.col("y.main")) | (F.col("x.v") < F.col("y.v")))
+        & (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")) & (_apart("x.bits", "y.bits") <= MOST)
+        & (F.col("x.bucket") == F.array_min(F.array_intersect("x.bands", "y.bands"))),
     )
     return pairs.select(F.col("x.v").alias("va"), F.col("y.v").alias("vb"))
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """``(doc_id, class_id, text_key)``, one row for each row of ``docs(doc_id, text)``.
+    """``(doc_id, class_id, class_key, text_key)``, one row for each row of ``docs(doc_id, text)``.
 
     Documents whose texts are equal, or are linked by a chain of pairs with a Jaccard similarity of
     at least ``least`` (0.8 or more) between their sets of five-word runs, share a class; ``class_id`` is its
     smallest doc_id. Exact copies are folded first, so they cost one signature entry. Within a
-    bucket every text is compared with the bucket's first. Where a bucket then still holds several
-    classes, pairs between those classes follow: first those whose signatures look similar enough, then, between
-    what is still apart, those whose signatures do not rule it out. So no group is expanded into all pairs,
+    bucket every text is compared with the bucket's centre, the text that shares most buckets with others. Where a bucket then still holds several
+    classes, pairs between those classes follow whose signatures do not rule out a link. So no group is expanded into all pairs,
     and a link between different texts is found whatever the size of its bucket. At similarity 0.8 a pair shares none of the 40
     bands, or is ruled out, once in 100,000.
 
@@ -174,37 +186,31 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
         raise ValueError("bands and estimates are laid out for similarities of 0.8 or more")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sig = durable(docs.withColumn("tag", F.xxhash64("text")).mapInArrow(_signatures, SIG_SCHEMA))
-    texts = sig.dropDuplicates(["th"])
-    buckets = texts.select("v", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("v").alias("va")).where("size > 1")
-    held = durable(buckets.join(shared.hint("merge"), "bucket"))
-    stars = held.where("v <> va").select("va", F.col("v").alias("vb"))
-    links = _linked(stars, docs, sig, least)
+    texts = durable(sig.dropDuplicates(["th"]))
+    held = _buckets(texts)
+    links = _linked(durable(held.where("v <> centre").select(F.col("centre").alias("va"), F.col("v").alias("vb")).distinct()), docs, texts, least)
     classes = connected_components(links)
 
-    wide = held.where("size > 2").select("bucket", "v")
-    rest = wide.join(sig.select("v", "n", "bits").dropDuplicates(["v"]).hint("merge"), "v")
-    for low, high in ((-1, EXPECTED), (EXPECTED, MOST)):
-        pairs = _between(rest, _labels(sig, classes), least, low, high)
-        more = _linked(pairs.join(stars.distinct(), ["va", "vb"], "left_anti"), docs, sig, least)
+    wide = held.where("size > 2").select("bucket", "v", "centre")
+    pairs = durable(_between(wide, texts, classes, least))
+    if not pairs.isEmpty():
+        more = _linked(pairs, docs, texts, least)
         if not more.isEmpty():
-            links = links.unionAll(more)
-            classes = connected_components(links)
+            classes = connected_components(links.unionAll(more))
 
-    rows = sig.select("doc_id", "th").join(classes.withColumnRenamed("vertex", "th"), "th", "left")
-    rows = rows.select("doc_id", "th", F.coalesce("component", "th").alias("root"))
+    rows = sig.select("doc_id", "tag", "th").join(classes.withColumnRenamed("vertex", "th"), "th", "left")
+    rows = rows.select("doc_id", "tag", F.coalesce("component", "th").alias("root"))
     least_id = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return rows.join(least_id, "root").select("doc_id", "class_id", F.hex("th").alias("text_key"))
+    return rows.join(least_id, "root").select("doc_id", "class_id", F.hex("root").alias("class_key"), F.col("tag").alias("text_key"))
 
 
 def one_of_each(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each class the row with the smallest doc_id.
 
-    Columns stay as they are. Repeats of a kept row go too; rows without a doc_id stay only where
-    their class has no document with one, and then once for each text.
+    Columns stay as they are. Repeats of a kept row go too; a row without a doc_id stays only where
+    its class has no document with one. Null texts count as empty ones.
     """
-    found = near_duplicates(docs, least)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    kept = kept.groupBy("__id").agg(F.min("__key").alias("__key"), F.count("*").alias("__n"))
-    out = docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["__id"])).drop("__id", "__key", "__n")
-    return out.dropDuplicates(["doc_id", "text"])
+    found = near_duplicates(docs, least).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    kept = found.groupBy("class_key").agg(F.min("class_id").alias("__id"), F.min("text_key").alias("__key")).drop("class_key")
+    same = docs["doc_id"].eqNullSafe(kept["__id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == kept["__key"])
+    return docs.join(kept.hint("merge"), same).drop("__id", "__key").dropDuplicates(["doc_id", "text"])
