@@ -116,11 +116,12 @@ def with_successors(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(F.col("doc_id").cast("double").alias("x")).where("x is not null")
     cuts = sorted(set(ids.approxQuantile("x", [i / parts for i in range(1, parts)], 1 / (8 * parts)))) if parts > 1 else []
-    splits = [float("-inf"), *cuts, float("inf")]
+    splits = [float("-inf"), *(cuts or [0.0]), float("inf")]
     keyed = Bucketizer(splits=splits, inputCol="x", outputCol="b", handleInvalid="keep").transform(docs.withColumn("x", F.col("doc_id").cast("double")))
     keyed = keyed.select("doc_id", "text", F.col("b").cast("int").alias("bucket"))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
-    first = sorted((r["bucket"], r["id"]) for r in keyed.groupBy("bucket").agg(F.min("doc_id").alias("id")).collect())
+    found = {r["bucket"]: r["id"] for r in keyed.groupBy("bucket").agg(F.min("doc_id").alias("id")).collect()}
+    first = sorted(found.items(), key=lambda x: x[0])
     before = [(first[i - 1][0], b) for i, (b, _) in enumerate(first)]
     spots = spark.createDataFrame([(b, to, i) for (b, i), (to, _) in zip(first, before, strict=True)], "bucket int, target int, id long")
     heads = keyed.join(F.broadcast(spots), "bucket").where(F.col("doc_id").eqNullSafe(F.col("id")))

@@ -2,7 +2,7 @@
 
 A text's pre-tokens lie in blocks, and a segment tree over the blocks keeps sums of characters and
 of tokens. An edit touches the blocks around it: the pre-tokens from the block with the last
-unchanged character are cut anew until a cut falls on an old block's start behind the edit. From there on nothing
+unchanged character but one (the pattern looks that far ahead) are cut anew until a cut falls on an old block's start behind the edit. From there on nothing
 can differ, since the pattern looks ahead only; the touched leaves and the paths above them are updated.
 """
 
@@ -102,7 +102,7 @@ class TokenTree:
         old = len(self.text)
         start = min(max(start, 0), old)
         end = min(max(end, start), old)
-        first, left = self.block_at(max(start - 1, 0))
+        first, left = self.block_at(max(start - 2, 0))
         last, right = self.block_at(end)
         right += self.chars[self.size + last]
         self.text = self.text[:start] + text + self.text[end:]
