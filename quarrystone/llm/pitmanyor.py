@@ -29,7 +29,7 @@ from .arrays import U, chunks, mix, mix_one, words_of
 CONTEXTS = 1 << 16
 SWEEPS, SAMPLES = 3, 2
 STRENGTH = 1.0
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 END, START = mix_one(2**64 - 1), mix_one(2**64 - 2)
 
 
