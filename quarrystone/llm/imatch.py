@@ -118,7 +118,7 @@ def with_successors(docs: DataFrame) -> DataFrame:
     cuts = sorted(set(ids.approxQuantile("x", [i / parts for i in range(1, parts)], 1 / (8 * parts)))) if parts > 1 else []
     splits = [float("-inf"), *(cuts or [0.0]), float("inf")]
     keyed = Bucketizer(splits=splits, inputCol="x", outputCol="b", handleInvalid="keep").transform(docs.withColumn("x", F.col("doc_id").cast("double")))
-    keyed = keyed.select("doc_id", "text", F.col("b").cast("int").alias("bucket"))
+    keyed = keyed.select("doc_id", "text", F.coalesce(F.col("b").cast("int"), F.lit(len(splits) - 1)).alias("bucket"))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     found = {r["bucket"]: r["id"] for r in keyed.groupBy("bucket").agg(F.min("doc_id").alias("id")).collect()}
     first = sorted(found.items(), key=lambda x: x[0])
