@@ -1,10 +1,11 @@
 """Near-duplicate documents by probability MinHash, banding and exact verification.
 
-A text's elements are its runs of five words, weighted ``1 + ln(count) / 4``. Each element is a
-Poisson process whose rate is its weight and whose randomness is its hash; every arrival falls in
-one of the signature's registers, a register keeps the earliest, and an element stops as soon as
-its next arrival is later than every register of its text (ProbMinHash). Two signatures then agree
-in a register with the probability Jaccard similarity of the weighted sets.
+A text's elements are its distinct runs of five words. Each element is a Poisson process whose rate
+is its weight and whose randomness is its hash; every arrival falls in one of the signature's
+registers, a register keeps the earliest, and an element stops as soon as its next arrival is later
+than every register of its text (ProbMinHash). Two signatures then agree in a register with the
+probability Jaccard similarity of the weighted sets. A link is a similarity of plain sets, so every
+run weighs 1 however often it is repeated: the probability Jaccard similarity is then the sets' own.
 """
 
 from __future__ import annotations
@@ -68,8 +69,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         texts = pc.fill_null(batch.column("text"), "")
         w = words_of(texts)
-        doc, h, count = weighted(*w.shingles(SHINGLE))
-        sig = prob_minhash(doc, h, 1 + np.log(count) / 4, w.n_docs)
+        doc, h, _ = weighted(*w.shingles(SHINGLE))
+        sig = prob_minhash(doc, h, np.ones(len(h)), w.n_docs)
         n = np.bincount(doc, minlength=w.n_docs)
         band = np.arange(BANDS, dtype=U)[None, :] * U(0xA0761D6478BD642F)
         parts = sig[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)

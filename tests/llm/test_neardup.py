@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarrystone.llm import neardup
 
@@ -68,6 +69,25 @@ def test_a_large_group_that_hangs_on_one_base(spark):
     assert {r["doc_id"]: r["class_id"] for r in found.collect()} == brute(rows)
 
 
+def test_runs_repeated_unequally_often_count_as_in_sets(spark):
+    """Sets of runs with a similarity of 0.8 to 0.85, where one text repeats a third of its runs 300 times: no signature rules them out."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(30):
+        base = [f"p{i}w{j}" for j in range(180)]
+        more = [f"p{i}x{j}" for j in range(rng.randrange(28, 36))]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:60] + base[60:120] * 300 + base[120:] + more))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        assert 0.8 <= len(a & b) / len(a | b) < 0.85
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sig = docs.withColumn("tag", F.lit(0).cast("long")).mapInArrow(neardup._signatures, neardup.SIG_SCHEMA)
+    x, y = (neardup.durable(sig.where(f"doc_id % 2 = {k}")).alias(n) for k, n in enumerate("xy"))
+    pairs = x.join(y, F.col("x.doc_id") + 1 == F.col("y.doc_id")).where(F.arrays_overlap("x.bands", "y.bands"))
+    assert pairs.where(neardup._close("x.bits", "y.bits")).count() == pairs.count() == 30
+    found = neardup.near_duplicates(docs)
+    assert {r["doc_id"]: r["class_id"] for r in found.collect()} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_one_of_each_keeps_columns_and_least_id(spark):
     text = " ".join(f"t{i}" for i in range(50))
     rows = [(3, text, "x", 9), (1, text, "y", 8), (1, text, "y", 8), (2, "other words here", None, 7), (None, text, "z", 6), (None, "alone", "z", 5)]
