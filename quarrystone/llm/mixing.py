@@ -1,16 +1,20 @@
 """Interleaving sources by Pfair schedules.
 
-Weights are rounded to ``q`` of ``period`` slots, so the schedule repeats after one period, at
-whose end every source has had exactly its share. Block i of a source (from 0) is released at slot
-floor(i * period / q) and due by slot ceil((i + 1) * period / q); each slot goes to the released block with
-the earliest deadline. Within a period that order is a table of ``period`` rows; every later block
-follows from it by adding periods, so blocks are placed by a join, without a loop over the data.
+Block i (from 0) of a source of weight w, a share of all, is released at slot floor(i / w) and due by slot
+ceil((i + 1) / w); each slot goes to the released block with the earliest deadline. Weights are whole numbers over their
+sum, without rounding. Slots are cut into windows, and up to each cut a source has had its target rounded down or up, so
+that all add up to the slots. A window is long enough for one block of every source, so these counts never fall, and
+the blocks between two cuts fit the slots between them: every window is scheduled in a task, without the others.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
+from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +23,7 @@ from ..plans.durable import durable
 PERIOD = 1024
 BLOCK = 16
 BUCKETS = 256
+SLOTS = "__source string, mix_block long, mix_slot long, mix_release long, mix_deadline long"
 
 
 def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -32,28 +37,78 @@ def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return q
 
 
-def schedule(q: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """``(source, block, slot, release, deadline)`` of one period, earliest deadline first."""
-    period, out, ready = sum(q.values()), [], []
-    blocks = sorted((i * period // q[s], -(-(i + 1) * period // q[s]), s, i) for s in q for i in range(q[s]))
-    at = 0
-    for slot in range(period):
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportions of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    out = {s: int(x * scale) for s, x in exact.items()}
+    most = math.gcd(*out.values())
+    return {s: w // most for s, w in out.items()}
+
+
+def cut(w: dict[str, int], slots: int) -> dict[str, int]:
+    """Blocks of each source up to a cut: its target rounded down or up, together as many as there are slots."""
+    total = sum(w.values())
+    out = {s: slots * x // total for s, x in w.items()}
+    for s in sorted(w, key=lambda s: (-(slots * w[s] % total), s))[: slots - sum(out.values())]:
+        out[s] += 1
+    return out
+
+
+def window(w: dict[str, int], start: int, end: int, last: dict[str, int] | None = None) -> list[tuple[str, int, int, int, int]]:
+    """``(source, block, slot, release, deadline)`` of the slots from start to end, earliest deadline first; blocks from ``last`` on do not exist."""
+    total, out, ready = sum(w.values()), [], []
+    first, to = cut(w, start), cut(w, end)
+    blocks = sorted(
+        (max(i * total // w[s], start), min(-(-(i + 1) * total // w[s]), end), s, i)
+        for s in w for i in range(first[s], to[s] if last is None else min(to[s], last[s]))
+    )
+    at, slot = 0, start
+    while at < len(blocks) or ready:
+        slot = slot if ready else max(slot, blocks[at][0])
         while at < len(blocks) and blocks[at][0] <= slot:
-            r, d, s, i = blocks[at]
-            heapq.heappush(ready, (d, s, i, r))
+            heapq.heappush(ready, blocks[at][1:])
             at += 1
-        d, s, i, r = heapq.heappop(ready)
-        out.append((s, i, slot, r, d))
+        _, s, i = heapq.heappop(ready)
+        out.append((s, i, slot, i * total // w[s], -(-(i + 1) * total // w[s])))
+        slot += 1
     return out
 
 
+def schedule(q: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
+    """The slots of one period."""
+    return window(q, 0, sum(q.values()))
+
+
+def _slots(spark, weights: dict[str, float], last: dict[str, int], base: int) -> tuple[DataFrame, int]:
+    """``(__source, mix_block, mix_slot, mix_release, mix_deadline)`` of every block, from slot ``base`` on, and the slot after them."""
+    w = whole(weights)
+    total = sum(w.values())
+    length = max(PERIOD, -(-total // min(w.values())))
+    end = max(-(-last[s] * total // w[s]) for s in w)
+    windows = -(-end // length)
+
+    def plan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for k in f["id"].tolist():
+                found = pd.DataFrame(window(w, k * length, (k + 1) * length, last), columns=["__source", "mix_block", "mix_slot", "mix_release", "mix_deadline"])
+                found[["mix_slot", "mix_release", "mix_deadline"]] += base
+                yield found
+
+    return spark.range(0, windows, 1, min(windows, BUCKETS)).mapInPandas(plan, SLOTS), base + end
+
+
+def _rows(docs: DataFrame) -> dict[str, int]:
+    rows = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("s")).count().collect()
+    return {r["s"]: r["count"] for r in rows}
+
+
 def target_weights(docs: DataFrame, power: float = 0.5) -> dict[str, float]:
     """Default targets: the sources' numbers of rows to a power; 0 makes them equal, 1 leaves them as they are.
 
     There is one entry a source (null counts as the source ``''``): sources are few, not documents.
     """
-    rows = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("s")).count().collect()
-    return {r["s"]: float(r["count"]) ** power for r in rows}
+    return {s: float(n) ** power for s, n in _rows(docs).items()}
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
@@ -65,21 +120,21 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block:
     ``block`` rows, in order of hashed buckets and doc_id; the ranks come from counts of
     (source, bucket), so a source with a third of all rows is spread over its buckets.
 
-    Sources missing from ``weights`` (or with a weight of 0) get the smallest share; a null source is one of its own,
+    Sources missing from ``weights`` (or with a weight of 0) follow after all others, in equal shares; a null source is one of its own,
     named ``''``. Repeated rows are separate rows. An empty table stays empty. Columns of that
     name in ``docs`` are replaced.
     """
     added = ["mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_seq"]
     docs = docs.drop(*added)
-    found = target_weights(docs)
-    if weights is not None:
-        found = {s: max(weights.get(s, 0.0), 0.0) for s in found}
-        found = found if any(found.values()) else dict.fromkeys(found, 1.0)
+    rows = _rows(docs)
+    found = {s: float(n) ** 0.5 if weights is None else max(weights.get(s, 0.0), 0.0) for s, n in rows.items()}
+    last = {s: -(-n // block) for s, n in rows.items()}
     spark = docs.sparkSession
-    schema = "__source string, __i int, __slot int, __release int, __deadline int, __q int, __period int"
-    q = shares(found) if found else {}
-    period = sum(q.values())
-    table = spark.createDataFrame([(s, i, t, r, d, q[s], period) for s, i, t, r, d in (schedule(q) if q else [])], schema)
+    slots, base = spark.createDataFrame([], SLOTS), 0
+    for part in ({s: x for s, x in found.items() if x > 0}, {s: 1.0 for s, x in found.items() if x <= 0}):
+        if part:
+            more, base = _slots(spark, part, {s: last[s] for s in part}, base)
+            slots = slots.unionAll(more)
 
     keyed = docs.withColumns({
         "__source": F.coalesce(F.col("source").cast("string"), F.lit("")),
@@ -92,15 +147,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block:
     ranked = keyed.withColumn("__rank", F.row_number().over(inside) - 1)
     ranked = ranked.join(offsets, ["__source", "__bucket"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
     ranked = ranked.withColumn("mix_block", F.floor(F.col("__rank") / block).cast("long")).withColumn("mix_seq", (F.col("__rank") % block).cast("int"))
-    joined = ranked.withColumn("__i", F.lit(0)) if not q else ranked.join(
-        F.broadcast(table.select("__source", "__q", "__period").distinct()), "__source"
-    ).withColumn("__i", (F.col("mix_block") % F.col("__q")).cast("int")).drop("__q", "__period")
-    placed = joined.join(F.broadcast(table), ["__source", "__i"])
-    base = F.floor(F.col("mix_block") / F.col("__q")).cast("long") * F.col("__period")
-    return placed.select(
-        *[F.col(f"`{c}`") for c in docs.columns], "mix_block", (base + F.col("__slot")).alias("mix_slot"),
-        (base + F.col("__release")).alias("mix_release"), (base + F.col("__deadline")).alias("mix_deadline"), "mix_seq",
-    )
+    placed = ranked.join(slots, ["__source", "mix_block"])
+    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], *added)
 
 
 def in_order(mixed: DataFrame) -> DataFrame:

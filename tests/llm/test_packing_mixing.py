@@ -101,6 +101,33 @@ def test_mixed_prefixes_follow_the_weights(spark):
             assert abs(len(seen[t]) - (slot + 1) * q[t] / sum(q.values())) <= 1
 
 
+@pytest.mark.parametrize("weights", [{"a": 0.9, "b": 0.09, "c": 0.01}, {"a": 0.9} | {f"s{i:02}": 0.1 / 19 for i in range(19)}, {f"s{i:04}": 1000.0 if i else 1.0 for i in range(1100)}])
+def test_every_prefix_follows_the_exact_weights(weights):
+    w = mixing.whole(weights)
+    total, length = sum(w.values()), max(1024, -(-sum(w.values()) // min(w.values())))
+    done, soon = Counter(), 0
+    for k in range(4 if length < 5000 else 1):
+        for s, i, slot, release, deadline in mixing.window(w, k * length, min((k + 1) * length, k * length + 5000)):
+            assert slot == soon and release <= slot < deadline and i == done[s]
+            done[s] += 1
+            soon += 1
+            if soon % 97 == 0 or len(w) < 30:
+                assert all(abs(done[t] * total - soon * w[t]) < total for t in w)
+
+
+def test_mixed_rows_follow_the_exact_weights(spark):
+    """Far past one period: rounded to 1024 slots, the targets are missed by more than a block."""
+    weights = {"a": 0.9, "b": 0.09, "c": 0.01}
+    rows = [(i, "abc"[(i % 100 >= 90) + (i % 100 == 99)]) for i in range(6000)] + [(-1, "d"), (-2, "d")]
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), weights, block=1)
+    found = sorted((r["mix_slot"], r["source"]) for r in out.collect())
+    assert len(found) == 6002 and [s for _, s in found[-2:]] == ["d", "d"]
+    done = Counter()
+    for slot, s in found[:5900]:
+        done[s] += 1
+        assert all(abs(done[t] - (slot + 1) * weights[t]) < 1 + 1e-6 for t in weights)
+
+
 def test_mixing_hot_source_ties_and_empty(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "a"), (None, None), (2, "a")], "doc_id long, source string")
     out = mixing.mix_sources(docs)
