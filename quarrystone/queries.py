@@ -738,3 +738,20 @@ def routed_questions(spark, d):
     words = "|".join(w for ws, _ in retrieval.ROUTES for w in ws)
     plain = turns.where(~F.lower("text").rlike(words))
     return plain.select("conv_id", "turn", F.array_join(retrieval.routed(F.col("text"), F.lower("text").contains("the")), ",").alias("tools"))
+
+
+def _named(words: list[str], tool: str) -> str:
+    return "case when " + " or ".join(f"contains(q, '{w}')" for w in words) + f" then '{tool}' end"
+
+
+@query(f"""with t as (select conv_id, turn, lower(text) q from conversations)
+    select conv_id, turn, case when contains(q, 'the') then array_to_string(list_slice(string_split(concat_ws(',', 'get_customer_profile',
+        {_named(["segment", "high value", "high-value", "high value segment"], "get_customer_segments")},
+        {_named(["identit", "same customer", "merge", "linked"], "get_customer_identities")},
+        {_named(["quality", "data issue", "dq ", "data-quality"], "get_customer_quality")},
+        {_named(["timeline", "recent", "activity", "history", "changed", "event"], "get_customer_timeline")},
+        {_named(["rfm", "metric", "value", "spend", "clv", "churn", "engagement"], "get_customer_metrics")}), ','), 1, 6), ',') else '' end as tools from t""")
+def routed_turns(spark, d):
+    """Every turn, with those that call the keyword tools; ``routed_questions`` has the others only."""
+    turns = table(spark, d, "conversations")
+    return turns.select("conv_id", "turn", F.array_join(retrieval.routed(F.col("text"), F.lower("text").contains("the")), ",").alias("tools"))

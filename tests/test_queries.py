@@ -49,3 +49,16 @@ def test_against_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, str(FOLDER)).count() > 0
+
+
+def test_every_turn_is_routed(spark, tmp_path):
+    """The test tables have no turn with a routing word; these have."""
+    texts = ["the timeline", "The Segment, a linked merge, the quality, what changed, churn", "churn without customer", "the weather", None]
+    turns = spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn int, role string, text string")
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {r["turn"]: r["tools"] for r in QUERIES["routed_turns"](spark, str(tmp_path)).collect()}
+    name = lambda *ts: ",".join(f"get_customer_{t}" for t in ts)
+    assert found == {0: name("profile", "timeline"), 1: name("profile", "segments", "identities", "quality", "timeline", "metrics"), 2: "", 3: name("profile"), 4: ""}
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    assert dict(con.sql(f"select turn, tools from ({ORACLES['routed_turns']})").fetchall()) == found
