@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIMENSIONS = 256
@@ -69,6 +70,60 @@ def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id",
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
+def _blocks(vectors: DataFrame, key: str, vector: str, rows: int, name: str) -> DataFrame:
+    """``(name_ids, name_vectors, name_dim)``: up to ``rows`` vectors of equal length each, as bytes of doubles."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for dim, same in f.groupby(f["v"].map(len)):
+                for at in range(0, len(same), rows):
+                    part = same.iloc[at : at + rows]
+                    data = np.stack(part["v"].to_numpy()).astype(np.float64).tobytes()
+                    yield pd.DataFrame({f"{name}_ids": [part["k"].to_numpy(np.int64).tobytes()], f"{name}_vectors": [data], f"{name}_dim": [dim]})
+
+    picked = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0))
+    picked = picked.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).where(~F.exists("v", F.isnull))
+    return picked.repartition(32).mapInPandas(run, f"{name}_ids binary, {name}_vectors binary, {name}_dim int")
+
+
+def nearest_each(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", floor: float | None = None) -> DataFrame:
+    """``(query_id, key, score)``: for every row of ``queries`` the k rows of highest cosine similarity, exactly; ties by key.
+
+    Blocks of queries meet blocks of vectors; a matrix product rules out what is surely not among a block's k best,
+    the others are scored by sums in order of dimensions, and the blocks' best are merged by query. Rows without a vector, or whose length is 0, have none.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for r in f.itertuples(index=False):
+                if r.q_dim != r.v_dim:
+                    continue
+                qi, vi = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.v_ids, np.int64)
+                q, v = (np.frombuffer(x, np.float64).reshape(-1, r.q_dim) for x in (r.q_vectors, r.v_vectors))
+                qn, vn = (np.sqrt(np.cumsum(x * x, axis=1)[:, -1]) for x in (q, v))
+                q, qi, qn, v, vi, vn = q[qn > 0], qi[qn > 0], qn[qn > 0], v[vn > 0], vi[vn > 0], vn[vn > 0]
+                if not len(q) or not len(v):
+                    continue
+                near = (q / qn[:, None]) @ (v / vn[:, None]).T
+                least = np.partition(near, -k, axis=1)[:, -k] - 1e-9 if len(v) > k else np.full(len(q), -2.0)
+                a, b = np.nonzero(near >= (least if floor is None else np.maximum(least, floor - 1e-9))[:, None])
+                score = np.zeros(len(a))
+                for j in range(r.q_dim):
+                    score += q[a, j] * v[b, j]
+                score /= qn[a] * vn[b]
+                if floor is not None:
+                    a, b, score = (x[score >= floor] for x in (a, b, score))
+                order = np.lexsort((vi[b], -score, a))
+                a, b, score = a[order], b[order], score[order]
+                best = np.arange(len(a)) - np.searchsorted(a, a) < k
+                yield pd.DataFrame({"query_id": qi[a[best]], key: vi[b[best]], "score": score[best]})
+
+    pairs = _blocks(vectors, key, vector, 4096, "v").crossJoin(_blocks(queries, key, vector, 512, "q"))
+    found = pairs.mapInPandas(run, f"query_id long, {key} long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
+    return found.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
+
+
 def chunk_text(text: str, longest: int = CHUNK_CHARS) -> list[tuple[str, str]]:
     """(section, content) pieces of a Markdown text: by second and third level headings, long sections by paragraphs."""
     sections: list[tuple[str, list[str]]] = [("Introduction", [])]

@@ -718,6 +718,23 @@ def retrieval_floor(spark, d):
     return retrieval.nearest(vectors, asked, 50, floor=retrieval.FLOOR).withColumn("score", F.round("score", 6))
 
 
+EACH = """with e as (select vec_id, [cast(x as double) for x in embedding] w from embeddings),
+    s as (select q.vec_id query_id, e.vec_id, list_dot_product(e.w, q.w) / (sqrt(list_dot_product(e.w, e.w)) * sqrt(list_dot_product(q.w, q.w))) c from e, e q where q.vec_id % 20 = 0),"""
+
+
+@query(f"{EACH} r as (select *, row_number() over (partition by query_id order by c desc, vec_id) k from s) select query_id, vec_id, round(c, 6) as score from r where k <= 10")
+def vector_topk_each(spark, d):
+    """Every row whose id is divisible by 20 as a query against all rows."""
+    vectors = table(spark, d, "embeddings")
+    return retrieval.nearest_each(vectors.where("vec_id % 20 = 0"), vectors, 10).withColumn("score", F.round("score", 6))
+
+
+@query(f"{EACH} r as (select *, row_number() over (partition by query_id order by c desc, vec_id) k from s where c >= 0.25) select query_id, vec_id, round(c, 6) as score from r where k <= 50")
+def retrieval_floor_each(spark, d):
+    vectors = table(spark, d, "embeddings")
+    return retrieval.nearest_each(vectors.where("vec_id % 20 = 0"), vectors, 50, floor=retrieval.FLOOR).withColumn("score", F.round("score", 6))
+
+
 EMBEDDED = """t as (select item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) tok from benchmark),
     h as (select item_id, sha256(tok) s from t), e as (select item_id, cast(cast('0x' || left(s, 8) as bigint) % 256 as int) idx, sum(case when cast('0x' || substring(s, 9, 2) as int) % 2 = 0 then 1 else -1 end) v from h group by 1, 2)"""
 
@@ -727,6 +744,11 @@ def hashed_embedding(spark, d):
     return retrieval.embedding_entries(table(spark, d, "benchmark"), "item_id", "text").withColumn("value", F.round("value", 6))
 
 
+@query(f"with {EMBEDDED.replace('item_id', 'doc_id').replace('benchmark', 'documents')} select doc_id, idx, round(v / sqrt(sum(v * v) over (partition by doc_id)), 6) as value from e where v <> 0")
+def hashed_document_embedding(spark, d):
+    return retrieval.embedding_entries(table(spark, d, "documents"), "doc_id", "text").withColumn("value", F.round("value", 6))
+
+
 @query()
 def chunk_text(spark, d):
     return retrieval.chunks(table(spark, d, "documents").select("doc_id", "text"))

@@ -62,3 +62,9 @@ def test_every_turn_is_routed(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
     assert dict(con.sql(f"select turn, tools from ({ORACLES['routed_turns']})").fetchall()) == found
+
+
+def test_every_twentieth_vector_is_a_query(spark, duck):
+    asked = {r[0] for r in duck.sql("select vec_id from embeddings where vec_id % 20 = 0").fetchall()}
+    found = QUERIES["vector_topk_each"](spark, str(FOLDER)).collect()
+    assert len(asked) > 1 and {r["query_id"] for r in found} == asked and len(found) == 10 * len(asked)
