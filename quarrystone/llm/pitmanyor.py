@@ -1,409 +1,675 @@
-"""Language model scoring by a hierarchical Pitman-Yor process.
-
-Every context has a Chinese restaurant whose dishes are tokens; all of them share one parent, a restaurant whose
-customers are their tables, over a uniform base. Contexts are the previous token, hashed to 65,536
-restaurants. Seating is sampled in Gibbs sweeps: the customers of a dish leave and sit down again one after
-another, at an old table or a new one by the restaurant's rule, with all else as the last sweep left it. Predictive
-probabilities of several sweeps are averaged.
-
-Tokens are shuffled once, to blocks by token (frequent tokens are spread by context too), sorted and counted. A sweep
-reads the blocks and needs of the rest only the restaurants' totals, of a fixed number, so what is broadcast
-does not grow with the corpus. Sweeps are seeded, so a block repeats the sweeps before it instead of storing seats.
+"""Language model scoring by a hierarchical Pitman-Yor process over three levels.
+
+The restaurant of a token is that of the two tokens before it. Restaurants of pairs with the same last token share that
+token's restaurant as their parent, and those of single tokens share one root, whose base is uniform over the
+training tokens and one more. Customers of a parent are its children's tables. Contexts are exact: words are
+told apart by 63-bit hashes, the most frequent ones by codes. Tables are drawn from their full conditionals
+(``seating``), dish by dish, and predictive probabilities of several sweeps are averaged. Strengths are 1;
+discounts are estimated once, from how many cells hold one and two customers.
+
+One shuffle deals the n-grams of chunks of texts to blocks by the token before, so a block holds whole restaurants of
+the two lower levels; a token before that makes up half a block or more is dealt by both tokens before. A block is a row of
+a bucketed table and is never shuffled again. Only the cells of the root, and those of the restaurants of such
+frequent tokens, are shared: between sweeps blocks send their tables to tasks by word, which draw the shared
+cells' own tables and send counts back. Other blocks' tables are as before the sweep meanwhile.
 """
 
 from __future__ import annotations
 
-import zlib
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.durable import durable
-from .arrays import U, chunks, mix, mix_one, words_of
+from ..plans.durable import durable, shared_folder
+from .arrays import U, chunks, mix, words_of
+from .packed import RARE, bundle, pack, pack_keys, parts_of, unpack, unpack_keys
+from .seating import Parent, draw, turns
 
-CONTEXTS = 1 << 16
-SWEEPS, SAMPLES = 3, 2
 STRENGTH = 1.0
-BLOCK_BYTES = 12 << 20
-END, START = mix_one(2**64 - 1), mix_one(2**64 - 2)
+#: Exchanges of shared cells after the first one, sweeps of a block before each, and sweeps at the end, whose predictions are averaged.
+ROUNDS, SWEEPS, SAMPLES = 2, 2, 3
+#: Bytes of text whose n-grams make up a block, and of a chunk that is dealt at once.
+BLOCK_BYTES, CHUNK_BYTES = 20 << 20, 8 << 20
+#: Words with a code: a bound on what is broadcast (12 bytes each). Codes only shorten; words without one keep their hash.
+CODES = 1 << 20
+START, END, FIRST_CODE = U(1), U(2), 3
+FIXED = float(1 << 30)  # partial sums of logarithms are shipped as whole numbers of this fraction
+NO_ID = -(2**63)
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token its text, its hash and its context: words with A-Z lowered, then one end."""
-    w = words_of(texts, lower=True)
-    n = len(w.doc) + w.n_docs
-    doc = np.empty(n, np.int64)
-    h = np.empty(n, U)
-    at = np.arange(len(w.doc)) + w.doc
-    ends = w.first()[1:] + np.arange(w.n_docs)
-    doc[at], h[at] = w.doc, w.h
-    doc[ends], h[ends] = np.arange(w.n_docs), U(END)
-    before = np.empty(n, U)
-    if n:
-        before[1:] = h[:-1]
-        before[np.append(0, ends[:-1] + 1)] = U(START)
-    return doc, h, (mix(before) & U(CONTEXTS - 1)).astype(np.int64)
+@dataclass
+class Book:
+    """Hashes of frequent words, ascending, with their codes, and the frequent tokens before."""
 
+    words: np.ndarray
+    codes: np.ndarray
+    hot: np.ndarray  # keys, ascending
+    blocks: int
 
-def _frequent(blocks: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            _, h, _ = tokens(batch.column("text"))
-            word, n = np.unique(h, return_counts=True)
-            kept = n >= max(2, len(h) / (4 * blocks))
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(word[kept], U(0)).view(np.int64)), pa.array(np.append(n[kept], len(h)))], ["word", "n"])
+    def keys(self, h: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.words, h), max(len(self.words) - 1, 0))
+        known = self.words[at] == h if len(self.words) else np.zeros(len(h), bool)
+        return np.where(known, self.codes[at].astype(U) if len(self.words) else U(0), h | RARE)
 
-    return run
+    def hot_at(self, keys: np.ndarray) -> np.ndarray:
+        """Place among the frequent tokens, or -1."""
+        at = np.minimum(np.searchsorted(self.hot, keys), max(len(self.hot) - 1, 0))
+        return np.where(self.hot[at] == keys, at, -1) if len(self.hot) else np.full(len(keys), -1)
 
 
-def frequent_tokens(docs: DataFrame, blocks: int) -> np.ndarray:
-    """Tokens that make up half a block or more, ascending; there can be at most 2 * blocks."""
-    rows = durable(docs.select("text").mapInArrow(_frequent(blocks), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total = rows.where("word = 0").first()
-    found = rows.where((F.col("word") != 0) & (F.col("n") >= (total["n"] if total else 0) / (2 * blocks))).select("word").toArrow()
-    return np.sort(found.column("word").to_numpy().view(U))
+@dataclass
+class Shared:
+    """Sums over all restaurants, the same in every task; entry 0 is the root, then come the frequent tokens."""
 
+    n: int  # training tokens
+    v: int  # distinct ones
+    discounts: tuple[float, float, float]  # of the root, of single tokens, of pairs
+    customers: np.ndarray
+    tables: np.ndarray
 
-def _dealt(blocks: int, shared):
-    """Messages from a chunk of texts to the blocks: its distinct (token, context, row) with their numbers."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
-        for batch in chunks(batches, limit=8 << 20):
-            doc, h, context = tokens(batch.column("text"))
-            at = np.minimum(np.searchsorted(hot, h), max(len(hot) - 1, 0))
-            spread = hot[at] == h if len(hot) else np.zeros(len(h), bool)
-            block = (mix(h + np.where(spread, context + 1, 0).astype(U) * U(0x9E3779B97F4A7C15)) % U(blocks)).astype(np.int64)
-            order = np.lexsort((doc, context, h, block))
-            block, h, context, doc = block[order], h[order], context[order], doc[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (context[1:] != context[:-1]) | (doc[1:] != doc[:-1]) | (block[1:] != block[:-1])
-            at = np.flatnonzero(new)
-            n = np.diff(np.append(at, len(h))).astype(np.uint32)
-            block, h, context, doc = block[at], h[at], context[at].astype(np.uint16), doc[at]
-            ids, first = np.unique(block, return_index=True)
-            row, doc_id, train = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "doc_id", "train"))
-            rows = []
-            for b, x, y in zip(ids.tolist(), first.tolist(), [*first[1:].tolist(), len(h)], strict=True):
-                word, k = np.unique(h[x:y], return_counts=True)
-                some, local = np.unique(doc[x:y], return_inverse=True)
-                rows.append((
-                    b, word.tobytes(), k.astype(np.uint32).tobytes(), context[x:y].tobytes(), _small(n[x:y]), local.astype(np.uint32 if len(some) > 65535 else np.uint16).tobytes(),
-                    row[some].astype(np.int64).tobytes(), doc_id[some].astype(np.int64).tobytes(), train[some].astype(np.uint8).tobytes(),
-                ))
-            kinds = [pa.int64(), *[pa.binary()] * 8]
-            names = ["block", "word", "k", "context", "n", "doc", "row", "doc_id", "train"]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds)], names)
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {c: batch.column(c)[i].as_py() for c in batch.schema.names}
 
-    return run
 
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], [n for n, _ in fields])
 
-def _small(n: np.ndarray) -> bytes:
-    return zlib.compress(n.astype(np.uint32).tobytes(), 1)
 
+def _changes(*arrays: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows starts."""
+    new = np.zeros(len(arrays[0]), bool)
+    new[:1] = True
+    for a in arrays:
+        new[1:] |= a[1:] != a[:-1]
+    return np.flatnonzero(new)
 
-def _full(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), np.uint32).astype(np.int64)
 
+def _lengths(starts: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(starts, n))
 
-DEALT = "block long, word binary, k binary, context binary, n binary, doc binary, row binary, doc_id binary, train binary"
-BLOCK = "block long, word binary, pairs binary, context binary, count binary, uses binary, n binary, doc binary, row binary, doc_id binary"
 
+# Frequent words
 
-def _gathered(messages: list[dict]) -> tuple:
-    """One sorted block: tokens, their pairs with contexts (training count, entries), and entries (row, number)."""
-    words, contexts, docs, numbers, rows, ids, train, base = [], [], [], [], [], [], [], 0
-    for m in messages:
-        k = np.frombuffer(m["k"], np.uint32)
-        words.append(np.repeat(np.frombuffer(m["word"], U), k))
-        contexts.append(np.frombuffer(m["context"], np.uint16))
-        row = np.frombuffer(m["row"], np.int64)
-        docs.append(np.frombuffer(m["doc"], np.uint32 if len(row) > 65535 else np.uint16).astype(np.uint32) + np.uint32(base))
-        numbers.append(_full(m["n"]).astype(np.uint32))
-        rows.append(row)
-        ids.append(np.frombuffer(m["doc_id"], np.int64))
-        train.append(np.frombuffer(m["train"], np.uint8))
-        base += len(row)
-    h, context, doc, n = (np.concatenate(x) for x in (words, contexts, docs, numbers))
-    row, doc_id, train = (np.concatenate(x) for x in (rows, ids, train))
-    order = np.lexsort((context, h))
-    h, context, doc, n = h[order], context[order], doc[order], n[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (context[1:] != context[:-1])
-    at = np.flatnonzero(new)
-    learnt = np.concatenate(([0], np.cumsum(n.astype(np.int64) * train[doc])))
-    count = np.diff(learnt[np.append(at, len(h))])
-    word, pairs = np.unique(h[at], return_counts=True)
-    return word.tobytes(), _small(pairs), context[at].tobytes(), _small(count), _small(np.diff(np.append(at, len(h)))), _small(n), doc.tobytes(), row.tobytes(), doc_id.tobytes()
-
-
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    at, held = None, []
-
-    def done() -> Iterator[pa.RecordBatch]:
-        if held:
-            values = [at, *_gathered(held)]
-            names = [x.split()[0] for x in BLOCK.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary() if i else pa.int64()) for i, v in enumerate(values)], names)
 
-    for batch in batches:
-        for i in range(batch.num_rows):
-            m = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-            if m["block"] != at:
-                yield from done()
-                at, held = m["block"], []
-            held.append(m)
-    yield from done()
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words that a task meets twice or more, and its tokens and texts under word 0."""
+    word, n, total, docs = np.zeros(0, U), np.zeros(0, np.int64), 0, 0
 
+    def kept(least: int) -> pa.RecordBatch:
+        some = n >= max(least, n.sum() / (2 * CODES))
+        return pa.RecordBatch.from_arrays([pa.array(np.append(word[some], U(0)).view(np.int64)), pa.array(np.append(n[some], total)), pa.array(np.append(0 * n[some], docs))], ["word", "n", "docs"])
 
-@dataclass
-class State:
-    """What a sweep leaves for the others: of each context the tables, and sums over all restaurants."""
+    for batch in chunks(batches, limit=CHUNK_BYTES, rows=1 << 16):
+        h = words_of(batch.column("text"), lower=True).h
+        total, docs = total + len(h) + batch.num_rows, docs + batch.num_rows
+        more = np.unique(h, return_counts=True)
+        word, at = np.unique(np.concatenate((word, more[0])), return_inverse=True)
+        n = np.bincount(at, np.concatenate((n, more[1])), len(word)).astype(np.int64)
+        if len(word) > 4 * CODES:
+            yield kept(2)
+            word, n, total, docs = np.zeros(0, U), np.zeros(0, np.int64), 0, 0
+    yield kept(2)
 
-    tables: np.ndarray  # of each context
-    total: float  # of all tables: the parent's customers
-    parents: float  # the parent's tables
-    hot: np.ndarray  # tables of each frequent token
 
+def code_book(rows: DataFrame, blocks: int) -> Book:
+    """At most ``CODES`` codes, by frequency, and the tokens that stand before half a block's share of all tokens or more."""
+    found = durable(rows.select("text").mapInArrow(_frequent, "word long, n long, docs long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    total = found.where("word = 0").first()
+    if not total:
+        return Book(np.zeros(0, U), np.zeros(0, np.uint32), np.zeros(0, U), blocks)
+    sizes = found.where("word <> 0").groupBy(F.floor(F.log2("n") * 4).cast("int").alias("k")).count().orderBy(F.desc("k")).collect()
+    least, held = 0, 0
+    for r in sizes:
+        held += r["count"]
+        if held > CODES:
+            break
+        least = r["k"]
+    table = found.where((F.col("word") != 0) & (F.floor(F.log2("n") * 4) >= least)).select("word", "n").toArrow()
+    word, n = table.column("word").to_numpy().view(U), table.column("n").to_numpy()
+    order = np.lexsort((word, -n))
+    codes = np.empty(len(word), np.uint32)
+    codes[order] = np.arange(len(word), dtype=np.uint32) + np.uint32(FIRST_CODE)
+    often = total["n"] / (2 * blocks)
+    hot = codes[n >= often].astype(U)
+    if total["docs"] >= often:
+        hot = np.append(hot, START)
+    order = np.argsort(word)
+    return Book(word[order], codes[order], np.sort(hot), blocks)
 
-@dataclass
-class Model:
-    contexts: np.ndarray  # customers of each context
-    hot: np.ndarray  # frequent tokens
-    hot_count: np.ndarray  # their training counts
-    n: int  # training tokens
-    v: int  # distinct ones
-    discount: float
-    parent_discount: float
-    states: list[State] = field(default_factory=list)
 
+# Dealing n-grams to blocks
 
-def seat(count: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after ``count`` customers of each dish have sat down, where ``fresh`` is the weight of a new table.
+DEALT = "block long, chunk long, grams binary, entries binary, docs binary"
 
-    The first of a dish opens a table; the n-th after it opens one with probability fresh / (fresh + n - discount * tables).
-    From the 32nd on, a 16th of those seated sit down at a time, each with the same probability.
-    """
-    t = (count > 0).astype(np.int64)
-    active = np.flatnonzero(count > 1)
-    n = 1
-    while len(active):
-        step = 1 if n < 32 else n // 16
-        new = fresh[active] / (fresh[active] + n - discount * t[active])
-        left = np.minimum(count[active] - n, step)
-        t[active] += rng.random(len(active)) < new if step == 1 else rng.binomial(left, new)
-        n += step
-        active = active[count[active] > n]
-    return t
 
+def tokens(texts: pa.Array, book: Book) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys in ascending order, and of each token (a text's words with A-Z lowered, then one end) its text and its place among them."""
+    w = words_of(texts, lower=True)
+    word, place = np.unique(w.h, return_inverse=True)
+    keys = np.concatenate(([START, END], book.keys(word)))
+    order = np.argsort(keys)
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.arange(len(keys))
+    n = len(w.doc) + w.n_docs
+    doc, t = np.empty(n, np.int64), np.empty(n, np.int64)
+    at = np.arange(len(w.doc)) + w.doc
+    doc[at], t[at] = w.doc, rank[place + 2]
+    ends = w.first()[1:] + np.arange(w.n_docs)
+    doc[ends], t[ends] = np.arange(w.n_docs), rank[1]
+    return keys[order], doc, t
 
-class Block:
-    """A block's pairs and the sweeps over them."""
-
-    def __init__(self, row: dict, model: Model):
-        self.m = model
-        self.seed = row["block"]
-        self.word = np.frombuffer(row["word"], U)
-        pairs = _full(row["pairs"])
-        self.of = np.repeat(np.arange(len(self.word)), pairs)
-        self.context = np.frombuffer(row["context"], np.uint16).astype(np.int64)
-        self.count = _full(row["count"])
-        at = np.minimum(np.searchsorted(model.hot, self.word), max(len(model.hot) - 1, 0))
-        self.hot = model.hot[at] == self.word if len(model.hot) else np.zeros(len(self.word), bool)
-        self.place = at[self.hot]
-        self.seen = self.sums(self.count)
-        if len(model.hot_count):
-            self.seen[self.hot] = model.hot_count[self.place]
-
-    def sums(self, x: np.ndarray) -> np.ndarray:
-        return np.bincount(self.of, x, len(self.word))
-
-    def parent(self, customers: np.ndarray, tables: np.ndarray, state: State) -> np.ndarray:
-        """The parent's probability of each token."""
-        m = self.m
-        rest = (STRENGTH + m.parent_discount * state.parents) / (m.v + 1)
-        return (np.maximum(customers - m.parent_discount * tables, 0) + rest) / (STRENGTH + state.total)
-
-    def parent_tables(self, customers: np.ndarray, state: State, sweep: int) -> np.ndarray:
-        m = self.m
-        fresh = (STRENGTH + m.parent_discount * state.parents) / (m.v + 1)
-        out = seat(customers.astype(np.int64), np.full(len(customers), fresh), m.parent_discount, np.random.default_rng((self.seed, sweep, 1)))
-        if self.hot.any():
-            out[self.hot] = hot_tables(m, state, fresh, sweep)[self.place]
-        return out
-
-    def sweep(self, sweeps: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """After each sweep: tables of the pairs, customers and tables of the tokens in the parent."""
-        m = self.m
-        customers = self.sums(self.count > 0)
-        if len(m.hot):
-            customers[self.hot] = m.states[0].hot[self.place]
-        above = (self.seen > 0).astype(np.int64)
-        for s in range(sweeps):
-            state = m.states[s]
-            p = self.parent(customers, above, state)
-            fresh = (STRENGTH + m.discount * state.tables[self.context]) * p[self.of]
-            t = seat(self.count, fresh, m.discount, np.random.default_rng((self.seed, s, 0)))
-            customers = self.sums(t)
-            if s + 1 < len(m.states) and len(m.hot):
-                customers[self.hot] = m.states[s + 1].hot[self.place]
-            above = self.parent_tables(customers, state, s)
-            yield t, customers, above
-
-
-def hot_tables(m: Model, state: State, fresh: float, sweep: int) -> np.ndarray:
-    """The parent's tables of the frequent tokens, alike in every block."""
-    return seat(state.hot.astype(np.int64), np.full(len(m.hot), fresh), m.parent_discount, np.random.default_rng((7, sweep)))
-
-
-KINDS = "kind int, key long, value double"
-CONTEXT_CUSTOMERS, CONTEXT_TABLES, TOTALS, HOT = 0, 1, 2, 3
 
+def before(doc: np.ndarray, t: np.ndarray, steps: int) -> np.ndarray:
+    """The token so many steps before each, or the start."""
+    out = np.zeros(len(t), np.int64)  # the start has the smallest key
+    out[steps:] = np.where(doc[steps:] == doc[:-steps], t[:-steps], 0)
+    return out
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield {c: batch.column(c)[i].as_py() for c in batch.schema.names}
 
+def _deal(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, number = shared.value, 0
+        for batch in chunks(batches, limit=CHUNK_BYTES, rows=1 << 16):
+            chunk = (TaskContext.get().partitionId() << 32) + number
+            number += 1
+            keys, doc, t = tokens(batch.column("text"), book)
+            one, two = before(doc, t, 1), before(doc, t, 2)
+            order = np.argsort((one * len(keys) + t) * len(keys) + two, kind="stable") if len(keys) < 1 << 21 else np.lexsort((two, t, one))
+            one, t, two, doc = one[order], t[order], two[order], doc[order]
+            train = batch.column("train").to_numpy(zero_copy_only=False)
+            entry = _changes(one, t, two, doc)
+            times = _lengths(entry, len(t))
+            cell = _changes(one[entry], t[entry], two[entry])
+            start = entry[cell]
+            learnt = np.add.reduceat(times * train[doc[entry]], cell)
+            hot = book.hot_at(keys)[one[start]] >= 0
+            to = (mix(keys[one[start]] + np.where(hot, mix(keys[two[start]]), U(0))) % U(book.blocks)).astype(np.int64)
+            per_cell = _lengths(cell, len(entry))
+            by_block = np.argsort(to, kind="stable")
+            moved = np.argsort(np.repeat(to, per_cell), kind="stable")
+            entry, times = entry[moved], times[moved]
+            to, start, learnt, per_cell = to[by_block], start[by_block], learnt[by_block], per_cell[by_block]
+            first_entry = np.concatenate(([0], np.cumsum(per_cell)))
+            ids = batch.column("doc_id")
+            about = bundle(ids.fill_null(NO_ID).to_numpy().astype(np.int64).tobytes(), pack(batch.column("held").to_numpy(zero_copy_only=False)))
+            cuts = np.append(_changes(to), len(to))
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                at, e = start[x:y], slice(first_entry[x], first_entry[y])
+                entries = bundle(pack(per_cell[x:y]), pack(doc[entry[e]]), pack(times[e]))
+                yield _batch([(int(to[x]), chunk, grams_of(keys[one[at]], keys[t[at]], keys[two[at]], learnt[x:y]), entries, about)], DEALT)
+                about = None
+
+    return run
 
-def _sums(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    kind = np.concatenate([np.full(len(k), i) for i, k, _ in parts]).astype(np.int32)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(kind), pa.array(np.concatenate([k for _, k, _ in parts]).astype(np.int64)), pa.array(np.concatenate([v for *_, v in parts]).astype(np.float64))], ["kind", "key", "value"]
+
+def grams_of(one: np.ndarray, word: np.ndarray, two: np.ndarray, count: np.ndarray) -> bytes:
+    """Sorted cells: tokens before, each with its words, each with its tokens two before and their training counts."""
+    pair, first = _changes(one, word), _changes(one)
+    return bundle(
+        pack_keys(one[first]), pack(np.diff(np.append(np.searchsorted(pair, first), len(pair)))), pack_keys(word[pair]), pack(_lengths(pair, len(one))), pack_keys(two), pack(count),
     )
 
 
-def _survey(hot: np.ndarray):
-    """Counts before the first sweep: contexts' customers and dishes, tokens and pairs by count, frequent tokens."""
+@dataclass
+class Grams:
+    one: np.ndarray
+    pairs: np.ndarray  # of each token before
+    word: np.ndarray  # of each pair
+    cells: np.ndarray  # of each pair
+    two: np.ndarray  # of each cell
+    count: np.ndarray
 
+    @classmethod
+    def read(cls, data: bytes) -> Grams:
+        one, pairs, word, cells, two, count = parts_of(data)
+        return cls(unpack_keys(one), unpack(pairs), unpack_keys(word), unpack(cells), unpack_keys(two), unpack(count))
+
+
+# Blocks
+
+BLOCK = "block long, part long, chunk long, grams binary, entries binary, docs binary, cells_once long, cells_twice long, pairs_once long, pairs_twice long"
+
+
+def _merged(block: int, messages: list[dict], book: Book) -> Iterator[pa.RecordBatch]:
+    """One row of the block's cells, with numbers of those that hold one and two customers, then one of each message's entries, which name cells by their place."""
+    ones, words, twos, counts, sizes = [], [], [], [], []
+    for m in messages:
+        g = Grams.read(m["grams"])
+        ones.append(np.repeat(np.repeat(g.one, g.pairs), g.cells))
+        words.append(np.repeat(g.word, g.cells))
+        twos.append(g.two)
+        counts.append(g.count)
+        sizes.append(len(g.two))
+    one, word, two, count = map(np.concatenate, (ones, words, twos, counts))
+    order = np.lexsort((two, word, one))
+    one, word, two = one[order], word[order], two[order]
+    new = _changes(one, word, two)
+    place = np.zeros(len(order), np.int64)
+    place[new] = 1
+    place[order] = np.cumsum(place) - 1
+    one, word, two, count = one[new], word[new], two[new], np.add.reduceat(count[order], new)
+    own = np.add.reduceat(count > 0, _changes(one, word), dtype=np.int64)[book.hot_at(one[_changes(one, word)]) < 0]
+    few = [int((x == k).sum()) for x in (count, own) for k in (1, 2)]
+    yield _batch([(block, 0, -1, grams_of(one, word, two, count), None, None, *few)], BLOCK)
+    for i, (m, at) in enumerate(zip(messages, np.split(place, np.cumsum(sizes)[:-1]), strict=True)):
+        yield _batch([(block, i + 1, m["chunk"], None, bundle(pack(np.diff(at, prepend=0)), m["entries"]), m["docs"], 0, 0, 0, 0)], BLOCK)
+
+
+def _gather(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
         for row in _rows(batches):
-            b = Block(row, Model(np.zeros(0), hot, np.zeros(0), 0, 0, 0, 0))
-            customers, tables = np.bincount(b.context, b.count, CONTEXTS), np.bincount(b.context, b.count > 0, CONTEXTS)
-            on = np.flatnonzero(customers)
-            seen, dishes = b.sums(b.count), b.sums(b.count > 0)
-            cold = ~b.hot & (seen > 0)
-            totals = [seen.sum(), cold.sum(), (b.count == 1).sum(), (b.count == 2).sum(), (dishes[cold] == 1).sum(), (dishes[cold] == 2).sum()]
-            yield _sums([
-                (CONTEXT_CUSTOMERS, on, customers[on]), (CONTEXT_TABLES, on, tables[on]), (TOTALS, np.arange(6), np.array(totals)),
-                (HOT, b.place, seen[b.hot]), (HOT + 1, b.place, dishes[b.hot]),
-            ])
+            if row["block"] != at:
+                if held:
+                    yield from _merged(at, held, shared.value)
+                at, held = row["block"], []
+            held.append(row)
+        if held:
+            yield from _merged(at, held, shared.value)
 
     return run
 
 
-def _one_sweep(model: Model):
+class Block:
+    """A block's restaurants: cells are dishes of pairs of tokens, pairs are dishes of single tokens."""
+
+    def __init__(self, row: dict, book: Book):
+        g = Grams.read(row["grams"])
+        self.number, self.count, self.keys = row["block"], g.count, g.one
+        self.pair = np.repeat(np.arange(len(g.word)), g.cells)
+        self.one = np.repeat(np.arange(len(g.one)), g.pairs)
+        self.pair_count = np.add.reduceat(g.count, np.cumsum(g.cells) - g.cells)
+        self.place = book.hot_at(g.one)  # of tokens before among the frequent ones
+        self.hot = self.place[self.one] >= 0  # pairs whose restaurant is shared
+        _, self.room = np.unique(mix(mix(g.one)[self.one[self.pair]] + g.two), return_inverse=True)  # restaurants of cells
+        self.words, self.root = np.unique(g.word, return_inverse=True)  # the root's cells
+        self.tables = (g.count > 0).astype(np.int64)
+        self.customers = np.bincount(self.pair, self.tables, len(g.word)).astype(np.int64)
+        self.pair_tables = ((self.customers > 0) & ~self.hot).astype(np.int64)
+        self.private, self.seen, self.root_tables = np.zeros(len(self.words), bool), np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.int64)
+        self.active = np.flatnonzero(g.count > 1)
+        self.active_pairs = np.flatnonzero((self.pair_count > 1) & ~self.hot)
+
+    # What is shared: the root's cells of words that other blocks have too, then the pairs of frequent tokens
+
+    def sums(self) -> np.ndarray:
+        return np.bincount(self.root, self.pair_tables, len(self.words)).astype(np.int64)
+
+    def shared_keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Restaurant (0, or 1 and the place) and word of each shared cell."""
+        pairs, words = np.flatnonzero(self.hot), self.words[~self.private]
+        return np.concatenate((np.zeros(len(words), np.int64), 1 + self.place[self.one[pairs]])), np.concatenate((words, self.words[self.root[pairs]]))
+
+    def order(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Shared cells by the part that their word belongs to, and where each part starts."""
+        room, word = self.shared_keys()
+        part = (mix(word ^ U(0x5851F42D4C957F2D)) % U(parts)).astype(np.int64)
+        order = np.lexsort((word, room, part))
+        return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+    def messages(self, parts: int, first: bool) -> Iterator[tuple[int, bytes]]:
+        """To each part: its cells' restaurants, words and customers here, tables that they have, and at first the training counts of the words."""
+        room, word = self.shared_keys()
+        shown = ~self.private
+        sums = np.concatenate((self.sums()[shown], self.customers[self.hot]))
+        old = np.minimum(sums, 1) if first else np.concatenate((self.root_tables[shown], self.hot_tables[self.hot]))
+        seen = np.bincount(self.root, self.pair_count, len(self.words)).astype(np.int64)
+        order, cuts = self.order(parts)
+        for p in range(parts):
+            at = order[cuts[p] : cuts[p + 1]]
+            if len(at):
+                yield p, bundle(pack(room[at]), pack_keys(word[at]), pack(sums[at]), pack(old[at]), pack(seen[at[at < len(seen)]]) if first else b"")
+
+    def receive(self, parts: int, answers: list[dict] | None, shared: Shared) -> None:
+        """Take the shared cells' customers and tables; at first also the words' counts, and which words no other block has."""
+        n = int((~self.private).sum())
+        room, _ = self.shared_keys()
+        customers, tables = np.zeros(len(room), np.int64), np.zeros(len(room), np.int64)
+        order, cuts = self.order(parts)
+        private = np.zeros(len(self.words), bool)
+        for a in answers or ():
+            at = order[cuts[a["part"]] : cuts[a["part"] + 1]]
+            c, t, seen, alone = parts_of(a["data"])
+            customers[at], tables[at] = unpack(c), unpack(t)
+            if seen:
+                self.seen[at[at < n]], private[at[at < n]] = unpack(seen), unpack(alone)
+        self.shared = shared
+        self.root_customers = self.sums()
+        self.root_customers[~self.private], self.root_tables[~self.private] = customers[:n], tables[:n]
+        self.hot_customers, self.hot_tables = np.zeros(len(self.hot), np.int64), np.zeros(len(self.hot), np.int64)
+        self.hot_customers[self.hot], self.hot_tables[self.hot] = customers[n:], tables[n:]
+        self.private |= private
+
+    def settle(self, rng: np.random.Generator) -> tuple[int, int]:
+        """Draw the root's tables of the words that only this block has; their customers and tables."""
+        s, x = self.shared, np.flatnonzero(self.private)
+        customers = self.sums()[x]
+        self.root_tables[x] = draw(customers, np.maximum(s.tables[0] - self.root_tables[x], 0), s.discounts[0], STRENGTH, 1 / (s.v + 1), rng)
+        return int(customers.sum()), int(self.root_tables[x].sum())
+
+    # Sweeps
+
+    def base(self) -> np.ndarray:
+        """The root's probability of each word."""
+        s, d = self.shared, self.shared.discounts[0]
+        return (np.maximum(self.root_customers - d * self.root_tables, 0) + (STRENGTH + d * s.tables[0]) / (s.v + 1)) / (STRENGTH + s.customers[0])
+
+    def of_ones(self) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of each single token's restaurant."""
+        n = len(self.keys)
+        customers, tables = np.bincount(self.one, self.customers, n), np.bincount(self.one, self.pair_tables, n)
+        far = self.place >= 0
+        customers[far], tables[far] = self.shared.customers[1 + self.place[far]], self.shared.tables[1 + self.place[far]]
+        return customers, tables
+
+    def plan(self, rng: np.random.Generator) -> None:
+        self.cell_turns = turns(self.room[self.active], self.pair[self.active], rng)
+        self.pair_turns = turns(self.one[self.active_pairs], self.root[self.active_pairs], rng)
+
+    def sweep(self, rng: np.random.Generator) -> None:
+        """Draw the tables of every cell, then those of every pair, in turns."""
+        s = self.shared
+        d_root, d_one, d_pair = s.discounts
+        base = self.base()
+        customers, tables = self.of_ones()
+        in_room = np.bincount(self.room, self.tables)
+        held = np.where(self.hot, self.hot_customers, self.customers)
+        above = np.where(self.hot, self.hot_tables, self.pair_tables)
+        for turn in self.cell_turns:
+            x = self.active[turn]
+            room, pair, own = self.room[x], self.pair[x], self.tables[x]
+            one = self.one[pair]
+            fresh = (STRENGTH + d_one * tables[one]) * base[self.root[pair]]
+            up = Parent(held[pair] - own, above[pair], d_one, fresh, STRENGTH + customers[one] - own)
+            new = draw(self.count[x], in_room[room] - own, d_pair, STRENGTH, up, rng)
+            self.tables[x] = new
+            for to, at in ((in_room, room), (held, pair), (self.customers, pair), (customers, one)):
+                np.add.at(to, at, new - own)
+        total = s.customers[0]
+        for turn in self.pair_turns:
+            x = self.active_pairs[turn]
+            one, root, own = self.one[x], self.root[x], self.pair_tables[x]
+            fresh = np.full(len(x), (STRENGTH + d_root * s.tables[0]) / (s.v + 1))
+            up = Parent(self.root_customers[root] - own, self.root_tables[root], d_root, fresh, np.full(len(x), STRENGTH + total) - own)
+            new = draw(self.customers[x], tables[one] - own, d_one, STRENGTH, up, rng)
+            self.pair_tables[x] = new
+            for to, at in ((tables, one), (self.root_customers, root)):
+                np.add.at(to, at, new - own)
+            total += int((new - own).sum())
+        self.hot_customers = np.where(self.hot, held, 0)
+
+    def predict(self) -> np.ndarray:
+        """The probability of each cell's token after its two tokens."""
+        _, d_one, d_pair = self.shared.discounts
+        customers, tables = self.of_ones()
+        held, above = np.where(self.hot, self.hot_customers, self.customers), np.where(self.hot, self.hot_tables, self.pair_tables)
+        p = (np.maximum(held - d_one * above, 0) + (STRENGTH + d_one * tables[self.one]) * self.base()[self.root]) / (STRENGTH + customers[self.one])
+        n, t = np.bincount(self.room, self.count), np.bincount(self.room, self.tables)
+        return (np.maximum(self.count - d_pair * self.tables, 0) + (STRENGTH + d_pair * t[self.room]) * p[self.pair]) / (STRENGTH + n[self.room])
+
+    # What is kept between passes
+
+    def state(self) -> bytes:
+        return bundle(*map(pack, (self.tables[self.active], self.pair_tables[self.active_pairs], self.seen, self.private, self.root_tables[self.private])))
+
+    def resume(self, data: bytes | None) -> None:
+        if data is None:
+            return
+        cells, pairs, self.seen, private, tables = map(unpack, parts_of(data))
+        self.tables[self.active] = cells
+        self.customers = np.bincount(self.pair, self.tables, len(self.customers)).astype(np.int64)
+        self.pair_tables[self.active_pairs] = pairs
+        self.private = private > 0
+        self.root_tables[self.private] = tables
+
+
+# Shared cells
+
+SAID = "block long, part long, data binary"
+ANSWER = "block long, part long, data binary, room long, customers double, tables double, n double, v double, once double, twice double"
+
+
+def _first_words(shared, parts: int):
+    """Before the first sweep: every cell with customers has one table."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            b = Block(row, model)
-            for t, customers, above in b.sweep(len(model.states)):  # noqa: B007
-                pass
-            tables = np.bincount(b.context, t, CONTEXTS)
-            on = np.flatnonzero(tables)
-            yield _sums([(CONTEXT_TABLES, on, tables[on]), (TOTALS, np.arange(1), np.array([above[~b.hot].sum()])), (HOT, b.place, b.sums(t)[b.hot])])
+            b = Block(row, shared.value)
+            yield _batch([(b.number, p, data) for p, data in b.messages(parts, True)], SAID)
 
     return run
 
 
-def _collected(blocks: DataFrame, run, columns: list[str]) -> dict[int, dict[int, float]]:
-    """Sums by (kind, key): at most 65,536 contexts, twice, and the frequent tokens reach the driver."""
-    rows = blocks.select("block", *columns).mapInArrow(run, KINDS).groupBy("kind", "key").agg(F.sum("value").alias("value")).toArrow()
-    out: dict[int, dict[int, float]] = {}
-    for kind, key, value in zip(*(rows.column(c).to_pylist() for c in ("kind", "key", "value")), strict=True):
-        out.setdefault(kind, {})[key] = value
+def _answer(parts_said: list[dict], shared: Shared | None, seed: tuple) -> list[tuple]:
+    """Merge what blocks say of one part's cells, draw the tables of the cells of frequent tokens, then those of the root."""
+    said = [parts_of(m["data"]) for m in parts_said]
+    room = np.concatenate([unpack(x[0]) for x in said])
+    word = np.concatenate([unpack_keys(x[1]) for x in said])
+    sums, old = (np.concatenate([unpack(x[i]) for x in said]) for i in (2, 3))
+    counts = any(x[4] for x in said)
+    order = np.lexsort((word, room))
+    new = _changes(room[order], word[order])
+    cell = np.empty(len(order), np.int64)
+    step = np.zeros(len(order), np.int64)
+    step[new] = 1
+    cell[order] = np.cumsum(step) - 1
+    r, w = room[order][new], word[order][new]
+    customers = np.bincount(cell, sums, len(r)).astype(np.int64)
+    own = np.zeros(len(r), np.int64)
+    own[cell] = old
+    n_root = int(np.searchsorted(r, 1))
+    up = np.searchsorted(w[:n_root], w[n_root:])  # every word has a cell in the root
+    tables = np.minimum(customers, 1)
+    if shared is not None:
+        rng = np.random.default_rng(seed)
+        d_root, d_one, _ = shared.discounts
+        base = 1 / (shared.v + 1)
+        fresh = np.full(len(up), (STRENGTH + d_root * shared.tables[0]) * base)
+        mine = own[n_root:]
+        above = customers[:n_root] + np.bincount(up, mine, n_root).astype(np.int64)
+        parent = Parent(np.maximum(above[up] - mine, 0), own[:n_root][up], d_root, fresh, np.full(len(up), STRENGTH + shared.customers[0]) - mine)
+        tables[n_root:] = draw(customers[n_root:], np.maximum(shared.tables[r[n_root:]] - mine, 0), d_one, STRENGTH, parent, rng)
+    customers[:n_root] += np.bincount(up, tables[n_root:], n_root).astype(np.int64)
+    tables[:n_root] = np.minimum(customers[:n_root], 1)
+    if shared is not None:
+        tables[:n_root] = draw(customers[:n_root], np.maximum(shared.tables[0] - own[:n_root], 0), d_root, STRENGTH, base, rng)
+    seen = np.zeros(n_root, np.int64)
+    mine = np.split(cell, np.cumsum([len(unpack(x[0])) for x in said])[:-1])
+    speakers = np.zeros(n_root, np.int64)
+    for some, x in zip(mine, said, strict=True) if counts else ():
+        np.add.at(seen, some[some < n_root], unpack(x[4]))
+        speakers[some[some < n_root]] += 1
+    alone = (speakers == 1) & (np.bincount(up, minlength=n_root) == 0)
+    out = []
+    for m, some in zip(parts_said, mine, strict=True):
+        words = some[some < n_root]
+        more = (pack(seen[words]), pack(alone[words])) if counts else (b"", b"")
+        out.append((m["block"], m["part"], bundle(pack(customers[some]), pack(tables[some]), *more), -1, *[0.0] * 6))
+    rooms, first = np.unique(r, return_index=True)
+    c, t = (np.add.reduceat(v, first) for v in (customers, tables))
+    root = customers[:n_root]
+    for i, k in enumerate(rooms.tolist()):
+        more = (float(seen.sum()), float((seen > 0).sum()), float((root == 1).sum()), float((root == 2).sum())) if k == 0 else (0.0,) * 4
+        out.append((-1, -1, None, k, float(c[i]), float(t[i]), *more))
     return out
 
 
-def _vector(found: dict[int, float] | None, size: int) -> np.ndarray:
-    out = np.zeros(size)
-    if found:
-        out[list(found)] = list(found.values())
-    return out
+def _shared_cells(shared: Shared | None, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for row in _rows(batches):
+            if row["part"] != at:
+                if held:
+                    yield _batch(_answer(held, shared, (seed, at)), ANSWER)
+                at, held = row["part"], []
+            held.append(row)
+        if held:
+            yield _batch(_answer(held, shared, (seed, at)), ANSWER)
+
+    return run
+
+
+def exchange(said: DataFrame, parts: int, last: Shared | None, book: Book, seed: int) -> tuple[DataFrame, Shared]:
+    """Answers to the blocks, and the sums over all restaurants: one row for the root and each frequent token reaches the driver."""
+    dealt = said.where("part >= 0").repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "block")
+    rows = durable(dealt.mapInArrow(_shared_cells(last, seed), ANSWER))
+    sums = rows.where("block < 0").groupBy("room").agg(*[F.sum(c).alias(c) for c in ("customers", "tables", "n", "v", "once", "twice")]).collect()
+    customers, tables = np.zeros(1 + len(book.hot)), np.zeros(1 + len(book.hot))
+    for r in sums:
+        customers[r["room"]], tables[r["room"]] = r["customers"], r["tables"]
+    answers = rows.where("block >= 0").select("block", "part", "data")
+    if last is not None:
+        return answers, Shared(last.n, last.v, last.discounts, customers, tables)
+    root = next((r for r in sums if r["room"] == 0), None)
+    few = (root["once"], root["twice"]) if root else (0, 0)
+    return answers, Shared(int(root["n"]) if root else 0, int(root["v"]) if root else 0, (_discount(*few), 0.5, 0.5), customers, tables)
 
 
 def _discount(once: float, twice: float) -> float:
-    return min(0.95, max(0.05, once / max(once + 2 * twice, 1)))
-
-
-def fit(blocks: DataFrame, hot: np.ndarray, sweeps: int = SWEEPS) -> Model:
-    """Sweep over the gathered blocks; the model holds the restaurants' totals after each."""
-    columns = ["word", "pairs", "context", "count"]
-    found = _collected(blocks, _survey(hot), columns)
-    totals = _vector(found.get(TOTALS), 6)
-    hot_count, dishes = _vector(found.get(HOT), len(hot)), _vector(found.get(HOT + 1), len(hot))
-    m = Model(
-        _vector(found.get(CONTEXT_CUSTOMERS), CONTEXTS), hot, hot_count, int(totals[0]), int(totals[1] + (hot_count > 0).sum()),
-        _discount(totals[2], totals[3]), _discount(totals[4], totals[5]),
-    )
-    tables = _vector(found.get(CONTEXT_TABLES), CONTEXTS)
-    m.states.append(State(tables, tables.sum(), float(m.v), dishes))
-    for s in range(sweeps):
-        found = _collected(blocks, _one_sweep(m), columns)
-        tables, hot_now = _vector(found.get(CONTEXT_TABLES), CONTEXTS), _vector(found.get(HOT), len(hot))
-        fresh = (STRENGTH + m.parent_discount * m.states[s].parents) / (m.v + 1)
-        state = State(tables, tables.sum(), 0.0, hot_now)
-        state.parents = float(_vector(found.get(TOTALS), 1)[0] + hot_tables(m, state, fresh, s).sum())
-        m.states.append(state)
-    return m
-
-
-def _scored(model: Model, samples: int):
+    return float(min(0.95, max(0.05, once / max(once + 2 * twice, 1))))
+
+
+def _next_words(shared, parts: int, now: Shared, sweeps: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            b = Block(row, model)
-            sweeps = len(model.states) - 1
-            p = np.zeros(len(b.count))
-            customers = model.contexts[b.context]
-            for s, (t, parents, above) in enumerate(b.sweep(sweeps)):
-                if s >= sweeps - samples:
-                    state = model.states[s + 1]
-                    up = b.parent(parents, above, state)[b.of]
-                    tables = state.tables[b.context]
-                    p += (np.maximum(b.count - model.discount * t, 0) + (STRENGTH + model.discount * tables) * up) / (STRENGTH + customers)
-            uses, n = _full(row["uses"]), _full(row["n"])
-            of = np.repeat(b.of, uses)
-            doc = np.frombuffer(row["doc"], np.uint32)
-            rows, ids = np.frombuffer(row["row"], np.int64), np.frombuffer(row["doc_id"], np.int64)
-            add = lambda x: np.bincount(doc, x * n, len(rows))
-            known = b.seen[of] > 0
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (rows, ids, add(np.ones(len(n))).astype(np.int64), add(known).astype(np.int64), add(np.log10(b.seen + 0.5)[of]), add(np.repeat(np.log10(p / samples), uses)))],
-                ["row", "doc_id", "n_tokens", "n_known", "base", "score"],
-            )
+            b = Block(row, shared.value)
+            b.resume(row["state"])
+            b.receive(parts, row["answers"], now)
+            rng = np.random.default_rng((seed, b.number))
+            b.plan(rng)
+            for _ in range(sweeps):
+                b.sweep(rng)
+            own = np.array(b.settle(rng), np.int64).tobytes()
+            yield _batch([*((b.number, p, data) for p, data in b.messages(parts, False)), (b.number, -1, own), (b.number, -2, b.state())], SAID)
 
     return run
 
 
-def score(docs: DataFrame, held_out: F.Column, sweeps: int = SWEEPS, samples: int = SAMPLES) -> DataFrame:
+# Scores
+
+PARTIAL = "chunk long, docs binary, data binary"
+
+
+def _partial(shared, parts: int, now: Shared, sweeps: int, seed: int):
+    """A block's predictions, then of each message the sums of each of its texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = seen = None
+        for row in _rows(batches):
+            if row["part"] == 0:
+                b = Block(row, shared.value)
+                b.resume(row["state"])
+                b.receive(parts, row["answers"], now)
+                rng = np.random.default_rng((seed, b.number))
+                b.plan(rng)
+                p = np.zeros(len(b.count))
+                for _ in range(sweeps):
+                    b.sweep(rng)
+                    p += b.predict()
+                p, seen = -np.log10(p / sweeps), b.seen[b.root[b.pair]]
+                continue
+            at, entries = parts_of(row["entries"])
+            per_cell, doc, times = map(unpack, parts_of(entries))
+            cell = np.repeat(np.cumsum(unpack(at)), per_cell)
+            some, place = np.unique(doc, return_inverse=True)
+            add = lambda x: np.bincount(place, x * times, len(some))  # noqa: B023, E731
+            found = [add(np.ones(len(cell))), add(seen[cell] > 0), np.round(add(np.log10(2 * seen[cell] + 1)) * FIXED), np.round(add(p[cell]) * FIXED)]
+            yield _batch([(row["chunk"], row["docs"], bundle(pack(np.diff(some, prepend=0)), *(pack(x.astype(np.int64)) for x in found)))], PARTIAL)
+
+    return run
+
+
+SCORED = "doc_id long, held int, n_tokens long, n_known long, base double, score double"
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of one chunk's texts after another."""
+    at, about, held = None, None, []
+
+    def done() -> pa.RecordBatch:
+        ids, out = np.frombuffer(about[0], np.int64), np.zeros((4, len(about[0]) // 8), np.int64)
+        for x in held:
+            out[:, np.cumsum(unpack(x[0]))] += np.stack([unpack(v) for v in x[1:]])
+        columns = [pa.array(ids, mask=ids == NO_ID), pa.array(unpack(about[1]).astype(np.int32)), pa.array(out[0]), pa.array(out[1]), pa.array(out[2] / FIXED), pa.array(-out[3] / FIXED)]
+        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCORED.split(", ")])
+
+    for row in _rows(batches):
+        if row["chunk"] != at:
+            if held:
+                yield done()
+            at, about, held = row["chunk"], None, []
+        about = parts_of(row["docs"]) if row["docs"] is not None else about
+        held.append(parts_of(row["data"]))
+    if held:
+        yield done()
+
+
+def _with_answers(table: DataFrame, answers: DataFrame, state: DataFrame | None) -> DataFrame:
+    """Rows of blocks with what was sent to them, at their first part. The bucketed side stays where it is."""
+    sent = answers.groupBy(F.col("block").alias("__block")).agg(F.collect_list(F.struct("part", "data")).alias("answers"))
+    if state is not None:
+        sent = sent.join(state.select(F.col("block").alias("__block"), F.col("data").alias("state")), "__block", "left")
+    else:
+        sent = sent.withColumn("state", F.lit(None).cast("binary"))
+    return table.join(sent, (table["block"] == sent["__block"]) & (table["part"] == 0), "left").drop("__block")
+
+
+def _bucketed(spark: SparkSession, blocks: DataFrame, n: int) -> DataFrame:
+    """Blocks written to the shared folder in buckets by their number, so that later joins by it move the other side only."""
+    name = f"quarrystone_{uuid.uuid4().hex}"
+    blocks.write.bucketBy(n, "block").sortBy("block", "part").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
+def score(docs: DataFrame, held_out: F.Column, rounds: int = ROUNDS, sweeps: int = SWEEPS, samples: int = SAMPLES) -> DataFrame:
     """Log10 probabilities of all texts under a model of those for which ``held_out`` is false.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity, one row a row of ``docs``.
     base_score is that of single tokens with half a count added to each. Null texts count as empty and have one
-    token, the end. Rows with a null doc_id are scored but not learnt from; repeated rows are scored each. With
-    nothing to learn from, all tokens are equally likely. An empty table gives no rows.
+    token, the end. Rows for which ``held_out`` is null, as with a null doc_id, are held out. Repeated rows are scored each, and learnt from
+    each. With nothing to learn from, all tokens are equally likely. An empty table gives no rows. ``docs`` must give the same rows
+    in the same order whenever it is read, as files and written tables do. Other columns are ignored.
     """
+    spark = docs.sparkSession
+    held = F.coalesce(held_out, F.lit(True))
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
-        F.coalesce(~held_out, F.lit(False)).alias("train"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held.cast("long").alias("held"), (~held).cast("long").alias("train"),
     )
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(4, -(-size // BLOCK_BYTES))
-    hot = frequent_tokens(rows, blocks)
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
-    named = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63))))
-    dealt = named.mapInArrow(_dealt(blocks, shared), DEALT)
-    table = durable(dealt.repartitionById(int(blocks), F.col("block").cast("int")).sortWithinPartitions("block").mapInArrow(_gather, BLOCK))
-    model = fit(table, hot, sweeps)
-    parts = table.mapInArrow(_scored(model, samples), "row long, doc_id long, n_tokens long, n_known long, base double, score double")
-    out = parts.groupBy("row", "doc_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
-    missing = float(np.log10(model.n + 0.5 * (model.v + 1)))
-    doc_id = F.when(F.col("doc_id") == -(2**63), None).otherwise(F.col("doc_id"))
+    book = code_book(rows, blocks)
+    shared = spark.sparkContext.broadcast(book)
+    dealt = rows.mapInArrow(_deal(shared), DEALT).repartitionById(blocks, F.col("block").cast("int")).sortWithinPartitions("block", "chunk")
+    table = _bucketed(spark, dealt.mapInArrow(_gather(shared), BLOCK), blocks)
+    grams = table.where("part = 0").select("block", "part", "grams")
+
+    few = table.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pairs_once", "pairs_twice", "cells_once", "cells_twice")]).first()
+    answers, now = exchange(grams.mapInArrow(_first_words(shared, blocks), SAID), blocks, None, book, 0)
+    now.discounts = (now.discounts[0], _discount(few[0], few[1]), _discount(few[2], few[3]))
+    state = None
+    for k in range(rounds):
+        said = durable(_with_answers(grams, answers, state).mapInArrow(_next_words(shared, blocks, now, sweeps, 1 + k), SAID))
+        state = said.where("part = -2")
+        answers, now = exchange(said, blocks, now, book, 1001 + k)
+        own = [np.frombuffer(r["data"], np.int64) for r in said.where("part = -1").select("data").toLocalIterator()]  # two numbers a block
+        now.customers[0] += sum(int(x[0]) for x in own)
+        now.tables[0] += sum(int(x[1]) for x in own)
+    whole = _with_answers(table, answers, state).sortWithinPartitions("block", "part")
+    parts = whole.mapInArrow(_partial(shared, blocks, now, samples, 2001), PARTIAL)
+    out = parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_whole, SCORED)
+    missing = float(np.log10(now.n + 0.5 * (now.v + 1)) + np.log10(2))
     return out.select(
-        doc_id.alias("doc_id"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"),
+        "doc_id", (F.col("held") == 1).alias("held_out"), "n_tokens", "n_known", F.lit(now.n).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * missing).alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
-    ).withColumn("held_out", held_out)
+    )
