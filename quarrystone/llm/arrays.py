@@ -1,8 +1,8 @@
 """Words of a batch of texts as numpy arrays.
 
 Words are runs of bytes outside ``[\\x20\\x09-\\x0D]``. The separators are ASCII, so UTF-8 texts are
-cut on their bytes. A word's hash is a polynomial of its bytes modulo 2**64, taken from running sums
-over the whole batch, and then mixed; the wide form has a second, independent hash.
+cut on their bytes. A word's hash is made of two polynomials of its bytes modulo primes of 31 bits, taken from running sums
+over many words at once, and then mixed with its length.
 """
 
 from __future__ import annotations
@@ -21,8 +21,11 @@ SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-#: Odd multipliers of the two polynomials and of the mixer.
+#: Odd multipliers of sums and of the mixer.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+#: Primes and bases of the words' polynomials, and how many bytes are summed up at once.
+FIELDS = ((2**31 - 1, 1_640_531_527), (2**31 - 19, 1_540_483_477))
+SLICE = 1 << 20
 U = np.uint64
 
 
@@ -40,10 +43,46 @@ def mix_one(x: int) -> int:
     return int(mix(np.array([x % 2**64], U))[0])
 
 
-_letters = [mix(np.arange(1, 257, dtype=U) * U(b)) for b in BASES]
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def _prime_powers(p: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo p for i up to SLICE."""
+    if p not in _powers:
+        both = []
+        for b in (base, pow(base, -1, p)):
+            out = np.ones(1, U)
+            while len(out) <= SLICE:
+                out = np.concatenate((out, out * U(pow(b, len(out), p)) % U(p)))
+            both.append(out)
+        _powers[p] = (both[0], both[1])
+    return _powers[p]
+
+
+def _polynomials(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of each span of bytes, ascending and apart, its two polynomials side by side."""
+    out, a, n = np.zeros(len(start), U), 0, len(start)
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(end, start[a] + SLICE, side="right")))
+        from_, to = int(start[a]), int(end[b - 1])
+        for i, (p, base) in enumerate(FIELDS):
+            up, down = _prime_powers(p, base)
+            if to - from_ > SLICE:  # one word
+                v = 0
+                for x in range(from_, to, SLICE):
+                    part = data[x : min(x + SLICE, to)].astype(U) + U(1)
+                    v = (v + int((part * up[: len(part)]).sum()) * pow(base, x - from_, p)) % p
+                found = np.array([v], U)
+            else:
+                total = np.zeros(to - from_ + 1, U)
+                np.cumsum((data[from_:to].astype(U) + U(1)) * up[: to - from_], out=total[1:])
+                s, e = start[a:b] - from_, end[a:b] - from_
+                found = (total[e] - total[s]) % U(p) * down[s] % U(p)
+            out[a:b] |= found << U(31 * i)
+        a = b
+    return out
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i up to n."""
     if base not in _powers or len(_powers[base][0]) <= n:
@@ -73,7 +112,6 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     h: np.ndarray
-    h2: np.ndarray | None
 
     @property
     def n_docs(self) -> int:
@@ -107,7 +145,7 @@ class Words:
         return doc[order], h[order]
 
 
-def words_of(texts: pa.Array, wide: bool = False, lower: bool = False) -> Words:
+def words_of(texts: pa.Array, lower: bool = False) -> Words:
     """The words of an Arrow array of texts; null counts as empty."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     _, offs, data = texts.buffers()
@@ -125,8 +163,25 @@ def words_of(texts: pa.Array, wide: bool = False, lower: bool = False) -> Words:
     right[(offsets[1:] - 1)[offsets[:-1] < offsets[1:]]] = True
     start, end = np.flatnonzero(inside & left), np.flatnonzero(inside & right) + 1
     doc = np.searchsorted(offsets[1:], start, side="right")
-    hashes = [mix(spans(_letters[i][data], BASES[i], start, end) + (end - start).astype(U)) for i in range(1 + wide)]
-    return Words(data, offsets, doc, start, end, hashes[0], hashes[1] if wide else None)
+    h = mix(_polynomials(data, start, end) + (end - start).astype(U) * U(BASES[0]))
+    return Words(data, offsets, doc, start, end, h)
+
+
+def runs(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k consecutive values, put together from runs whose lengths are powers of two."""
+    out, done, part, size = None, 0, h, 1
+    while True:
+        if k & size:
+            if out is None:
+                out = part
+            else:
+                n = len(h) - done - size + 1
+                out = mix(out[: max(n, 0)] * U(BASES[0]) + part[done : done + max(n, 0)])
+            done += size
+        if done == k:
+            return out
+        n = max(len(part) - size, 0)
+        part, size = mix(part[:n] * U(BASES[1]) + part[size : size + n] + U(size)), 2 * size
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.durable import durable
-from .arrays import BASES, U, Words, chunks, mix, mix_one, spans, words_of
+from .arrays import BASES, U, Words, chunks, mix, mix_one, runs, words_of
 from .neardup import weighted
 
 WINDOW, GRAM = 50, 25
@@ -36,8 +36,7 @@ def anchors(w: Words) -> tuple[np.ndarray, np.ndarray]:
     n = len(w.doc)
     if n < WINDOW:
         return np.zeros(0, np.int64), np.zeros(0, U)
-    start = np.arange(n - GRAM + 1)
-    least = mix(spans(w.h, BASES[1], start, start + GRAM))
+    least = runs(w.h, GRAM)
     covered, width = 1, WINDOW - GRAM + 1
     while covered < width:
         step = min(covered, width - covered)
@@ -121,14 +120,16 @@ def _repeated(bits: list[np.ndarray], anchor: np.ndarray) -> np.ndarray:
 def stretches(w: Words, keep: np.ndarray, at: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Consecutive kept windows of one anchor, at most 26: (first word, anchor, hash, offsets into windows, window hashes)."""
     at, anchor = at[keep], anchor[keep]
-    window = mix(spans(w.h, BASES[0], at, at + WINDOW))
+    window = runs(w.h, WINDOW)[at] if len(at) else np.zeros(0, U)
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1] + 1) | (anchor[1:] != anchor[:-1])
     first = np.flatnonzero(new)
     run = np.cumsum(new) - 1
     new |= (np.arange(len(at)) - first[run]) % STRETCH == 0 if len(at) else new
     first = np.append(np.flatnonzero(new), len(at))
-    whole = mix(spans(window, BASES[1], first[:-1], first[1:]) + np.diff(first).astype(U))
+    size = np.diff(first)
+    step = np.arange(len(at)) - np.repeat(first[:-1], size)
+    whole = mix(np.add.reduceat(mix(window + step.astype(U) * U(BASES[1])), first[:-1]) + size.astype(U)) if len(at) else np.zeros(0, U)
     return at[first[:-1]], anchor[first[:-1]], whole, first, window
 
 
