@@ -35,7 +35,7 @@ STRENGTH = 1.0
 #: Exchanges of shared cells after the first one, sweeps of a block before each, and sweeps at the end, whose predictions are averaged.
 ROUNDS, SWEEPS, SAMPLES = 2, 2, 3
 #: Bytes of text whose n-grams make up a block, and of a chunk that is dealt at once.
-BLOCK_BYTES, CHUNK_BYTES = 20 << 20, 8 << 20
+BLOCK_BYTES, CHUNK_BYTES = 12 << 20, 8 << 20
 #: Words with a code: a bound on what is broadcast (12 bytes each). Codes only shorten; words without one keep their hash.
 CODES = 1 << 20
 START, END, FIRST_CODE = U(1), U(2), 3
@@ -339,6 +339,8 @@ class Block:
         order, cuts = self.order(parts)
         private = np.zeros(len(self.words), bool)
         for a in answers or ():
+            if a["part"] < 0:
+                continue
             at = order[cuts[a["part"]] : cuts[a["part"] + 1]]
             c, t, seen, alone = parts_of(a["data"])
             customers[at], tables[at] = unpack(c), unpack(t)
@@ -423,7 +425,8 @@ class Block:
     def state(self) -> bytes:
         return bundle(*map(pack, (self.tables[self.active], self.pair_tables[self.active_pairs], self.seen, self.private, self.root_tables[self.private])))
 
-    def resume(self, data: bytes | None) -> None:
+    def resume(self, answers: list[dict] | None) -> None:
+        data = next((a["data"] for a in answers or () if a["part"] == STATE), None)
         if data is None:
             return
         cells, pairs, self.seen, private, tables = map(unpack, parts_of(data))
@@ -437,6 +440,7 @@ class Block:
 # Shared cells
 
 SAID = "block long, part long, data binary"
+OWN, STATE = -1, -2  # instead of a part: sums over what only this block has, and what it keeps
 ANSWER = "block long, part long, data binary, room long, customers double, tables double, n double, v double, once double, twice double"
 
 
@@ -544,14 +548,14 @@ def _next_words(shared, parts: int, now: Shared, sweeps: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             b = Block(row, shared.value)
-            b.resume(row["state"])
+            b.resume(row["answers"])
             b.receive(parts, row["answers"], now)
             rng = np.random.default_rng((seed, b.number))
             b.plan(rng)
             for _ in range(sweeps):
                 b.sweep(rng)
             own = np.array(b.settle(rng), np.int64).tobytes()
-            yield _batch([*((b.number, p, data) for p, data in b.messages(parts, False)), (b.number, -1, own), (b.number, -2, b.state())], SAID)
+            yield _batch([*((b.number, p, data) for p, data in b.messages(parts, False)), (b.number, OWN, own), (b.number, STATE, b.state())], SAID)
 
     return run
 
@@ -569,7 +573,7 @@ def _partial(shared, parts: int, now: Shared, sweeps: int, seed: int):
         for row in _rows(batches):
             if row["part"] == 0:
                 b = Block(row, shared.value)
-                b.resume(row["state"])
+                b.resume(row["answers"])
                 b.receive(parts, row["answers"], now)
                 rng = np.random.default_rng((seed, b.number))
                 b.plan(rng)
@@ -615,13 +619,9 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def _with_answers(table: DataFrame, answers: DataFrame, state: DataFrame | None) -> DataFrame:
+def _with_answers(table: DataFrame, answers: DataFrame, blocks: int) -> DataFrame:
     """Rows of blocks with what was sent to them, at their first part. The bucketed side stays where it is."""
-    sent = answers.groupBy(F.col("block").alias("__block")).agg(F.collect_list(F.struct("part", "data")).alias("answers"))
-    if state is not None:
-        sent = sent.join(state.select(F.col("block").alias("__block"), F.col("data").alias("state")), "__block", "left")
-    else:
-        sent = sent.withColumn("state", F.lit(None).cast("binary"))
+    sent = answers.repartition(blocks, "block").groupBy(F.col("block").alias("__block")).agg(F.collect_list(F.struct("part", "data")).alias("answers"))
     return table.join(sent, (table["block"] == sent["__block"]) & (table["part"] == 0), "left").drop("__block")
 
 
@@ -657,15 +657,14 @@ def score(docs: DataFrame, held_out: F.Column, rounds: int = ROUNDS, sweeps: int
     few = table.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pairs_once", "pairs_twice", "cells_once", "cells_twice")]).first()
     answers, now = exchange(grams.mapInArrow(_first_words(shared, blocks), SAID), blocks, None, book, 0)
     now.discounts = (now.discounts[0], _discount(few[0], few[1]), _discount(few[2], few[3]))
-    state = None
     for k in range(rounds):
-        said = durable(_with_answers(grams, answers, state).mapInArrow(_next_words(shared, blocks, now, sweeps, 1 + k), SAID))
-        state = said.where("part = -2")
+        said = durable(_with_answers(grams, answers, blocks).mapInArrow(_next_words(shared, blocks, now, sweeps, 1 + k), SAID))
         answers, now = exchange(said, blocks, now, book, 1001 + k)
-        own = [np.frombuffer(r["data"], np.int64) for r in said.where("part = -1").select("data").toLocalIterator()]  # two numbers a block
+        answers = answers.unionAll(said.where(F.col("part") == STATE))
+        own = [np.frombuffer(r["data"], np.int64) for r in said.where(F.col("part") == OWN).select("data").toLocalIterator()]  # two numbers a block
         now.customers[0] += sum(int(x[0]) for x in own)
         now.tables[0] += sum(int(x[1]) for x in own)
-    whole = _with_answers(table, answers, state).sortWithinPartitions("block", "part")
+    whole = _with_answers(table, answers, blocks).sortWithinPartitions("block", "part")
     parts = whole.mapInArrow(_partial(shared, blocks, now, samples, 2001), PARTIAL)
     out = parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_whole, SCORED)
     missing = float(np.log10(now.n + 0.5 * (now.v + 1)) + np.log10(2))
