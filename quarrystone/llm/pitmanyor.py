@@ -19,6 +19,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ STRENGTH = 1.0
 #: Exchanges of shared cells after the first one, sweeps of a block before each, and sweeps at the end, whose predictions are averaged.
 ROUNDS, SWEEPS, SAMPLES = 2, 2, 3
 #: Bytes of text whose n-grams make up a block, and of a chunk that is dealt at once.
-BLOCK_BYTES, CHUNK_BYTES = 12 << 20, 8 << 20
+BLOCK_BYTES, CHUNK_BYTES = 8 << 20, 4 << 20
 #: Words with a code: a bound on what is broadcast (12 bytes each). Codes only shorten; words without one keep their hash.
 CODES = 1 << 20
 START, END, FIRST_CODE = U(1), U(2), 3
@@ -292,7 +293,7 @@ class Block:
         self.pair_count = np.add.reduceat(g.count, np.cumsum(g.cells) - g.cells)
         self.place = book.hot_at(g.one)  # of tokens before among the frequent ones
         self.hot = self.place[self.one] >= 0  # pairs whose restaurant is shared
-        _, self.room = np.unique(mix(mix(g.one)[self.one[self.pair]] + g.two), return_inverse=True)  # restaurants of cells
+        self.tokens = g.one, g.two
         self.words, self.root = np.unique(g.word, return_inverse=True)  # the root's cells
         self.tables = (g.count > 0).astype(np.int64)
         self.customers = np.bincount(self.pair, self.tables, len(g.word)).astype(np.int64)
@@ -301,6 +302,12 @@ class Block:
         self.active = np.flatnonzero(g.count > 1)
         self.active_pairs = np.flatnonzero((self.pair_count > 1) & ~self.hot)
 
+    @cached_property
+    def room(self) -> np.ndarray:
+        """Restaurants of cells: one for each pair of tokens."""
+        one, two = self.tokens
+        return np.unique(mix(mix(one)[self.one[self.pair]] + two), return_inverse=True)[1]
+
     # What is shared: the root's cells of words that other blocks have too, then the pairs of frequent tokens
 
     def sums(self) -> np.ndarray:

@@ -49,6 +49,16 @@ class Parent:
     def take(self, rows: np.ndarray) -> Parent:
         return Parent(self.customers[rows], self.tables[rows], self.discount, self.fresh[rows], self.total[rows])
 
+    def second(self) -> np.ndarray:
+        """What a second customer more adds to the weight of the first."""
+        c = self.customers + 1
+        out = np.maximum(c - self.discount * np.minimum(self.tables, c) + self.fresh, 1e-300)
+        few = np.flatnonzero(c < EXACT)
+        s, t = log_stirling(self.discount), np.minimum(self.tables[few], EXACT)
+        with np.errstate(invalid="ignore"):
+            out[few] = np.exp(s[c[few] + 1, t] - s[c[few], t])  # infinite where the parent needs both
+        return np.nan_to_num(out, nan=1.0, posinf=1e300) / (self.total + 1)
+
     def log_weights(self, most: int) -> np.ndarray:
         """Of 1 to ``most`` more customers, a row a dish."""
         j = np.arange(most)
@@ -64,8 +74,13 @@ class Parent:
 def draw(count: np.ndarray, others: np.ndarray, d: float, theta: float, parent: Parent | float, rng: np.random.Generator) -> np.ndarray:
     """A number of tables for each dish with ``count`` customers, where ``others`` is T; a number as ``parent`` is a fixed base."""
     out = np.minimum(count, 1)
-    low = 2
-    for high in (2, 4, 8, 16, 32, 64, 128, EXACT):
+    two = np.flatnonzero(count == 2)
+    if len(two):
+        up = parent.take(two).second() if isinstance(parent, Parent) else parent
+        odds = (theta + d * (others[two] + 1)) * up / (1 - d)
+        out[two] += rng.random(len(two)) * (1 + odds) < odds
+    low = 3
+    for high in (4, 8, 16, 32, 64, 128, EXACT):
         rows = np.flatnonzero((count >= low) & (count <= high))
         step = max(1, (1 << 18) // high)
         for x in range(0, len(rows), step):
