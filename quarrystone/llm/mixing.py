@@ -22,7 +22,8 @@ from ..plans.durable import durable
 
 PERIOD = 1024
 BLOCK = 16
-BUCKETS = 256
+#: Rows of a source are ranked in hashed buckets: at least so many, and one for so many rows of all.
+BUCKETS, BUCKET_ROWS = 256, 50_000
 SLOTS = "__source string, mix_block long, mix_slot long, mix_release long, mix_deadline long"
 
 
@@ -138,7 +139,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block:
 
     keyed = docs.withColumns({
         "__source": F.coalesce(F.col("source").cast("string"), F.lit("")),
-        "__bucket": F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)),
+        "__bucket": F.pmod(F.xxhash64("doc_id"), F.lit(max(BUCKETS, -(-sum(rows.values()) // BUCKET_ROWS)))),
     })
     counts = keyed.groupBy("__source", "__bucket").count()
     before = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quarrystone.llm import mixing, packing
 
@@ -23,6 +24,33 @@ def plain_best_fit(rows, capacity):
     return free, out
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_each_piece_goes_to_the_tightest_compatible_bin(seed):
+    """Among bins of equal space any will do, so the full search follows the choices made."""
+    rng = random.Random(seed)
+    rows = [{"doc_id": i, "source": f"s{rng.randrange(5)}", "cluster": rng.randrange(90), "piece": 0, "n_words": rng.randrange(0, 100)} for i in range(500)]
+    out = packing.pack_group(pd.DataFrame(rows), 100)
+    free, sources, clusters = {}, defaultdict(set), defaultdict(set)
+    for b, n, s, c in zip(out["bin"], out["n_words"], out["source"], out["cluster"]):
+        fit = [x for x in free if free[x] >= n and free[x] and s not in sources[x] and c not in clusters[x]]
+        if fit:
+            assert b in fit and free[b] == min(free[x] for x in fit)
+        else:
+            assert b not in free
+        free[b] = free.get(b, 100) - n
+        sources[b].add(s)
+        clusters[b].add(c)
+
+
+def test_repeated_rows_and_order(spark):
+    same = spark.createDataFrame([(None, "", "a")] * 300 + [(7, "x " * 40, "b")] * 20, "doc_id long, text string, source string")
+    out = packing.pack(same, capacity=16, group=50)
+    assert out.count() == 300 + 20 * 3 and out.where("n_words = 16").select("bin").distinct().count() == 40
+    docs = spark.range(100).selectExpr("id as doc_id", "'a b c' as text", "cast(id as string) as source")
+    packed = packing.pack(docs, capacity=9, group=10, order=[F.lit(3), F.col("doc_id")]).collect()
+    assert all(int(r["bin"].split(":")[0].split("-")[1]) == r["doc_id"] // 10 for r in packed)
+
+
 def test_best_fit_is_as_tight_as_a_full_search():
     rng = random.Random(4)
     rows = [{"doc_id": i, "source": f"s{rng.randrange(7)}", "cluster": rng.randrange(60), "piece": 0, "n_words": rng.randrange(0, 100)} for i in range(400)]
