@@ -189,7 +189,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.cumsum(np.maximum(pc.binary_length(pc.fill_null(batch.column(text), "")).to_numpy(zero_copy_only=False), 1))
+        sizes = np.cumsum(np.maximum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), 1))
         at, done = 0, 0
         while at < batch.num_rows:
             to = min(at + rows, max(at + 1, int(np.searchsorted(sizes, done + limit, side="right"))))

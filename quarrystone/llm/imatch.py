@@ -118,7 +118,8 @@ def with_successors(docs: DataFrame) -> DataFrame:
     cuts = sorted(set(ids.approxQuantile("x", [i / parts for i in range(1, parts)], 1 / (8 * parts)))) if parts > 1 else []
     splits = [float("-inf"), *(cuts or [0.0]), float("inf")]
     keyed = Bucketizer(splits=splits, inputCol="x", outputCol="b", handleInvalid="keep").transform(docs.withColumn("x", F.col("doc_id").cast("double")))
-    keyed = keyed.select("doc_id", "text", F.coalesce(F.col("b").cast("int"), F.lit(len(splits) - 1)).alias("bucket"))
+    late = len(splits) - 1 + F.floor((F.shiftrightunsigned(F.xxhash64("text").bitwiseXOR(F.lit(-(2**63))), 32)) * parts / 2**32)  # rows without an id, by ranges of the hash
+    keyed = keyed.select("doc_id", "text", F.when(F.col("doc_id").isNull(), late).otherwise(F.col("b")).cast("int").alias("bucket"))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     found = {r["bucket"]: r["id"] for r in keyed.groupBy("bucket").agg(F.min("doc_id").alias("id")).collect()}
     first = sorted(found.items(), key=lambda x: x[0])
@@ -128,7 +129,7 @@ def with_successors(docs: DataFrame) -> DataFrame:
     heads = heads.withColumn("n", F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("text")))).where("n = 1")
     ghosts = heads.select("doc_id", "text", F.col("target").alias("bucket"), F.lit(1).alias("ghost"))
     both = keyed.withColumn("ghost", F.lit(0)).unionAll(ghosts)
-    return both.repartitionById(len(splits), F.col("bucket")).sortWithinPartitions("bucket", "ghost", *order)
+    return both.repartitionById(len(splits) - 1 + parts, F.col("bucket")).sortWithinPartitions("bucket", "ghost", *order)
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..plans.durable import durable
 from .arrays import chunks
 
 TILE = 32
@@ -44,7 +45,7 @@ def encode_bmp(pixels: np.ndarray) -> bytes:
 
 
 def decode_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6 as arrays, rows x columns (x 3 for colour); 16-bit samples stay 16-bit. Bitmaps come as 0 (black) and 255."""
+    """P1 to P6 as arrays, rows x columns (x 3 for colour), scaled so that white is 255, or 65535 where samples have 16 bits. Bitmaps come as 0 (black) and 255."""
     kind, at, numbers = data[:2], 2, []
     if not re.fullmatch(rb"P[1-6]", kind):
         raise ValueError("not Netpbm")
@@ -72,27 +73,53 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     out = values.reshape(shape)
     if kind in (b"P1", b"P4"):
         return ((1 - out) * 255).astype(np.uint8)
+    white = 255 if most < 256 else 65535
+    if not 0 < most < 65536 or out.size and out.max() > most:
+        raise ValueError("broken Netpbm samples")
+    if most != white:
+        out = (out.astype(np.int64) * white * 2 + most) // (2 * most)
     return out.astype(np.uint8 if most < 256 else np.uint16)
 
 
+def _masked(pixels: np.ndarray, masks: list[int]) -> np.ndarray:
+    """The bits of each mask, scaled to 255."""
+    out = []
+    for m in masks:
+        low = (m & -m).bit_length() - 1 if m else 0
+        most = m >> low
+        value = (pixels & m) >> low
+        out.append((value * 510 + most) // (2 * most) if most else np.zeros_like(value))
+    return np.stack(out, axis=2).astype(np.uint8)
+
+
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP of 1, 4, 8, 24 or 32 bits a pixel as rows x columns x 3; grey palettes give rows x columns."""
+    """Uncompressed BMP of 1, 4, 8, 16, 24 or 32 bits a pixel, with or without bit masks, as rows x columns x 3; grey palettes give rows x columns."""
     if data[:2] != b"BM":
         raise ValueError("not BMP")
     start, = struct.unpack_from("<I", data, 10)
-    head, columns, rows, _, depth, packing = struct.unpack_from("<IiiHHI", data, 14)
-    if packing not in (0, 3) or depth not in (1, 4, 8, 24, 32):
+    head, = struct.unpack_from("<I", data, 14)
+    if head == 12:  # the oldest header: 16-bit sizes, palette entries of three bytes
+        (columns, rows, _, depth), packing = struct.unpack_from("<HHHH", data, 18), 0
+    else:
+        columns, rows, _, depth, packing = struct.unpack_from("<iiHHI", data, 18)
+    if packing not in (0, 3) or depth not in (1, 4, 8, 16, 24, 32) or packing == 3 and depth not in (16, 32) or columns < 0:
         raise ValueError("unsupported BMP")
     down, rows = rows < 0, abs(rows)
     stride = -(-columns * depth // 32) * 4
     body = np.frombuffer(data, np.uint8, rows * stride, start).reshape(rows, stride)
     body = body if down else body[::-1]
+    if depth == 16 or packing == 3:
+        pixels = body[:, : columns * depth // 8].copy().view("<u2" if depth == 16 else "<u4").astype(np.int64)
+        masks = list(struct.unpack_from("<III", data, 54)) if packing == 3 else [0x7C00, 0x03E0, 0x001F]
+        return _masked(pixels, masks)
     if depth >= 24:
         step = depth // 8
         return body[:, : columns * step].reshape(rows, columns, step)[:, :, 2::-1].copy()
     index = body if depth == 8 else np.unpackbits(body, axis=1) if depth == 1 else np.stack((body >> 4, body & 15), axis=2).reshape(rows, -1)
-    used, = struct.unpack_from("<I", data, 46)
-    palette = np.frombuffer(data, np.uint8, 4 * (used or 1 << depth), 14 + head).reshape(-1, 4)[:, 2::-1]
+    used, size = (0, 3) if head == 12 else (struct.unpack_from("<I", data, 46)[0], 4)
+    palette = np.frombuffer(data, np.uint8, size * (used or 1 << depth), 14 + head).reshape(-1, size)[:, 2::-1]
+    if index[:, :columns].size and index[:, :columns].max() >= len(palette):
+        raise ValueError("broken BMP palette")
     out = palette[index[:, :columns]]
     return out[:, :, 0].copy() if (palette == palette[:, :1]).all() else out
 
@@ -127,7 +154,10 @@ def difference_hash(pixels: np.ndarray) -> str:
 
 
 def npy_tile(pixels: np.ndarray, side: int = TILE) -> bytes:
+    """An NPY file of 8-bit grey samples; 16-bit ones are scaled down."""
     out = io.BytesIO()
+    if pixels.dtype == np.uint16:
+        pixels = pixels / 257.0
     np.lib.format.write_array(out, np.clip(area_resize(pixels, side, side).round(), 0, 255).astype(np.uint8), version=(1, 0))
     return out.getvalue()
 
@@ -140,7 +170,7 @@ def describe(images: DataFrame, column: str = "image", side: int = TILE) -> Data
     source = images.drop("height", "width", "tile", "dhash", "media_error")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chunks(batches, column):
             out = []
             for data in batch.column(column).to_pylist():
                 try:
@@ -165,45 +195,48 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw.ljust(size, b"\0")
 
 
-STORED = "doc_id long, n_bytes long, media binary"
+STORED = "doc_id long, n_bytes long, media binary, tile binary"
 READ = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
-    "feature string, height int, width int, tile_sha256 string"
+    "feature string, height int, width int, tile_sha256 string, tile_mean double"
 )
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_bytes, media)``: each whole text's bytes, padded with 0 to a multiple of 64, as a grey image 64 wide.
+    """``(doc_id, n_bytes, media, tile)``: each whole text's bytes, padded with 0 to a multiple of 64, as a grey image 64 wide, and its NPY tile.
 
-    Null texts count as empty and have one row of zeros, as empty ones have.
+    Null texts count as empty and have one row of zeros, as empty ones have. The table is written to the shared folder.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            sizes, media = [], []
+            sizes, media, tiles = [], [], []
             for text in batch.column("text").to_pylist():
                 n, payload = payload_of(text)
                 sizes.append(n)
-                media.append(encode_pgm(np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+                pixels = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
+                media.append(encode_pgm(pixels))
+                tiles.append(npy_tile(pixels))
+            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), pa.array(tiles, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "media", "tile"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, STORED)
+    return durable(docs.select("doc_id", "text").mapInArrow(run, STORED), compression="zstd")
 
 
 def read_back(stored: DataFrame) -> DataFrame:
-    """What the stored images hold: their payload's and their own digests, difference hash and tile."""
+    """What the stored images and tiles hold: the payload's and the image's own digests, difference hash, and the tile's digest and mean."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chunks(batches, "media"):
             out = []
-            for data in batch.column("media").to_pylist():
+            for data, tile in zip(batch.column("media").to_pylist(), batch.column("tile").to_pylist(), strict=True):
                 pixels = decode(data)
                 payload = pixels.tobytes()
                 out.append((
                     len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(),
-                    difference_hash(pixels), *pixels.shape, hashlib.sha256(npy_tile(pixels)).hexdigest(),
+                    difference_hash(pixels), *pixels.shape, hashlib.sha256(tile).hexdigest(), float(np.load(io.BytesIO(tile)).mean()),
                 ))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64())
             added = [pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)]
             names = [x.split()[0] for x in READ.split(", ")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *added], names)

@@ -76,3 +76,11 @@ def test_single_repeated_null_and_empty(spark):
     rows = [(1, "x y"), (1, "x y"), (None, "z"), (2, None)]
     assert imatch.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).count() == 4
     assert imatch.edited_fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_without_an_id_follow_by_a_hash_over_many_ranges(spark):
+    docs = spark.createDataFrame([(i if i < 20 else None, f"text {i} and {i * 7}") for i in range(120)], "doc_id long, text string")
+    dealt = imatch.with_successors(docs)
+    assert dealt.where("doc_id is null and ghost = 0").select("bucket").distinct().count() > 1
+    out = imatch.edited_fingerprints(docs).collect()
+    assert len(out) == 120 and sum(r["doc_id"] is None for r in out) == 100

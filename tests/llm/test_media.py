@@ -1,5 +1,6 @@
 import hashlib
 import io
+import struct
 import zlib
 
 import numpy as np
@@ -26,6 +27,26 @@ def test_netpbm_variants():
             media.decode(broken)
 
 
+def test_samples_are_scaled_to_white():
+    assert media.decode(b"P2 3 1 15 0 7 15").tolist() == [[0, 119, 255]]
+    assert media.decode(b"P2 2 1 1023 0 1023").tolist() == [[0, 65535]]
+    wide = np.full((4, 4), 40000, np.uint16)
+    assert np.load(io.BytesIO(media.npy_tile(wide))).max() == 156
+    with pytest.raises(ValueError):
+        media.decode(b"P2 1 1 15 16")
+
+
+def test_bmp_masks_and_old_headers():
+    info = struct.pack("<IiiHHIIiiII", 40, 2, 1, 1, 16, 3, 0, 0, 0, 0, 0)
+    masks = struct.pack("<III", 0xF800, 0x07E0, 0x001F)
+    data = b"BM" + struct.pack("<IHHI", 0, 0, 0, 66) + info + masks + struct.pack("<HH", 0xF800, 0x07FF)
+    assert media.decode(data).tolist() == [[[255, 0, 0], [0, 255, 255]]]
+    plain = b"BM" + struct.pack("<IHHI", 0, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 2, 1, 1, 16, 0, 0, 0, 0, 0, 0) + struct.pack("<HH", 0x7C00, 0x001F)
+    assert media.decode(plain).tolist() == [[[255, 0, 0], [0, 0, 255]]]
+    old = b"BM" + struct.pack("<IHHI", 0, 0, 0, 32) + struct.pack("<IHHHH", 12, 2, 1, 1, 1) + bytes([0, 0, 0, 10, 20, 30]) + bytes([0b01000000, 0, 0, 0])
+    assert media.decode(old).tolist() == [[[0, 0, 0], [30, 20, 10]]]
+
+
 @pytest.mark.parametrize(("rows", "columns"), [(1, 1), (3, 4), (8, 9), (40, 50)])
 def test_area_resize_is_the_mean_of_covered_area(rows, columns):
     a = np.random.default_rng(2).integers(0, 256, (12, 10)).astype(float)

@@ -1,3 +1,4 @@
+import functools
 import random
 
 import pytest
@@ -49,6 +50,38 @@ def test_run_gives_the_last_stage(spark, folder):
     assert out.columns == ["bin", "doc_id", "source", "piece", "first_word", "n_words", "cluster"] and out.count() > 90
 
 
+def test_another_mixture_changes_the_bins(spark, folder, monkeypatch, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    real, bins = corpus_pipeline.mixing.mix_sources, []
+    monkeypatch.setattr(corpus_pipeline.packing, "GROUP", 20)
+    monkeypatch.setattr(corpus_pipeline.packing, "pack", functools.partial(corpus_pipeline.packing.pack, group=20))
+    for k, weights in enumerate(({"s0": 8.0, "s1": 1.0, "s2": 1.0}, {"s0": 1.0, "s1": 1.0, "s2": 8.0})):
+        monkeypatch.setattr(corpus_pipeline.mixing, "mix_sources", lambda d, w=weights: real(d, w, block=2))
+        corpus_pipeline.mix(spark, docs, folder).write.parquet(f"{tmp_path}/{k}")
+        out = corpus_pipeline.fill(spark, spark.read.parquet(f"{tmp_path}/{k}"), folder).collect()
+        first = min(r["bin"].split(":")[0] for r in out if not r["bin"].startswith("full"))
+        bins.append({r["doc_id"]: r["source"] for r in out if r["bin"].startswith(f"{first}:")})
+    assert sum(s == "s0" for s in bins[0].values()) > len(bins[0]) / 2 and sum(s == "s2" for s in bins[1].values()) > len(bins[1]) / 2
+
+
+def test_columns_with_operators_names_stay(spark, folder):
+    own = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "doc_id * 2 as score", "'x' as predicted", "7 as n_removed", "'y' as mix_block", "cast(null as string) as tag")
+    docs = own
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, folder)
+        assert out.columns == own.columns
+        docs = spark.createDataFrame(out.toPandas(), own.schema)
+    assert docs.count() and docs.where("score <> doc_id * 2 or predicted <> 'x' or n_removed <> 7 or mix_block <> 'y' or tag is not null").count() == 0
+
+
+def test_nulls_and_empty_tables(spark, folder):
+    schema = spark.read.parquet(f"{folder}/documents.parquet").schema
+    odd = spark.createDataFrame([(None, None, None, None, None), (5, "", "en", None, 0), (5, "", "en", None, 0), (None, "one two", None, "s1", None)], schema)
+    for docs in (odd, odd.limit(0)):
+        for _, stage in corpus_pipeline.STAGES:
+            stage(spark, docs, folder).collect()
+
+
 def test_registered():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names if n[2].isdigit()) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()

@@ -60,3 +60,22 @@ def test_columns_nulls_and_repeats(spark, counter):
         assert r["n_tokens"] == whole_text(counter, want[1] or "")
         assert r["edited_tokens"] == whole_text(counter, edited(want[1] or "", want[2] or []))
     assert tokencount.count_tokens(docs.limit(0)).count() == 0
+
+
+def test_kept_trees_are_edited_without_encoding_the_text_again(spark, counter):
+    text = "the quick brown fox jumps over it. " * 600
+    docs = spark.createDataFrame([(1, text, [(100, 104, "slow"), (9000, 9000, " a b c" * 900)]), (2, None, None)], f"doc_id long, text string, edits {tokencount.EDIT_TYPE}")
+    first = {r["doc_id"]: r for r in tokencount.count_tokens(docs, keep_tree=True).collect()}
+    assert first[1]["edited_tokens"] == whole_text(counter, first[1]["edited_text"])
+    again = [(i, r["edited_text"], [(50, 60, "X")], r["tree"]) for i, r in first.items()]
+    later = spark.createDataFrame(again, f"doc_id long, text string, edits {tokencount.EDIT_TYPE}, tree {tokencount.TREE_TYPE}")
+    out = {r["doc_id"]: r for r in tokencount.count_tokens(later, keep_tree=True).collect()}
+    assert out[1]["n_tokens"] == first[1]["edited_tokens"] and out[1]["reencoded_chars"] < 2000
+    assert all(r["edited_tokens"] == whole_text(counter, r["edited_text"]) for r in out.values())
+
+
+def test_leaves_split_where_much_is_put_in(counter):
+    tree = tokencount.TokenTree(" word" * 3000, counter)
+    tree.encoded = 0
+    tree.edit(7000, 7000, " more and more" * 2000)
+    assert tree.total == whole_text(counter, tree.text) and tree.encoded < len(" more and more" * 2000) + 2000
