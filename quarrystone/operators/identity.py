@@ -7,6 +7,7 @@ customer. Guards cut edges that are too weak or make clusters too large, and ids
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -95,11 +96,29 @@ def screened_log(screened: DataFrame) -> DataFrame:
     )
 
 
-def match(screened: DataFrame, attrs: DataFrame | None = None, cfg: Settings = Settings()) -> DataFrame:
+def _stars(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b) pairs of records of frequent values that join the same records as all pairs do, by phone and agreeing names where possible.
+
+    Records of one value that agree in surname and initial hang on the least of them, and those on the value's least record.
+    """
+    value = ["identity_namespace", "value_hash"]
+    named = F.col("last").isNotNull() & F.col("first").isNotNull()
+    grouped = hot.withColumn("__names", F.when(named, F.concat_ws(":", "last", F.left("first", F.lit(1)))))
+    columns = ["record", "value_masked", "first", "last"]
+    least = lambda df, by: df.groupBy(*by).agg(F.min_by(F.struct(*columns), "record").alias("c")).select(*by, "c.*")
+    inner = least(grouped.where("__names is not null"), [*value, "__names"])
+    heads = inner.select(*value, *columns).unionByName(grouped.where("__names is null").select(*value, *columns))
+    tops = least(heads, value)
+    on = lambda by: reduce(Column.__and__, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in by]) & (F.col("a.record") < F.col("b.record"))
+    return inner.alias("a").join(grouped.alias("b"), on([*value, "__names"])), tops.alias("a").join(heads.alias("b"), on(value))
+
+
+def match(screened: DataFrame, attrs: DataFrame | None = None, cfg: Settings = Settings(), most: int = 1000) -> DataFrame:
     """The best edge of each pair of records that share a usable identifier: (record_a, record_b, rule_id, confidence, namespace, value_masked).
 
     One self-join serves all rules: ids R-01, e-mails R-02, phones R-03, or R-04 where the surnames agree and the first
-    names or their initials do. Ties go to the smaller rule, namespace and value.
+    names or their initials do. Ties go to the smaller rule, namespace and value. A value of more than ``most`` records that the screen let
+    pass (all of one source) is not expanded into all pairs: its records hang on the least ones, so components are the same.
     """
     rows = screened.where("not is_screened").select(
         F.concat_ws(":", "source_system", "source_record_id").alias("record"), "source_system", "source_record_id", "identity_namespace", "value_hash", "value_masked"
@@ -110,8 +129,14 @@ def match(screened: DataFrame, attrs: DataFrame | None = None, cfg: Settings = S
     else:
         rows = rows.withColumns({"first": F.lit(None).cast("string"), "last": F.lit(None).cast("string")})
     rows = rows.select("record", "identity_namespace", "value_hash", "value_masked", "first", "last")
-    a, b = rows.alias("a"), rows.alias("b")
+    value = ["identity_namespace", "value_hash"]
+    frequent = rows.groupBy(*value).agg(F.count("*").alias("__n")).where(F.col("__n") > most).drop("__n")
+    near, far = _stars(rows.join(frequent, value, "left_semi"))
+    few = rows.join(frequent, value, "left_anti")
+    a, b = few.alias("a"), few.alias("b")
     pairs = a.join(b, (F.col("a.identity_namespace") == F.col("b.identity_namespace")) & (F.col("a.value_hash") == F.col("b.value_hash")) & (F.col("a.record") < F.col("b.record")))
+    ends = lambda df: df.select(*[F.struct(*[f"{s}.{c}" for c in rows.columns]).alias(s) for s in "ab"])
+    pairs = ends(pairs).unionByName(ends(near)).unionByName(ends(far))
     initial = F.left(F.col("a.first"), F.lit(1)) == F.left(F.col("b.first"), F.lit(1))
     agree = F.coalesce((F.col("a.last") == F.col("b.last")) & ((F.col("a.first") == F.col("b.first")) | initial), F.lit(False))
     ns = F.col("a.identity_namespace")
@@ -182,10 +207,10 @@ def guard(found: DataFrame, edges: DataFrame, cfg: Settings = Settings()) -> tup
     large = marked.where(F.col("cut").isNull() & (F.col("size") > cfg.max_cluster_size))
     decided = durable(whole.unionByName(large.groupBy("cluster_key").applyInPandas(_peel(cfg.max_cluster_size), marked.schema)))
     after = clusters(found, decided.where("cut is null"))
-    members = found.groupBy("cluster_key").agg(F.sort_array(F.collect_list("source_record_key")).alias("member_record_keys"))
     cuts = decided.where("cut is not null").groupBy("cluster_key").agg(
         F.when(F.min("cut") == F.max("cut"), F.min("cut")).otherwise("mixed").alias("reason"), F.count("*").alias("cut_edges"), F.min("min_edge_confidence").alias("min_edge_confidence")
     )
+    members = found.join(cuts, "cluster_key", "left_semi").groupBy("cluster_key").agg(F.sort_array(F.collect_list("source_record_key")).alias("member_record_keys"))
     review = cuts.join(members, "cluster_key").select(F.col("cluster_key").alias("candidate_cluster_key"), "reason", "cut_edges", "min_edge_confidence", "member_record_keys")
     return after, review
 

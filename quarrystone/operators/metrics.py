@@ -35,11 +35,19 @@ def churn_band(days: Column, orders: Column) -> Column:
     return F.when(F.coalesce(orders, F.lit(0)) == 0, "no_purchase_history").when(days <= 90, "active").when(days <= 365, "at_risk").otherwise("churned")
 
 
-def customer_metrics(orders: DataFrame, as_of: Column, sessions: DataFrame | None = None, customers: DataFrame | None = None) -> DataFrame:
+#: Scores by rank: the column ordered by, and the number of tiles.
+SCORES = {
+    "r_score": ([Order("days_since_last_order")], 5), "f_score": ([Order("order_count")], 5), "m_score": ([Order("total_spend")], 5),
+    "engagement_tenth": ([Order("engagement_raw", "asc_nulls_first")], 10),
+}
+
+
+def customer_metrics(orders: DataFrame, as_of: Column, sessions: DataFrame | None = None, customers: DataFrame | None = None, scores: tuple[str, ...] = tuple(SCORES)) -> DataFrame:
     """Recency, frequency, money, churn and engagement of each customer with a sale (with ``customers``, of each of those too).
 
     Sales and refunds are one conditional aggregation. Scores are fifths, engagement is in tenths, with ties broken by
-    the customer's id; r = 1 is the most recent fifth.
+    the customer's id; r = 1 is the most recent fifth. Ranks need whole-table orders, so ``scores`` names those wanted, and the
+    others, with what is made of them, are null; without any the result is lazy.
     """
     sale = F.col("order_type") == "sale"
     by = orders.where(F.col(CUSTOMER).isNotNull()).groupBy(CUSTOMER).agg(
@@ -68,12 +76,11 @@ def customer_metrics(orders: DataFrame, as_of: Column, sessions: DataFrame | Non
         "purchase_frequency_per_year": F.col("order_count") / years, "historical_clv": F.col("total_spend") - F.col("refunded_amount"),
         "engagement_raw": zero("sessions_90d") * 1.0 + zero("events_90d") * 0.1,
     })
-    out = ntiles(durable(out), CUSTOMER, {
-        "r_score": ([Order("days_since_last_order")], 5), "f_score": ([Order("order_count")], 5), "m_score": ([Order("total_spend")], 5),
-        "engagement_tenth": ([Order("engagement_raw", "asc_nulls_first")], 10),
-    })
+    if scores:
+        out = ntiles(durable(out), CUSTOMER, {n: SCORES[n] for n in scores})
+    out = out.withColumns({n: F.lit(None).cast("int") for n in SCORES if n not in scores})
     return out.withColumns({
-        "rfm_segment": F.concat_ws("", "r_score", "f_score", "m_score"), "churn_risk_band": churn_band(F.col("days_since_last_order"), F.col("order_count")),
+        "rfm_segment": F.concat("r_score", "f_score", "m_score"), "churn_risk_band": churn_band(F.col("days_since_last_order"), F.col("order_count")),
         "engagement_score": F.col("engagement_tenth") * 10, "as_of_date": as_of,
     }).drop("engagement_tenth")
 

@@ -128,9 +128,12 @@ def session_events(spark, d):
     return e.select("event_id", "session_id")
 
 
-def metric_table(spark, d) -> DataFrame:
+RFM = ("r_score", "f_score", "m_score")
+
+
+def metric_table(spark, d, scores: tuple[str, ...] = ()) -> DataFrame:
     s, _ = metrics.sessionise(click_events(spark, d), SESSION_GAP)
-    return metrics.customer_metrics(order_facts(spark, d), as_of(), s)
+    return metrics.customer_metrics(order_facts(spark, d), as_of(), s, scores=scores)
 
 
 METRICS = f"""{FACTS}, {SESSIONS},
@@ -164,7 +167,7 @@ def customer_metrics(spark, d):
 
 @query(f"with {METRICS} select cid as customer, r as r_score, f as f_score, mo as m_score, concat(r, f, mo) as rfm_segment from metrics")
 def rfm_scores(spark, d):
-    return metric_table(spark, d).select(F.col(metrics.CUSTOMER).alias("customer"), *[F.col(c).cast("long").alias(c) for c in ("r_score", "f_score", "m_score")], "rfm_segment")
+    return metric_table(spark, d, RFM).select(F.col(metrics.CUSTOMER).alias("customer"), *[F.col(c).cast("long").alias(c) for c in RFM], "rfm_segment")
 
 
 @query(f"with {METRICS} select cid as customer, band as churn_risk_band from metrics")
@@ -174,7 +177,7 @@ def churn_bands(spark, d):
 
 @query(f"with {METRICS} select cid as customer, round(cast(engagement_raw as double), 4) as engagement_raw, engagement as engagement_score, carts as cart_abandon_sessions_90d from metrics")
 def engagement(spark, d):
-    return metric_table(spark, d).select(
+    return metric_table(spark, d, ("engagement_tenth",)).select(
         F.col(metrics.CUSTOMER).alias("customer"), money("engagement_raw").alias("engagement_raw"), F.col("engagement_score").cast("long").alias("engagement_score"), "cart_abandon_sessions_90d"
     )
 
@@ -182,7 +185,7 @@ def engagement(spark, d):
 @query(f"""with {METRICS} select c_custkey as customer, coalesce(order_count, 0) as order_count, coalesce(band, 'no_purchase_history') as churn_risk_band from customer left join metrics on c_custkey = cid""")
 def all_customers_with_bands(spark, d):
     everyone = table(spark, d, "customer").select(F.col("c_custkey").alias(metrics.CUSTOMER))
-    m = metrics.customer_metrics(order_facts(spark, d), as_of(), None, everyone)
+    m = metrics.customer_metrics(order_facts(spark, d), as_of(), None, everyone, scores=())
     return m.select(F.col(metrics.CUSTOMER).alias("customer"), "order_count", "churn_risk_band")
 
 
@@ -532,7 +535,7 @@ def _scaled() -> list[segments.Segment]:
 
 
 def _memberships(spark, d) -> DataFrame:
-    return segments.members(metric_table(spark, d), _scaled())
+    return segments.members(metric_table(spark, d, ("engagement_tenth",)), _scaled())
 
 
 MEMBERS = f"""{METRICS}, seg as (
@@ -596,7 +599,7 @@ def churn_distribution(spark, d):
 
 @query(f"with {METRICS} select concat(r, f, mo) as rfm_segment, count(*) as customers from metrics group by 1")
 def rfm_distribution(spark, d):
-    return serving.rfm_distribution(metric_table(spark, d))
+    return serving.rfm_distribution(metric_table(spark, d, RFM))
 
 
 @query(f"with {METRICS} select round(count(*) filter (order_count >= 2) / count(*), 6) as repeat_rate, count(*) as purchasers from metrics")
@@ -621,7 +624,8 @@ def customer_timeline(spark, d):
 @query(f"with {MEMBERS}, sg as (select cid, string_agg(segment_id, ',' order by segment_id) g from seg group by cid), ro as (select cid, string_agg(cast(order_id as varchar), ',' order by n) o from (select *, row_number() over (partition by cid order by ts desc, order_id) n from facts) where n <= 5 group by cid) select c_custkey as customer, order_count, g as segments, o as recent_orders from customer left join metrics on cid = c_custkey left join sg on sg.cid = c_custkey left join ro on ro.cid = c_custkey")
 def customer_profile(spark, d):
     ids = table(spark, d, "customer").select(F.col("c_custkey").alias(metrics.CUSTOMER), F.lit("cust").alias("source_system"), F.col("c_custkey").alias("source_record_id"))
-    out = serving.profiles(_customers(spark, d), metric_table(spark, d), ids, _memberships(spark, d), order_facts(spark, d))
+    m = metric_table(spark, d, ("engagement_tenth",))
+    out = serving.profiles(_customers(spark, d), m, ids, segments.members(m, _scaled()), order_facts(spark, d))
     ordered = F.array_join(F.transform("recent_orders", lambda x: x["order_id"].cast("string")), ",")
     return out.select(F.col(metrics.CUSTOMER).alias("customer"), "order_count", F.array_join(F.transform("segments", lambda x: x["segment_id"]), ",").alias("segments"), ordered.alias("recent_orders"))
 
@@ -756,6 +760,7 @@ def chunk_text(spark, d):
 
 @query("select conv_id, turn, case when lower(text) like '%the%' then 'get_customer_profile' else '' end as tools from (select * from conversations) where not regexp_matches(lower(text), 'segment|high value|high-value|identit|same customer|merge|linked|quality|data issue|dq |data-quality|timeline|recent|activity|history|changed|event|rfm|metric|value|spend|clv|churn|engagement')")
 def routed_questions(spark, d):
+    """The turns without a routing word; ``routed_turns`` routes every turn."""
     turns = table(spark, d, "conversations")
     words = "|".join(w for ws, _ in retrieval.ROUTES for w in ws)
     plain = turns.where(~F.lower("text").rlike(words))
