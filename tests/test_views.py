@@ -4,7 +4,7 @@ from quarrystone.operators import identity, quality_rules, segments, views
 from quarrystone.sources import config
 
 
-def test_segments_and_rules_from_text():
+def test_segments_and_rules_from_text(spark):
     text = '{"segments": [{"id": "A", "name": "Big", "rule_ast": {"op": ">=", "field": "order_count", "value": {"param": "n"}}, "thresholds": {"n": 3}}]}'
     found = config.segments(text)
     assert found[0].thresholds == {"n": 3} and found[0].null_handling == "exclude"
