@@ -197,11 +197,11 @@ def _deal(shared):
             hot = book.hot_at(keys)[one[start]] >= 0
             to = (mix(keys[one[start]] + np.where(hot, mix(keys[two[start]]), U(0))) % U(book.blocks)).astype(np.int64)
             per_cell = _lengths(cell, len(entry))
-            by_block = np.argsort(to, kind="stable")
-            moved = np.argsort(np.repeat(to, per_cell), kind="stable")
-            entry, times = entry[moved], times[moved]
+            by_block = np.argsort(to.astype(np.uint16) if book.blocks <= 1 << 16 else to, kind="stable")
             to, start, learnt, per_cell = to[by_block], start[by_block], learnt[by_block], per_cell[by_block]
             first_entry = np.concatenate(([0], np.cumsum(per_cell)))
+            moved = np.repeat(cell[by_block] - first_entry[:-1], per_cell) + np.arange(len(entry))
+            entry, times = entry[moved], times[moved]
             ids = batch.column("doc_id")
             about = bundle(ids.fill_null(NO_ID).to_numpy().astype(np.int64).tobytes(), pack(batch.column("held").to_numpy(zero_copy_only=False)))
             cuts = np.append(_changes(to), len(to))
@@ -244,22 +244,21 @@ BLOCK = "block long, part long, chunk long, grams binary, entries binary, docs b
 
 def _merged(block: int, messages: list[dict], book: Book) -> Iterator[pa.RecordBatch]:
     """One row of the block's cells, with numbers of those that hold one and two customers, then one of each message's entries, which name cells by their place."""
-    ones, words, twos, counts, sizes = [], [], [], [], []
-    for m in messages:
-        g = Grams.read(m["grams"])
-        ones.append(np.repeat(np.repeat(g.one, g.pairs), g.cells))
-        words.append(np.repeat(g.word, g.cells))
-        twos.append(g.two)
-        counts.append(g.count)
-        sizes.append(len(g.two))
-    one, word, two, count = map(np.concatenate, (ones, words, twos, counts))
-    order = np.lexsort((two, word, one))
+    said = [Grams.read(m["grams"]) for m in messages]
+    sizes = [len(g.two) for g in said]
+    pairs, cells, count = (np.concatenate([getattr(g, c) for g in said]) for c in ("pairs", "cells", "count"))
+    (ones, one), (words, word), (twos, two) = (np.unique(np.concatenate([getattr(g, c) for g in said]), return_inverse=True) for c in ("one", "word", "two"))
+    one, word = np.repeat(np.repeat(one, pairs), cells), np.repeat(word, cells)
+    if len(ones) * len(words) * len(twos) < 1 << 63:
+        order = np.argsort((one * len(words) + word) * len(twos) + two)
+    else:
+        order = np.lexsort((two, word, one))
     one, word, two = one[order], word[order], two[order]
     new = _changes(one, word, two)
     place = np.zeros(len(order), np.int64)
     place[new] = 1
     place[order] = np.cumsum(place) - 1
-    one, word, two, count = one[new], word[new], two[new], np.add.reduceat(count[order], new)
+    one, word, two, count = ones[one[new]], words[word[new]], twos[two[new]], np.add.reduceat(count[order], new)
     own = np.add.reduceat(count > 0, _changes(one, word), dtype=np.int64)[book.hot_at(one[_changes(one, word)]) < 0]
     few = [int((x == k).sum()) for x in (count, own) for k in (1, 2)]
     yield _batch([(block, 0, -1, grams_of(one, word, two, count), None, None, *few)], BLOCK)
@@ -576,7 +575,7 @@ def _partial(shared, parts: int, now: Shared, sweeps: int, seed: int):
     """A block's predictions, then of each message the sums of each of its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = seen = None
+        p = known = base = None
         for row in _rows(batches):
             if row["part"] == 0:
                 b = Block(row, shared.value)
@@ -589,13 +588,14 @@ def _partial(shared, parts: int, now: Shared, sweeps: int, seed: int):
                     b.sweep(rng)
                     p += b.predict()
                 p, seen = -np.log10(p / sweeps), b.seen[b.root[b.pair]]
+                known, base = seen > 0, np.log10(2 * seen + 1)
                 continue
             at, entries = parts_of(row["entries"])
             per_cell, doc, times = map(unpack, parts_of(entries))
             cell = np.repeat(np.cumsum(unpack(at)), per_cell)
-            some, place = np.unique(doc, return_inverse=True)
-            add = lambda x: np.bincount(place, x * times, len(some))  # noqa: B023, E731
-            found = [add(np.ones(len(cell))), add(seen[cell] > 0), np.round(add(np.log10(2 * seen[cell] + 1)) * FIXED), np.round(add(p[cell]) * FIXED)]
+            some = np.flatnonzero(np.bincount(doc))
+            add = lambda x: np.bincount(doc, x)[some]  # noqa: B023, E731
+            found = [add(times), add(known[cell] * times), np.round(add(base[cell] * times) * FIXED), np.round(add(p[cell] * times) * FIXED)]
             yield _batch([(row["chunk"], row["docs"], bundle(pack(np.diff(some, prepend=0)), *(pack(x.astype(np.int64)) for x in found)))], PARTIAL)
 
     return run
