@@ -186,7 +186,10 @@ def _deal(shared):
             number += 1
             keys, doc, t = tokens(batch.column("text"), book)
             one, two = before(doc, t, 1), before(doc, t, 2)
-            order = np.argsort((one * len(keys) + t) * len(keys) + two, kind="stable") if len(keys) < 1 << 21 else np.lexsort((two, t, one))
+            if len(keys) ** 3 * batch.num_rows < 1 << 63:
+                order = np.argsort(((one * len(keys) + t) * len(keys) + two) * batch.num_rows + doc)
+            else:
+                order = np.lexsort((two, t, one))
             one, t, two, doc = one[order], t[order], two[order], doc[order]
             train = batch.column("train").to_numpy(zero_copy_only=False)
             entry = _changes(one, t, two, doc)
