@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import clean
 from ..plans.components import connected_components
 from ..plans.durable import durable
+from ..plans.ranking import ranks
 
 #: Identifiers and local parts of e-mail addresses that name nobody.
 DENIED_VALUES = ["0000000000", "9999999999", "1234567890", "+910000000000", "test@test.com", "n/a@n/a.com"]
@@ -188,12 +189,37 @@ def _peel(limit: int):
     return run
 
 
-def guard(found: DataFrame, edges: DataFrame, cfg: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+def _longest(large: DataFrame, limit: int) -> DataFrame:
+    """What ``_peel`` gives, for clusters of any number of edges: where to stop is searched by bisection, in all clusters at once."""
+    order = [F.asc("cluster_key"), F.desc("confidence"), F.desc("record_a"), F.desc("record_b")]
+    ranked = durable(ranks(large.drop("cut"), order, "__at", "__all"))
+    spans = durable(ranked.groupBy("cluster_key").agg((F.min("__at") - 1).alias("fits"), (F.max("__at") + 1).alias("not")))
+    middle = F.floor((F.col("fits") + F.col("not")) / 2)
+    while not (open_ := spans.where("`not` - fits > 1")).isEmpty():
+        tried = ranked.join(open_, "cluster_key").where(F.col("__at") <= middle).select("cluster_key", "record_a", "record_b")
+        placed = connected_components(tried, "record_a", "record_b")
+        over = placed.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+        of = tried.select("cluster_key", F.explode(F.array("record_a", "record_b")).alias("component")).join(over, "component", "left_semi").select("cluster_key").distinct()
+        judged = spans.join(of.withColumn("__over", F.lit(True)), "cluster_key", "left")
+        wide, over_ = F.col("not") - F.col("fits") > 1, F.col("__over").isNotNull()
+        spans = durable(judged.select("cluster_key", F.when(wide & ~over_, middle).otherwise(F.col("fits")).alias("fits"), F.when(wide & over_, middle).otherwise(F.col("not")).alias("not")))
+    out = ranked.join(spans, "cluster_key").withColumn("cut", F.when(F.col("__at") > F.col("fits"), "cluster_too_large"))
+    return out.select(*large.columns)
+
+
+def review_members(found: DataFrame, review: DataFrame) -> DataFrame:
+    """``(candidate_cluster_key, source_record_key)``: the members of clusters under review, a row each, however many they are."""
+    return found.withColumnRenamed("cluster_key", "candidate_cluster_key").join(review.select("candidate_cluster_key"), "candidate_cluster_key", "left_semi").select("candidate_cluster_key", "source_record_key")
+
+
+def guard(found: DataFrame, edges: DataFrame, cfg: Settings = Settings(), most: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """Clusters after the guards, and the review rows of clusters that lost edges.
 
     Two records joined by one phone edge alone are parted (attribute_conflict); edges below the merge confidence go
     (low_confidence_merge); of a cluster above the size limit the weakest edges go until its parts fit
-    (cluster_too_large; ties: smaller records first). Only oversized clusters are looked at as groups. Nothing is collected.
+    (cluster_too_large; ties: smaller records first). Only oversized clusters of up to ``most`` edges are looked at as groups; larger
+    ones give the same by bisection over the edges. ``member_record_keys`` is null for clusters of more than ``most`` records, whose
+    members ``review_members`` gives as rows.
     """
     sizes = found.groupBy("cluster_key").agg(F.count("*").alias("size"))
     placed = edges.join(found.withColumnRenamed("source_record_key", "record_a"), "record_a")
@@ -202,16 +228,21 @@ def guard(found: DataFrame, edges: DataFrame, cfg: Settings = Settings()) -> tup
     alone = (F.col("size") == 2) & (F.col("n_edges") == 1) & (F.col("rule_id") == "R-03")
     marked = placed.join(info, "cluster_key").withColumn(
         "cut", F.when(alone, "attribute_conflict").when(F.col("confidence") < cfg.merge_confidence, "low_confidence_merge")
-    ).select("cluster_key", "record_a", "record_b", "rule_id", "confidence", "cut", "size", "min_edge_confidence")
+    ).select("cluster_key", "record_a", "record_b", "rule_id", "confidence", "cut", "size", "n_edges", "min_edge_confidence")
+    marked = durable(marked)
     whole = marked.where(F.col("cut").isNotNull() | (F.col("size") <= cfg.max_cluster_size))
     large = marked.where(F.col("cut").isNull() & (F.col("size") > cfg.max_cluster_size))
-    decided = durable(whole.unionByName(large.groupBy("cluster_key").applyInPandas(_peel(cfg.max_cluster_size), marked.schema)))
+    peeled = large.where(F.col("n_edges") <= most).groupBy("cluster_key").applyInPandas(_peel(cfg.max_cluster_size), marked.schema)
+    huge = large.where(F.col("n_edges") > most)
+    decided = whole.unionByName(peeled)
+    decided = durable(decided if huge.isEmpty() else decided.unionByName(_longest(huge, cfg.max_cluster_size)))
     after = clusters(found, decided.where("cut is null"))
     cuts = decided.where("cut is not null").groupBy("cluster_key").agg(
-        F.when(F.min("cut") == F.max("cut"), F.min("cut")).otherwise("mixed").alias("reason"), F.count("*").alias("cut_edges"), F.min("min_edge_confidence").alias("min_edge_confidence")
+        F.when(F.min("cut") == F.max("cut"), F.min("cut")).otherwise("mixed").alias("reason"), F.count("*").alias("cut_edges"), F.min("min_edge_confidence").alias("min_edge_confidence"), F.max("size").alias("size")
     )
-    members = found.join(cuts, "cluster_key", "left_semi").groupBy("cluster_key").agg(F.sort_array(F.collect_list("source_record_key")).alias("member_record_keys"))
-    review = cuts.join(members, "cluster_key").select(F.col("cluster_key").alias("candidate_cluster_key"), "reason", "cut_edges", "min_edge_confidence", "member_record_keys")
+    listed = found.join(cuts.where(F.col("size") <= most), "cluster_key", "left_semi")
+    members = listed.groupBy("cluster_key").agg(F.sort_array(F.collect_list("source_record_key")).alias("member_record_keys"))
+    review = cuts.join(members, "cluster_key", "left").select(F.col("cluster_key").alias("candidate_cluster_key"), "reason", "cut_edges", "min_edge_confidence", "member_record_keys")
     return after, review
 
 

@@ -33,19 +33,21 @@ class Order:
         self.name, self.how = name, how
 
 
+def ranks(df: DataFrame, order: list[Column], name: str, total: str) -> DataFrame:
+    """``df`` with the rank of each row in ``order``, from 1, and the number of rows."""
+    dealt = durable(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    running = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(running), F.lit(0)).alias("__before"), F.sum("__n").over(every).alias(total))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return dealt.withColumn(name, inside).join(F.broadcast(offsets), "__part").withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__before")
+
+
 def ntiles(df: DataFrame, key: str, orders: dict[str, tuple[list[Order], int]]) -> DataFrame:
     """``df`` with one tile column for each of ``orders``: name -> (order, number of tiles); ``key`` is unique and ends each order."""
     for name, (order, n) in orders.items():
         names = [o.name for o in order] + [key]
-        dealt = durable(
-            df.select(*dict.fromkeys(names)).repartitionByRange(*[getattr(F.col(o.name), o.how)() for o in [*order, Order(key)]]).withColumn("__part", F.spark_partition_id())
-        )
-        inside = Window.partitionBy("__part").orderBy(*[getattr(F.col(o.name), o.how)() for o in [*order, Order(key)]])
-        counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
-        running = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-        every = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        offsets = counts.select("__part", F.coalesce(F.sum("__n").over(running), F.lit(0)).alias("__before"), F.sum("__n").over(every).alias("__total"))
-        ranked = dealt.withColumn("__rank", F.row_number().over(inside)).join(F.broadcast(offsets), "__part")
-        tile = ntile_of(F.col("__rank") + F.col("__before"), F.col("__total"), n).alias(name)
-        df = df.join(ranked.select(key, tile), key, "left")
+        ranked = ranks(df.select(*dict.fromkeys(names)), [getattr(F.col(o.name), o.how)() for o in [*order, Order(key)]], "__rank", "__total")
+        df = df.join(ranked.select(key, ntile_of(F.col("__rank"), F.col("__total"), n).alias(name)), key, "left")
     return df

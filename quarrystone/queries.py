@@ -336,14 +336,12 @@ def masked_profiles(spark, d):
 
 
 def _sources(spark, d) -> tuple[DataFrame, DataFrame]:
-    """(identifiers, attributes) of customers and suppliers; widths keep blocks small at every scale."""
+    """(identifiers, attributes) of customers and suppliers: ranges of their balances stand for e-mails and phones, so values grow more frequent with the tables."""
     c, s = table(spark, d, "customer"), table(spark, d, "supplier")
-    n = F.broadcast(c.agg(F.count("*").alias("__n")))
-    wide = lambda w: (F.lit(w) * 1500.0 / F.col("__n"))
-    bucket = lambda c, w: F.floor(F.col(c) / wide(w)).cast("string")
+    bucket = lambda c, w: F.floor(F.col(c) / F.lit(w)).cast("string")
     by_nation = lambda p: F.concat_ws(":", F.col(f"{p}_nationkey").cast("string"), bucket(f"{p}_acctbal", 50.0))
-    cust = identity.identifiers(c.crossJoin(n), "cust", "c_custkey", {"email": by_nation("c"), "phone": F.concat_ws(":", "c_mktsegment", bucket("c_acctbal", 20.0))})
-    supp = identity.identifiers(s.crossJoin(n), "supp", "s_suppkey", {"email": by_nation("s")})
+    cust = identity.identifiers(c, "cust", "c_custkey", {"email": by_nation("c"), "phone": F.concat_ws(":", "c_mktsegment", bucket("c_acctbal", 20.0))})
+    supp = identity.identifiers(s, "supp", "s_suppkey", {"email": by_nation("s")})
     attrs = c.select(F.lit("cust").alias("source_system"), F.col("c_custkey").cast("string").alias("source_record_id"), F.lower("c_mktsegment").alias("first_name_norm"), F.col("c_nationkey").cast("string").alias("last_name_norm"))
     attrs = attrs.withColumn("full_name_norm", clean.full_name(F.col("first_name_norm"), F.col("last_name_norm")))
     return cust.unionByName(supp), attrs
@@ -351,11 +349,10 @@ def _sources(spark, d) -> tuple[DataFrame, DataFrame]:
 
 SCREEN = identity.Settings(max_records=3, max_names=2)
 IDS = """
-n as (select count(*) * 1.0 as c from customer),
 ids as (
-    select 'cust' s, cast(c_custkey as varchar) r, 'email' ns, concat(c_nationkey, ':', cast(floor(c_acctbal / (50.0 * 1500.0 / cast(n.c as double))) as bigint)) v from customer, n union all
-    select 'cust', cast(c_custkey as varchar), 'phone', concat(c_mktsegment, ':', cast(floor(c_acctbal / (20.0 * 1500.0 / cast(n.c as double))) as bigint)) from customer, n union all
-    select 'supp', cast(s_suppkey as varchar), 'email', concat(s_nationkey, ':', cast(floor(s_acctbal / (50.0 * 1500.0 / cast(n.c as double))) as bigint)) from supplier, n
+    select 'cust' s, cast(c_custkey as varchar) r, 'email' ns, concat(c_nationkey, ':', cast(floor(c_acctbal / 50.0) as bigint)) v from customer union all
+    select 'cust', cast(c_custkey as varchar), 'phone', concat(c_mktsegment, ':', cast(floor(c_acctbal / 20.0) as bigint)) from customer union all
+    select 'supp', cast(s_suppkey as varchar), 'email', concat(s_nationkey, ':', cast(floor(s_acctbal / 50.0) as bigint)) from supplier
 )"""
 SCREENED = f"""{IDS},
 names as (select cast(c_custkey as varchar) r, lower(c_mktsegment) fn, cast(c_nationkey as varchar) ln from customer),

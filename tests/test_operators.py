@@ -95,6 +95,20 @@ def test_oversized_clusters_lose_their_weakest_edges(spark):
     assert {r["reason"] for r in review.collect()} == {"cluster_too_large", "attribute_conflict"}
 
 
+def test_clusters_of_many_edges_are_cut_by_bisection_as_small_ones_are_at_once(spark):
+    pairs = [(f"r:{i}", f"r:{j}", "R-02", [0.95, 0.9, 0.8][(i * j) % 3]) for i in range(12) for j in range(i + 1, 12) if (i + j) % 4]
+    pairs += [(f"s:{i}", f"s:{i + 1}", "R-02", 0.9) for i in range(6)]
+    edges = spark.createDataFrame(pairs, "record_a string, record_b string, rule_id string, confidence double")
+    found = identity.clusters(edges.selectExpr("explode(array(record_a, record_b)) as source_record_key"), edges)
+    cfg = identity.Settings(max_cluster_size=5)
+    (a, r), (b, q) = identity.guard(found, edges, cfg), identity.guard(found, edges, cfg, most=3)
+    assert sorted(a.collect()) == sorted(b.collect()) and a.groupBy("cluster_key").count().selectExpr("max(count)").first()[0] <= 5
+    assert sorted(r.drop("member_record_keys").collect()) == sorted(q.drop("member_record_keys").collect()) and r.count() == 2
+    members = {(k, m) for k, m in identity.review_members(found, q).collect()}
+    assert members == {(x["candidate_cluster_key"], m) for x in r.collect() for m in x["member_record_keys"]}
+    assert q.where("member_record_keys is not null").count() == 0
+
+
 def test_unknown_rule_types_are_refused(spark):
     with pytest.raises(ValueError):
         quality_rules.classify(spark.range(1), [quality_rules.Rule("X", "", "validity", "no_such_type")]).collect()
