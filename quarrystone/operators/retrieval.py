@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 DIMENSIONS = 256
 #: The least score of a relevant chunk, the longest chunk, and the most tools of a question.
 FLOOR, CHUNK_CHARS, MOST_TOOLS = 0.25, 900, 6
+BLANK = " \t\n\r"
 #: Words of a question and the tool that they call, in order.
 ROUTES = [
     (["segment", "high value", "high-value", "high value segment"], "get_customer_segments"),
@@ -124,42 +125,37 @@ def nearest_each(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec
     return found.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
 
 
-def chunk_text(text: str, longest: int = CHUNK_CHARS) -> list[tuple[str, str]]:
-    """(section, content) pieces of a Markdown text: by second and third level headings, long sections by paragraphs."""
-    sections: list[tuple[str, list[str]]] = [("Introduction", [])]
-    for line in text.splitlines():
-        if line.startswith(("## ", "### ")):
-            sections.append((line.lstrip("#").strip(), []))
-        else:
-            sections[-1][1].append(line)
-    out = []
-    for heading, lines in sections:
-        body = "\n".join(lines).strip()
-        if len(body) <= longest:
-            parts = [body] if body else []
-        else:
-            parts = []
-            for p in filter(str.strip, body.split("\n\n")):
-                if parts and parts[-1] and len(parts[-1]) + len(p) + 2 <= longest:
-                    parts[-1] += "\n\n" + p
-                else:
-                    parts.append(p)
-            parts = [p.strip() for p in parts]
-        numbered = len(parts) > 1
-        out += [(f"{heading} (part {i})" if numbered else heading, p) for i, p in enumerate(parts, 1)]
-    return out
+def _parts(body: Column, longest: int) -> Column:
+    """A section's text as it is if it is short, else its paragraphs, as many in a part as fit; a longer paragraph is a part of its own."""
+    paragraphs = F.filter(F.split(body, "\n\n"), lambda p: F.btrim(p, F.lit(BLANK)) != "")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
+    def add(held: Column, p: Column) -> Column:
+        joined = F.concat(held["open"], F.lit("\n\n"), p)
+        full = F.struct(F.array_append(held["done"], held["open"]).alias("done"), p.alias("open"))
+        return F.when(held["open"] == "", F.struct(held["done"].alias("done"), p.alias("open"))).when(F.length(joined) <= longest, F.struct(held["done"].alias("done"), joined.alias("open"))).otherwise(full)
 
-def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", longest: int = CHUNK_CHARS) -> DataFrame:
-    """``(key, chunk_no, section, content)``; null and blank texts have none."""
+    packed = F.aggregate(paragraphs, start, add, lambda held: F.array_append(held["done"], held["open"]))
+    short = F.filter(F.array(body), lambda b: b != "")
+    return F.when(F.length(body) <= longest, short).otherwise(F.transform(packed, lambda p: F.btrim(p, F.lit(BLANK))))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(k, i, s, c) for k, t in zip(f["k"], f["t"], strict=True) for i, (s, c) in enumerate(chunk_text(t, longest))]
-            yield pd.DataFrame(rows, columns=[key, "chunk_no", "section", "content"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"{key} {kind}, chunk_no int, section string, content string")
+def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", longest: int = CHUNK_CHARS) -> DataFrame:
+    """``(key, chunk_no, section, content)`` of Markdown texts: by second and third level headings, long sections by paragraphs.
+
+    What stands before the first heading is the section "Introduction"; parts of a long section are numbered in its name.
+    Lines end with a line feed, a carriage return or both. Null and blank texts have no chunks; rows that repeat a key are cut each.
+    """
+    whole = F.concat(F.lit("## Introduction\n"), F.regexp_replace(text, "\r\n?", "\n"))
+    cut = F.transform(F.split(whole, "(?<=\n)(?=##{1,2} )"), lambda s: F.struct(
+        F.btrim(F.regexp_replace(F.substring_index(s, "\n", 1), "^#+", ""), F.lit(BLANK)).alias("heading"),
+        F.btrim(F.substring(s, F.length(F.substring_index(s, "\n", 1)) + 2, F.length(s)), F.lit(BLANK)).alias("body"),
+    ))
+    parted = F.transform(cut, lambda s: F.struct(s["heading"].alias("heading"), _parts(s["body"], longest).alias("parts")))
+    number = lambda i: F.concat(F.lit(" (part "), (i + 1).cast("string"), F.lit(")"))
+    name = lambda s, i: F.concat(s["heading"], F.when(F.size(s["parts"]) > 1, number(i)).otherwise(""))
+    every = F.flatten(F.transform(parted, lambda s: F.transform(s["parts"], lambda p, i: F.struct(name(s, i).alias("section"), p.alias("content")))))
+    return docs.where(F.col(text).isNotNull()).select(key, F.posexplode(every).alias("chunk_no", "c")).select(key, "chunk_no", "c.section", "c.content")
 
 
 def routed(question: Column, has_customer: Column, most: int = MOST_TOOLS) -> Column:

@@ -750,7 +750,23 @@ def hashed_document_embedding(spark, d):
     return retrieval.embedding_entries(table(spark, d, "documents"), "doc_id", "text").withColumn("value", F.round("value", 6))
 
 
-@query()
+@query(r"""with recursive t as (
+    select doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') x from documents where text is not null
+), cut as (
+    select doc_id, string_split(regexp_replace(concat(chr(10), '## Introduction', chr(10), x), '\n(##{1,2} )', concat(chr(1), '\1'), 'g'), chr(1)) s from t
+), sec as (select doc_id, unnest(s) s, generate_subscripts(s, 1) k from cut), named as (
+    select doc_id, k, trim(regexp_replace(split_part(s, chr(10), 1), '^#+', ''), b) heading, trim(substr(s, length(split_part(s, chr(10), 1)) + 2), b) body, b
+    from sec, (select concat(' ', chr(9), chr(10), chr(13)) b) where k > 1
+), paras as (
+    select doc_id, k, heading, p, row_number() over (partition by doc_id, k order by j) i, b from (
+        select *, unnest(l) p, generate_subscripts(l, 1) j from (select *, case when length(body) <= 900 then [body] else string_split(body, concat(chr(10), chr(10))) end l from named)
+    ) where trim(p, b) <> ''
+), walk as (
+    select doc_id, k, i, 1 part, length(p) n from paras where i = 1 union all
+    select q.doc_id, q.k, q.i, case when w.n + 2 + length(q.p) <= 900 then w.part else w.part + 1 end, case when w.n + 2 + length(q.p) <= 900 then w.n + 2 + length(q.p) else length(q.p) end
+    from walk w join paras q on q.doc_id = w.doc_id and q.k = w.k and q.i = w.i + 1
+), parts as (select doc_id, k, part, heading, trim(string_agg(p, concat(chr(10), chr(10)) order by i), min(b)) c from walk join paras using (doc_id, k, i) group by 1, 2, 3, 4)
+select doc_id, cast(row_number() over (partition by doc_id order by k, part) - 1 as int) as chunk_no, concat(heading, case when count(*) over (partition by doc_id, k) > 1 then concat(' (part ', part, ')') else '' end) as section, c as content from parts""")
 def chunk_text(spark, d):
     return retrieval.chunks(table(spark, d, "documents").select("doc_id", "text"))
 

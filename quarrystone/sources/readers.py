@@ -28,11 +28,13 @@ def read_raw(spark: SparkSession, path: str, contract: Contract, run_id: int = 0
             reader = reader.option("basePath", path).option("recursiveFileLookup", False)
             schema = T.StructType([*schema.fields, T.StructField("dt", T.DateType())])
         df = reader.schema(schema).json(path)
-    in_file = Window.partitionBy("_source_file").orderBy("__at")
-    return (
-        df.select("*", F.col("_metadata.file_path").alias("_source_file"), F.current_timestamp().alias("_ingested_at"), F.lit(run_id).alias("_run_id"), F.monotonically_increasing_id().alias("__at"))
-        .withColumn("_source_row_num", F.row_number().over(in_file)).drop("__at")
-    )
+    block = ["_source_file", "__block"]
+    file, start, at = F.col("_metadata.file_path").alias("_source_file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at")
+    rows = df.select("*", file, F.current_timestamp().alias("_ingested_at"), F.lit(run_id).alias("_run_id"), start, at)
+    earlier = Window.partitionBy("_source_file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = df.select(file, start, at).groupBy(*block).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))  # one row a block of a file
+    blocks = blocks.select(*block, (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first") + 1).alias("__shift"))
+    return rows.join(blocks, block).withColumn("_source_row_num", (F.col("__at") + F.col("__shift")).cast("int")).select(*df.columns, "_source_file", "_ingested_at", "_run_id", "_source_row_num")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -32,6 +32,21 @@ def test_csv_is_read_as_strings_with_lineage(spark, tmp_path):
     assert {f"{n}_typed" for n in names} <= set(typed.columns) and typed.count() == 2
 
 
+def test_rows_are_numbered_over_the_blocks_of_each_file(spark, tmp_path):
+    key = contracts.ORDERS.key[0]
+    for name, n in (("a", 400), ("b", 3), ("c", 250)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps({key: i}) + "\n" for i in range(1, n + 1)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        raw = readers.read_raw(spark, str(tmp_path), contracts.ORDERS)
+        assert spark.read.text(str(tmp_path)).select("_metadata.file_path", "_metadata.file_block_start").distinct().count() > 3
+        rows = raw.select(key, "_source_row_num", "_source_file").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(rows) == 653 and all(int(r[key]) == r["_source_row_num"] for r in rows)
+
+
 def test_broken_json_lines_survive(spark, tmp_path):
     key = contracts.ORDERS.key[0]
     (tmp_path / "o.jsonl").write_text(json.dumps({key: 7}) + "\n{broken\n")
@@ -114,12 +129,14 @@ def test_unknown_rule_types_are_refused(spark):
         quality_rules.classify(spark.range(1), [quality_rules.Rule("X", "", "validity", "no_such_type")]).collect()
 
 
-def test_markdown_is_cut_by_headings_and_length():
+def test_markdown_is_cut_by_headings_and_length(spark):
     text = "intro\n\n## One\nfirst\n### Two\n" + "\n\n".join("p" * 40 for _ in range(5))
-    out = retrieval.chunk_text(text, 100)
+    found = lambda t, n=900: [tuple(r) for r in retrieval.chunks(spark.createDataFrame([(1, t)], "doc_id int, text string"), longest=n).orderBy("chunk_no").select("section", "content").collect()]
+    out = found(text, 100)
     assert out[0] == ("Introduction", "intro") and out[1] == ("One", "first")
     assert [s for s, _ in out[2:]] == [f"Two (part {i})" for i in (1, 2, 3)] and all(len(c) <= 100 for _, c in out)
-    assert retrieval.chunk_text("") == []
+    assert found("") == [] and found(None) == [] and found(" \n\n") == []
+    assert found("## A\r\nx\n#### no\n##none\n##  B \n" + "y" * 950 + "\n\n\n\n\nz") == [("A", "x\n#### no\n##none"), ("B (part 1)", "y" * 950), ("B (part 2)", "z")]
 
 
 def test_sessions_split_at_gaps_and_ties(spark):

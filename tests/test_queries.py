@@ -69,3 +69,19 @@ def test_every_twentieth_vector_is_a_query(spark, duck):
     asked = {r[0] for r in duck.sql("select vec_id from embeddings where vec_id % 20 = 0").fetchall()}
     found = QUERIES["vector_topk_each"](spark, str(FOLDER)).collect()
     assert len(asked) > 1 and {r["query_id"] for r in found} == asked and len(found) == 10 * len(asked)
+
+
+def test_chunks_of_marked_texts_are_those_of_their_sql(spark, tmp_path):
+    """The test tables have few headings and paragraphs; these have."""
+    para = lambda *ns: "\n\n".join("wörd " * n for n in ns)
+    texts = [
+        "intro\n\n## One\nfirst\n### Two\n" + para(80, 90, 20, 300, 5, 5, 170, 10), "## A\n\n\n## B\n## C \r\nx\r\ny\r\n\r\nz", "#### no\n##none\n" + para(*[3] * 200),
+        "", None, " \n ", "plain", para(179, 1), para(180), para(181), "# top\n### x ## y\n\n\n\n" + para(100, 100) + "\n\n\n" + para(100),
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["chunk_text"](spark, str(tmp_path)).select("doc_id", "chunk_no", "section", "content").collect()
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(f"select doc_id, chunk_no, section, content from ({ORACLES['chunk_text']})").fetchall()
+    assert sorted(map(tuple, found)) == sorted(want) and len(want) > 20
