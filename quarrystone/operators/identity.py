@@ -9,14 +9,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean
 from ..plans.components import connected_components
 from ..plans.durable import durable
-from ..plans.ranking import ranks
+from ..plans.forest import best_forest, last_step_that_fits
 
 #: Identifiers and local parts of e-mail addresses that name nobody.
 DENIED_VALUES = ["0000000000", "9999999999", "1234567890", "+910000000000", "test@test.com", "n/a@n/a.com"]
@@ -162,64 +161,33 @@ def record_keys(ids: DataFrame) -> DataFrame:
     return ids.select(F.concat_ws(":", "source_system", "source_record_id").alias("source_record_key")).distinct()
 
 
-def _peel(limit: int):
-    """Of one oversized cluster's edges, mark the weakest that have to go so that no component exceeds the limit."""
-
-    def run(edges: pd.DataFrame) -> pd.DataFrame:
-        edges = edges.sort_values(["confidence", "record_a", "record_b"], ascending=[False, False, False], kind="stable").reset_index(drop=True)
-        up: dict[str, str] = {}
-        size: dict[str, int] = {}
-
-        def top(x: str) -> str:
-            while up.setdefault(x, x) != x:
-                up[x] = x = up[up[x]]
-            return x
-
-        kept = 0
-        for x, y in zip(edges["record_a"], edges["record_b"], strict=True):
-            x, y = top(x), top(y)
-            if x != y:
-                together = size.get(x, 1) + size.get(y, 1)
-                if together > limit:
-                    break
-                up[y], size[x] = x, together
-            kept += 1
-        return edges.assign(cut=[None] * kept + ["cluster_too_large"] * (len(edges) - kept))
-
-    return run
-
-
-def _longest(large: DataFrame, limit: int) -> DataFrame:
-    """What ``_peel`` gives, for clusters of any number of edges: where to stop is searched by bisection, in all clusters at once."""
-    order = [F.asc("cluster_key"), F.desc("confidence"), F.desc("record_a"), F.desc("record_b")]
-    ranked = durable(ranks(large.drop("cut"), order, "__at", "__all"))
-    spans = durable(ranked.groupBy("cluster_key").agg((F.min("__at") - 1).alias("fits"), (F.max("__at") + 1).alias("not")))
-    middle = F.floor((F.col("fits") + F.col("not")) / 2)
-    while not (open_ := spans.where("`not` - fits > 1")).isEmpty():
-        tried = ranked.join(open_, "cluster_key").where(F.col("__at") <= middle).select("cluster_key", "record_a", "record_b")
-        placed = connected_components(tried, "record_a", "record_b")
-        over = placed.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > limit)
-        of = tried.select("cluster_key", F.explode(F.array("record_a", "record_b")).alias("component")).join(over, "component", "left_semi").select("cluster_key").distinct()
-        judged = spans.join(of.withColumn("__over", F.lit(True)), "cluster_key", "left")
-        wide, over_ = F.col("not") - F.col("fits") > 1, F.col("__over").isNotNull()
-        spans = durable(judged.select("cluster_key", F.when(wide & ~over_, middle).otherwise(F.col("fits")).alias("fits"), F.when(wide & over_, middle).otherwise(F.col("not")).alias("not")))
-    out = ranked.join(spans, "cluster_key").withColumn("cut", F.when(F.col("__at") > F.col("fits"), "cluster_too_large"))
-    return out.select(*large.columns)
-
-
 def review_members(found: DataFrame, review: DataFrame) -> DataFrame:
     """``(candidate_cluster_key, source_record_key)``: the members of clusters under review, a row each, however many they are."""
     return found.withColumnRenamed("cluster_key", "candidate_cluster_key").join(review.select("candidate_cluster_key"), "candidate_cluster_key", "left_semi").select("candidate_cluster_key", "source_record_key")
 
 
-def guard(found: DataFrame, edges: DataFrame, cfg: Settings = Settings(), most: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """Clusters after the guards, and the review rows of clusters that lost edges.
+def _too_large(large: DataFrame, limit: int) -> DataFrame:
+    """``large`` with ``cut`` set on the edges that have to go so that no part of a cluster has more than ``limit`` records.
+
+    Steps come by falling confidence and, of one confidence, by the larger record: a record comes in with all its edges to smaller ones. So
+    the parts of a step depend on who is connected, not on which edges say so, and a maximum spanning forest has the same.
+    """
+    steps = large.withColumns({"__less": -F.col("confidence"), "__late": F.greatest("record_a", "record_b")})
+    forest = best_forest(steps, "record_a", "record_b", [F.col("__less"), F.col("__late")], ["cluster_key", "__less", "__late"])
+    last = last_step_that_fits(forest, "cluster_key", "record_a", "record_b", ["__less", "__late"], limit)
+    last = last.select("cluster_key", F.struct("__less", "__late").alias("__last"))
+    kept = F.struct("__less", "__late") <= F.col("__last")
+    return steps.join(last, "cluster_key", "left").withColumn("cut", F.when(~F.coalesce(kept, F.lit(False)), "cluster_too_large")).select(*large.columns)
+
+
+def guard(found: DataFrame, edges: DataFrame, cfg: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+    """Clusters after the guards, and the review rows (candidate_cluster_key, reason, cut_edges, min_edge_confidence) of clusters that lost edges.
 
     Two records joined by one phone edge alone are parted (attribute_conflict); edges below the merge confidence go
-    (low_confidence_merge); of a cluster above the size limit the weakest edges go until its parts fit
-    (cluster_too_large; ties: smaller records first). Only oversized clusters of up to ``most`` edges are looked at as groups; larger
-    ones give the same by bisection over the edges. ``member_record_keys`` is null for clusters of more than ``most`` records, whose
-    members ``review_members`` gives as rows.
+    (low_confidence_merge); of a cluster above the size limit the weakest edges go until its parts fit (cluster_too_large): edges are
+    kept by falling confidence, and of one confidence record by record in the order of the larger end, up to the first record whose edges make
+    too large a part. Which of several edges connect the same records makes no difference. Only clusters that lose edges are
+    clustered anew. ``review_members`` gives the members of clusters under review.
     """
     sizes = found.groupBy("cluster_key").agg(F.count("*").alias("size"))
     placed = edges.join(found.withColumnRenamed("source_record_key", "record_a"), "record_a")
@@ -228,22 +196,19 @@ def guard(found: DataFrame, edges: DataFrame, cfg: Settings = Settings(), most:
     alone = (F.col("size") == 2) & (F.col("n_edges") == 1) & (F.col("rule_id") == "R-03")
     marked = placed.join(info, "cluster_key").withColumn(
         "cut", F.when(alone, "attribute_conflict").when(F.col("confidence") < cfg.merge_confidence, "low_confidence_merge")
-    ).select("cluster_key", "record_a", "record_b", "rule_id", "confidence", "cut", "size", "n_edges", "min_edge_confidence")
-    marked = durable(marked)
-    whole = marked.where(F.col("cut").isNotNull() | (F.col("size") <= cfg.max_cluster_size))
-    large = marked.where(F.col("cut").isNull() & (F.col("size") > cfg.max_cluster_size))
-    peeled = large.where(F.col("n_edges") <= most).groupBy("cluster_key").applyInPandas(_peel(cfg.max_cluster_size), marked.schema)
-    huge = large.where(F.col("n_edges") > most)
-    decided = whole.unionByName(peeled)
-    decided = durable(decided if huge.isEmpty() else decided.unionByName(_longest(huge, cfg.max_cluster_size)))
-    after = clusters(found, decided.where("cut is null"))
+    ).select("cluster_key", "record_a", "record_b", "rule_id", "confidence", "cut", "size", "min_edge_confidence")
+    marked = durable(marked.where(F.col("cut").isNotNull() | (F.col("size") > cfg.max_cluster_size) | (F.col("min_edge_confidence") < cfg.merge_confidence)))
+    oversized = F.col("cut").isNull() & (F.col("size") > cfg.max_cluster_size)
+    large = marked.where(oversized)
+    decided = marked if large.isEmpty() else durable(marked.where(~oversized).unionByName(_too_large(large, cfg.max_cluster_size)))
     cuts = decided.where("cut is not null").groupBy("cluster_key").agg(
-        F.when(F.min("cut") == F.max("cut"), F.min("cut")).otherwise("mixed").alias("reason"), F.count("*").alias("cut_edges"), F.min("min_edge_confidence").alias("min_edge_confidence"), F.max("size").alias("size")
+        F.when(F.min("cut") == F.max("cut"), F.min("cut")).otherwise("mixed").alias("reason"), F.count("*").alias("cut_edges"), F.min("min_edge_confidence").alias("min_edge_confidence")
     )
-    listed = found.join(cuts.where(F.col("size") <= most), "cluster_key", "left_semi")
-    members = listed.groupBy("cluster_key").agg(F.sort_array(F.collect_list("source_record_key")).alias("member_record_keys"))
-    review = cuts.join(members, "cluster_key", "left").select(F.col("cluster_key").alias("candidate_cluster_key"), "reason", "cut_edges", "min_edge_confidence", "member_record_keys")
-    return after, review
+    cuts = durable(cuts)
+    touched = found.join(cuts, "cluster_key", "left_semi").select("source_record_key")
+    again = clusters(touched, decided.where("cut is null").join(cuts, "cluster_key", "left_semi"))
+    after = found.join(cuts, "cluster_key", "left_anti").select("source_record_key", "cluster_key").unionByName(again)
+    return after, cuts.withColumnRenamed("cluster_key", "candidate_cluster_key")
 
 
 def minted(cluster_key: Column) -> Column:

@@ -410,10 +410,16 @@ def components(spark, d):
     return identity.clusters(identity.record_keys(ids), edges)
 
 
-def _guarded(spark, d, cfg=identity.Settings()) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _found(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(identifiers, clusters before the guards, edges)"""
     ids, edges = _edges(spark, d)
     edges = identity.durable(edges)
-    return ids, *identity.guard(identity.durable(identity.clusters(identity.record_keys(ids), edges)), edges, cfg)
+    return ids, identity.durable(identity.clusters(identity.record_keys(ids), edges)), edges
+
+
+def _guarded(spark, d, cfg=identity.Settings()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    ids, found, edges = _found(spark, d)
+    return ids, *identity.guard(found, edges, cfg)
 
 
 @query(f"with recursive {GUARDED} select * from final")
@@ -421,16 +427,41 @@ def guarded_clusters(spark, d):
     return _guarded(spark, d)[1]
 
 
-@query(f"""with recursive {GUARDED} select cluster_key as candidate_cluster_key, 'attribute_conflict' as reason, cast(1 as bigint) as cut_edges, cast(0.8 as double) as min_edge_confidence, array_to_string(list_sort(list(source_record_key)), ',') as members
-    from comp where cluster_key in (select cluster_key from cutc) group by cluster_key""")
+@query(f"""with recursive {GUARDED} select cluster_key as candidate_cluster_key, 'attribute_conflict' as reason, cast(1 as bigint) as cut_edges, cast(0.8 as double) as min_edge_confidence, source_record_key as member
+    from comp where cluster_key in (select cluster_key from cutc)""")
 def review_queue(spark, d):
-    review = _guarded(spark, d)[2]
-    return review.select("candidate_cluster_key", "reason", "cut_edges", "min_edge_confidence", F.array_join("member_record_keys", ",").alias("members"))
+    """A row for each member of a cluster under review."""
+    _, found, edges = _found(spark, d)
+    review = identity.guard(found, edges)[1]
+    members = identity.review_members(found, review).withColumnRenamed("source_record_key", "member")
+    return members.join(review, "candidate_cluster_key").select("candidate_cluster_key", "reason", "cut_edges", "min_edge_confidence", "member")
+
+
+OVERSIZED = f"""{GUARDED},
+wide as (select cluster_key, list(source_record_key order by source_record_key) members from comp group by cluster_key having count(*) > 4),
+ordered as (
+    select cluster_key, any_value(members) members, list(struct_pack(a := record_a, b := record_b, step := struct_pack(c := -confidence, late := greatest(record_a, record_b))) order by confidence desc, greatest(record_a, record_b)) es
+    from edge join comp on record_a = source_record_key join wide using (cluster_key) group by cluster_key
+),
+growing as (
+    select cluster_key, 0 as k, range(len(members)) as labels from ordered union all
+    select cluster_key, k + 1, list_transform(labels, lambda x: case when x = greatest(la, lb) then least(la, lb) else x end)
+    from (select g.cluster_key, k, labels, labels[list_position(members, es[k + 1].a)] la, labels[list_position(members, es[k + 1].b)] lb from growing g join ordered using (cluster_key) where k < len(es))
+),
+fitting as (
+    select cluster_key, max(k) as k from growing join ordered using (cluster_key)
+    where (k = 0 or k = len(es) or es[k + 1].step <> es[k].step) and list_max(list_transform(labels, lambda x: len(list_filter(labels, lambda y: y = x)))) <= 4 group by cluster_key
+),
+labelled as (select cluster_key, unnest(members) as source_record_key, unnest(labels) as label from fitting join growing using (cluster_key, k) join ordered using (cluster_key)),
+cut_down as (
+    select source_record_key, cluster_key from final where source_record_key not in (select source_record_key from labelled) union all
+    select source_record_key, min(source_record_key) over (partition by cluster_key, label) from labelled
+)"""
 
 
-@query()
+@query(f"with recursive {OVERSIZED} select source_record_key, cluster_key from cut_down")
 def oversized_clusters(spark, d):
-    """Clusters under a limit of four records, which peels the larger ones."""
+    """Clusters under a limit of four records, which cuts the larger ones down."""
     return _guarded(spark, d, identity.Settings(max_cluster_size=4))[1]
 
 

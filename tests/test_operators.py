@@ -1,4 +1,6 @@
 import json
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,18 +112,61 @@ def test_oversized_clusters_lose_their_weakest_edges(spark):
     assert {r["reason"] for r in review.collect()} == {"cluster_too_large", "attribute_conflict"}
 
 
-def test_clusters_of_many_edges_are_cut_by_bisection_as_small_ones_are_at_once(spark):
-    pairs = [(f"r:{i}", f"r:{j}", "R-02", [0.95, 0.9, 0.8][(i * j) % 3]) for i in range(12) for j in range(i + 1, 12) if (i + j) % 4]
-    pairs += [(f"s:{i}", f"s:{i + 1}", "R-02", 0.9) for i in range(6)]
+def cut_down(edges, limit):
+    """Edges that stay, cluster by cluster: by falling confidence and then by the larger record, step by step while all parts fit."""
+    def parts(some):
+        root = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b, *_ in some:
+            root[find(a)] = find(b)
+        return {x: find(x) for x in list(root)}
+
+    kept, whole = [], parts(edges)
+    for cluster in set(whole.values()):
+        own = [e for e in edges if whole[e[0]] == cluster]
+        steps = sorted({(-e[3], max(e[:2])) for e in own})
+        fits = [s for s in steps if max([0, *(list(p.values()).count(v) for p in [parts([e for e in own if (-e[3], max(e[:2])) <= s])] for v in set(p.values()))]) <= limit]
+        kept += [e for e in own if fits and (-e[3], max(e[:2])) <= fits[-1]]
+    return {frozenset(x for x, v in p.items() if v == r) for p in [parts(kept)] for r in set(p.values())}
+
+
+@pytest.mark.parametrize("limit", [2, 5, 11])
+def test_oversized_clusters_are_cut_as_step_by_step(spark, limit):
+    rng = random.Random(limit)
+    pairs = [(f"r:{i:02}", f"r:{j:02}", "R-02", rng.choice([0.95, 0.9, 0.8])) for i in range(12) for j in range(i + 1, 12) if (i + j) % 4]
+    pairs += [(f"s:{i}", f"s:{i + 1}", "R-02", 0.9) for i in range(8)] + [("t:0", f"t:{i}", "R-02", 0.9) for i in range(1, 40)]
+    pairs += [(min(a, b), max(a, b), "R-01", c) for a, b, c in ((f"u:{rng.randrange(30)}", f"u:{rng.randrange(30)}", rng.choice([1.0, 0.8])) for _ in range(45)) if a != b]
+    pairs = list({p[:2]: p for p in pairs}.values())
     edges = spark.createDataFrame(pairs, "record_a string, record_b string, rule_id string, confidence double")
     found = identity.clusters(edges.selectExpr("explode(array(record_a, record_b)) as source_record_key"), edges)
-    cfg = identity.Settings(max_cluster_size=5)
-    (a, r), (b, q) = identity.guard(found, edges, cfg), identity.guard(found, edges, cfg, most=3)
-    assert sorted(a.collect()) == sorted(b.collect()) and a.groupBy("cluster_key").count().selectExpr("max(count)").first()[0] <= 5
-    assert sorted(r.drop("member_record_keys").collect()) == sorted(q.drop("member_record_keys").collect()) and r.count() == 2
-    members = {(k, m) for k, m in identity.review_members(found, q).collect()}
-    assert members == {(x["candidate_cluster_key"], m) for x in r.collect() for m in x["member_record_keys"]}
-    assert q.where("member_record_keys is not null").count() == 0
+    after, review = identity.guard(found, edges, identity.Settings(max_cluster_size=limit))
+    groups = {}
+    for r in after.collect():
+        groups.setdefault(r["cluster_key"], set()).add(r["source_record_key"])
+    assert all(k == min(g) for k, g in groups.items())
+    assert {frozenset(g) for g in groups.values() if len(g) > 1} == cut_down(pairs, limit)
+    assert {r["reason"] for r in review.collect()} == {"cluster_too_large"}
+    assert identity.review_members(found, review).count() == found.join(review, found["cluster_key"] == review["candidate_cluster_key"]).count()
+
+
+def test_the_guard_does_not_see_how_frequent_values_are_joined(spark):
+    """A value of so many records is joined by all pairs, or of one more by stars: the same clusters after the guard."""
+    ids = [("a", f"{i:03}", "email", "one@x") for i in range(40)] + [("a", f"{i:03}", "phone", "+1") for i in range(20, 60)] + [("a", f"{i:03}", "phone", "+2") for i in (3, 70, 71)]
+    attrs = spark.createDataFrame([("a", f"{i:03}", f"n{i % 3}", f"f{i % 2}", f"n{i % 3} f{i % 2}") for i in range(72)], "source_system string, source_record_id string, first_name_norm string, last_name_norm string, full_name_norm string")
+    rows = spark.createDataFrame(ids, "source_system string, source_record_id string, identity_namespace string, identity_value_norm string")
+    screened = identity.durable(identity.screen(rows, None))
+    after = []
+    for most in (40, 39):
+        edges = identity.durable(identity.match(screened, attrs, most=most))
+        found = identity.durable(identity.clusters(identity.record_keys(rows), edges))
+        after.append([sorted(identity.guard(found, edges, identity.Settings(max_cluster_size=n))[0].collect()) for n in (50, 25)])
+    assert after[0] == after[1]
+    assert max(Counter(k for _, k in after[0][0]).values()) <= 50 and max(Counter(k for _, k in after[0][1]).values()) == 25
 
 
 def test_unknown_rule_types_are_refused(spark):

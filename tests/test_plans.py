@@ -4,9 +4,11 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarrystone.plans.components import connected_components
 from quarrystone.plans.durable import durable, shared_folder
+from quarrystone.plans.forest import best_forest, last_step_that_fits
 from quarrystone.plans.ranking import Order, ntiles
 
 REPO = Path(__file__).resolve().parents[1]
@@ -50,6 +52,34 @@ def test_components(spark, edges):
     assert {r["vertex"]: r["component"] for r in out.collect()} == union_find(edges)
 
 
+def test_best_forest_is_kruskals(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(60), rng.randrange(60), rng.randrange(4)) for _ in range(300)] + [(100, 100, 0), (None, 5, 0), (1, 2, 0), (1, 2, 0), (200, 201, 3)]
+    found = best_forest(spark.createDataFrame(edges, "a long, b long, w int"), "a", "b", [F.col("w")], ["w"]).collect()
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    want = []
+    for a, b, w in sorted({e for e in edges if None not in e}, key=lambda e: (e[2], e[0], e[1])):
+        if find(a) != find(b):
+            root[find(a)] = find(b)
+            want.append((a, b, w))
+    assert sorted(map(tuple, found)) == sorted(want)
+    assert best_forest(spark.createDataFrame([], "a long, b long, w int"), "a", "b", [F.col("w")]).count() == 0
+
+
+def test_the_last_step_that_fits(spark):
+    """A path whose steps come one by one, a star that never fits from its third step on, and a group with one step too large at once."""
+    rows = [("path", i, i + 1, i) for i in range(200)] + [("star", 1000, 1001 + i, 7 * i) for i in range(50)] + [("once", 2000, 2001 + i, 1) for i in range(9)]
+    forest = spark.createDataFrame(rows, "g string, a long, b long, s long")
+    for limit, want in ((3, {"path": 1, "star": 7}), (8, {"path": 6, "star": 42}), (10, {"path": 8, "star": 56, "once": 1}), (500, {"path": 199, "star": 343, "once": 1})):
+        assert dict(map(tuple, last_step_that_fits(forest, "g", "a", "b", ["s"], limit, ways=4 if limit == 8 else 16).collect())) == want
+
+
 def test_components_of_words(spark):
     out = connected_components(spark.createDataFrame([("b", "c"), ("c", "a"), ("x", "y")], "s string, t string"), "s", "t")
     assert {tuple(r) for r in out.collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
