@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.durable import durable
 from ..plans.ranking import Order, ntiles
 
 CUSTOMER = "canonical_customer_id"
@@ -77,7 +76,7 @@ def customer_metrics(orders: DataFrame, as_of: Column, sessions: DataFrame | Non
         "engagement_raw": zero("sessions_90d") * 1.0 + zero("events_90d") * 0.1,
     })
     if scores:
-        out = ntiles(durable(out), CUSTOMER, {n: SCORES[n] for n in scores})
+        out = ntiles(out, CUSTOMER, {n: SCORES[n] for n in scores})
     out = out.withColumns({n: F.lit(None).cast("int") for n in SCORES if n not in scores})
     return out.withColumns({
         "rfm_segment": F.concat("r_score", "f_score", "m_score"), "churn_risk_band": churn_band(F.col("days_since_last_order"), F.col("order_count")),

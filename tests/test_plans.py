@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from quarrystone.plans import ranking
 from quarrystone.plans.components import connected_components
 from quarrystone.plans.durable import durable, shared_folder
 from quarrystone.plans.forest import best_forest, last_step_that_fits
@@ -108,8 +109,9 @@ def tiles(values, n):
     return out
 
 
-@pytest.mark.parametrize("count", [1, 3, 5, 23])
-def test_ntiles(spark, count):
+@pytest.mark.parametrize(("count", "interval"), [(1, 1), (3, 1), (5, 50_000), (23, 2)])
+def test_ntiles(spark, monkeypatch, count, interval):
+    monkeypatch.setattr(ranking, "INTERVAL", interval)
     rng = random.Random(count)
     rows = [(i, rng.choice([None, 1, 2, 3])) for i in range(count)]
     out = ntiles(spark.createDataFrame(rows, "id long, x int"), "id", {"up": ([Order("x", "asc_nulls_last")], 5), "down": ([Order("x", "desc_nulls_first")], 2)})
@@ -119,6 +121,32 @@ def test_ntiles(spark, count):
     assert got == {i: (up[i], down[i]) for i, _ in rows}
 
 
+def test_tiles_where_one_value_has_most_rows(spark, monkeypatch):
+    """Nine tenths of the rows tie, so every border lies among them; strings, nulls and NaN, with many cuts."""
+    monkeypatch.setattr(ranking, "INTERVAL", 8)
+    rng = random.Random(4)
+    rows = [(f"k{i:05}", 7 if rng.random() < 0.9 else rng.randrange(100), rng.choice(["a", "b", None]), rng.choice([float("nan"), 1.5, None, -2.0])) for i in range(3000)]
+    rng.shuffle(rows)
+    out = ntiles(spark.createDataFrame(rows, "id string, x int, s string, f double").repartition(7), "id", {
+        "ten": ([Order("x")], 10), "words": ([Order("s", "asc_nulls_first"), Order("x", "desc_nulls_last")], 7), "low": ([Order("f", "desc_nulls_first")], 3), "all": ([Order("x")], 1)})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    nan = lambda f: f is not None and f != f
+    want = {
+        "ten": tiles([r[0] for r in sorted(rows, key=lambda r: (r[1], r[0]))], 10), "all": {r[0]: 1 for r in rows},
+        "words": tiles([r[0] for r in sorted(rows, key=lambda r: (r[2] is not None, r[2] or "", -r[1], r[0]))], 7),
+        "low": tiles([r[0] for r in sorted(rows, key=lambda r: (r[3] is not None, not nan(r[3]), 0 if r[3] is None or nan(r[3]) else -r[3], r[0]))], 3),
+    }
+    got = out.collect()
+    for name, one in want.items():
+        assert {r["id"]: r[name] for r in got} == one, name
+
+
+def test_descending_words_are_refused(spark):
+    with pytest.raises(ValueError):
+        ntiles(spark.createDataFrame([("a", "b")], "id string, s string"), "id", {"x": ([Order("s", "desc_nulls_last")], 2)})
+
+
 def test_orders_are_checked():
     with pytest.raises(ValueError):
         Order("x", "sideways")
