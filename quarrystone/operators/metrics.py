@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.durable import durable
 from ..plans.ranking import Order, ntiles
+from ..plans.scan import SLICE, before, carried, sliced
 
 CUSTOMER = "canonical_customer_id"
 
@@ -15,15 +17,23 @@ def net_amount() -> Column:
     return F.col("gross_amount") - part("discount_amount") + part("shipping_amount") + part("tax_amount")
 
 
-def enrich_orders(orders: DataFrame) -> DataFrame:
+def enrich_orders(orders: DataFrame, piece: int | None = None) -> DataFrame:
     """Adds net_amount, revenue_amount (0 but for sales), is_first_order and days_since_previous_order, over all orders of a customer by time and order_id.
 
-    Orders without a customer have no first and no previous order.
+    Orders without a customer have no first and no previous order. A customer of more than ``piece`` orders is scanned in slices of
+    time; the first order of a slice looks back to the end of the slice before.
     """
-    w = Window.partitionBy(CUSTOMER).orderBy("order_ts", "order_id")
     known = F.col(CUSTOMER).isNotNull()
-    gap = F.datediff(F.col("order_ts"), F.lag("order_ts").over(w))
-    with_owner = orders.where(known).withColumns({"is_first_order": F.row_number().over(w) == 1, "days_since_previous_order": gap})
+    rows, several = sliced(orders.where(known), [CUSTOMER], "order_ts", piece)
+    w = Window.partitionBy(CUSTOMER, SLICE).orderBy("order_ts", "order_id")
+    rows = rows.withColumns({"__first": F.row_number().over(w) == 1, "__last": F.lag("order_ts").over(w)})
+    if several:
+        rows = durable(rows)
+        told = {"__before": F.lag("__end").over(before([CUSTOMER])), "__later": F.row_number().over(before([CUSTOMER])) > 1}
+        rows = carried(rows, [CUSTOMER], {"__end": F.max("order_ts")}, told)
+        late = F.coalesce("__later", F.lit(False))
+        rows = rows.withColumns({"__last": F.when(F.col("__first") & late, F.col("__before")).otherwise(F.col("__last")), "__first": F.col("__first") & ~late}).drop("__before", "__later")
+    with_owner = rows.withColumns({"is_first_order": F.col("__first"), "days_since_previous_order": F.datediff(F.col("order_ts"), F.col("__last"))}).drop("__first", "__last", SLICE)
     without = orders.where(~known).withColumns({"is_first_order": F.lit(False), "days_since_previous_order": F.lit(None).cast("int")})
     out = with_owner.unionByName(without)
     return out.withColumn("net_amount", net_amount()).withColumn("revenue_amount", F.when(F.col("order_type") == "sale", F.col("net_amount")).otherwise(F.lit(0).cast("decimal(14,2)")))
@@ -88,15 +98,29 @@ def _seconds(c: str) -> Column:
     return F.unix_seconds(F.col(c))
 
 
-def sessionise(events: DataFrame, gap_minutes: int = 30, keys: tuple[str, ...] = (CUSTOMER, "device_cookie")) -> tuple[DataFrame, DataFrame]:
+def sessionise(events: DataFrame, gap_minutes: int = 30, keys: tuple[str, ...] = (CUSTOMER, "device_cookie"), piece: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(sessions, events with their session_id). A gap of more whole seconds than the limit starts a session.
 
-    Events need event_id, event_type, event_ts, page_url and utm_source besides the keys; times tie by event_id.
+    Events need event_id, event_type, event_ts, page_url and utm_source besides the keys; times tie by event_id. Keys of more than
+    ``piece`` events are scanned in slices of time: a slice carries on the last session of the one before if its first event is
+    near enough, and its sessions are numbered on from those before it.
     """
-    w = Window.partitionBy(*keys).orderBy("event_ts", "event_id")
-    late = _seconds("event_ts") - F.unix_seconds(F.lag("event_ts").over(w)) > gap_minutes * 60
-    started = events.withColumn("__new", F.coalesce(late.cast("int"), F.lit(1)))
+    rows, several = sliced(events, list(keys), "event_ts", piece)
+    w = Window.partitionBy(*keys, SLICE).orderBy("event_ts", "event_id")
+    near = lambda at, last: _seconds(at) - F.unix_seconds(last) <= gap_minutes * 60
+    started = rows.withColumn("__new", F.coalesce(~near("event_ts", F.lag("event_ts").over(w)), F.lit(True)).cast("int"))
     numbered = started.withColumn("__seq", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    if several:
+        numbered = durable(numbered)
+        line = before(list(keys))
+        goes_on = F.coalesce(near("__begin", F.lag("__end").over(line)), F.lit(False)).cast("int")
+        begin = F.when(F.count("*") == F.count("event_ts"), F.min("event_ts"))  # a slice that begins without a time goes on with nothing
+        # each slice counts its first event as new; where it goes on, its numbers and all later ones are one too high
+        moved = F.coalesce(F.sum("__seqs").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.sum("__on").over(line)
+        ends = {"__begin": begin, "__end": F.max("event_ts"), "__seqs": F.max("__seq")}
+        numbered = carried(numbered, list(keys), ends, {"__on": goes_on}, {"__moved": moved})
+        numbered = numbered.withColumn("__seq", F.col("__seq") + F.coalesce("__moved", F.lit(0))).drop("__moved")
+    numbered = numbered.drop(SLICE)
     parts = [F.coalesce(F.col(keys[0]).cast("string"), F.lit("anon")), *[F.col(k).cast("string") for k in keys[1:]], F.col("__seq").cast("string")]
     tagged = numbered.withColumn("session_id", F.sha2(F.concat_ws(":", *parts), 256))
     has = lambda kind: F.bool_or(F.col("event_type") == kind)

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 from collections import Counter
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions import clean
 from quarrystone.operators import identity, metrics, quality_rules, retrieval, segments
+from quarrystone.plans import scan
 from quarrystone.sources import contracts, readers, sinks
 
 
@@ -192,3 +194,49 @@ def test_sessions_split_at_gaps_and_ties(spark):
     found, placed = metrics.sessionise(events)
     assert sorted(r["event_count"] for r in found.collect()) == [2, 2]
     assert placed.select("session_id").distinct().count() == 2
+
+
+def walked(events, gap):
+    """Session numbers and starts, event by event."""
+    out, last, seq = {}, {}, {}
+    for e in sorted(events, key=lambda e: (e[1] or "", e[2], e[4] is not None, e[4] or 0, e[0])):
+        key = e[1:3]
+        new = key not in last or last[key] is None or e[4] - last[key] > gap * 60
+        seq[key] = seq.get(key, 0) + new
+        last[key] = e[4]
+        out[e[0]] = (key, seq[key])
+    return out
+
+
+@pytest.mark.parametrize("piece", [200, 37])
+def test_sessions_of_one_busy_cookie_are_those_of_a_walk(spark, piece):
+    """Nine events of ten are of one cookie: they are scanned in many slices, and sessions that go on over borders are one."""
+    rng, t, rows = random.Random(piece), 1_700_000_000, []
+    for i in range(1500):
+        t += rng.choice([0, 5, 60, 1799, 1800, 1801, 9000])
+        busy = rng.random() < 0.9
+        rows.append((i, None if busy else rng.choice(["u", None]), "hot" if busy else rng.choice("ab"), "view", t))
+    rows += [(2000 + i, None, "hot", "view", None) for i in range(3)] + [(3000 + i, None, "hot", "purchase", t) for i in range(150)]
+    events = spark.createDataFrame(rows, "event_id int, canonical_customer_id string, device_cookie string, event_type string, s long").select(
+        "*", F.timestamp_seconds("s").alias("event_ts"), F.lit("p").alias("page_url"), F.lit(None).cast("string").alias("utm_source")
+    )
+    sessions, placed = metrics.sessionise(events, piece=piece)
+    want = walked(rows, 30)
+    assert {int(r["event_id"]): r["session_id"] for r in placed.select("event_id", "session_id").collect()} == {
+        i: hashlib.sha256(f"{k[0] or 'anon'}:{k[1]}:{n}".encode()).hexdigest() for i, (k, n) in want.items()
+    }
+    assert sessions.count() == len(set(want.values()))
+    cut, several = scan.sliced(events, ["canonical_customer_id", "device_cookie"], "event_ts", piece)
+    assert several and max(Counter(r[0] for r in cut.where("device_cookie = 'hot'").select(scan.SLICE).collect()).values()) <= 150 + 2 * piece
+
+
+def test_orders_of_one_busy_customer_look_back_over_slices(spark):
+    rng = random.Random(2)
+    rows = [(i, "big" if i % 10 else f"c{i % 40}", rng.randrange(400), 5) for i in range(600)] + [(900, None, 3, 1), (901, "big", None, 1)]
+    orders = spark.createDataFrame(rows, "order_id int, canonical_customer_id string, day int, g int").select(
+        "order_id", "canonical_customer_id", "day", F.when(F.col("day").isNotNull(), F.timestamp_seconds(F.col("day") * 86400 + F.col("order_id"))).alias("order_ts"), F.lit("sale").alias("order_type"),
+        *[F.col("g").cast("decimal(14,2)").alias(c) for c in ("gross_amount", "discount_amount", "shipping_amount", "tax_amount")],
+    )
+    find = lambda piece: sorted(metrics.enrich_orders(orders, piece).select("order_id", "is_first_order", "days_since_previous_order", "net_amount").collect())
+    assert find(40) == find(None) == find(7)
+    assert sum(r["is_first_order"] for r in find(40)) == len({r[1] for r in rows if r[1]})
