@@ -6,11 +6,14 @@ import hashlib
 import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.screen import Screen, marked
+
 #: Severities by rank, their weights, and the weights of dimensions.
 SEVERITIES = ["info", "warn", "quarantine", "reject"]
 SEVERITY_WEIGHT = {"info": 0.1, "warn": 0.4, "quarantine": 1.0, "reject": 1.0}
@@ -96,14 +99,35 @@ def length_range(df, r, ctx):
     return n.isNull() | n.between(r.args.get("min", 0), r.args.get("max", 2**31 - 1))
 
 
+def group_mark(r: Rule) -> str:
+    return f"__group_{r.id}"
+
+
+def group_screen(r: Rule) -> Screen | None:
+    """What makes all rows of a key fail, for rules about keys: several rows, or several values of the second column."""
+    if r.type in ("unique", "duplicate_composite"):
+        return Screen(tuple(r.columns or (r.column,)), F.count("*") > 1)
+    if r.type == "set_consistency":
+        key, value = r.columns
+        return Screen((key,), F.coalesce(F.min(value) != F.max(value), F.lit(False)))
+    return None
+
+
+def with_groups(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``df`` with a mark, for each rule about keys, of the rows whose key fails; rules whose columns are not there are left to fail open."""
+    found = {group_mark(r): s for r in rules if (s := group_screen(r)) and set(r.columns or (r.column,)) <= set(df.columns)}
+    return marked(df, found) if found else df
+
+
 @rule_type
 def unique(df, r, ctx):
-    return F.count("*").over(Window.partitionBy(*(r.columns or (r.column,)))) == 1
+    """No other row has the key; ``with_groups`` has marked the rows."""
+    return ~F.col(group_mark(r))
 
 
 @rule_type
 def duplicate_composite(df, r, ctx):
-    return unique(df, r, ctx)
+    return ~F.col(group_mark(r))
 
 
 @rule_type
@@ -159,10 +183,8 @@ def cross_field_consistency(df, r, ctx):
 
 @rule_type
 def set_consistency(df, r, ctx):
-    """At most one value of the second column for each value of the first."""
-    key, value = r.columns
-    w = Window.partitionBy(key)
-    return F.coalesce(F.min(value).over(w) == F.max(value).over(w), F.lit(True))
+    """At most one value of the second column for each value of the first; ``with_groups`` has marked the rows."""
+    return ~F.col(group_mark(r))
 
 
 def reference_mark(r: Rule) -> str:
@@ -196,6 +218,7 @@ def _failed(applies: Column, passed: Column) -> Column:
 
 def classify(df: DataFrame, rules: list[Rule], ctx: Context = Context()) -> DataFrame:
     """Adds ``dq_failed_rules`` (array of structs) and ``dq_status`` by the worst severity. An unknown result is no failure."""
+    df = with_groups(df, rules)
     built = _columns(df, rules, ctx)
     marks = [
         F.when(_failed(a, p), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.name).alias("rule_name"), F.lit(r.dimension).alias("dimension"), F.lit(r.severity).alias("severity")))
@@ -205,7 +228,7 @@ def classify(df: DataFrame, rules: list[Rule], ctx: Context = Context()) -> Data
     out = df.withColumn("dq_failed_rules", F.array_compact(F.array(*marks)) if marks else empty)
     has = lambda s: F.exists("dq_failed_rules", lambda x: x["severity"] == s)
     status = F.when(F.size("dq_failed_rules") == 0, "accepted").when(has("reject"), "rejected").when(has("quarantine"), "quarantined").otherwise("accepted_with_warning")
-    return out.withColumn("dq_status", status)
+    return out.withColumn("dq_status", status).drop(*map(group_mark, rules))
 
 
 def accepted(classified: DataFrame) -> DataFrame:
@@ -220,19 +243,24 @@ def quarantined_payloads(classified: DataFrame, key: str) -> DataFrame:
 
 
 def rule_results(df: DataFrame, rules: list[Rule], ctx: Context = Context()) -> DataFrame:
-    """One row a rule: applicable, failed and passed rows, failure rate and whether it breaks the rule's threshold. One pass."""
-    built = _columns(df, rules, ctx)
-    flags = df.select(*[F.struct(a.alias("a"), _failed(a, p).alias("f")).alias(f"r{i}") for i, (_, a, p) in enumerate(built)])
-    sums = flags.agg(*[F.struct(F.count_if(f"r{i}.a").alias("applicable"), F.count_if(f"r{i}.f").alias("failed")).alias(f"r{i}") for i in range(len(built))])
-    rows = F.array(*[
-        F.struct(
-            F.lit(r.id).alias("rule_id"), F.lit(r.name).alias("rule_name"), F.lit(r.dimension).alias("dimension"), F.lit(r.severity).alias("severity"),
-            F.lit(r.threshold).cast("double").alias("threshold"), F.col(f"r{i}.applicable").alias("applicable"), F.col(f"r{i}.failed").alias("failed"),
-        )
-        for i, (r, _, _) in enumerate(built)
-    ])
+    """One row a rule: applicable, failed and passed rows, failure rate and whether it breaks the rule's threshold.
+
+    Rules about rows are counted in one pass; each rule about keys is a count of keys, and no row is marked for it.
+    """
+    about_keys = [r for r in rules if group_screen(r) and set(r.columns or (r.column,)) <= set(df.columns)]
+    built = _columns(df, [r for r in rules if r not in about_keys], ctx)
+    head = lambda r: [F.lit(r.id).alias("rule_id"), F.lit(r.name).alias("rule_name"), F.lit(r.dimension).alias("dimension"), F.lit(r.severity).alias("severity"), F.lit(r.threshold).cast("double").alias("threshold")]
+    parts = []
+    if built:
+        flags = df.select(*[F.struct(a.alias("a"), _failed(a, p).alias("f")).alias(f"r{i}") for i, (_, a, p) in enumerate(built)])
+        sums = flags.agg(*[F.struct(F.count_if(f"r{i}.a").alias("applicable"), F.count_if(f"r{i}.f").alias("failed")).alias(f"r{i}") for i in range(len(built))])
+        parts.append(sums.select(F.inline(F.array(*[F.struct(*head(r), F.col(f"r{i}.applicable").alias("applicable"), F.col(f"r{i}.failed").alias("failed")) for i, (r, _, _) in enumerate(built)]))))
+    for r in about_keys:
+        screen, applies = group_screen(r), F.expr(r.applies_when) if r.applies_when else F.lit(True)
+        keys = df.groupBy(*screen.keys).agg(F.count_if(applies).alias("a"), screen.bad.alias("bad"))
+        parts.append(keys.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("applicable"), F.coalesce(F.sum(F.when(F.col("bad"), F.col("a"))), F.lit(0)).alias("failed")).select(*head(r), "applicable", "failed"))
     rate = F.round(F.coalesce(F.try_divide("failed", "applicable"), F.lit(0.0)), 5)
-    return sums.select(F.inline(rows)).withColumns({"passed": F.col("applicable") - F.col("failed"), "failure_rate": rate}).withColumn(
+    return reduce(DataFrame.unionByName, parts).withColumns({"passed": F.col("applicable") - F.col("failed"), "failure_rate": rate}).withColumn(
         "threshold_breached", F.coalesce(F.col("failure_rate") > F.col("threshold"), F.lit(False))
     )
 

@@ -99,10 +99,10 @@ def ntiles(df: DataFrame, key: str, orders: dict[str, tuple[list[Order], int]])
     size = min(MOST, n // INTERVAL)
     width = math.isqrt(size) + 1
     place = {name: _place(rows, order, key) for name, (order, _) in orders.items()}
-    with_cuts = rows.withColumn("__cuts", _cuts(rows, place, key, size / n, width)) if size else rows
-    spot = lambda name: _below(F.col("__cuts")[name], F.col("__cuts")[f"{name} steps"], width, place[name]) if size else F.lit(0)
+    cuts = _cuts(rows, place, key, size / n, width) if size else None
+    spot = lambda name: _below(cuts[name], cuts[f"{name} steps"], width, place[name]) if size else F.lit(0)
     one = lambda name: F.struct(F.lit(name).alias("name"), spot(name).alias("i"), *[(x if other == name else F.lit(None)).alias(other) for other, x in place.items()])
-    spots = with_cuts.select(F.inline(F.array(*map(one, orders))))
+    spots = rows.select(F.inline(F.array(*map(one, orders))))
     counts = {(r["name"], r["i"]): r["n"] for r in spots.groupBy("name", "i").agg(F.count("*").alias("n")).collect()} if size else {(name, 0): n for name in orders}
     asked: dict[tuple[str, int], list[int]] = {}
     for name, (_, tiles) in orders.items():
@@ -119,7 +119,6 @@ def ntiles(df: DataFrame, key: str, orders: dict[str, tuple[list[Order], int]])
     near = near.withColumn("k", F.row_number().over(Window.partitionBy("name", "i").orderBy(*orders)))
     each = near.where(reduce(Column.__or__, [here(*x) & F.col("k").isin(at) for x, at in asked.items()]))
     borders = durable(each.agg(*[F.sort_array(F.collect_list(name)).alias(name) for name in orders]))
-    told = rows.withColumn("__borders", borders.select(F.struct(*orders)).scalar())
-    before = lambda name: F.size(F.filter(F.col("__borders")[name], lambda c: c < place[name]))
-    tile = {name: (before(name) + 1).cast("int") for name in orders}
-    return told.withColumns(tile).drop("__borders")
+    told = borders.select(F.struct(*orders)).scalar()
+    before = lambda name: F.size(F.filter(told[name], lambda c: c < place[name]))
+    return rows.withColumns({name: (before(name) + 1).cast("int") for name in orders})

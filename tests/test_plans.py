@@ -1,12 +1,13 @@
 import random
 import subprocess
 import sys
+from collections import Counter
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from quarrystone.plans import ranking
+from quarrystone.plans import ranking, screen
 from quarrystone.plans.components import connected_components
 from quarrystone.plans.durable import durable, shared_folder
 from quarrystone.plans.forest import best_forest, last_step_that_fits
@@ -152,6 +153,26 @@ def test_orders_are_checked():
         Order("x", "sideways")
 
 
+@pytest.mark.parametrize("bits", [2**23, 64])
+def test_rows_of_repeated_keys_are_marked(spark, monkeypatch, bits):
+    """A third of the rows have null keys, a third one key; with a filter that is full everything is a candidate, and the marks are the same."""
+    monkeypatch.setattr(screen, "BITS", bits)
+    monkeypatch.setattr(screen, "HEAVY", 4)
+    rng = random.Random(bits)
+    rows = [(i, rng.choice([None, 7, rng.randrange(60)]), rng.choice(["a", None, f"s{rng.randrange(40)}"]), rng.choice([1, 1, 1, 2, None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, k int, s string, v int").repartition(6)
+    out = screen.marked(df, {
+        "twice": screen.Screen(("k", "s"), F.count("*") > 1), "mixed": screen.Screen(("s",), F.coalesce(F.min("v") != F.max("v"), F.lit(False))), "never": screen.Screen(("id",), F.count("*") > 1)})
+    pairs, values = Counter((r[1], r[2]) for r in rows), {}
+    for r in rows:
+        values.setdefault(r[2], set()).update({r[3]} - {None})
+    got = {r["id"]: (r["twice"], r["mixed"], r["never"]) for r in out.collect()}
+    assert got == {i: (pairs[k, s] > 1, len(values[s]) > 1, False) for i, k, s, _ in rows}
+    assert out.columns == ["id", "k", "s", "v", "twice", "mixed", "never"]
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    assert screen.marked(df.limit(0), {"twice": screen.Screen(("k",), F.count("*") > 1)}).count() == 0
+
+
 def test_the_entry_imports_without_the_corpus_operators(tmp_path):
     """In a copy without them, the other queries are still there."""
     code = (
