@@ -76,12 +76,16 @@ def _below(cuts: Column, steps: Column, width: int, x: Column) -> Column:
 
 
 def _cuts(rows: DataFrame, place: dict[str, Column], key: str, share: float, width: int) -> Column:
-    """Of each order the ascending places of a draw of the rows, and every width-th of them."""
+    """Of each order the ascending places of a draw of the rows, and every width-th of them: a constant, so that no row carries it.
+
+    A value that JSON rounds makes another cut, and no other result.
+    """
     drawn = rows.where(F.pmod(F.xxhash64(key), F.lit(2**20)) < math.ceil(2**20 * share))
     lists = drawn.agg(*[F.sort_array(F.collect_list(x)).alias(name) for name, x in place.items()])
     every = lambda c: F.transform(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / width).cast("int")), lambda i: F.get(c, i * width))
     steps = [F.when(F.size(name) > 0, every(name)).otherwise(F.col(name)).alias(f"{name} steps") for name in place]
-    return durable(lists.select(F.struct(*place, *steps).alias("cuts"))).scalar()
+    cuts = lists.select(F.struct(*place, *steps).alias("cuts"))
+    return F.from_json(F.lit(cuts.select(F.to_json("cuts")).first()[0]), cuts.schema["cuts"].dataType)
 
 
 def ntiles(df: DataFrame, key: str, orders: dict[str, tuple[list[Order], int]]) -> DataFrame:
@@ -119,6 +123,6 @@ def ntiles(df: DataFrame, key: str, orders: dict[str, tuple[list[Order], int]])
     near = near.withColumn("k", F.row_number().over(Window.partitionBy("name", "i").orderBy(*orders)))
     each = near.where(reduce(Column.__or__, [here(*x) & F.col("k").isin(at) for x, at in asked.items()]))
     borders = durable(each.agg(*[F.sort_array(F.collect_list(name)).alias(name) for name in orders]))
-    told = borders.select(F.struct(*orders)).scalar()
-    before = lambda name: F.size(F.filter(told[name], lambda c: c < place[name]))
-    return rows.withColumns({name: (before(name) + 1).cast("int") for name in orders})
+    told = rows.withColumn("__borders", borders.select(F.struct(*orders)).scalar())
+    before = lambda name: F.size(F.filter(F.col("__borders")[name], lambda c: c < place[name]))
+    return told.withColumns({name: (before(name) + 1).cast("int") for name in orders}).drop("__borders")
