@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean
-from ..plans.components import connected_components
+from ..plans.components import connected_components, updated_components
 from ..plans.durable import durable
 from ..plans.forest import best_forest, last_step_that_fits
 
@@ -157,6 +157,25 @@ def clusters(records: DataFrame, edges: DataFrame) -> DataFrame:
     return every.join(found, every["source_record_key"] == found["vertex"], "left").select("source_record_key", F.coalesce("component", "source_record_key").alias("cluster_key"))
 
 
+def edge_changes(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(added, removed) pairs of records, however often and by whatever rule they are joined."""
+    pair = ["record_a", "record_b"]
+    old, new = (df.select(*pair).distinct() for df in (before, after))
+    return new.join(old, pair, "left_anti"), old.join(new, pair, "left_anti")
+
+
+def updated_clusters(found: DataFrame, records: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """What ``clusters(records, after)`` gives, from the clusters ``found`` of an earlier run and its edges ``before``; clusters without a change are kept as they are.
+
+    New records and edges join clusters, and edges that are gone (as an identifier has become too frequent) part them. Records that are gone must have lost their edges.
+    """
+    added, removed = edge_changes(before, after)
+    labels = found.select(F.col("source_record_key").alias("vertex"), F.col("cluster_key").alias("component"))
+    now = updated_components(labels, after, durable(added), durable(removed), "record_a", "record_b")
+    every = records.select("source_record_key").distinct()
+    return every.join(now, every["source_record_key"] == now["vertex"], "left").select("source_record_key", F.coalesce("component", "source_record_key").alias("cluster_key"))
+
+
 def record_keys(ids: DataFrame) -> DataFrame:
     return ids.select(F.concat_ws(":", "source_system", "source_record_id").alias("source_record_key")).distinct()
 

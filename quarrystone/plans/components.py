@@ -49,3 +49,40 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
                 roots.select("vertex", F.col("vertex").alias("component"))
             )
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def _labels_of(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges (u, v) between what their ends are labelled with; an unknown end is its own label."""
+    for end in ("u", "v"):
+        known = labels.select(F.col("vertex").alias(end), F.col("component").alias("__l"))
+        edges = edges.join(known, end, "left").withColumn(end, F.coalesce("__l", end)).drop("__l")
+    return edges.where("u <> v")
+
+
+def changed_components(labels: DataFrame, edges: DataFrame, added: DataFrame, removed: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``(vertex, component)`` of the vertices whose component is another after a change of edges than in ``labels(vertex, component)``, or that are new.
+
+    ``edges`` are all edges after the change. Added edges are contracted to edges between the labels of their ends, so components that
+    they join are one vertex each, whatever their size. A component that loses an edge falls apart into its vertices, and its own
+    edges that are left count as added. Components that no change touches are neither joined anew nor rewritten. A vertex that has lost
+    all its edges is its own component.
+    """
+    ends = lambda df: df.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
+    broken = durable(ends(removed).join(labels, F.col("u") == F.col("vertex")).select("component").distinct())
+    apart = durable(labels.join(broken, "component", "left_semi").select("vertex", F.col("vertex").alias("component"), F.col("component").alias("was")))
+    kept = labels.join(broken, "component", "left_anti").select("vertex", "component")
+    own = ends(edges).join(apart.select(F.col("vertex").alias("u")), "u", "left_semi").select("u", "v")
+    delta = ends(added).unionAll(own).distinct()
+    now = kept.unionAll(apart.select("vertex", "component"))
+    moved = connected_components(_labels_of(delta, now), "u", "v").withColumnsRenamed({"vertex": "__from", "component": "__to"})
+    new = delta.select(F.explode(F.array("u", "v")).alias("vertex")).distinct().join(labels, "vertex", "left_anti").select("vertex", F.col("vertex").alias("component"), F.lit(None).cast(labels.schema["component"].dataType).alias("was"))
+    touched = kept.join(moved, kept["component"] == moved["__from"], "left_semi").select("vertex", "component", F.col("component").alias("was"))
+    out = touched.unionAll(apart).unionAll(new)
+    out = out.join(moved, out["component"] == moved["__from"], "left").select("vertex", F.coalesce("__to", "component").alias("component"), "was")
+    return durable(out.where(~F.col("component").eqNullSafe(F.col("was"))).select("vertex", "component"))
+
+
+def updated_components(labels: DataFrame, edges: DataFrame, added: DataFrame, removed: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """All labels after the change: those of ``labels`` with what ``changed_components`` gives in their place."""
+    changed = changed_components(labels, edges, added, removed, a, b)
+    return labels.join(changed, "vertex", "left_anti").select("vertex", "component").unionAll(changed)

@@ -410,6 +410,21 @@ def components(spark, d):
     return identity.clusters(identity.record_keys(ids), edges)
 
 
+@query(f"with recursive {COMPONENTS} select * from comp")
+def components_by_batches(spark, d):
+    """Records come in three batches; each changes the clusters of those before it. Identifiers that a later batch makes too frequent take edges away."""
+    ids, attrs = _sources(spark, d)
+    batch = F.substring_index("source_record_id", ":", -1).cast("int") % 3
+    found, before = None, None
+    for i in range(3):
+        so_far = ids.where(batch <= i)
+        after = identity.durable(identity.match(identity.screen(so_far, attrs, SCREEN), attrs))
+        records = identity.record_keys(so_far)
+        found = identity.durable(identity.updated_clusters(found, records, before, after) if i else identity.clusters(records, after))
+        before = after
+    return found
+
+
 def _found(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(identifiers, clusters before the guards, edges)"""
     ids, edges = _edges(spark, d)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrystone.plans import ranking, screen
-from quarrystone.plans.components import connected_components
+from quarrystone.plans.components import changed_components, connected_components, updated_components
 from quarrystone.plans.durable import durable, shared_folder
 from quarrystone.plans.forest import best_forest, last_step_that_fits
 from quarrystone.plans.ranking import Order, ntiles
@@ -54,6 +54,24 @@ def test_components(spark, edges):
     assert {r["vertex"]: r["component"] for r in out.collect()} == union_find(edges)
 
 
+def test_components_follow_changes_of_edges(spark):
+    """After each batch of added and removed edges the labels are those of a full run, and untouched components are not rewritten."""
+    rng = random.Random(1)
+    frame = lambda e: spark.createDataFrame(sorted(e), "a long, b long")
+    pair = lambda: tuple(sorted(rng.sample(range(80), 2)))
+    edges = {pair() for _ in range(35)} | {(500, 501), (501, 502)}
+    labels = durable(connected_components(frame(edges)))
+    for i in range(2):
+        removed = set(rng.sample(sorted(edges - {(500, 501), (501, 502)}), 9))
+        added = {pair() for _ in range(8)} | {(200 + i, 300)} - edges
+        before, edges = dict(map(tuple, labels.collect())), edges - removed | added
+        changed = dict(map(tuple, changed_components(labels, frame(edges), frame(added), frame(removed)).collect()))
+        labels = durable(updated_components(labels, frame(edges), frame(added), frame(removed)))
+        got, full = dict(map(tuple, labels.collect())), union_find(edges)
+        assert {v: c for v, c in got.items() if v in full} == full and all(c == v for v, c in got.items() if v not in full)
+        assert changed == {v: c for v, c in got.items() if before.get(v) != c} and not changed.keys() & {500, 501, 502}
+
+
 def test_best_forest_is_kruskals(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(60), rng.randrange(60), rng.randrange(4)) for _ in range(300)] + [(100, 100, 0), (None, 5, 0), (1, 2, 0), (1, 2, 0), (200, 201, 3)]
