@@ -7,14 +7,17 @@ nation and balance, and from segment and balance.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import clean
-from .operators import identity, metrics, retrieval, segments, serving
+from .operators import identity, metrics, retrieval, segments, serving, textindex
 from .operators import quality_rules as dq
+from .plans.durable import shared_folder
 from .sources.readers import table
 from .sources.sinks import upserted
 
@@ -656,6 +659,19 @@ def customer_search(spark, d):
     return out.select(F.col(metrics.CUSTOMER).alias("customer"), money("total_spend").alias("total_spend"), "churn_risk_band")
 
 
+PATTERNS = ["00012", "OMER#0000001", "build", "e@exa", "7", "Ld", "household@example.com", "customer#000000017", "#", "12", "zzz", ".com0", "0"]
+
+
+@query("select q as pattern, cast(c_custkey as varchar) as customer from customer, (values " + ", ".join(f"('{p}')" for p in PATTERNS) + """) p(q)
+    where contains(lower(c_name), lower(q)) or contains(lower(c_mktsegment) || '@example.com', lower(q)) or cast(c_custkey as varchar) = q""")
+def indexed_search(spark, d):
+    """Every customer that each pattern is found in, from an index of their names, addresses and keys."""
+    made = textindex.postings(_customers(spark, d), metrics.CUSTOMER, ["full_name_display", "primary_email"])
+    index = textindex.write(made, f"{shared_folder(spark)}/{uuid.uuid4().hex}")
+    found = [textindex.find(index, q).select(F.lit(q).alias("pattern"), F.col("key").alias("customer")) for q in PATTERNS]
+    return reduce(DataFrame.unionAll, found)
+
+
 @query("select * from (select o_orderdate as event_ts, 'order' as event_kind, 'order ' || o_orderkey as summary from orders where o_custkey = 7 union all select ts, 'web', event_type || ' ' || event_id from events where user_id = 7) order by event_ts desc, event_kind, summary limit 50")
 def customer_timeline(spark, d):
     key = F.col

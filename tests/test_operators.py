@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrystone.functions import clean
-from quarrystone.operators import identity, metrics, quality_rules, retrieval, segments
+from quarrystone.operators import identity, metrics, quality_rules, retrieval, segments, textindex
 from quarrystone.plans import scan
 from quarrystone.sources import contracts, readers, sinks
 
@@ -239,3 +239,19 @@ def test_orders_of_one_busy_customer_look_back_over_slices(spark):
     find = lambda piece: sorted(metrics.enrich_orders(orders, piece).select("order_id", "is_first_order", "days_since_previous_order", "net_amount").collect())
     assert find(40) == find(None) == find(7)
     assert sum(r["is_first_order"] for r in find(40)) == len({r[1] for r in rows if r[1]})
+
+
+def test_substrings_are_found_by_their_grams(spark, tmp_path):
+    rng = random.Random(6)
+    names = ["".join(rng.choice("aAbé ") for _ in range(rng.randrange(0, 12))) for _ in range(150)] + [None, "", "ab", "a", "aaaaaaa", "x\x00y"]
+    rows = [(i % 140, n, rng.choice([None, "Ab@x", "b"])) for i, n in enumerate(names)]
+    docs = spark.createDataFrame(rows, "id int, name string, mail string")
+    index = textindex.write(textindex.postings(docs, "id", ["name", "mail"]), str(tmp_path / "index"))
+    for q in ("a", "AB", "aab", "abAé", "a a", "aaaaaaa", "aaaaaaaa", "b@", "@x", "ab@x", "zz", "zzz", "12", "139", " ", "é", ""):
+        want = {str(i) for i, *cells in rows if str(i) == q or any(c is not None and q.lower() in c.lower() for c in cells)}
+        got = [r["key"] for r in textindex.find(index, q).collect()]
+        assert len(got) == len(set(got)) and set(got) == want, q
+    assert {r["id"] for r in textindex.search(index, docs, "id", "ab@x").collect()} == {i for i, _, m in rows if m == "Ab@x"}
+    plan = textindex.find(index, "ab@x")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(gram,b@x)" in plan and "customers" not in plan
+    assert "StringStartsWith(gram,b@)" in textindex.find(index, "b@")._jdf.queryExecution().executedPlan().toString()
