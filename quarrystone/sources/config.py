@@ -5,13 +5,9 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from ..operators.quality_rules import Rule
+from ..operators.quality_rules import BUILDERS, Rule
 from ..operators.segments import Segment
 
-#: Keys of a rule that are fields of their own; all others are arguments of its type.
-_OWN = {"id", "name", "dimension", "type", "severity", "column", "columns", "applies_when", "threshold_dataset_fail_rate"}
-
-
 def parse(text: str) -> Any:
     try:
         return json.loads(text)
@@ -31,19 +27,35 @@ def segments(text: str) -> list[Segment]:
     return [Segment(s["id"], s.get("name", ""), s["rule_ast"], s.get("thresholds") or {}, s.get("null_handling", "exclude"), s.get("description", "")) for s in found]
 
 
+#: What a rule must and may have besides its type's own arguments.
+_NEEDED, _OPTIONAL = {"id", "dimension", "type"}, {"name", "severity", "column", "columns", "applies_when", "threshold_dataset_fail_rate"}
+
+
+def rule(entry: dict[str, Any]) -> Rule:
+    """One rule; an entry that lacks an id, a dimension or a known type is refused by its id. Keys that no rule has are arguments of the type."""
+    if missing := sorted(_NEEDED - entry.keys()):
+        raise ValueError(f"rule {entry.get('id')} has no {', '.join(missing)}")
+    if entry["type"] not in BUILDERS:
+        raise ValueError(f"rule {entry['id']} is of the unknown type {entry['type']}")
+    own = {k: v for k, v in entry.items() if k in _NEEDED | _OPTIONAL and v is not None}
+    own["threshold"] = own.pop("threshold_dataset_fail_rate", None)
+    own["columns"] = tuple(own.get("columns", ()))
+    listed = {k: tuple(v) if isinstance(v, list) else v for k, v in entry.items() if k not in _NEEDED | _OPTIONAL}
+    return Rule(**{"name": "", **own}, args=listed)
+
+
 def rules(text: str) -> dict[str, list[Rule]]:
-    """Rules by dataset, of ``{"datasets": {name: {"rules": [...]}}}``; a dataset may also be the list of its rules."""
+    """Rules by dataset. The format is ``{"datasets": {name: {"rules": [entry, ...]}}}`` and no other; ids must differ within a dataset."""
     found = parse(text)
+    if not isinstance(found, dict) or not isinstance(found.get("datasets"), dict):
+        raise ValueError("no mapping of datasets")
     out = {}
-    for dataset, body in found.get("datasets", found).items():
-        listed = body.get("rules", []) if isinstance(body, dict) else body
-        out[dataset] = [
-            Rule(
-                r["id"], r.get("name", ""), r["dimension"], r["type"], r.get("severity", "warn"), r.get("column"), tuple(r.get("columns") or ()), r.get("applies_when"),
-                r.get("threshold_dataset_fail_rate"), {k: tuple(v) if isinstance(v, list) else v for k, v in r.items() if k not in _OWN},
-            )
-            for r in listed
-        ]
+    for dataset, body in found["datasets"].items():
+        if not isinstance(body, dict) or not isinstance(body.get("rules"), list):
+            raise ValueError(f"dataset {dataset} has no list of rules")
+        out[dataset] = [rule(e) for e in body["rules"]]
+        if len({r.id for r in out[dataset]}) < len(out[dataset]):
+            raise ValueError(f"dataset {dataset} repeats the id of a rule")
     return out
 
 

@@ -10,17 +10,14 @@ from pyspark.sql import types as T
 
 from ..functions import clean
 
-LOYALTY = ["dd/MM/yyyy HH:mm"]
+ISO, MIXED, LOYALTY = tuple(clean.ISO), tuple(clean.MIXED), ("dd/MM/yyyy HH:mm",)
 
 
 @dataclass(frozen=True)
 class Field:
     name: str
     kind: str
-    required: bool
-    role: str
-    sensitivity: str
-    namespace: str | None = None
+    required: bool = False
     patterns: tuple[str, ...] = ()
     true_words: tuple[str, ...] = ("true", "1", "yes", "y")
     false_words: tuple[str, ...] = ("false", "0", "no", "n")
@@ -31,153 +28,140 @@ class Contract:
     name: str
     source: str
     key: tuple[str, ...]
-    fields: tuple[Field, ...]
     layout: str
+    fields: tuple[Field, ...]
     options: dict[str, str] = field(default_factory=dict)
 
     def raw_schema(self) -> T.StructType:
-        """All strings, arrays aside; the role and sensitivity are in the metadata."""
-        return T.StructType([
-            T.StructField(f.name, T.ArrayType(T.StringType()) if f.kind == "array" else T.StringType(), True, {"role": f.role, "sensitivity": f.sensitivity})
-            for f in self.fields
-        ])
-
-
-def _contract(name: str, source: str, key: str, layout: str, text: str, **options: str) -> Contract:
-    """From lines of: name, kind (! if required), role, sensitivity, then namespace=, ts=, true=, false=."""
-    fields = []
-    for line in text.strip().splitlines():
-        column, kind, role, sensitivity, *more = line.split()
-        extra = dict(x.split("=") for x in more)
-        stamps = {"iso": clean.ISO, "mixed": clean.MIXED, "loyalty": LOYALTY}.get(extra.get("ts", ""), [])
-        words = {f"{k}_words": tuple(extra[k].split("/")) for k in ("true", "false") if k in extra}
-        fields.append(Field(column, kind.rstrip("!"), kind.endswith("!"), role, sensitivity, extra.get("ns"), tuple(stamps), **words))
-    return Contract(name, source, tuple(key.split()), tuple(fields), layout, options)
-
-
-#: The columns of the source files.
-CRM = _contract("customers_crm", "crm", "crm_customer_id", "csv", """
-crm_customer_id string! identifier internal ns=crm_id
-first_name string! name pii
-last_name string! name pii
-email string identifier pii ns=email
-phone string identifier pii ns=phone
-date_of_birth date demographic sensitive_pii
-gender string demographic sensitive_pii
-city string address pii
-state string address pii
-country string address internal
-postal_code string address pii
-account_status string! status internal
-signup_channel string attribute internal
-created_at timestamp! audit internal ts=iso
-updated_at timestamp! audit internal ts=iso
-""")
-LOYALTY_MEMBERS = _contract("loyalty_members", "loyalty", "loyalty_id", "csv", """
-loyalty_id string! identifier internal ns=loyalty_id
-member_name string! name pii
-mobile string! identifier pii ns=phone
-email_address string identifier pii ns=email
-tier string! attribute internal
-points_balance integer! attribute internal
-enrolled_on date! audit internal
-home_store string attribute internal
-city string address pii
-country_code string address internal
-last_updated timestamp! audit internal ts=loyalty
-""", sep=";")
-APP_USERS = _contract("app_users", "app", "app_user_id", "json", """
-app_user_id string! identifier internal ns=app_user_id
-email string! identifier pii ns=email
-display_name string name pii
-phone_verified boolean attribute internal true=y/yes/1/true false=n/no/0/false
-phone string identifier pii ns=phone
-locale string attribute internal
-signup_ts timestamp! audit internal ts=iso
-marketing_opt_in boolean consent sensitive_pii true=true/1 false=false/0
-last_login_ts timestamp audit internal ts=iso
-device_cookies array identifier internal
-""")
-PRODUCTS = _contract("products", "catalogue", "product_id", "csv", """
-product_id string! identifier internal
-sku string! identifier internal
-product_name string! attribute internal
-category_id string! identifier internal
-category_name string! attribute internal
-brand string attribute internal
-unit_price decimal! money internal
-currency string! money internal
-is_active boolean! status internal
-stock_qty integer attribute internal
-launched_on date audit internal
-""")
-ORDERS = _contract("orders", "orders", "order_id", "json", """
-order_id string! identifier internal
-customer_ref string identifier pii
-customer_ref_type string attribute internal
-order_ts timestamp! audit internal ts=mixed
-order_status string! status internal
-order_type string! attribute internal
-currency string! money internal
-gross_amount decimal! money internal
-discount_amount decimal money internal
-shipping_amount decimal money internal
-tax_amount decimal money internal
-payment_method string attribute internal
-channel string attribute internal
-ship_country string address internal
-updated_at timestamp! audit internal ts=iso
-""")
-ORDER_ITEMS = _contract("order_items", "orders", "order_id line_number", "csv", """
-order_id string! identifier internal
-line_number integer! identifier internal
-product_id string! identifier internal
-quantity integer! attribute internal
-unit_price decimal! money internal
-line_discount decimal money internal
-""")
-WEB_EVENTS = _contract("web_events", "clickstream", "event_id", "dated_json", """
-event_id string identifier internal
-event_type string! attribute internal
-event_ts timestamp! audit internal ts=iso
-app_user_id string identifier internal ns=app_user_id
-device_cookie string! identifier internal ns=device_cookie
-session_hint string attribute internal
-page_url string attribute internal
-referrer string attribute internal
-product_id string identifier internal
-search_term string attribute internal
-cart_value decimal money internal
-utm_source string attribute internal
-utm_medium string attribute internal
-utm_campaign string attribute internal
-device_type string attribute internal
-country string address internal
-user_agent string attribute internal
-""")
-SUPPORT_TICKETS = _contract("support_tickets", "support", "ticket_id", "csv", """
-ticket_id string! identifier internal
-requester_email string! identifier pii ns=email
-subject string! attribute internal
-category string! attribute internal
-priority string! attribute internal
-status string! status internal
-created_at timestamp! audit internal ts=iso
-first_response_at timestamp audit internal ts=iso
-resolved_at timestamp audit internal ts=iso
-satisfaction_score integer attribute internal
-order_id string identifier internal
-""")
-MARKETING_EVENTS = _contract("marketing_events", "marketing", "campaign_id recipient_email event_type event_ts", "json", """
-campaign_id string! identifier internal
-campaign_name string! attribute internal
-channel string! attribute internal
-recipient_email string! identifier pii ns=email
-event_type string! attribute internal
-event_ts timestamp! audit internal ts=iso
-link_url string attribute internal
-product_id string identifier internal
-""")
+        """All strings, arrays aside."""
+        return T.StructType([T.StructField(f.name, T.ArrayType(T.StringType()) if f.kind == "array" else T.StringType()) for f in self.fields])
+
+
+#: The columns of the source files, their types, and how their timestamps and booleans are written.
+# fmt: off
+CRM = Contract("customers_crm", "crm", ("crm_customer_id",), "csv", (
+    Field("crm_customer_id", "string", required=True),
+    Field("first_name", "string", required=True),
+    Field("last_name", "string", required=True),
+    Field("email", "string"),
+    Field("phone", "string"),
+    Field("date_of_birth", "date"),
+    Field("gender", "string"),
+    Field("city", "string"),
+    Field("state", "string"),
+    Field("country", "string"),
+    Field("postal_code", "string"),
+    Field("account_status", "string", required=True),
+    Field("signup_channel", "string"),
+    Field("created_at", "timestamp", required=True, patterns=ISO),
+    Field("updated_at", "timestamp", required=True, patterns=ISO),
+))
+LOYALTY_MEMBERS = Contract("loyalty_members", "loyalty", ("loyalty_id",), "csv", (
+    Field("loyalty_id", "string", required=True),
+    Field("member_name", "string", required=True),
+    Field("mobile", "string", required=True),
+    Field("email_address", "string"),
+    Field("tier", "string", required=True),
+    Field("points_balance", "integer", required=True),
+    Field("enrolled_on", "date", required=True),
+    Field("home_store", "string"),
+    Field("city", "string"),
+    Field("country_code", "string"),
+    Field("last_updated", "timestamp", required=True, patterns=LOYALTY),
+), {"sep": ";"})
+APP_USERS = Contract("app_users", "app", ("app_user_id",), "json", (
+    Field("app_user_id", "string", required=True),
+    Field("email", "string", required=True),
+    Field("display_name", "string"),
+    Field("phone_verified", "boolean", true_words=("y", "yes", "1", "true"), false_words=("n", "no", "0", "false")),
+    Field("phone", "string"),
+    Field("locale", "string"),
+    Field("signup_ts", "timestamp", required=True, patterns=ISO),
+    Field("marketing_opt_in", "boolean", true_words=("true", "1"), false_words=("false", "0")),
+    Field("last_login_ts", "timestamp", patterns=ISO),
+    Field("device_cookies", "array"),
+))
+PRODUCTS = Contract("products", "catalogue", ("product_id",), "csv", (
+    Field("product_id", "string", required=True),
+    Field("sku", "string", required=True),
+    Field("product_name", "string", required=True),
+    Field("category_id", "string", required=True),
+    Field("category_name", "string", required=True),
+    Field("brand", "string"),
+    Field("unit_price", "decimal", required=True),
+    Field("currency", "string", required=True),
+    Field("is_active", "boolean", required=True),
+    Field("stock_qty", "integer"),
+    Field("launched_on", "date"),
+))
+ORDERS = Contract("orders", "orders", ("order_id",), "json", (
+    Field("order_id", "string", required=True),
+    Field("customer_ref", "string"),
+    Field("customer_ref_type", "string"),
+    Field("order_ts", "timestamp", required=True, patterns=MIXED),
+    Field("order_status", "string", required=True),
+    Field("order_type", "string", required=True),
+    Field("currency", "string", required=True),
+    Field("gross_amount", "decimal", required=True),
+    Field("discount_amount", "decimal"),
+    Field("shipping_amount", "decimal"),
+    Field("tax_amount", "decimal"),
+    Field("payment_method", "string"),
+    Field("channel", "string"),
+    Field("ship_country", "string"),
+    Field("updated_at", "timestamp", required=True, patterns=ISO),
+))
+ORDER_ITEMS = Contract("order_items", "orders", ("order_id", "line_number",), "csv", (
+    Field("order_id", "string", required=True),
+    Field("line_number", "integer", required=True),
+    Field("product_id", "string", required=True),
+    Field("quantity", "integer", required=True),
+    Field("unit_price", "decimal", required=True),
+    Field("line_discount", "decimal"),
+))
+WEB_EVENTS = Contract("web_events", "clickstream", ("event_id",), "dated_json", (
+    Field("event_id", "string"),
+    Field("event_type", "string", required=True),
+    Field("event_ts", "timestamp", required=True, patterns=ISO),
+    Field("app_user_id", "string"),
+    Field("device_cookie", "string", required=True),
+    Field("session_hint", "string"),
+    Field("page_url", "string"),
+    Field("referrer", "string"),
+    Field("product_id", "string"),
+    Field("search_term", "string"),
+    Field("cart_value", "decimal"),
+    Field("utm_source", "string"),
+    Field("utm_medium", "string"),
+    Field("utm_campaign", "string"),
+    Field("device_type", "string"),
+    Field("country", "string"),
+    Field("user_agent", "string"),
+))
+SUPPORT_TICKETS = Contract("support_tickets", "support", ("ticket_id",), "csv", (
+    Field("ticket_id", "string", required=True),
+    Field("requester_email", "string", required=True),
+    Field("subject", "string", required=True),
+    Field("category", "string", required=True),
+    Field("priority", "string", required=True),
+    Field("status", "string", required=True),
+    Field("created_at", "timestamp", required=True, patterns=ISO),
+    Field("first_response_at", "timestamp", patterns=ISO),
+    Field("resolved_at", "timestamp", patterns=ISO),
+    Field("satisfaction_score", "integer"),
+    Field("order_id", "string"),
+))
+MARKETING_EVENTS = Contract("marketing_events", "marketing", ("campaign_id", "recipient_email", "event_type", "event_ts",), "json", (
+    Field("campaign_id", "string", required=True),
+    Field("campaign_name", "string", required=True),
+    Field("channel", "string", required=True),
+    Field("recipient_email", "string", required=True),
+    Field("event_type", "string", required=True),
+    Field("event_ts", "timestamp", required=True, patterns=ISO),
+    Field("link_url", "string"),
+    Field("product_id", "string"),
+))
+# fmt: on
 CONTRACTS = {c.name: c for c in (CRM, LOYALTY_MEMBERS, APP_USERS, PRODUCTS, ORDERS, ORDER_ITEMS, WEB_EVENTS, SUPPORT_TICKETS, MARKETING_EVENTS)}
 
 

@@ -59,11 +59,11 @@ def test_broken_json_lines_survive(spark, tmp_path):
 
 
 def test_bad_values_become_null_in_typing(spark):
-    f = contracts.Field("x", "decimal", False, "", "")
+    f = contracts.Field("x", "decimal")
     assert float(one(spark, contracts.typed_column(f, F.lit("₹ 1,234.50")))) == 1234.5
     assert one(spark, contracts.typed_column(f, F.lit("abc"))) is None
-    assert one(spark, contracts.typed_column(contracts.Field("x", "boolean", False, "", ""), F.lit("YES"))) is True
-    assert one(spark, contracts.typed_column(contracts.Field("x", "integer", False, "", ""), F.lit("unknown"))) is None
+    assert one(spark, contracts.typed_column(contracts.Field("x", "boolean"), F.lit("YES"))) is True
+    assert one(spark, contracts.typed_column(contracts.Field("x", "integer"), F.lit("unknown"))) is None
 
 
 def test_upserts_match_null_keys(spark):

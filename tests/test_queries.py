@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quarrystone import view_queries  # noqa: F401 - adds its queries
+from quarrystone import source_queries, view_queries  # noqa: F401 - add their queries
 from quarrystone.queries import ORACLES, QUERIES
 
 FOLDER = Path("/root/testdata/sf0.001")

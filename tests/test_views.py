@@ -14,6 +14,12 @@ def test_segments_and_rules_from_text(spark):
     assert config.denied('{"email_local_parts": ["Info"], "values": ["000"]}') == (["000"], ["info"])
 
 
+@pytest.mark.parametrize("text", ['[]', '{"c": []}', '{"datasets": {"c": []}}', '{"datasets": {"c": {"rules": [{"id": "R", "type": "unique"}]}}}', '{"datasets": {"c": {"rules": [{"id": "R", "dimension": "validity", "type": "no_such"}]}}}'])
+def test_other_forms_of_rules_are_refused(text):
+    with pytest.raises(ValueError):
+        config.rules(text)
+
+
 def test_yaml_where_its_parser_is_installed():
     pytest.importorskip("yaml")
     assert config.denied("local_parts: [info, sales]\nvalues:\n  - '0000'") == (["0000"], ["info", "sales"])
