@@ -2,15 +2,17 @@
 
 Block i (from 0) of a source of weight w, a share of all, is released at slot floor(i / w) and due by slot
 ceil((i + 1) / w); each slot goes to the released block with the earliest deadline. Weights are whole numbers over their
-sum, without rounding. Slots are cut into windows, and up to each cut a source has had its target rounded down or up, so
-that all add up to the slots. A window is long enough for one block of every source, so these counts never fall, and
-the blocks between two cuts fit the slots between them: every window is scheduled in a task, without the others.
+sum, without rounding. Slots are cut into windows, and up to each cut a source has had its target rounded down or up. Which are rounded
+up is decided at the cut alone, such that the slots before it can hold all that are, and those after it all others, each block between its
+release and its deadline. A window is long enough for one block of every source, so counts never fall, and
+every window is scheduled in a task, without the others.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections import Counter
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -48,10 +50,37 @@ def whole(weights: dict[str, float]) -> dict[str, int]:
 
 
 def cut(w: dict[str, int], slots: int) -> dict[str, int]:
-    """Blocks of each source up to a cut: its target rounded down or up, together as many as there are slots."""
+    """Blocks of each source up to a cut: its target rounded down or up, together as many as there are slots.
+
+    A source whose target is not whole has one block that is released before the cut and due after it, on either side. Those put before it must
+    be so many that the slots from any x to the cut are not too few for what is released from x on: of those released before x, at most as many as
+    all targets at x, rounded up, exceed x may be left. Where one more must be chosen it is the one due first, and no more are than must be
+    until all that are released are known; so as few as can be are due late, and what is left after the cut can keep its deadlines.
+    """
     total = sum(w.values())
     out = {s: slots * x // total for s, x in w.items()}
-    for s in sorted(w, key=lambda s: (-(slots * w[s] % total), s))[: slots - sum(out.values())]:
+    spare = slots - sum(out.values())
+    if not spare:
+        return out
+    open_ = [(out[s] * total // w[s], -(-(out[s] + 1) * total // w[s]), s) for s in sorted(w) if slots * w[s] % total]
+    at = min(open_)[0] + 1
+    released = Counter(i * total // v for v in w.values() for i in range(-(-at * v // total), -(-slots * v // total)))
+    left = sum(-(-at * v // total) for v in w.values()) - at  # at slot ``at``: blocks that are open less slots that are filled
+    by_slot: dict[int, list[tuple[int, str]]] = {}
+    for release, due, s in open_:
+        by_slot.setdefault(release + 1, []).append((due, s))
+    ready: list[tuple[int, str]] = []
+    chosen: list[str] = []
+    for x in range(at, slots):
+        for one in by_slot.get(x, ()):
+            heapq.heappush(ready, one)
+        while len(ready) > left:
+            chosen.append(heapq.heappop(ready)[1])
+        left += released[x] - 1
+    ready += by_slot.get(slots, ())
+    heapq.heapify(ready)
+    chosen += [heapq.heappop(ready)[1] for _ in range(spare - len(chosen))]
+    for s in chosen:
         out[s] += 1
     return out
 

@@ -143,6 +143,32 @@ def test_every_prefix_follows_the_exact_weights(weights):
                 assert all(abs(done[t] * total - soon * w[t]) < total for t in w)
 
 
+def in_windows(w, length, windows):
+    """Prefixes that miss a target by a block or more, and blocks outside their own release and deadline."""
+    total, done, at, off, late = sum(w.values()), Counter(), 0, 0, 0
+    for k in range(windows):
+        for s, i, slot, release, deadline in mixing.window(w, k * length, (k + 1) * length):
+            assert (slot, i) == (at, done[s])
+            done[s] += 1
+            at += 1
+            late += not release <= slot < deadline
+            off += any(abs(done[t] * total - at * w[t]) >= total for t in w)
+    return off, late
+
+
+def test_thirty_sources_over_twenty_windows():
+    assert in_windows({f"s{i:02}": [1, 3, 7, 50][i % 4] for i in range(30)}, 1024, 20) == (0, 0)
+
+
+def test_a_thousand_random_weightings_keep_every_prefix_and_deadline():
+    rng = random.Random(11)
+    for _ in range(1000):
+        kind = rng.randrange(4)
+        w = mixing.whole({f"s{i:02}": [rng.randrange(1, 60), rng.choice([1, 3, 7, 50]), rng.randrange(1, 200) if not i else 1, rng.randrange(10**5, 10**6)][kind] for i in range(rng.randrange(2, 30))})
+        length = max(16, -(-sum(w.values()) // min(w.values())))
+        assert in_windows(w, length, 3 if length < 600 else 2) == (0, 0), w
+
+
 def test_mixed_rows_follow_the_exact_weights(spark):
     """Far past one period: rounded to 1024 slots, the targets are missed by more than a block."""
     weights = {"a": 0.9, "b": 0.09, "c": 0.01}
