@@ -87,12 +87,8 @@ def _blocks(vectors: DataFrame, key: str, vector: str, rows: int, name: str) ->
     return picked.repartition(32).mapInPandas(run, f"{name}_ids binary, {name}_vectors binary, {name}_dim int")
 
 
-def nearest_each(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", floor: float | None = None) -> DataFrame:
-    """``(query_id, key, score)``: for every row of ``queries`` the k rows of highest cosine similarity, exactly; ties by key.
-
-    Blocks of queries meet blocks of vectors; a matrix product rules out what is surely not among a block's k best,
-    the others are scored by sums in order of dimensions, and the blocks' best are merged by query. Rows without a vector, or whose length is 0, have none.
-    """
+def best_of_blocks(k: int, key: str, floor: float | None):
+    """Of a block of queries beside a block of vectors, each query's k best: a matrix product rules out what is surely not among them, the others are scored by sums in order of dimensions."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -119,8 +115,16 @@ def nearest_each(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec
                 best = np.arange(len(a)) - np.searchsorted(a, a) < k
                 yield pd.DataFrame({"query_id": qi[a[best]], key: vi[b[best]], "score": score[best]})
 
+    return run
+
+
+def nearest_each(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", floor: float | None = None) -> DataFrame:
+    """``(query_id, key, score)``: for every row of ``queries`` the k rows of highest cosine similarity, exactly; ties by key.
+
+    Blocks of queries meet blocks of vectors, and the blocks' best are merged by query. Rows without a vector, or whose length is 0, have none.
+    """
     pairs = _blocks(vectors, key, vector, 4096, "v").crossJoin(_blocks(queries, key, vector, 512, "q"))
-    found = pairs.mapInPandas(run, f"query_id long, {key} long, score double")
+    found = pairs.mapInPandas(best_of_blocks(k, key, floor), f"query_id long, {key} long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
     return found.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
 

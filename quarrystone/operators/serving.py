@@ -130,17 +130,6 @@ def run_stages(stages: DataFrame, run_id: int) -> DataFrame:
     return stages.where(F.col("run_id") == run_id).orderBy("stage_order")
 
 
-def segment_list(segments: DataFrame, members: DataFrame) -> DataFrame:
-    """Segments with their member count (0 for none)."""
-    n = members.groupBy("segment_id").agg(F.count("*").alias("member_count"))
-    return segments.join(n, "segment_id", "left").withColumn("member_count", F.coalesce("member_count", F.lit(0))).orderBy("segment_id")
-
-
-def segment_members(members: DataFrame, customers: DataFrame, segment: str, limit: int = 50, offset: int = 0) -> DataFrame:
-    kept = members.where(F.col("segment_id") == segment).join(customers, KEY)
-    return kept.orderBy(KEY).offset(offset).limit(limit)
-
-
 # Declared by the data model, computed here
 
 
@@ -180,13 +169,30 @@ def category_affinity(lines: DataFrame, products: DataFrame) -> DataFrame:
     return sums.select(KEY, "category", "spend", F.try_divide(F.col("spend").cast("double"), total.cast("double")).alias("share"))
 
 
-def co_purchase(lines: DataFrame, least: int = 2) -> DataFrame:
-    """Pairs of products in at least ``least`` common orders, with lift. Baskets are small, so pairs of one order are few."""
+def basket_pairs(basket: DataFrame, tile: int = 500) -> DataFrame:
+    """``(product_a, product_b)``, a < b, once for each order of ``basket(order_id, product_id)``, distinct, that has both.
+
+    An order of more than ``tile`` products is cut into tiles by a hash; each pair of tiles is a key of its own, to which the products of both are sent, so no task
+    pairs all of a large order.
+    """
+    sizes = basket.groupBy("order_id").agg(F.ceil(F.count("*") / tile).cast("int").alias("k"))
+    rows = basket.join(sizes, "order_id").withColumn("own", F.pmod(F.xxhash64("product_id"), F.col("k")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = rows.select("order_id", "product_id", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    a, b = rows.alias("a"), rows.alias("b")
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("order_id", "low", "high")]
+    both = (F.least("a.own", "b.own") == F.col("a.low")) & (F.greatest("a.own", "b.own") == F.col("a.high"))
+    pairs = a.join(b, on[0] & on[1] & on[2] & both & (F.col("a.product_id") < F.col("b.product_id")))
+    return pairs.select(F.col("a.product_id").alias("product_a"), F.col("b.product_id").alias("product_b"))
+
+
+def co_purchase(lines: DataFrame, least: int = 2, tile: int = 500) -> DataFrame:
+    """Pairs of products in at least ``least`` common orders, with lift. Products in fewer orders than that are in no such pair and are not paired."""
     basket = lines.select("order_id", "product_id").distinct()
     n = basket.select("order_id").distinct().agg(F.count("*").alias("n"))
-    single = basket.groupBy("product_id").agg(F.count("*").alias("c"))
-    a, b = basket.withColumnRenamed("product_id", "product_a"), basket.withColumnRenamed("product_id", "product_b")
-    pairs = a.join(b, "order_id").where("product_a < product_b").groupBy("product_a", "product_b").agg(F.count("*").alias("orders_together")).where(F.col("orders_together") >= least)
+    single = basket.groupBy("product_id").agg(F.count("*").alias("c")).where(F.col("c") >= least)
+    frequent = basket.join(single, "product_id", "left_semi").select("order_id", "product_id")
+    pairs = basket_pairs(frequent, tile).groupBy("product_a", "product_b").agg(F.count("*").alias("orders_together")).where(F.col("orders_together") >= least)
     out = pairs.join(single.select(F.col("product_id").alias("product_a"), F.col("c").alias("ca")), "product_a").join(single.select(F.col("product_id").alias("product_b"), F.col("c").alias("cb")), "product_b")
     return out.crossJoin(F.broadcast(n)).select("product_a", "product_b", "orders_together", (F.col("orders_together") * F.col("n") / (F.col("ca") * F.col("cb"))).alias("lift"))
 

@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import clean
-from .operators import identity, metrics, retrieval, segments, serving, textindex
+from .operators import identity, metrics, retrieval, segments, serving, textindex, vectorindex
 from .operators import quality_rules as dq
 from .plans.durable import shared_folder
 from .sources.readers import table
-from .sources.sinks import upserted
+from .sources.sinks import merge_keyed, read_keyed, upserted, write_keyed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -743,7 +743,7 @@ def order_cube(spark, d):
     return serving.order_status_cube(order_facts(spark, d), ("order_type", "o_orderpriority")).withColumn("revenue", money("revenue"))
 
 
-@query(f"with {METRICS} select 'order_count_not_negative' as check_name, count(*) filter (order_count < 0) as violations from metrics union all select 'aov_not_negative', count(*) filter (aov < 0) from metrics union all select 'churn_band_known', 0 from (select 1)")
+@query(f"with {METRICS} select 'order_count_not_negative' as check_name, count(*) filter (order_count < 0) as violations from metrics union all select 'aov_not_negative', count(*) filter (aov < 0) from metrics union all select 'churn_band_known', count(*) filter (band not in ('no_purchase_history', 'active', 'at_risk', 'churned')) from metrics")
 def check_violations(spark, d):
     return serving.check_violations(metric_table(spark, d))
 
@@ -755,6 +755,16 @@ def keyed_upsert(spark, d):
     return upserted(old, new, ["order_id"])
 
 
+@query("select o_orderkey as order_id, case when o_orderkey < 200 then 0.0 else o_totalprice end as amount from orders where o_orderkey % 5 <> 1 or o_orderkey < 200")
+def merged_orders(spark, d):
+    """Orders as a table in folders, into which the first few are merged: only their folders are rewritten."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("amount"))
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    write_keyed(o.where("order_id % 5 <> 1"), path, ["order_id"])
+    merge_keyed(spark, path, o.where("order_id < 200").withColumn("amount", F.lit(0.0)), ["order_id"])
+    return read_keyed(spark, path)
+
+
 # Documents and retrieval
 
 
@@ -798,6 +808,19 @@ def retrieval_floor_each(spark, d):
     return retrieval.nearest_each(vectors.where("vec_id % 20 = 0"), vectors, 50, floor=retrieval.FLOOR).withColumn("score", F.round("score", 6))
 
 
+@query(ORACLES["vector_topk_each"])
+def indexed_topk_each(spark, d):
+    """As ``vector_topk_each``, by an index that passes over what can be no neighbour."""
+    vectors = table(spark, d, "embeddings")
+    return vectorindex.nearest_indexed(vectorindex.build(vectors), vectors.where("vec_id % 20 = 0"), 10).withColumn("score", F.round("score", 6))
+
+
+@query(ORACLES["retrieval_floor_each"])
+def indexed_floor_each(spark, d):
+    vectors = table(spark, d, "embeddings")
+    return vectorindex.nearest_indexed(vectorindex.build(vectors), vectors.where("vec_id % 20 = 0"), 50, floor=retrieval.FLOOR).withColumn("score", F.round("score", 6))
+
+
 EMBEDDED = """t as (select item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) tok from benchmark),
     h as (select item_id, sha256(tok) s from t), e as (select item_id, cast(cast('0x' || left(s, 8) as bigint) % 256 as int) idx, sum(case when cast('0x' || substring(s, 9, 2) as int) % 2 = 0 then 1 else -1 end) v from h group by 1, 2)"""
 

@@ -2,12 +2,14 @@ import hashlib
 import json
 import random
 from collections import Counter
+from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quarrystone.functions import clean
-from quarrystone.operators import identity, metrics, quality_rules, retrieval, segments, textindex
+from quarrystone.operators import identity, metrics, quality_rules, retrieval, segments, serving, textindex, vectorindex
 from quarrystone.plans import scan
 from quarrystone.sources import contracts, readers, sinks
 
@@ -255,3 +257,47 @@ def test_substrings_are_found_by_their_grams(spark, tmp_path):
     plan = textindex.find(index, "ab@x")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(gram,b@x)" in plan and "customers" not in plan
     assert "StringStartsWith(gram,b@)" in textindex.find(index, "b@")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_indexed_neighbours_are_those_of_all_pairs(spark):
+    """Groups around a few directions, copies, ties, zeros, nulls and two lengths; most rows are passed over."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 8))
+    rows = [(i, (centres[i % 12] + 0.05 * rng.normal(size=8)).tolist()) for i in range(1500)] + [(2000 + i, centres[0].tolist()) for i in range(300)]
+    rows += [(3000, [0.0] * 8), (3001, None), (3002, []), (3003, [1.0, None] + [0.0] * 6), (None, centres[1].tolist())] + [(4000 + i, [1.0, float(i), 2.0]) for i in range(6)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = vectors.where("vec_id % 97 = 0 or vec_id = 2000 or vec_id = 4002 or vec_id = 3000")
+    index = vectorindex.build(vectors)
+    for k, floor in ((40, 0.9), (400, None)):
+        want = retrieval.nearest_each(asked, vectors, k, floor=floor)
+        assert sorted(vectorindex.nearest_indexed(index, asked, k, floor).collect()) == sorted(want.collect())
+    q = vectorindex._usable(asked, "vec_id", "embedding", 8).withColumn("least", F.lit(0.9))
+    compared = vectorindex.probes(index, q, 5).groupBy("k").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
+    assert compared < 0.4 * 1800 and index.units["n"].sum() == 1800
+    assert vectorindex.build(vectors.where("vec_id >= 3001 and vec_id <= 3002")) is None
+
+
+def test_a_basket_of_everything_is_paired_in_tiles(spark):
+    rng = random.Random(9)
+    rows = [("all", p) for p in range(90)] + [(f"o{i}", rng.randrange(120)) for i in range(40) for _ in range(5)] + [("o1", 3), ("o1", 3)]
+    lines = spark.createDataFrame(rows, "order_id string, product_id int")
+    baskets = {}
+    for o, p in rows:
+        baskets.setdefault(o, set()).add(p)
+    want = Counter(pair for b in baskets.values() for pair in combinations(sorted(b), 2))
+    basket = lines.distinct()
+    assert Counter(map(tuple, serving.basket_pairs(basket, tile=10).collect())) == want
+    found = {(r["product_a"], r["product_b"]): r["orders_together"] for r in serving.co_purchase(lines, 2, tile=10).collect()}
+    assert found == {p: n for p, n in want.items() if n >= 2}
+
+
+def test_a_merge_rewrites_the_folders_of_its_keys_alone(spark, tmp_path):
+    path = tmp_path / "t"
+    sinks.write_keyed(spark.createDataFrame([(i, "old") for i in range(300)] + [(None, "old")], "k int, v string"), str(path), ["k"], 16)
+    before = {p: p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+    assert sinks.merge_keyed(spark, str(path), spark.createDataFrame([("new", 7), ("new", 999), ("new", None)], "v string, k int"), ["k"], buckets=16) <= 3
+    after = {p: p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+    same = {p for p in before if after.get(p) == before[p]}
+    assert len(before) == 16 and len(same) >= 13
+    assert {tuple(r) for r in sinks.read_keyed(spark, str(path)).select("k", "v").collect()} == {(i, "new" if i == 7 else "old") for i in range(300)} | {(None, "new"), (999, "new")}
+    assert sinks.merge_keyed(spark, str(path), spark.createDataFrame([], "k int, v string"), ["k"], buckets=16) == 0
