@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -160,25 +161,38 @@ def audit_rows(calls: DataFrame, provider: str, model: str | None, configured: b
     )
 
 
-def _facts(*pairs: tuple[str, object]) -> str:
-    return "\n".join(f"{k}: {v}" for k, v in pairs if v not in (None, (), ""))
-
-
-def rule_chunks(spark: SparkSession, rules: dict[str, list[dq.Rule]], source: str) -> DataFrame:
-    """``(source, section, content, kind, name)``: one chunk a quality rule."""
-    rows = [
-        (source, f"DQ rule {r.id} ({d})", f"Dataset: {d}\nRule {r.id}: {r.name}\n" + _facts(
-            ("dimension", r.dimension), ("type", r.type), ("column", r.column), ("columns", r.columns), ("applies_when", r.applies_when), ("severity", r.severity), ("threshold_dataset_fail_rate", r.threshold),
-        ), "dq_rule", r.id)
-        for d, listed in rules.items() for r in listed
-    ]
-    return spark.createDataFrame(rows, "source string, section string, content string, kind string, name string")
-
-
-def segment_chunks(spark: SparkSession, segments: list[Segment], source: str) -> DataFrame:
-    """``(source, section, content, kind, name)``: one chunk a segment."""
-    rows = [
-        (source, f"Segment {s.id} ({s.name})", f"Segment {s.id}: {s.name}\nDescription: {s.description}\nNull handling: {s.null_handling}\nRule definition (JSON AST): {s.rule}\nThresholds: {s.thresholds}", "segment_definition", s.id)
-        for s in segments
-    ]
-    return spark.createDataFrame(rows, "source string, section string, content string, kind string, name string")
+def _lines(*pairs: tuple[str, Column]) -> Column:
+    """A line ``name: value`` for each value that is not null or blank."""
+    return F.concat_ws("\n", *[F.when(F.coalesce(c.cast("string"), F.lit("")) != "", F.concat(F.lit(f"{k}: "), c.cast("string"))) for k, c in pairs])
+
+
+def rules_table(spark: SparkSession, rules: dict[str, list[dq.Rule]]) -> DataFrame:
+    """The rules of every dataset as rows."""
+    rows = [(d, r.id, r.name, r.dimension, r.type, r.column, ", ".join(r.columns), r.applies_when, r.severity, r.threshold) for d, listed in rules.items() for r in listed]
+    return spark.createDataFrame(rows, "dataset string, rule_id string, rule_name string, dimension string, type string, column string, columns string, applies_when string, severity string, threshold double")
+
+
+def rule_chunks(rules: DataFrame, results: DataFrame, source: str) -> DataFrame:
+    """``(source, section, content, kind, name)``: one chunk a quality rule of ``rules_table``, with the figures that its last run in ``results(rule_id, applicable, failed)`` has."""
+    c = F.col
+    # fixed values: the names and the order of the lines
+    about = _lines(*[(n, c(n)) for n in ("dimension", "type", "column", "columns", "applies_when", "severity")], ("threshold_dataset_fail_rate", c("threshold")))
+    run = F.concat(F.lit("\nLast run: "), c("failed").cast("string"), F.lit(" of "), c("applicable").cast("string"), F.lit(" rows failed"))
+    head = F.concat(F.lit("Dataset: "), c("dataset"), F.lit("\nRule "), c("rule_id"), F.lit(": "), c("rule_name"), F.lit("\n"))
+    section = F.concat(F.lit("DQ rule "), c("rule_id"), F.lit(" ("), c("dataset"), F.lit(")"))
+    rows = rules.join(results.select("rule_id", "applicable", "failed"), "rule_id", "left")
+    return rows.select(F.lit(source).alias("source"), section.alias("section"), F.concat(head, about, F.coalesce(run, F.lit(""))).alias("content"), F.lit("dq_rule").alias("kind"), c("rule_id").alias("name"))
+
+
+def segment_chunks(segments: list[Segment], members: DataFrame, source: str) -> DataFrame:
+    """``(source, section, content, kind, name)``: one chunk a segment, with the number of its ``members(segment_id)``."""
+    rows = [(s.id, s.name, s.description, s.null_handling, json.dumps(s.rule), json.dumps(s.thresholds)) for s in segments]
+    listed = members.sparkSession.createDataFrame(rows, "segment_id string, title string, description string, handling string, rule string, thresholds string")
+    n = members.groupBy("segment_id").agg(F.count("*").alias("n"))
+    c = F.col
+    # fixed values: the names and the order of the lines
+    content = F.concat(F.lit("Segment "), c("segment_id"), F.lit(": "), c("title"), F.lit("\n"), _lines(
+        ("Description", c("description")), ("Null handling", c("handling")), ("Rule definition (JSON AST)", c("rule")), ("Thresholds", c("thresholds")), ("Members", F.coalesce("n", F.lit(0))),
+    ))
+    section = F.concat(F.lit("Segment "), c("segment_id"), F.lit(" ("), c("title"), F.lit(")"))
+    return listed.join(n, "segment_id", "left").select(F.lit(source).alias("source"), section.alias("section"), content.alias("content"), F.lit("segment_definition").alias("kind"), c("segment_id").alias("name"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import clean
-from .operators import identity, metrics, retrieval, segments, serving, views
+from .operators import bitmaps, identity, metrics, retrieval, segments, serving, views
 from .operators import quality_rules as dq
 from .plans.durable import durable
-from .queries import CUSTOMER_DQ, CUSTOMER_RULES, EDGES, EMBEDDED, METRICS, _customers, _edges, as_of, metric_table, order_facts, query
+from .queries import CUSTOMER_DQ, CUSTOMER_RULES, EDGES, EMBEDDED, EVENTS_AS_OF, MEMBERS, METRICS, RULE_SQL, _customers, _edges, _memberships, as_of, metric_table, order_facts, query
 from .sources import contracts
 from .sources.readers import table
 
@@ -306,15 +306,56 @@ def assistant_audit(spark, d):
     return views.audit_rows(named, "local", None, False).select("request_id", "tools_called", "sources", "provider", "configured")
 
 
-@query("""select * from (values ('Segment S-01 (High Value)', 'S-01'), ('Segment S-02 (New Customer)', 'S-02'), ('Segment S-03 (Active Customer)', 'S-03'), ('Segment S-04 (At Risk)', 'S-04'),
-    ('Segment S-05 (Churned)', 'S-05'), ('Segment S-06 (Cart Abandoner)', 'S-06'), ('Segment S-07 (Highly Engaged)', 'S-07'), ('Segment S-08 (Repeat Buyer)', 'S-08')) v(section, name)""")
+@query(f"""with {MEMBERS}, titles as (select * from (values ('S-01', 'High Value'), ('S-02', 'New Customer'), ('S-03', 'Active Customer'), ('S-04', 'At Risk'), ('S-05', 'Churned'), ('S-06', 'Cart Abandoner'), ('S-07', 'Highly Engaged'), ('S-08', 'Repeat Buyer')) v(id, title))
+    select concat('Segment ', id, ' (', title, ')') as section, id as name, concat('Members: ', (select count(*) from seg where segment_id = id)) as last_line from titles""")
 def segment_chunks(spark, d):
-    return views.segment_chunks(spark, segments.BASELINE, "segments").select("section", "name")
+    found = views.segment_chunks(segments.BASELINE, _memberships(spark, d), "segments")
+    return found.select("section", "name", F.substring_index("content", "\n", -1).alias("last_line"))
 
 
-@query("""select * from (values ('DQ rule C-1 (customer)', 'Dataset: customer' || chr(10) || 'Rule C-1: name_present' || chr(10) || 'dimension: completeness' || chr(10) || 'type: not_blank' || chr(10) || 'column: c_name' || chr(10) || 'severity: reject')) v(section, content)""")
+@query(f"""with {CUSTOMER_DQ}, {RULE_SQL}, said as (select * from (values
+        ('C-1', 'name_present', 'type: not_blank' || chr(10) || 'column: c_name'), ('C-2', 'balance_not_negative', 'type: numeric_range' || chr(10) || 'column: c_acctbal'),
+        ('C-3', 'segment_known', 'type: in_set' || chr(10) || 'column: c_mktsegment'), ('C-4', 'key_unique', 'type: unique' || chr(10) || 'columns: c_custkey'),
+        ('C-5', 'nation_has_one_segment', 'type: set_consistency' || chr(10) || 'columns: c_acctbal, c_mktsegment' || chr(10) || 'applies_when: c_nationkey < 5')) v(id, title, about))
+    select concat('DQ rule ', id, ' (customer)') as section,
+        concat('Dataset: customer', chr(10), 'Rule ', id, ': ', title, chr(10), 'dimension: ', dimension, chr(10), about, chr(10), 'severity: ', severity, chr(10), 'Last run: ', failed, ' of ', applicable, ' rows failed') as content
+    from said join rules on id = rule_id""")
 def rule_chunks(spark, d):
-    return views.rule_chunks(spark, {"customer": CUSTOMER_RULES[:1]}, "rules").select("section", "content")
+    """The rules over customers, each with what its run over the table found."""
+    results = dq.rule_results(table(spark, d, "customer"), CUSTOMER_RULES)
+    return views.rule_chunks(views.rules_table(spark, {"customer": CUSTOMER_RULES}), results, "rules").select("section", "content")
+
+
+@query("""select event_id, case event_id % 7 when 0 then 'get_customer_profile,get_customer_segments' when 1 then 'get_customer_profile,get_customer_identities' when 2 then 'get_customer_profile,get_customer_quality'
+    when 3 then 'get_customer_profile,get_customer_timeline' when 4 then 'get_customer_profile,get_customer_metrics' when 5 then 'get_customer_profile' else '' end as tools from events""")
+def routed_questions_of_events(spark, d):
+    """A question about each event; each seventh is about something else, and has no customer."""
+    asked = F.array(*map(F.lit, ["Which SEGMENT is", "Is it the same customer, with", "Any data issue with", "What changed for", "How much churn has", "Who is", "Is it a segment:"]))
+    kind = (F.col("event_id") % 7).cast("int")
+    question = F.concat_ws(" ", F.get(asked, kind), F.col("event_type"), F.col("user_id").cast("string"))
+    return table(spark, d, "events").select("event_id", F.array_join(retrieval.routed(question, kind < 6), ",").alias("tools"))
+
+
+# Memberships and figures by day
+
+
+@query("""with m as (select distinct event_type, cast(ts as date) as day, user_id from events where user_id is not null), d as (select event_type, day from m union select event_type, day + 1 from m)
+    select d.event_type, cast(d.day as date) as day, (select count(*) from m where m.event_type = d.event_type and m.day = d.day) as members,
+        (select count(*) from m where m.event_type = d.event_type and m.day = d.day and user_id not in (select user_id from m x where x.event_type = d.event_type and x.day = d.day - 1)) as entered,
+        (select count(*) from m where m.event_type = d.event_type and m.day = d.day - 1 and user_id not in (select user_id from m x where x.event_type = d.event_type and x.day = d.day)) as exited
+    from d""")
+def daily_memberships(spark, d):
+    """Who has each kind of event on each day, who is new to it since the day before and who is gone."""
+    events = table(spark, d, "events").select("event_type", "user_id", F.to_date("ts").alias("day"))
+    rows = events.join(bitmaps.numbered(events, "user_id"), "user_id")
+    return bitmaps.daily_changes(bitmaps.membership(rows, ["event_type", "day"]), ["event_type"])
+
+
+@query(f"""select event_type, days, count(*) as events from (select event_type, date_diff('day', cast(ts as date), date '{EVENTS_AS_OF}') g from events), (values (7), (14), (30)) w(days) where g >= 0 and g < days group by 1, 2""")
+def merged_event_windows(spark, d):
+    """Events of several windows from the partials of days, which also estimate visitors and medians."""
+    partials = bitmaps.daily_partials(table(spark, d, "events"), ["event_type"], "ts", "user_id", "value")
+    return bitmaps.windows(durable(partials), ["event_type"], as_of(EVENTS_AS_OF), (7, 14, 30)).select("event_type", "days", "events")
 
 
 @query(f"with {EMBEDDED}, n as (select item_id, idx, round(v / sqrt(sum(v * v) over (partition by item_id)), 6) as value from e where v <> 0) select item_id, count(*) as dimensions, round(sum(value * (idx + 1)), 3) as weighted from n group by 1")

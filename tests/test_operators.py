@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrystone.functions import clean
-from quarrystone.operators import identity, metrics, quality_rules, retrieval, segments, serving, textindex, vectorindex
+from quarrystone.operators import bitmaps, identity, metrics, quality_rules, retrieval, segments, serving, textindex, vectorindex
 from quarrystone.plans import scan
 from quarrystone.sources import contracts, readers, sinks
 
@@ -301,3 +301,26 @@ def test_a_merge_rewrites_the_folders_of_its_keys_alone(spark, tmp_path):
     assert len(before) == 16 and len(same) >= 13
     assert {tuple(r) for r in sinks.read_keyed(spark, str(path)).select("k", "v").collect()} == {(i, "new" if i == 7 else "old") for i in range(300)} | {(None, "new"), (999, "new")}
     assert sinks.merge_keyed(spark, str(path), spark.createDataFrame([], "k int, v string"), ["k"], buckets=16) == 0
+
+
+def test_windows_merged_from_days_estimate_visitors_and_medians(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), f"2024-01-{rng.randrange(1, 29):02}", rng.randrange(900), rng.gauss(50, 9)) for _ in range(6000)]
+    events = spark.createDataFrame(rows, "kind string, day string, who int, x double").select("kind", F.to_timestamp("day").alias("at"), "who", "x")
+    found = bitmaps.windows(bitmaps.daily_partials(events, ["kind"], "at", "who", "x"), ["kind"], F.lit("2024-01-28").cast("date"), (1, 7, 28)).collect()
+    assert len(found) == 6
+    for r in found:
+        own = [(w, x) for k, d, w, x in rows if k == r["kind"] and int(d[-2:]) > 28 - r["days"]]
+        assert r["events"] == len(own) and abs(r["visitors"] / len({w for w, _ in own}) - 1) < 0.05
+        below = sum(x < r["median"] for _, x in own) / len(own)
+        assert abs(below - 0.5) < 0.05
+
+
+def test_memberships_over_several_stretches(spark):
+    rows = [("s", d, n) for d, n in [(1, 0), (1, 40_000), (1, 70_000), (1, 70_000), (2, 0), (2, 40_001), (4, 32_767), (4, 32_768)]] + [("t", 2, 5)]
+    df = spark.createDataFrame(rows, "segment string, d int, number long").withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), F.col("d") - 1))
+    found = bitmaps.daily_changes(bitmaps.membership(df, ["segment", "day"]), ["segment"])
+    got = {(r["segment"], r["day"].day): (r["members"], r["entered"], r["exited"]) for r in found.collect()}
+    assert got == {("s", 1): (3, 3, 0), ("s", 2): (2, 1, 2), ("s", 3): (0, 0, 2), ("s", 4): (2, 2, 0), ("s", 5): (0, 0, 2), ("t", 2): (1, 1, 0), ("t", 3): (0, 0, 1)}
+    keys = bitmaps.numbered(spark.createDataFrame([("b",), ("a",), (None,), ("b",), ("c",)], "k string"), "k")
+    assert dict(map(tuple, keys.collect())) == {"a": 0, "b": 1, "c": 2}
