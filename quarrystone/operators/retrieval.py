@@ -62,15 +62,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", vector: str = "embedding", floor: float | None = None) -> DataFrame:
-    """The k rows of highest cosine similarity to one vector, exactly; ties by key. With ``floor``, only those that reach it."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    scored = vectors.select(key, cosine(F.col(vector), q).alias("score")).where("score is not null")
-    if floor is not None:
-        scored = scored.where(F.col("score") >= floor)
-    return scored.orderBy(F.desc("score"), key).limit(k)
-
-
 def _blocks(vectors: DataFrame, key: str, vector: str, rows: int, name: str) -> DataFrame:
     """``(name_ids, name_vectors, name_dim)``: up to ``rows`` vectors of equal length each, as bytes of doubles."""
 

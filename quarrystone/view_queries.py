@@ -109,7 +109,7 @@ def typed_values(spark, d):
         F.concat(F.lit(" Req"), k, F.lit("@X.com. ")).alias("requester"), F.concat(F.lit(" Rcp"), k, F.lit("@x.com.")).alias("recipient"),
     )
     kinds = {"day": "date", "flag": "boolean", "amount": "decimal"}
-    fields = {n: contracts.Field(n, kind, False, "attribute", "none", true_words=("yes", "1"), false_words=("no", "0")) for n, kind in kinds.items()}
+    fields = {n: contracts.Field(n, kind, true_words=("yes", "1"), false_words=("no", "0")) for n, kind in kinds.items()}
     made = {n: contracts.typed_column(f, F.col(n)) for n, f in fields.items()}
     return raw.withColumns(made).withColumns({"amount": F.col("amount").cast("double"), "requester": clean.requester_email(F.col("requester")), "recipient": clean.recipient_email(F.col("recipient"))})
 
@@ -328,7 +328,7 @@ def rule_chunks(spark, d):
 
 @query("""select event_id, case event_id % 7 when 0 then 'get_customer_profile,get_customer_segments' when 1 then 'get_customer_profile,get_customer_identities' when 2 then 'get_customer_profile,get_customer_quality'
     when 3 then 'get_customer_profile,get_customer_timeline' when 4 then 'get_customer_profile,get_customer_metrics' when 5 then 'get_customer_profile' else '' end as tools from events""")
-def routed_questions_of_events(spark, d):
+def routed_questions(spark, d):
     """A question about each event; each seventh is about something else, and has no customer."""
     asked = F.array(*map(F.lit, ["Which SEGMENT is", "Is it the same customer, with", "Any data issue with", "What changed for", "How much churn has", "Who is", "Is it a segment:"]))
     kind = (F.col("event_id") % 7).cast("int")
