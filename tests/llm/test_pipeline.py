@@ -84,5 +84,5 @@ def test_nulls_and_empty_tables(spark, folder):
 
 def test_registered():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n[2].isdigit()) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n[2].isdigit()) == list(range(1, 14)) and "pipeline" in __spark_entry__.queries()
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
