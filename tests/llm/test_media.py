@@ -27,6 +27,20 @@ def test_netpbm_variants():
             media.decode(broken)
 
 
+WIDE = struct.pack("<IiiHHIIiiII", 40, 2**31 - 1, -(2**31), 1, 32, 0, 0, 0, 0, 0, 0)
+HUGE = [b"P2 1 1 255 99999999999999999999999", b"P5 99999999999999999999 1 255 x", b"P5 999999999 999999999 255\nx", b"BM" + struct.pack("<IHHI", 0, 0, 0, 54) + WIDE]
+
+
+@pytest.mark.parametrize("data", HUGE)
+def test_numbers_out_of_range_are_broken_images(data):
+    with pytest.raises(ValueError):
+        media.decode(data)
+
+
+def test_leading_zeros_in_headers():
+    assert media.decode(b"P2 0000000000001 1 255 7").tolist() == [[7]]
+
+
 def test_samples_are_scaled_to_white():
     assert media.decode(b"P2 3 1 15 0 7 15").tolist() == [[0, 119, 255]]
     assert media.decode(b"P2 2 1 1023 0 1023").tolist() == [[0, 65535]]
@@ -75,6 +89,9 @@ def test_stored_texts_come_back(spark):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
         assert r["tail_crc32"] == zlib.crc32(payload[-64:])
         assert (r["media_bytes"], r["media_sha256"]) == (len(stored[i]), hashlib.sha256(stored[i]).hexdigest())
+        assert r["media_format"] == ("bmp" if zlib.crc32(payload) % 2 else "pgm") and stored[i][:2] == (b"BM" if r["media_format"] == "bmp" else b"P5")
+        assert media.decode(stored[i]).tobytes() == payload
+    assert {r["media_format"] for r in out.values()} == {"bmp", "pgm"}
     assert out[3].asDict() | {"doc_id": 0} == out[7].asDict() | {"doc_id": 0}
     assert out[0].asDict() == out[1].asDict() | {"doc_id": 0}
 
@@ -85,5 +102,7 @@ def test_describe_marks_broken_images(spark):
     out = {r["id"]: r for r in media.describe(images).collect()}
     assert (out[1]["height"], out[1]["width"], out[1]["media_error"]) == (5, 6, None)
     assert out[2]["media_error"] == "null" and out[3]["tile"] is None and out[3]["media_error"]
+    broken = spark.createDataFrame([(i, x) for i, x in enumerate(HUGE)], "id int, image binary")
+    assert all(r["height"] is None and r["tile"] is None and r["media_error"] for r in media.describe(broken).collect())
     assert media.describe(images.limit(0)).count() == 0
     assert media.read_back(media.store(spark.createDataFrame([], "doc_id int, text string"))).count() == 0
