@@ -1,11 +1,12 @@
 """Near-duplicate documents by probability MinHash, banding and exact verification.
 
-A text's elements are its distinct runs of five words. Each element is a Poisson process whose rate
-is its weight and whose randomness is its hash; every arrival falls in one of the signature's
-registers, a register keeps the earliest, and an element stops as soon as its next arrival is later
-than every register of its text (ProbMinHash). Two signatures then agree in a register with the
-probability Jaccard similarity of the weighted sets. A link is a similarity of plain sets, so every
-run weighs 1 however often it is repeated: the probability Jaccard similarity is then the sets' own.
+A text's elements are its distinct runs of five words, and an element weighs as much as it has repeats in the
+text. Each element is a Poisson process whose rate is its weight and whose randomness is its hash; every arrival
+falls in one of the signature's registers, a register keeps the earliest, and an element stops as soon as its next
+arrival is later than every register of its text (ProbMinHash). Two signatures then agree in a register with the
+probability Jaccard similarity of the weighted runs. That is what bands and estimates are laid out for, and what is
+verified exactly: the sum over the shared runs d of 1 / sum over all runs z of max(x[z] / x[d], y[z] / y[d]), for
+weights x and y. For texts that repeat no run it is the Jaccard similarity of their sets.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ BANDS, ROWS = 40, 6
 REGISTERS, BITS, LONGS = 480, 4, 8
 #: Registers that differ at similarity 0.8: 48 are expected by their first bits, 90 by all, and either limit is exceeded once in 300,000 pairs.
 MOST_BY_FIRST, MOST = 80, 130
-SIG_SCHEMA = "doc_id long, tag long, th binary, v long, n int, bands array<long>, bits array<long>"
+#: Texts a side of a tile of a bucket.
+TILE = 2048
+SIG_SCHEMA = "doc_id long, tag long, th binary, v long, bands array<long>, bits array<long>"
 
 
 def weighted(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,9 +72,9 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         texts = pc.fill_null(batch.column("text"), "")
         w = words_of(texts)
-        doc, h, _ = weighted(*w.shingles(SHINGLE))
-        sig = prob_minhash(doc, h, np.ones(len(h)), w.n_docs)
-        n = np.bincount(doc, minlength=w.n_docs)
+        doc, h, count = weighted(*w.shingles(SHINGLE))
+        sig = prob_minhash(doc, h, count.astype(np.float64), w.n_docs)
+        has = np.bincount(doc, minlength=w.n_docs) > 0
         band = np.arange(BANDS, dtype=U)[None, :] * U(0xA0761D6478BD642F)
         parts = sig[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
         for i in range(ROWS):
@@ -81,7 +84,6 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(BITS):
             bits[:, i, : REGISTERS // 8] = np.packbits((mixed >> U(i) & U(1)).astype(bool), axis=1)
         bits = bits.reshape(w.n_docs, -1).view(np.int64)
-        has = n > 0
         th = [xxhash.xxh3_128_digest(x.as_buffer()) if x.is_valid else b"" for x in texts.cast(pa.binary())]
         offsets = np.concatenate(([0], np.cumsum(has * BANDS))).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
@@ -90,22 +92,37 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column("tag"),
                 pa.array(th, pa.binary()),
                 pa.array([int.from_bytes(x[:8], "little", signed=True) for x in th], pa.int64()),
-                pa.array(n.astype(np.int32)),
                 pa.ListArray.from_arrays(offsets, band[has].view(np.int64).ravel()),
                 pa.ListArray.from_arrays(np.arange(0, bits.size + 1, bits.shape[1], dtype=np.int32), bits.ravel()),
             ],
-            ["doc_id", "tag", "th", "v", "n", "bands", "bits"],
+            ["doc_id", "tag", "th", "v", "bands", "bits"],
         )
 
 
 def similarities(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """Exact Jaccard similarity of the five-word runs of a[i] and b[i]; 0 if neither has any."""
-    da, ha, _ = weighted(*words_of(a).shingles(SHINGLE))
-    db, hb, _ = weighted(*words_of(b).shingles(SHINGLE))
-    doc, _, count = weighted(np.concatenate((da, db)), np.concatenate((ha, hb)))
-    n = len(a)
-    both = np.bincount(doc[count == 2], minlength=n)
-    return both / np.maximum(np.bincount(doc, minlength=n), 1)
+    """Exact probability Jaccard similarity of the five-word runs of a[i] and b[i], weighed by their counts; 0 if neither has any.
+
+    With the runs of a pair in order of y[z] / x[z], the larger of x[z] / x[d] and y[z] / y[d] is the first for runs z up to
+    d and the second for those after it, so two running sums give every term.
+    """
+    (da, ha, ca), (db, hb, cb) = (weighted(*words_of(t).shingles(SHINGLE)) for t in (a, b))
+    doc, h = np.concatenate((da, db)), np.concatenate((ha, hb))
+    order = np.lexsort((h, doc))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+    run = np.cumsum(new) - 1
+    doc = doc[order][new]
+    x, y = np.zeros(len(doc)), np.zeros(len(doc))
+    first = order < len(da)
+    x[run[first]], y[run[~first]] = ca[order[first]], cb[order[~first] - len(da)]
+    order = np.lexsort((np.arctan2(y, x), doc))
+    doc, x, y = doc[order], x[order], y[order]
+    size = np.bincount(doc, minlength=len(a))
+    upto, after = np.concatenate(([0.0], np.cumsum(x))), np.concatenate(([0.0], np.cumsum(y)))
+    start, end = (np.cumsum(size) - size)[doc], np.cumsum(size)[doc]
+    at = np.flatnonzero((x > 0) & (y > 0))
+    below, above = upto[at + 1] - upto[start[at]], after[end[at]] - after[at + 1]
+    return np.bincount(doc[at], 1 / (below / x[at] + above / y[at]), len(a)).round(12)
 
 
 def _verify(least: float):
@@ -146,25 +163,33 @@ def _buckets(texts: DataFrame) -> DataFrame:
     return durable(held.join(centres.hint("merge"), "bucket"))
 
 
-def _between(wide: DataFrame, texts: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+def _between(wide: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of a bucket, of different classes, whose signatures do not rule out that they are linked.
 
     Texts outside the class of a bucket's centre are held against all others of the bucket, so a bucket that is one
-    class but for a few texts costs a few rows for each of its texts. A pair comes from the least bucket that it shares, and not if that
+    class but for a few texts costs a few rows for each of its texts. A bucket of many classes is compared in tiles of at
+    most about ``TILE`` texts by as many, so it is spread over tasks. A pair comes from the least bucket that it shares, and not if that
     bucket's centre is one of the two: those are judged already.
     """
     known = texts.select("th", "v").join(classes.withColumnRenamed("vertex", "th"), "th", "left")
     label = known.select("v", F.xxhash64(F.coalesce("component", "th")).alias("label"))
     rows = durable(wide.join(label.hint("merge"), "v"))
-    several = rows.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.max_by("label", F.col("v") == F.col("centre")).alias("main"))
+    several = rows.groupBy("bucket").agg(
+        F.min("label").alias("a"), F.max("label").alias("z"), F.max_by("label", F.col("v") == F.col("centre")).alias("main"),
+        F.ceil(F.count("*") / TILE).cast("int").alias("tiles"),
+    )
     rows = rows.join(several.where("a <> z").drop("a", "z").hint("merge"), "bucket").where("v <> centre")
-    rows = durable(rows.join(texts.select("v", "n", "bands", "bits").hint("merge"), "v"))
-    x, y = rows.where("label <> main").alias("x"), rows.alias("y")
+    rows = rows.withColumn("tile", F.pmod("v", "tiles").cast("int"))
+    rows = durable(rows.join(texts.select("v", "bands", "bits").hint("merge"), "v"))
+    other = lambda side: F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias(side)
+    x = rows.where("label <> main").select("*", F.col("tile").alias("left"), other("right")).alias("x")
+    y = rows.select("*", other("left"), F.col("tile").alias("right")).alias("y")
     pairs = x.join(
         y,
-        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label"))
+        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.left") == F.col("y.left")) & (F.col("x.right") == F.col("y.right"))
+        & (F.col("x.label") != F.col("y.label"))
         & ((F.col("y.label") == F.col("y.main")) | (F.col("x.v") < F.col("y.v")))
-        & (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")) & _close("x.bits", "y.bits")
+        & _close("x.bits", "y.bits")
         & (F.col("x.bucket") == F.array_min(F.array_intersect("x.bands", "y.bands"))),
     )
     return pairs.select(F.col("x.v").alias("va"), F.col("y.v").alias("vb"))
@@ -173,8 +198,8 @@ def _between(wide: DataFrame, texts: DataFrame, classes: DataFrame, least: float
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """``(doc_id, class_id, class_key, text_key)``, one row for each row of ``docs(doc_id, text)``.
 
-    Documents whose texts are equal, or are linked by a chain of pairs with a Jaccard similarity of
-    at least ``least`` (0.8 or more) between their sets of five-word runs, share a class; ``class_id`` is its
+    Documents whose texts are equal, or are linked by a chain of pairs with a probability Jaccard
+    similarity of at least ``least`` (0.8 or more) between their five-word runs, weighed by counts, share a class; ``class_id`` is its
     smallest doc_id. Exact copies are folded first, so they cost one signature entry. Within a
     bucket every text is compared with the bucket's centre, the text that shares most buckets with others. Where a bucket then still holds several
     classes, pairs between those classes follow whose signatures do not rule out a link. So no group is expanded into all pairs,
@@ -195,7 +220,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     classes = connected_components(links)
 
     wide = held.where("size > 2").select("bucket", "v", "centre")
-    pairs = durable(_between(wide, texts, classes, least))
+    pairs = durable(_between(wide, texts, classes))
     if not pairs.isEmpty():
         more = _linked(pairs, docs, texts, least)
         if not more.isEmpty():

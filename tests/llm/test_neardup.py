@@ -1,7 +1,9 @@
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,18 @@ from quarrystone.llm import neardup
 
 def shingles(text):
     words = text.split()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
+
+
+def likeness(x, y):
+    """Probability Jaccard similarity by its definition, over all pairs of runs."""
+    shared = [d for d in x if d in y]
+    if not shared:
+        return 0.0
+    runs = list(x | y)
+    a, b = (np.array([c[r] for r in runs], float) for c in (x, y))
+    largest = [np.maximum(a / x[d], b / y[d]).sum() for d in shared]
+    return sum(1 / m for m in largest)
 
 
 def brute(rows):
@@ -25,8 +38,7 @@ def brute(rows):
     sets = {i: shingles(t or "") for i, t in rows}
     for (a, ta), (b, tb) in combinations(rows, 2):
         same = (ta or "") == (tb or "")
-        x, y = sets[a], sets[b]
-        if same or (x and y and len(x & y) >= 0.8 * len(x | y)):
+        if same or likeness(sets[a], sets[b]) >= 0.8 - 1e-12:
             ra, rb = find(a), find(b)
             root[max(ra, rb)] = min(ra, rb)
     return {i: find(i) for i, _ in rows}
@@ -69,16 +81,28 @@ def test_a_large_group_that_hangs_on_one_base(spark):
     assert {r["doc_id"]: r["class_id"] for r in found.collect()} == brute(rows)
 
 
-def test_runs_repeated_unequally_often_count_as_in_sets(spark):
-    """Sets of runs with a similarity of 0.8 to 0.85, where one text repeats a third of its runs 300 times: no signature rules them out."""
+def test_similarities_are_those_of_the_definition():
+    rng = random.Random(4)
+    pairs = []
+    for _ in range(200):
+        words = [f"s{rng.randrange(4)}" for _ in range(rng.randrange(40))]
+        other = [w for w in words if rng.random() > 0.1] * rng.randrange(1, 3) + [f"s{rng.randrange(4)}" for _ in range(rng.randrange(4))]
+        pairs.append((" ".join(words), " ".join(other)))
+    got = neardup.similarities(pa.array([a for a, _ in pairs]), pa.array([b for _, b in pairs]))
+    assert np.allclose(got, [likeness(shingles(a), shingles(b)) for a, b in pairs], atol=1e-9)
+    assert len(set(got.round(3))) > 50
+
+
+def test_repeated_runs_weigh_as_often_as_they_are_repeated(spark):
+    """Weighted similarities of 0.8 to 0.85 between texts that repeat half of their runs: no signature rules them out. Of sets they are below 0.7."""
     rng = random.Random(3)
     rows = []
     for i in range(30):
-        base = [f"p{i}w{j}" for j in range(180)]
-        more = [f"p{i}x{j}" for j in range(rng.randrange(28, 36))]
-        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:60] + base[60:120] * 300 + base[120:] + more))]
+        base, often = [f"p{i}w{j}" for j in range(60)], [f"p{i}r{j}" for j in range(40)] * 6
+        more = [f"p{i}x{j}" for j in range(rng.randrange(52, 66))]
+        rows += [(2 * i, " ".join(base + often)), (2 * i + 1, " ".join(base + often + more))]
         a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
-        assert 0.8 <= len(a & b) / len(a | b) < 0.85
+        assert 0.8 <= likeness(a, b) < 0.86 and len(a.keys() & b.keys()) / len(a.keys() | b.keys()) < 0.7
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     sig = docs.withColumn("tag", F.lit(0).cast("long")).mapInArrow(neardup._signatures, neardup.SIG_SCHEMA)
     x, y = (neardup.durable(sig.where(f"doc_id % 2 = {k}")).alias(n) for k, n in enumerate("xy"))
@@ -88,6 +112,53 @@ def test_runs_repeated_unequally_often_count_as_in_sets(spark):
     assert {r["doc_id"]: r["class_id"] for r in found.collect()} == {i: i - i % 2 for i, _ in rows}
 
 
+def test_texts_that_repeat_shared_runs_very_unequally_are_apart(spark):
+    base = [f"w{j}" for j in range(180)]
+    rows = [(0, " ".join(base)), (1, " ".join(base[:60] + base[60:120] * 300 + base[120:]))]
+    assert likeness(*(shingles(t) for _, t in rows)) < 0.5
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["class_id"] for r in found.collect()} == {0: 0, 1: 1}
+
+
+def test_a_bucket_of_many_classes_is_compared_in_tiles(spark, monkeypatch):
+    """Texts of one template, some of them linked past the centres of their buckets: tiles of 8 texts give the classes of all pairs."""
+    monkeypatch.setattr(neardup, "TILE", 8)
+    rng = random.Random(9)
+    rows = []
+    for i in range(40):
+        own = [f"o{i}n{j}" for j in range(30)]
+        rows.append([f"t{j}" for j in range(110)] + own)
+        copy = list(rows[-1])
+        copy[rng.randrange(112, 138)] = f"y{i}"
+        rows.append(copy)
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    want = brute(rows)
+    assert len(set(want.values())) == 40
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["class_id"] for r in found.collect()} == want
+
+
+def test_recall_by_similarity(spark):
+    """Pairs in three bands of similarity: what share of them is linked."""
+    rng = random.Random(11)
+    rows, level = [], {}
+    while len(level) < 240:
+        i = len(level)
+        words = [f"q{i}w{j}" for j in range(120)] + [f"q{i}v{j}" for j in range(10)] * rng.randrange(1, 6)
+        copy = list(words)
+        for _ in range(rng.randrange(1, 5)):
+            copy[rng.randrange(len(copy))] = f"q{i}z{rng.randrange(1000)}"
+        s = likeness(shingles(" ".join(words)), shingles(" ".join(copy)))
+        if s >= 0.8:
+            level[i] = 0.8 if s < 0.85 else 0.85 if s < 0.9 else 0.9
+            rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    found = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    of = Counter(level.values())
+    met = Counter(x for i, x in level.items() if found[2 * i + 1] == 2 * i)
+    assert len(of) == 3 and min(of.values()) >= 20
+    assert all(met[x] == of[x] for x in of), {x: met[x] / of[x] for x in of}
+
+
 def test_one_of_each_keeps_columns_and_least_id(spark):
     text = " ".join(f"t{i}" for i in range(50))
     rows = [(3, text, "x", 9), (1, text, "y", 8), (1, text, "y", 8), (2, "other words here", None, 7), (None, text, "z", 6), (None, "alone", "z", 5)]
