@@ -37,6 +37,8 @@ STRENGTH = 1.0
 ROUNDS, SWEEPS, SAMPLES = 2, 2, 3
 #: Bytes of text whose n-grams make up a block, and of a chunk that is dealt at once.
 BLOCK_BYTES, CHUNK_BYTES = 8 << 20, 4 << 20
+#: Buckets of the table of blocks, and parts of the shared cells: one a block up to this number (Spark allows 100,000 buckets); above it, blocks share them.
+BUCKETS = 50_000
 #: Words with a code: a bound on what is broadcast (12 bytes each). Codes only shorten; words without one keep their hash.
 CODES = 1 << 20
 START, END, FIRST_CODE = U(1), U(2), 3
@@ -629,9 +631,9 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def _with_answers(table: DataFrame, answers: DataFrame, blocks: int) -> DataFrame:
+def _with_answers(table: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
     """Rows of blocks with what was sent to them, at their first part. The bucketed side stays where it is."""
-    sent = answers.repartition(blocks, "block").groupBy(F.col("block").alias("__block")).agg(F.collect_list(F.struct("part", "data")).alias("answers"))
+    sent = answers.repartition(buckets, "block").groupBy(F.col("block").alias("__block")).agg(F.collect_list(F.struct("part", "data")).alias("answers"))
     return table.join(sent, (table["block"] == sent["__block"]) & (table["part"] == 0), "left").drop("__block")
 
 
@@ -658,24 +660,25 @@ def score(docs: DataFrame, held_out: F.Column, rounds: int = ROUNDS, sweeps: int
     )
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(4, -(-size // BLOCK_BYTES))
+    buckets = min(blocks, BUCKETS)
     book = code_book(rows, blocks)
     shared = spark.sparkContext.broadcast(book)
-    dealt = rows.mapInArrow(_deal(shared), DEALT).repartitionById(blocks, F.col("block").cast("int")).sortWithinPartitions("block", "chunk")
-    table = _bucketed(spark, dealt.mapInArrow(_gather(shared), BLOCK), blocks)
+    dealt = rows.mapInArrow(_deal(shared), DEALT).repartitionById(buckets, (F.col("block") % buckets).cast("int")).sortWithinPartitions("block", "chunk")
+    table = _bucketed(spark, dealt.mapInArrow(_gather(shared), BLOCK), buckets)
     grams = table.where("part = 0").select("block", "part", "grams")
 
     few = table.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pairs_once", "pairs_twice", "cells_once", "cells_twice")]).first()
-    answers, now = exchange(grams.mapInArrow(_first_words(shared, blocks), SAID), blocks, None, book, 0)
+    answers, now = exchange(grams.mapInArrow(_first_words(shared, buckets), SAID), buckets, None, book, 0)
     now.discounts = (now.discounts[0], _discount(few[0], few[1]), _discount(few[2], few[3]))
     for k in range(rounds):
-        said = durable(_with_answers(grams, answers, blocks).mapInArrow(_next_words(shared, blocks, now, sweeps, 1 + k), SAID))
-        answers, now = exchange(said, blocks, now, book, 1001 + k)
+        said = durable(_with_answers(grams, answers, buckets).mapInArrow(_next_words(shared, buckets, now, sweeps, 1 + k), SAID))
+        answers, now = exchange(said, buckets, now, book, 1001 + k)
         answers = answers.unionAll(said.where(F.col("part") == STATE))
         own = [np.frombuffer(r["data"], np.int64) for r in said.where(F.col("part") == OWN).select("data").toLocalIterator()]  # two numbers a block
         now.customers[0] += sum(int(x[0]) for x in own)
         now.tables[0] += sum(int(x[1]) for x in own)
-    whole = _with_answers(table, answers, blocks).sortWithinPartitions("block", "part")
-    parts = whole.mapInArrow(_partial(shared, blocks, now, samples, 2001), PARTIAL)
+    whole = _with_answers(table, answers, buckets).sortWithinPartitions("block", "part")
+    parts = whole.mapInArrow(_partial(shared, buckets, now, samples, 2001), PARTIAL)
     out = parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_whole, SCORED)
     missing = float(np.log10(now.n + 0.5 * (now.v + 1)) + np.log10(2))
     return out.select(

@@ -224,6 +224,24 @@ def test_shared_restaurants_of_frequent_tokens_and_many_blocks(spark, monkeypatc
     assert math.isclose(a, b, rel_tol=0.02)
 
 
+def test_blocks_share_buckets_and_parts_above_their_bound(spark, monkeypatch):
+    """More blocks than buckets: same counts and base scores, close scores, and messages of an exchange in blocks times buckets at most."""
+    rows = corpus(300)
+    one = scored(spark, rows)
+    monkeypatch.setattr(pitmanyor, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(pitmanyor, "BUCKETS", 3)
+    sent, real = [], pitmanyor.exchange
+    monkeypatch.setattr(pitmanyor, "exchange", lambda said, parts, *r: (sent.append((parts, said.where("part >= 0").agg(F.max("part"), F.count("*"), F.count_distinct("block")).first())), real(said, parts, *r))[1])
+    many = scored(spark, rows)
+    for parts, (last, n, blocks) in sent:
+        assert parts == 3 and last < 3 and blocks > 6 and n <= 3 * blocks
+    assert len(many) == len(rows)
+    for i, _ in rows:
+        assert (one[i]["n_known"], one[i]["base_score"]) == (many[i]["n_known"], pytest.approx(many[i]["base_score"], abs=1e-6))
+    a, b = (sum(r["score"] for i, r in x.items() if held(i)) for x in (one, many))
+    assert math.isclose(a, b, rel_tol=0.02)
+
+
 def test_long_text_and_clashing_columns(spark):
     long = " ".join(f"w{i % 5000}" for i in range(60_000))
     rows = [(1, long, 0.5, 7), (2, "w1 w2 w3", 0.5, 7), (3, None, None, None)]
