@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 DIMENSIONS = 256
 #: The least score of a relevant chunk, the longest chunk, and the most tools of a question.
 FLOOR, CHUNK_CHARS, MOST_TOOLS = 0.25, 900, 6
+#: The most vectors that a task compares with, and pairs that it compares at a time.
+SLAB, BLOCK = 32_768, 2**21
 BLANK = " \t\n\r"
 #: Words of a question and the tool that they call, in order.
 ROUTES = [
@@ -62,62 +64,109 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def _blocks(vectors: DataFrame, key: str, vector: str, rows: int, name: str) -> DataFrame:
-    """``(name_ids, name_vectors, name_dim)``: up to ``rows`` vectors of equal length each, as bytes of doubles."""
+def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """``(k, v)``: rows with a key and a vector without nulls."""
+    picked = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0))
+    return picked.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).where(~F.exists("v", F.isnull))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for dim, same in f.groupby(f["v"].map(len)):
-                for at in range(0, len(same), rows):
-                    part = same.iloc[at : at + rows]
-                    data = np.stack(part["v"].to_numpy()).astype(np.float64).tobytes()
-                    yield pd.DataFrame({f"{name}_ids": [part["k"].to_numpy(np.int64).tobytes()], f"{name}_vectors": [data], f"{name}_dim": [dim]})
 
-    picked = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0))
-    picked = picked.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).where(~F.exists("v", F.isnull))
-    return picked.repartition(32).mapInPandas(run, f"{name}_ids binary, {name}_vectors binary, {name}_dim int")
+def slab_rows(n: int) -> int:
+    """Vectors of a slab, about: as many as a task holds, or fewer to keep 24 tasks busy."""
+    return max(256, min(SLAB, n // 24))
+
 
+def _best(q: np.ndarray, qi: np.ndarray, v: np.ndarray, vi: np.ndarray, vn: np.ndarray, unit: np.ndarray, taken: np.ndarray | None, k: int, floor: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of ``v`` for each row of ``q``: a matrix product rules out what is surely not among them, the others are scored by sums in order of dimensions.
 
-def best_of_blocks(k: int, key: str, floor: float | None):
-    """Of a block of queries beside a block of vectors, each query's k best: a matrix product rules out what is surely not among them, the others are scored by sums in order of dimensions."""
+    ``taken`` says for each query which units must be compared; where that is much of all, all are.
+    """
+    qn = np.sqrt(np.cumsum(q * q, axis=1)[:, -1])
+    long = qn > 0
+    q, qi, qn = q[long], qi[long], qn[long]
+    one = q / qn[:, None]
+    if taken is None or taken[long].mean() > 0.25:
+        near = one @ (v / vn[:, None]).T
+    else:
+        taken, near = taken[long], np.full((len(q), len(v)), -3.0)
+        ends = np.searchsorted(unit, np.arange(taken.shape[1] + 1))
+        for u in np.nonzero(taken.any(axis=0) & (ends[1:] > ends[:-1]))[0]:
+            at, rows = slice(ends[u], ends[u + 1]), taken[:, u]
+            near[rows, at] = one[rows] @ (v[at] / vn[at, None]).T
+    least = np.maximum(np.partition(near, -k, axis=1)[:, -k] - 1e-9, -2.0) if len(v) > k else np.full(len(q), -2.0)
+    a, b = np.nonzero(near >= (least if floor is None else np.maximum(least, floor - 1e-9))[:, None])
+    score = np.zeros(len(a))
+    for j in range(q.shape[1]):
+        score += q[a, j] * v[b, j]
+    score /= qn[a] * vn[b]
+    if floor is not None:
+        a, b, score = (x[score >= floor] for x in (a, b, score))
+    order = np.lexsort((vi[b], -score, a))
+    a, b, score = a[order], b[order], score[order]
+    best = np.arange(len(a)) - np.searchsorted(a, a) < k
+    return qi[a[best]], vi[b[best]], score[best]
+
+
+def best_of_slabs(vectors: DataFrame, asked: DataFrame, slabs: int, k: int, key: str, floor: float | None = None, units: list[int] | None = None) -> DataFrame:
+    """``(query_id, key, score)``: each query's k best of the slabs that it is sent to, ties by key.
+
+    ``vectors(slab, unit, k, v)`` and ``asked(slab, k, v, taken)`` meet in one shuffle of single rows: a task holds the vectors of a slab, whose number has a bound,
+    and the slab's queries stream past them. ``taken`` has a bit for each of the slab's ``units``, or is null for all.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slab, held, ready = None, [], {}
         for f in frames:
-            for r in f.itertuples(index=False):
-                if r.q_dim != r.v_dim:
-                    continue
-                qi, vi = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.v_ids, np.int64)
-                q, v = (np.frombuffer(x, np.float64).reshape(-1, r.q_dim) for x in (r.q_vectors, r.v_vectors))
-                qn, vn = (np.sqrt(np.cumsum(x * x, axis=1)[:, -1]) for x in (q, v))
-                q, qi, qn, v, vi, vn = q[qn > 0], qi[qn > 0], qn[qn > 0], v[vn > 0], vi[vn > 0], vn[vn > 0]
-                if not len(q) or not len(v):
+            for s, same in f.groupby("slab"):
+                if s != slab:
+                    slab, held, ready = s, [], {}
+                if len(new := same[same["side"] == 0]):
+                    held.append(new)
+                queries = same[same["side"] == 1]
+                if not len(queries) or not held and not ready:
                     continue
-                near = (q / qn[:, None]) @ (v / vn[:, None]).T
-                least = np.partition(near, -k, axis=1)[:, -k] - 1e-9 if len(v) > k else np.full(len(q), -2.0)
-                a, b = np.nonzero(near >= (least if floor is None else np.maximum(least, floor - 1e-9))[:, None])
-                score = np.zeros(len(a))
-                for j in range(r.q_dim):
-                    score += q[a, j] * v[b, j]
-                score /= qn[a] * vn[b]
-                if floor is not None:
-                    a, b, score = (x[score >= floor] for x in (a, b, score))
-                order = np.lexsort((vi[b], -score, a))
-                a, b, score = a[order], b[order], score[order]
-                best = np.arange(len(a)) - np.searchsorted(a, a) < k
-                yield pd.DataFrame({"query_id": qi[a[best]], key: vi[b[best]], "score": score[best]})
-
-    return run
+                if held:
+                    every = pd.concat(held).sort_values("unit", kind="stable")
+                    held = []
+                    for dim, g in every.groupby(every["v"].map(len)):
+                        v = np.stack(g["v"].to_numpy()).astype(np.float64)
+                        vn = np.sqrt(np.cumsum(v * v, axis=1)[:, -1])
+                        if (vn > 0).any():
+                            ready[dim] = v[vn > 0], g["k"].to_numpy(np.int64)[vn > 0], vn[vn > 0], g["unit"].to_numpy()[vn > 0]
+                for dim, g in queries.groupby(queries["v"].map(len)):
+                    if dim not in ready:
+                        continue
+                    v, vi, vn, unit = ready[dim]
+                    rows = max(16, BLOCK // len(v))
+                    for at in range(0, len(g), rows):
+                        part = g.iloc[at : at + rows]
+                        taken = None
+                        if units is not None:
+                            bits = np.stack([np.frombuffer(t, np.uint8) for t in part["taken"]])
+                            taken = np.unpackbits(bits, axis=1, count=units[s]).astype(bool)
+                        ids, near, score = _best(np.stack(part["v"].to_numpy()).astype(np.float64), part["k"].to_numpy(np.int64), v, vi, vn, unit, taken, k, floor)
+                        yield pd.DataFrame({"query_id": ids, key: near, "score": score})
+
+    sides = vectors.select("slab", F.lit(0).alias("side"), "unit", "k", "v", F.lit(None).cast("binary").alias("taken")).unionByName(
+        asked.select("slab", F.lit(1).alias("side"), F.lit(0).alias("unit"), "k", "v", "taken")
+    )
+    met = sides.repartitionById(slabs, F.col("slab")).sortWithinPartitions("slab", "side")
+    found = met.mapInPandas(run, f"query_id long, {key} long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
+    return found.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
 
 
 def nearest_each(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", floor: float | None = None) -> DataFrame:
     """``(query_id, key, score)``: for every row of ``queries`` the k rows of highest cosine similarity, exactly; ties by key.
 
-    Blocks of queries meet blocks of vectors, and the blocks' best are merged by query. Rows without a vector, or whose length is 0, have none.
+    Vectors are dealt into slabs of a bounded size, each query is sent to each slab, and the slabs' best are merged by query. Rows without a vector, or whose length
+    is 0, have none.
     """
-    pairs = _blocks(vectors, key, vector, 4096, "v").crossJoin(_blocks(queries, key, vector, 512, "q"))
-    found = pairs.mapInPandas(best_of_blocks(k, key, floor), f"query_id long, {key} long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
-    return found.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
+    every, asked = usable(vectors, key, vector), usable(queries, key, vector)
+    n = every.count()
+    slabs = n // slab_rows(n) + 1
+    dealt = every.select(F.pmod(F.xxhash64("k", "v"), F.lit(slabs)).cast("int").alias("slab"), F.lit(0).alias("unit"), "k", "v")
+    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))).alias("slab"), "k", "v", F.lit(None).cast("binary").alias("taken"))
+    return best_of_slabs(dealt, sent, slabs, k, key, floor)
 
 
 def _parts(body: Column, longest: int) -> Column:

@@ -1,8 +1,8 @@
 """Exact nearest vectors by an index of cells and shells.
 
 Cells are fitted on a bounded draw of the vectors and hold every vector. On the unit sphere a vector of a cell is as far from a query as their distances to the
-cell's centre differ, at least (the triangle inequality). So a unit, a part of one shell of one cell, whose distances from the centre lie too far from the query's own
-is passed over, and nothing that belongs to the result is lost.
+cell's centre differ, at least (the triangle inequality). So a unit, one shell of one cell, whose distances from the centre lie too far from the query's own
+is passed over, and nothing that belongs to the result is lost. Units lie side by side in slabs, which a task compares at a time; a unit larger than a slab is dealt over several.
 """
 
 from __future__ import annotations
@@ -12,24 +12,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.durable import durable
-from .retrieval import best_of_blocks, nearest_each
+from .retrieval import best_of_slabs, nearest_each, slab_rows, usable
 
-#: Vectors that cells are fitted on (about), the most cells, shells of a cell, rows of a block, queries of a block.
-DRAWN, CELLS, SHELLS, ROWS, ASKED = 20_000, 512, 16, 4096, 512
+#: Vectors that cells are fitted on (about), the most cells, shells of a cell, queries of a block.
+DRAWN, CELLS, SHELLS, ASKED = 20_000, 512, 16, 512
 #: Distances are taken as known up to this.
 SLACK = 1e-6
 
 
 @dataclass
 class VectorIndex:
-    blocks: DataFrame  # (unit, v_ids, v_vectors, v_dim), durable
+    rows: DataFrame  # (slab, unit, k, v), of durable rows; the unit's number in its slab
     centres: np.ndarray
-    units: pd.DataFrame  # unit, cell, near, far, n: one row for each shell of a cell, and one more for each partition at most
+    units: pd.DataFrame  # cell, shell, near, far, n, slab, parts, unit: one row for each shell of a cell
+    slabs: int
     dim: int
     vectors: DataFrame
     key: str
@@ -48,8 +48,21 @@ def _apart(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def _usable(rows: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
-    picked = rows.where(F.col(key).isNotNull() & (F.size(vector) == dim)).select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
-    return picked.where(~F.exists("v", F.isnull) & F.exists("v", lambda x: x != 0))
+    return usable(rows.where(F.size(vector) == dim), key, vector).where(F.exists("v", lambda x: x != 0))
+
+
+def _slabs(n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For units of ``n`` rows in order, their first slab, the slabs that they are dealt over, and their number in them."""
+    first, parts, place = (np.zeros(len(n), np.int32) for _ in range(3))
+    slab, held, units = 0, 0, 0
+    for i, rows in enumerate(n):
+        if units and held + rows > most:
+            slab, held, units = slab + 1, 0, 0
+        first[i], parts[i], place[i] = slab, max(1, -(-rows // most)), units
+        held, units = held + rows, units + 1
+        if parts[i] > 1:
+            slab, held, units = slab + parts[i], 0, 0
+    return first, parts, place
 
 
 def _centres(x: np.ndarray, cells: int) -> np.ndarray:
@@ -89,71 +102,67 @@ def build(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", ce
             shell = np.array([np.searchsorted(edges[c], d) for c, d in zip(cell, r, strict=True)], np.int32)
             yield f.assign(cell=cell.astype(np.int32), shell=shell, r=r)
 
-    def block(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = TaskContext.get().partitionId()
-        for f in frames:
-            for (cell, shell), same in f.groupby(["cell", "shell"]):
-                for at in range(0, len(same), ROWS):
-                    g = same.iloc[at : at + ROWS]
-                    yield pd.DataFrame({
-                        "unit": [((int(cell) * SHELLS + int(shell)) << 24) + part], "cell": [cell], "near": [g["r"].min()], "far": [g["r"].max()], "n": [len(g)],
-                        "v_ids": [g["k"].to_numpy(np.int64).tobytes()], "v_vectors": [np.stack(g["v"].to_numpy()).astype(np.float64).tobytes()], "v_dim": [dim],
-                    })
-
-    placed = rows.mapInPandas(place, "k long, v array<double>, cell int, shell int, r double")
-    dealt = durable(placed).repartitionByRange("cell", "shell", F.xxhash64("k")).sortWithinPartitions("cell", "shell")
-    blocks = durable(dealt.mapInPandas(block, "unit long, cell int, near double, far double, n int, v_ids binary, v_vectors binary, v_dim int"))
-    units = blocks.groupBy("unit", "cell").agg(F.min("near").alias("near"), F.max("far").alias("far"), F.sum("n").alias("n")).orderBy("unit").toPandas()
-    return VectorIndex(blocks.select("unit", "v_ids", "v_vectors", "v_dim"), centres, units, dim, vectors, key, vector)
+    placed = durable(rows.mapInPandas(place, "k long, v array<double>, cell int, shell int, r double"))
+    units = placed.groupBy("cell", "shell").agg(F.min("r").alias("near"), F.max("r").alias("far"), F.count("*").alias("n")).orderBy("cell", "shell").toPandas()
+    units["slab"], units["parts"], units["unit"] = _slabs(units["n"].to_numpy(), slab_rows(int(units["n"].sum())))
+    where = vectors.sparkSession.createDataFrame([tuple(map(int, u)) for u in units[["cell", "shell", "slab", "parts", "unit"]].to_numpy()], "cell int, shell int, slab int, parts int, unit int")
+    dealt = placed.join(F.broadcast(where), ["cell", "shell"]).select((F.col("slab") + F.pmod(F.xxhash64("k", "v"), F.col("parts"))).cast("int").alias("slab"), "unit", "k", "v")
+    return VectorIndex(dealt, centres, units, int((units["slab"] + units["parts"]).max()), dim, vectors, key, vector)
 
 
 def probes(index: VectorIndex, asked: DataFrame, k: int, floor: float | None = None) -> DataFrame:
-    """``(unit, k, v, n)``: the units that each row of ``asked(k, v, least)`` must be compared with, and their rows.
+    """``(slab, k, v, taken, n)``: the slabs that each row of ``asked(k, v, least)`` is sent to, the units there that it must be compared with, and their rows.
 
     Without ``least`` (null) these are the nearest units that have k rows in all. With it, the score of the k-th of those, they are
     all that can hold a score as high.
     """
     dim = index.dim
-    shared = asked.sparkSession.sparkContext.broadcast((index.centres, *(index.units[c].to_numpy() for c in ("unit", "cell", "near", "far", "n"))))
+    shared = asked.sparkSession.sparkContext.broadcast((index.centres, *(index.units[c].to_numpy() for c in ("cell", "near", "far", "n", "slab", "parts"))))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centres, unit, cell, near, far, n = shared.value
+        centres, cell, near, far, n, slab, parts = shared.value
+        starts = np.unique(slab, return_index=True)[1]
+        ends = [*starts[1:], len(slab)]
         for f in frames:
             for at in range(0, len(f), ASKED):
                 g = f.iloc[at : at + ASKED].reset_index(drop=True)
                 _, q = _unit_vectors(g["v"], dim)
                 apart = _apart(q, centres)[:, cell]
                 low = np.maximum(np.maximum(apart - far, near - apart), 0)
-                order = np.lexsort((apart, low))
-                before = np.cumsum(n[order], axis=1) - n[order]
-                first = np.zeros(low.shape, bool)
-                np.put_along_axis(first, order, before < k, axis=1)
                 least = g["least"].to_numpy(np.float64)
                 bound = np.sqrt(np.maximum(2 - 2 * np.where(np.isnan(least), -1.0, least), 0)) + SLACK
-                take = np.where(np.isnan(least)[:, None], first, low <= bound[:, None])
+                take = low <= bound[:, None]
+                if (open_ := np.isnan(least)).any():
+                    order = np.lexsort((apart[open_], low[open_]))
+                    before = np.cumsum(n[order], axis=1) - n[order]
+                    first = np.zeros(order.shape, bool)
+                    np.put_along_axis(first, order, before < k, axis=1)
+                    take[open_] = first
                 if floor is not None:
                     take &= low <= np.sqrt(max(2 - 2 * floor, 0)) + SLACK
-                i, j = np.nonzero(take)
-                yield pd.DataFrame({"unit": unit[j], "k": g["k"].to_numpy()[i], "v": g["v"].to_numpy()[i], "n": n[j]})
-
-    return asked.mapInPandas(run, "unit long, k long, v array<double>, n long")
-
-
-def _compared(index: VectorIndex, pairs: DataFrame, k: int, floor: float | None) -> DataFrame:
-    """The best k of each query in what it is compared with; queries of a unit come in blocks."""
-    dim = index.dim
-
-    def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for unit, same in f.groupby("unit"):
-                for at in range(0, len(same), ASKED):
-                    g = same.iloc[at : at + ASKED]
-                    yield pd.DataFrame({"unit": [unit], "q_ids": [g["k"].to_numpy(np.int64).tobytes()], "q_vectors": [np.stack(g["v"].to_numpy()).astype(np.float64).tobytes()], "q_dim": [dim]})
-
-    asked = pairs.repartition("unit").sortWithinPartitions("unit").mapInPandas(gather, "unit long, q_ids binary, q_vectors binary, q_dim int")
-    found = asked.join(index.blocks, "unit").mapInPandas(best_of_blocks(k, index.key, floor), f"query_id long, {index.key} long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), index.key))
-    return durable(found.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank"))
+                for a, b in zip(starts, ends, strict=True):
+                    mine = take[:, a:b]
+                    if not len(i := np.nonzero(mine.any(axis=1))[0]):
+                        continue
+                    bits, rows = [x.tobytes() for x in np.packbits(mine[i], axis=1)], mine[i] @ n[a:b]
+                    for part in range(parts[b - 1]):  # a unit dealt over several slabs is the last of its first
+                        only = bits if not part else [np.packbits(np.arange(b - a) == b - a - 1).tobytes()] * len(i)
+                        to = np.ones(len(i), bool) if not part else mine[i, -1]
+                        yield pd.DataFrame({
+                            "slab": slab[a] + part, "k": g["k"].to_numpy()[i][to], "v": g["v"].to_numpy()[i][to], "taken": np.array(only, object)[to], "n": rows[to] if not part else 0,
+                        })
+
+    return asked.mapInPandas(run, "slab int, k long, v array<double>, taken binary, n long")
+
+
+def _compared(index: VectorIndex, sent: DataFrame, k: int, floor: float | None) -> DataFrame:
+    """The best k of each query in what it is compared with."""
+    of = index.units.groupby("slab")["unit"].max().to_dict()
+    last = index.units.groupby("slab")["parts"].last().to_dict()
+    units = [0] * index.slabs
+    for slab, most in of.items():
+        units[slab : slab + last[slab]] = [int(most) + 1] * int(last[slab])
+    return durable(best_of_slabs(index.rows, sent, index.slabs, k, index.key, floor, units))
 
 
 def nearest_indexed(index: VectorIndex, queries: DataFrame, k: int, floor: float | None = None) -> DataFrame:

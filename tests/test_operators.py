@@ -1,6 +1,7 @@
 import hashlib
 import json
 import random
+import re
 from collections import Counter
 from itertools import combinations
 
@@ -276,6 +277,19 @@ def test_indexed_neighbours_are_those_of_all_pairs(spark):
     assert vectorindex.build(vectors.where("vec_id >= 3001 and vec_id <= 3002")) is None
 
 
+def test_queries_of_an_index_are_never_broadcast(spark, monkeypatch):
+    """A query went to each unit with its vector, and the whole of that was taken for small and sent through the driver; it goes to a slab once."""
+    rng = np.random.default_rng(5)
+    vectors = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(1200)], "vec_id long, embedding array<double>")
+    index = vectorindex.build(vectors)
+    asked = vectorindex._usable(vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", 8).withColumn("least", F.lit(-1.0))
+    sent = vectorindex.probes(index, asked, 10).drop("n")
+    monkeypatch.setattr(vectorindex, "durable", lambda df: df)
+    plan = vectorindex._compared(index, sent, 10, None)._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"Join \[([a-z_]+)#", plan)) <= {"cell"} and "BroadcastNestedLoopJoin" not in plan
+    assert index.slabs > 1 and sent.count() == sent.select("k", "slab").distinct().count() == 60 * index.slabs
+
+
 def test_a_basket_of_everything_is_paired_in_tiles(spark):
     rng = random.Random(9)
     rows = [("all", p) for p in range(90)] + [(f"o{i}", rng.randrange(120)) for i in range(40) for _ in range(5)] + [("o1", 3), ("o1", 3)]
