@@ -290,6 +290,26 @@ def test_queries_of_an_index_are_never_broadcast(spark, monkeypatch):
     assert index.slabs > 1 and sent.count() == sent.select("k", "slab").distinct().count() == 60 * index.slabs
 
 
+def test_vectors_meet_queries_as_single_rows_in_bounded_slabs(spark, monkeypatch):
+    """Pairs of whole blocks of queries and vectors were rows, so a batch of rows had no bound."""
+    monkeypatch.setattr(retrieval, "SLAB", 300)
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(1500, 4)), 1)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = retrieval.nearest_each(vectors.where("vec_id % 50 = 0"), vectors, 7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r["query_id"], -r["score"], r["vec_id"])):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    dot = lambda a, b: sum(p * q for p, q in zip(a, b, strict=True))
+    rows = x.tolist()
+    norm = [dot(v, v) ** 0.5 for v in rows]
+    for q in range(0, 1500, 50):
+        score = {i: dot(rows[q], v) / (norm[q] * norm[i]) for i, v in enumerate(rows) if norm[i]}
+        assert got[q] == sorted(score, key=lambda i: (-score[i], i))[:7], q
+
+
 def test_a_basket_of_everything_is_paired_in_tiles(spark):
     rng = random.Random(9)
     rows = [("all", p) for p in range(90)] + [(f"o{i}", rng.randrange(120)) for i in range(40) for _ in range(5)] + [("o1", 3), ("o1", 3)]
