@@ -20,6 +20,8 @@ from ..plans.forest import best_forest, last_step_that_fits
 #: Identifiers and local parts of e-mail addresses that name nobody.
 DENIED_VALUES = ["0000000000", "9999999999", "1234567890", "+910000000000", "test@test.com", "n/a@n/a.com"]
 DENIED_LOCALS = ["info", "admin", "support", "noreply", "no-reply", "sales", "contact", "help", "billing", "hello", "office"]
+#: Records and pairs of a task, about, and the parts of a frequent value.
+TASK_RECORDS, TASK_PAIRS, PARTS = 100_000, 200_000, 8
 
 
 @dataclass(frozen=True)
@@ -96,10 +98,11 @@ def screened_log(screened: DataFrame) -> DataFrame:
     )
 
 
-def _stars(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _stars(hot: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
     """(a, b) pairs of records of frequent values that join the same records as all pairs do, by phone and agreeing names where possible.
 
-    Records of one value that agree in surname and initial hang on the least of them, and those on the value's least record.
+    Records of one value that agree in surname and initial hang on the least of them, and those on the value's least record. The records of a value
+    are dealt over several tasks, to each of which the least goes.
     """
     value = ["identity_namespace", "value_hash"]
     named = F.col("last").isNotNull() & F.col("first").isNotNull()
@@ -110,7 +113,14 @@ def _stars(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     heads = inner.select(*value, *columns).unionByName(grouped.where("__names is null").select(*value, *columns))
     tops = least(heads, value)
     on = lambda by: reduce(Column.__and__, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in by]) & (F.col("a.record") < F.col("b.record"))
-    return inner.alias("a").join(grouped.alias("b"), on([*value, "__names"])), tops.alias("a").join(heads.alias("b"), on(value))
+    every = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    part = F.pmod(F.xxhash64("record"), F.lit(PARTS)).cast("int")
+
+    def hung(least: DataFrame, records: DataFrame, by: list[str]) -> DataFrame:
+        a, b = (df.withColumn("__part", c).repartition(tasks, *by, "__part") for df, c in ((least, every), (records, part)))
+        return a.alias("a").join(b.alias("b"), on([*by, "__part"]))
+
+    return hung(inner, grouped, [*value, "__names"]), hung(tops, heads, value)
 
 
 def match(screened: DataFrame, attrs: DataFrame | None = None, cfg: Settings = Settings(), most: int = 1000) -> DataFrame:
@@ -128,11 +138,16 @@ def match(screened: DataFrame, attrs: DataFrame | None = None, cfg: Settings = S
         rows = rows.join(names, ["source_system", "source_record_id"], "left")
     else:
         rows = rows.withColumns({"first": F.lit(None).cast("string"), "last": F.lit(None).cast("string")})
-    rows = rows.select("record", "identity_namespace", "value_hash", "value_masked", "first", "last")
+    rows = durable(rows.select("record", "identity_namespace", "value_hash", "value_masked", "first", "last"))
     value = ["identity_namespace", "value_hash"]
-    frequent = rows.groupBy(*value).agg(F.count("*").alias("__n")).where(F.col("__n") > most).drop("__n")
-    near, far = _stars(rows.join(frequent, value, "left_semi"))
-    few = rows.join(frequent, value, "left_anti")
+    counts = durable(rows.groupBy(*value).agg(F.count("*").alias("__n")))
+    frequent = counts.where(F.col("__n") > most).drop("__n")
+    n = F.col("__n")
+    total = counts.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("records"), F.coalesce(F.sum(F.when(n <= most, n * (n - 1) / 2)), F.lit(0)).cast("long").alias("pairs")).first()
+    tasks = 1 + total["records"] // TASK_RECORDS + total["pairs"] // TASK_PAIRS
+    dealt = rows.repartition(tasks, *value)  # so many that a task's sorts stay small, however large the table
+    near, far = _stars(rows.join(frequent, value, "left_semi"), 1 + total["records"] // TASK_RECORDS)
+    few = dealt.join(frequent, value, "left_anti")
     a, b = few.alias("a"), few.alias("b")
     pairs = a.join(b, (F.col("a.identity_namespace") == F.col("b.identity_namespace")) & (F.col("a.value_hash") == F.col("b.value_hash")) & (F.col("a.record") < F.col("b.record")))
     ends = lambda df: df.select(*[F.struct(*[f"{s}.{c}" for c in rows.columns]).alias(s) for s in "ab"])
