@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean
+from ..plans.durable import durable
 
 KEY = "canonical_customer_id"
 #: Roles from least to most, and those that see masked contact data.
 ROLES = ["viewer", "analyst", "data_engineer", "admin"]
 MASKED_ROLES = {"analyst", "viewer"}
+#: Pairs that a task makes, about.
+TASK_PAIRS = 1_000_000
 
 
 def has_at_least(role: str, least: str) -> bool:
@@ -173,12 +176,13 @@ def basket_pairs(basket: DataFrame, tile: int = 500) -> DataFrame:
     """``(product_a, product_b)``, a < b, once for each order of ``basket(order_id, product_id)``, distinct, that has both.
 
     An order of more than ``tile`` products is cut into tiles by a hash; each pair of tiles is a key of its own, to which the products of both are sent, so no task
-    pairs all of a large order.
+    pairs all of a large order. There are as many tasks as the number of pairs asks for.
     """
-    sizes = basket.groupBy("order_id").agg(F.ceil(F.count("*") / tile).cast("int").alias("k"))
+    sizes = basket.groupBy("order_id").agg(F.count("*").alias("n")).withColumn("k", F.ceil(F.col("n") / tile).cast("int"))
+    tasks = 1 + (sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs")).first()["pairs"] or 0) // TASK_PAIRS
     rows = basket.join(sizes, "order_id").withColumn("own", F.pmod(F.xxhash64("product_id"), F.col("k")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select("order_id", "product_id", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    rows = rows.select("order_id", "product_id", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).repartition(tasks, "order_id", "low", "high")
     a, b = rows.alias("a"), rows.alias("b")
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("order_id", "low", "high")]
     both = (F.least("a.own", "b.own") == F.col("a.low")) & (F.greatest("a.own", "b.own") == F.col("a.high"))
@@ -188,10 +192,10 @@ def basket_pairs(basket: DataFrame, tile: int = 500) -> DataFrame:
 
 def co_purchase(lines: DataFrame, least: int = 2, tile: int = 500) -> DataFrame:
     """Pairs of products in at least ``least`` common orders, with lift. Products in fewer orders than that are in no such pair and are not paired."""
-    basket = lines.select("order_id", "product_id").distinct()
+    basket = durable(lines.select("order_id", "product_id").distinct())
     n = basket.select("order_id").distinct().agg(F.count("*").alias("n"))
     single = basket.groupBy("product_id").agg(F.count("*").alias("c")).where(F.col("c") >= least)
-    frequent = basket.join(single, "product_id", "left_semi").select("order_id", "product_id")
+    frequent = durable(basket.join(single, "product_id", "left_semi").select("order_id", "product_id"))
     pairs = basket_pairs(frequent, tile).groupBy("product_a", "product_b").agg(F.count("*").alias("orders_together")).where(F.col("orders_together") >= least)
     out = pairs.join(single.select(F.col("product_id").alias("product_a"), F.col("c").alias("ca")), "product_a").join(single.select(F.col("product_id").alias("product_b"), F.col("c").alias("cb")), "product_b")
     return out.crossJoin(F.broadcast(n)).select("product_a", "product_b", "orders_together", (F.col("orders_together") * F.col("n") / (F.col("ca") * F.col("cb"))).alias("lift"))
