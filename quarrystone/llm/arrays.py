@@ -25,7 +25,7 @@ LOWER[65:91] += 32
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 #: Primes and bases of the words' polynomials, and how many bytes are summed up at once.
 FIELDS = ((2**31 - 1, 1_640_531_527), (2**31 - 19, 1_540_483_477))
-SLICE = 1 << 20
+SLICE = 1 << 16
 U = np.uint64
 
 
@@ -43,6 +43,16 @@ def mix_one(x: int) -> int:
     return int(mix(np.array([x % 2**64], U))[0])
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in ascending order and each value's place among them; only the distinct ones are sorted."""
+    coded = pa.array(values).dictionary_encode()
+    found = coded.dictionary.to_numpy()
+    order = np.argsort(found)
+    rank = np.empty(len(found), np.int64)
+    rank[order] = np.arange(len(found))
+    return found[order], rank[coded.indices.to_numpy()]
+
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -65,9 +75,11 @@ def _polynomials(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     while a < n:
         b = max(a + 1, int(np.searchsorted(end, start[a] + SLICE, side="right")))
         from_, to = int(start[a]), int(end[b - 1])
+        values = data[from_:to].astype(U) + U(1) if to - from_ <= SLICE else None
+        s, e = start[a:b] - from_, end[a:b] - from_
         for i, (p, base) in enumerate(FIELDS):
             up, down = _prime_powers(p, base)
-            if to - from_ > SLICE:  # one word
+            if values is None:  # one word
                 v = 0
                 for x in range(from_, to, SLICE):
                     part = data[x : min(x + SLICE, to)].astype(U) + U(1)
@@ -75,8 +87,7 @@ def _polynomials(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
                 found = np.array([v], U)
             else:
                 total = np.zeros(to - from_ + 1, U)
-                np.cumsum((data[from_:to].astype(U) + U(1)) * up[: to - from_], out=total[1:])
-                s, e = start[a:b] - from_, end[a:b] - from_
+                np.cumsum(values * up[: to - from_], out=total[1:])
                 found = (total[e] - total[s]) % U(p) * down[s] % U(p)
             out[a:b] |= found << U(31 * i)
         a = b

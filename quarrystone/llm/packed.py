@@ -10,6 +10,7 @@ import zstandard
 U = np.uint64
 #: Keys from here on are hashes of words outside a code book; smaller ones are codes.
 RARE = U(1 << 63)
+_compressor, _decompressor = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -17,15 +18,17 @@ def pack(values: np.ndarray) -> bytes:
     values = np.ascontiguousarray(values, dtype=U)
     used = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
     planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :used].T)
-    return struct.pack("<IB", len(values), used) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return struct.pack("<IB", len(values), used) + _compressor.compress(planes.tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
     n, used = struct.unpack_from("<IB", data)
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[5:]), np.uint8).reshape(used, n)
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :used] = planes.T
-    return out.view(np.int64).ravel()
+    planes = np.frombuffer(_decompressor.decompress(data[5:]), np.uint8).reshape(used, n)
+    width = 1 << (used - 1).bit_length()
+    out = np.zeros((n, width), np.uint8) if used < width else np.empty((n, width), np.uint8)
+    for i, plane in enumerate(planes):
+        out[:, i] = plane
+    return out.view(f"<u{width}").ravel().astype(np.int64)
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -37,7 +40,7 @@ def pack_keys(keys: np.ndarray) -> bytes:
 
 def unpack_keys(data: bytes) -> np.ndarray:
     size, = struct.unpack_from("<I", data)
-    out = unpack(data[4 : 4 + size]).view(U).copy()
+    out = unpack(data[4 : 4 + size]).view(U)
     out[out == 0] = np.frombuffer(data[4 + size :], U)
     return out
 

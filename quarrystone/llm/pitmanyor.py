@@ -16,8 +16,9 @@ cells' own tables and send counts back. Other blocks' tables are as before the s
 
 from __future__ import annotations
 
+import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.durable import durable, shared_folder
-from .arrays import U, chunks, mix, words_of
+from .arrays import U, chunks, distinct, mix, words_of
 from .packed import RARE, bundle, pack, pack_keys, parts_of, unpack, unpack_keys
 from .seating import Parent, draw, turns
 
@@ -102,12 +103,25 @@ def _lengths(starts: np.ndarray, n: int) -> np.ndarray:
     return np.diff(np.append(starts, n))
 
 
+def _sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of whole numbers from each start to the next."""
+    running = np.zeros(len(x) + 1, np.int64)
+    np.cumsum(x, out=running[1:])
+    return np.diff(running[np.append(starts, len(x))])
+
+
 # Frequent words
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words that a task meets twice or more, and its tokens and texts under word 0."""
-    word, n, total, docs = np.zeros(0, U), np.zeros(0, np.int64), 0, 0
+    word, n, total, docs, held = np.zeros(0, U), np.zeros(0, np.int64), 0, 0, []
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        words, counts = (np.concatenate(x) for x in zip((word, n), *held, strict=True))
+        held.clear()
+        found, at = np.unique(words, return_inverse=True)
+        return found, np.bincount(at, counts, len(found)).astype(np.int64)
 
     def kept(least: int) -> pa.RecordBatch:
         some = n >= max(least, n.sum() / (2 * CODES))
@@ -116,12 +130,13 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, limit=CHUNK_BYTES, rows=1 << 16):
         h = words_of(batch.column("text"), lower=True).h
         total, docs = total + len(h) + batch.num_rows, docs + batch.num_rows
-        more = np.unique(h, return_counts=True)
-        word, at = np.unique(np.concatenate((word, more[0])), return_inverse=True)
-        n = np.bincount(at, np.concatenate((n, more[1])), len(word)).astype(np.int64)
+        held.append(np.unique(h, return_counts=True))
+        if len(word) + sum(len(x) for x, _ in held) > 4 * CODES:
+            word, n = merged()
         if len(word) > 4 * CODES:
             yield kept(2)
             word, n, total, docs = np.zeros(0, U), np.zeros(0, np.int64), 0, 0
+    word, n = merged()
     yield kept(2)
 
 
@@ -159,7 +174,7 @@ DEALT = "block long, chunk long, grams binary, entries binary, docs binary"
 def tokens(texts: pa.Array, book: Book) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys in ascending order, and of each token (a text's words with A-Z lowered, then one end) its text and its place among them."""
     w = words_of(texts, lower=True)
-    word, place = np.unique(w.h, return_inverse=True)
+    word, place = distinct(w.h)
     keys = np.concatenate(([START, END], book.keys(word)))
     order = np.argsort(keys)
     rank = np.empty(len(keys), np.int64)
@@ -187,44 +202,72 @@ def _deal(shared):
             chunk = (TaskContext.get().partitionId() << 32) + number
             number += 1
             keys, doc, t = tokens(batch.column("text"), book)
-            one, two = before(doc, t, 1), before(doc, t, 2)
-            if len(keys) ** 3 * batch.num_rows < 1 << 63:
-                order = np.argsort(((one * len(keys) + t) * len(keys) + two) * batch.num_rows + doc)
-            else:
-                order = np.lexsort((two, t, one))
-            one, t, two, doc = one[order], t[order], two[order], doc[order]
+            one, two, n = before(doc, t, 1), before(doc, t, 2), len(t)
+            (one, t, two, doc), entry = _sorted((one, t, two, doc), (len(keys), len(keys), len(keys), batch.num_rows))
             train = batch.column("train").to_numpy(zero_copy_only=False)
-            entry = _changes(one, t, two, doc)
-            times = _lengths(entry, len(t))
-            cell = _changes(one[entry], t[entry], two[entry])
-            start = entry[cell]
-            learnt = np.add.reduceat(times * train[doc[entry]], cell)
-            hot = book.hot_at(keys)[one[start]] >= 0
-            to = (mix(keys[one[start]] + np.where(hot, mix(keys[two[start]]), U(0))) % U(book.blocks)).astype(np.int64)
+            times = _lengths(entry, n)
+            cell = _changes(one, t, two)
+            one, t, two = one[cell], t[cell], two[cell]
+            learnt = np.add.reduceat(times * train[doc], cell)
+            hot = book.hot_at(keys)[one] >= 0
+            to = (mix(keys[one] + np.where(hot, mix(keys[two]), U(0))) % U(book.blocks)).astype(np.int64)
             per_cell = _lengths(cell, len(entry))
             by_block = np.argsort(to.astype(np.uint16) if book.blocks <= 1 << 16 else to, kind="stable")
-            to, start, learnt, per_cell = to[by_block], start[by_block], learnt[by_block], per_cell[by_block]
+            to, one, t, two, learnt, per_cell = (x[by_block] for x in (to, one, t, two, learnt, per_cell))
             first_entry = np.concatenate(([0], np.cumsum(per_cell)))
             moved = np.repeat(cell[by_block] - first_entry[:-1], per_cell) + np.arange(len(entry))
-            entry, times = entry[moved], times[moved]
+            doc, times = doc[moved], times[moved]
             ids = batch.column("doc_id")
             about = bundle(ids.fill_null(NO_ID).to_numpy().astype(np.int64).tobytes(), pack(batch.column("held").to_numpy(zero_copy_only=False)))
             cuts = np.append(_changes(to), len(to))
             for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                at, e = start[x:y], slice(first_entry[x], first_entry[y])
-                entries = bundle(pack(per_cell[x:y]), pack(doc[entry[e]]), pack(times[e]))
-                yield _batch([(int(to[x]), chunk, grams_of(keys[one[at]], keys[t[at]], keys[two[at]], learnt[x:y]), entries, about)], DEALT)
+                c, e = slice(x, y), slice(first_entry[x], first_entry[y])
+                entries = bundle(pack(per_cell[c]), pack(doc[e]), pack(times[e]))
+                yield _batch([(int(to[x]), chunk, said_of(keys[one[c]], keys[t[c]], keys[two[c]], learnt[c]), entries, about)], DEALT)
                 about = None
 
     return run
 
 
-def grams_of(one: np.ndarray, word: np.ndarray, two: np.ndarray, count: np.ndarray) -> bytes:
+def _sorted(columns: tuple[np.ndarray, ...], sizes: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of numbers below ``sizes``, in ascending order, and where each starts among all sorted rows."""
+    if math.prod(sizes) < 1 << 63:
+        key = columns[0]
+        for x, n in zip(columns[1:], sizes[1:], strict=True):
+            key = key * n + x
+        key = np.sort(key)  # values are sorted faster than their places, and hold the row
+        start = _changes(key)
+        key, out = key[start], []
+        for n in sizes[:0:-1]:
+            above = key // n
+            out.append(key - above * n)
+            key = above
+        return [key, *out[::-1]], start
+    order = np.lexsort(columns[::-1])
+    columns = [x[order] for x in columns]
+    start = _changes(*columns)
+    return [x[start] for x in columns], start
+
+
+def _nested(one: np.ndarray, word: np.ndarray, two: np.ndarray, count: np.ndarray, packed: Callable[[np.ndarray], bytes]) -> tuple[bytes, ...]:
     """Sorted cells: tokens before, each with its words, each with its tokens two before and their training counts."""
     pair, first = _changes(one, word), _changes(one)
-    return bundle(
-        pack_keys(one[first]), pack(np.diff(np.append(np.searchsorted(pair, first), len(pair)))), pack_keys(word[pair]), pack(_lengths(pair, len(one))), pack_keys(two), pack(count),
-    )
+    return pack_keys(one[first]), pack(np.diff(np.append(np.searchsorted(pair, first), len(pair)))), packed(word[pair]), pack(_lengths(pair, len(one))), packed(two), pack(count)
+
+
+def said_of(one: np.ndarray, word: np.ndarray, two: np.ndarray, count: np.ndarray) -> bytes:
+    """Cells of one chunk."""
+    return bundle(*_nested(one, word, two, count, pack_keys))
+
+
+def grams_of(one: np.ndarray, word: np.ndarray, two: np.ndarray, count: np.ndarray) -> bytes:
+    """Cells of a block: its distinct words and tokens two before are written once, cells name them by their places."""
+    (words, word), (twos, two) = distinct(word), distinct(two)
+    return _block_of(one, words, word, twos, two, count)
+
+
+def _block_of(one: np.ndarray, words: np.ndarray, word: np.ndarray, twos: np.ndarray, two: np.ndarray, count: np.ndarray) -> bytes:
+    return bundle(*_nested(one, word, two, count, pack), pack_keys(words), pack_keys(twos))
 
 
 @dataclass
@@ -235,11 +278,14 @@ class Grams:
     cells: np.ndarray  # of each pair
     two: np.ndarray  # of each cell
     count: np.ndarray
+    words: np.ndarray | None = None  # of a block, whose pairs and cells hold places in them
+    twos: np.ndarray | None = None
 
     @classmethod
     def read(cls, data: bytes) -> Grams:
-        one, pairs, word, cells, two, count = parts_of(data)
-        return cls(unpack_keys(one), unpack(pairs), unpack_keys(word), unpack(cells), unpack_keys(two), unpack(count))
+        one, pairs, word, cells, two, count, *names = parts_of(data)
+        keys = unpack if names else unpack_keys
+        return cls(unpack_keys(one), unpack(pairs), keys(word), unpack(cells), keys(two), unpack(count), *map(unpack_keys, names))
 
 
 # Blocks
@@ -252,7 +298,7 @@ def _merged(block: int, messages: list[dict], book: Book) -> Iterator[pa.RecordB
     said = [Grams.read(m["grams"]) for m in messages]
     sizes = [len(g.two) for g in said]
     pairs, cells, count = (np.concatenate([getattr(g, c) for g in said]) for c in ("pairs", "cells", "count"))
-    (ones, one), (words, word), (twos, two) = (np.unique(np.concatenate([getattr(g, c) for g in said]), return_inverse=True) for c in ("one", "word", "two"))
+    (ones, one), (words, word), (twos, two) = (distinct(np.concatenate([getattr(g, c) for g in said])) for c in ("one", "word", "two"))
     one, word = np.repeat(np.repeat(one, pairs), cells), np.repeat(word, cells)
     if len(ones) * len(words) * len(twos) < 1 << 63:
         order = np.argsort((one * len(words) + word) * len(twos) + two)
@@ -263,10 +309,10 @@ def _merged(block: int, messages: list[dict], book: Book) -> Iterator[pa.RecordB
     place = np.zeros(len(order), np.int64)
     place[new] = 1
     place[order] = np.cumsum(place) - 1
-    one, word, two, count = ones[one[new]], words[word[new]], twos[two[new]], np.add.reduceat(count[order], new)
+    one, word, two, count = ones[one[new]], word[new], two[new], np.add.reduceat(count[order], new)
     own = np.add.reduceat(count > 0, _changes(one, word), dtype=np.int64)[book.hot_at(one[_changes(one, word)]) < 0]
     few = [int((x == k).sum()) for x in (count, own) for k in (1, 2)]
-    yield _batch([(block, 0, -1, grams_of(one, word, two, count), None, None, *few)], BLOCK)
+    yield _batch([(block, 0, -1, _block_of(one, words, word, twos, two, count), None, None, *few)], BLOCK)
     for i, (m, at) in enumerate(zip(messages, np.split(place, np.cumsum(sizes)[:-1]), strict=True)):
         yield _batch([(block, i + 1, m["chunk"], None, bundle(pack(np.diff(at, prepend=0)), m["entries"]), m["docs"], 0, 0, 0, 0)], BLOCK)
 
@@ -294,13 +340,14 @@ class Block:
         self.number, self.count, self.keys = row["block"], g.count, g.one
         self.pair = np.repeat(np.arange(len(g.word)), g.cells)
         self.one = np.repeat(np.arange(len(g.one)), g.pairs)
-        self.pair_count = np.add.reduceat(g.count, np.cumsum(g.cells) - g.cells)
+        self.first_cell, self.first_pair = np.cumsum(g.cells) - g.cells, np.cumsum(g.pairs) - g.pairs
+        self.pair_count = _sums(g.count, self.first_cell)
         self.place = book.hot_at(g.one)  # of tokens before among the frequent ones
         self.hot = self.place[self.one] >= 0  # pairs whose restaurant is shared
-        self.tokens = g.one, g.two
-        self.words, self.root = np.unique(g.word, return_inverse=True)  # the root's cells
+        self.two, self.n_two = g.two, len(g.twos)
+        self.words, self.root = g.words, g.word  # the root's cells
         self.tables = (g.count > 0).astype(np.int64)
-        self.customers = np.bincount(self.pair, self.tables, len(g.word)).astype(np.int64)
+        self.customers = _sums(self.tables, self.first_cell)
         self.pair_tables = ((self.customers > 0) & ~self.hot).astype(np.int64)
         self.private, self.seen, self.root_tables = np.zeros(len(self.words), bool), np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.int64)
         self.active = np.flatnonzero(g.count > 1)
@@ -309,8 +356,26 @@ class Block:
     @cached_property
     def room(self) -> np.ndarray:
         """Restaurants of cells: one for each pair of tokens."""
-        one, two = self.tokens
-        return np.unique(mix(mix(one)[self.one[self.pair]] + two), return_inverse=True)[1]
+        one, n = self.one[self.pair], len(self.two)
+        key = one * self.n_two + self.two
+        if len(self.keys) * self.n_two * n >= 1 << 63:
+            return distinct(key)[1]
+        key = np.sort(key * n + np.arange(n))
+        above = key // n
+        new = np.zeros(n, np.int64)
+        new[_changes(above)] = 1
+        out = np.empty(n, np.int64)
+        out[key - above * n] = np.cumsum(new) - 1
+        return out
+
+    @cached_property
+    def in_room(self) -> np.ndarray:
+        """Tables of each restaurant of cells, kept up by sweeps."""
+        return np.bincount(self.room, self.tables)
+
+    @cached_property
+    def room_customers(self) -> np.ndarray:
+        return np.bincount(self.room, self.count)
 
     # What is shared: the root's cells of words that other blocks have too, then the pairs of frequent tokens
 
@@ -326,7 +391,7 @@ class Block:
         """Shared cells by the part that their word belongs to, and where each part starts."""
         room, word = self.shared_keys()
         part = (mix(word ^ U(0x5851F42D4C957F2D)) % U(parts)).astype(np.int64)
-        order = np.lexsort((word, room, part))
+        order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")  # by restaurant and word they are sorted
         return order, np.searchsorted(part[order], np.arange(parts + 1))
 
     def messages(self, parts: int, first: bool) -> Iterator[tuple[int, bytes]]:
@@ -380,15 +445,17 @@ class Block:
 
     def of_ones(self) -> tuple[np.ndarray, np.ndarray]:
         """Customers and tables of each single token's restaurant."""
-        n = len(self.keys)
-        customers, tables = np.bincount(self.one, self.customers, n), np.bincount(self.one, self.pair_tables, n)
+        customers, tables = (_sums(x, self.first_pair).astype(np.float64) for x in (self.customers, self.pair_tables))
         far = self.place >= 0
         customers[far], tables[far] = self.shared.customers[1 + self.place[far]], self.shared.tables[1 + self.place[far]]
         return customers, tables
 
     def plan(self, rng: np.random.Generator) -> None:
-        self.cell_turns = turns(self.room[self.active], self.pair[self.active], rng)
-        self.pair_turns = turns(self.one[self.active_pairs], self.root[self.active_pairs], rng)
+        """Turns, with what stays the same from sweep to sweep: of cells their restaurants, pairs, tokens before and words; of pairs their tokens before and words."""
+        x = [self.active[turn] for turn in turns(self.room[self.active], self.pair[self.active], rng)]
+        self.cell_turns = [(x, self.room[x], p, self.one[p], self.root[p]) for x in x for p in [self.pair[x]]]
+        x = [self.active_pairs[turn] for turn in turns(self.one[self.active_pairs], self.root[self.active_pairs], rng)]
+        self.pair_turns = [(x, self.one[x], self.root[x]) for x in x]
 
     def sweep(self, rng: np.random.Generator) -> None:
         """Draw the tables of every cell, then those of every pair, in turns."""
@@ -396,30 +463,32 @@ class Block:
         d_root, d_one, d_pair = s.discounts
         base = self.base()
         customers, tables = self.of_ones()
-        in_room = np.bincount(self.room, self.tables)
+        in_room = self.in_room
         held = np.where(self.hot, self.hot_customers, self.customers)
         above = np.where(self.hot, self.hot_tables, self.pair_tables)
-        for turn in self.cell_turns:
-            x = self.active[turn]
-            room, pair, own = self.room[x], self.pair[x], self.tables[x]
-            one = self.one[pair]
-            fresh = (STRENGTH + d_one * tables[one]) * base[self.root[pair]]
+        fresh_one = STRENGTH + d_one * tables
+        for x, room, pair, one, root in self.cell_turns:
+            own = self.tables[x]
+            fresh = fresh_one[one] * base[root]
             up = Parent(held[pair] - own, above[pair], d_one, fresh, STRENGTH + customers[one] - own)
             new = draw(self.count[x], in_room[room] - own, d_pair, STRENGTH, up, rng)
             self.tables[x] = new
+            other = np.flatnonzero(new != own)
+            more, room, pair, one = (new - own)[other], room[other], pair[other], one[other]
             for to, at in ((in_room, room), (held, pair), (self.customers, pair), (customers, one)):
-                np.add.at(to, at, new - own)
+                np.add.at(to, at, more.astype(to.dtype))
         total = s.customers[0]
-        for turn in self.pair_turns:
-            x = self.active_pairs[turn]
-            one, root, own = self.one[x], self.root[x], self.pair_tables[x]
+        for x, one, root in self.pair_turns:
+            own = self.pair_tables[x]
             fresh = np.full(len(x), (STRENGTH + d_root * s.tables[0]) / (s.v + 1))
             up = Parent(self.root_customers[root] - own, self.root_tables[root], d_root, fresh, np.full(len(x), STRENGTH + total) - own)
             new = draw(self.customers[x], tables[one] - own, d_one, STRENGTH, up, rng)
             self.pair_tables[x] = new
-            for to, at in ((tables, one), (self.root_customers, root)):
-                np.add.at(to, at, new - own)
-            total += int((new - own).sum())
+            other = np.flatnonzero(new != own)
+            more = (new - own)[other]
+            for to, at in ((tables, one[other]), (self.root_customers, root[other])):
+                np.add.at(to, at, more.astype(to.dtype))
+            total += int(more.sum())
         self.hot_customers = np.where(self.hot, held, 0)
 
     def predict(self) -> np.ndarray:
@@ -428,8 +497,9 @@ class Block:
         customers, tables = self.of_ones()
         held, above = np.where(self.hot, self.hot_customers, self.customers), np.where(self.hot, self.hot_tables, self.pair_tables)
         p = (np.maximum(held - d_one * above, 0) + (STRENGTH + d_one * tables[self.one]) * self.base()[self.root]) / (STRENGTH + customers[self.one])
-        n, t = np.bincount(self.room, self.count), np.bincount(self.room, self.tables)
-        return (np.maximum(self.count - d_pair * self.tables, 0) + (STRENGTH + d_pair * t[self.room]) * p[self.pair]) / (STRENGTH + n[self.room])
+        n, t = self.room_customers, self.in_room
+        share, scale = (STRENGTH + d_pair * t) / (STRENGTH + n), 1 / (STRENGTH + n)
+        return np.maximum(self.count - d_pair * self.tables, 0) * scale[self.room] + share[self.room] * p[self.pair]
 
     # What is kept between passes
 
@@ -442,7 +512,7 @@ class Block:
             return
         cells, pairs, self.seen, private, tables = map(unpack, parts_of(data))
         self.tables[self.active] = cells
-        self.customers = np.bincount(self.pair, self.tables, len(self.customers)).astype(np.int64)
+        self.customers = _sums(self.tables, self.first_cell)
         self.pair_tables[self.active_pairs] = pairs
         self.private = private > 0
         self.root_tables[self.private] = tables
@@ -469,7 +539,8 @@ def _first_words(shared, parts: int):
 def _answer(parts_said: list[dict], shared: Shared | None, seed: tuple) -> list[tuple]:
     """Merge what blocks say of one part's cells, draw the tables of the cells of frequent tokens, then those of the root."""
     said = [parts_of(m["data"]) for m in parts_said]
-    room = np.concatenate([unpack(x[0]) for x in said])
+    rooms = [unpack(x[0]) for x in said]
+    sizes, room = [len(x) for x in rooms], np.concatenate(rooms)
     word = np.concatenate([unpack_keys(x[1]) for x in said])
     sums, old = (np.concatenate([unpack(x[i]) for x in said]) for i in (2, 3))
     counts = any(x[4] for x in said)
@@ -500,7 +571,7 @@ def _answer(parts_said: list[dict], shared: Shared | None, seed: tuple) -> list[
     if shared is not None:
         tables[:n_root] = draw(customers[:n_root], np.maximum(shared.tables[0] - own[:n_root], 0), d_root, STRENGTH, base, rng)
     seen = np.zeros(n_root, np.int64)
-    mine = np.split(cell, np.cumsum([len(unpack(x[0])) for x in said])[:-1])
+    mine = np.split(cell, np.cumsum(sizes)[:-1])
     speakers = np.zeros(n_root, np.int64)
     for some, x in zip(mine, said, strict=True) if counts else ():
         np.add.at(seen, some[some < n_root], unpack(x[4]))

@@ -20,6 +20,9 @@ import numpy as np
 #: Up to so many customers the Stirling numbers come from their recursion; beyond, from their saddle point.
 EXACT = 512
 _known: dict[float, np.ndarray] = {}
+_grown: dict[float, np.ndarray] = {}
+#: Weights that are held at once.
+ENTRIES = 1 << 16
 
 
 def log_stirling(d: float) -> np.ndarray:
@@ -36,6 +39,24 @@ def log_stirling(d: float) -> np.ndarray:
     return _known[d]
 
 
+def _growth(d: float) -> np.ndarray:
+    """S(c + 1, t) / S(c, t), a row of t after another; large where the customer is needed and 1 where it is not enough."""
+    if d not in _grown:
+        s = log_stirling(d)
+        with np.errstate(invalid="ignore", over="ignore"):
+            _grown[d] = np.nan_to_num(np.exp(s[1:] - s[:-1]), nan=1.0, posinf=1e300).ravel()
+    return _grown[d]
+
+
+def _running(x: np.ndarray, row: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Running sums in each row, in place."""
+    before = -x[start]
+    np.cumsum(x, out=x)
+    before += x[start]
+    x -= before[row]
+    return x
+
+
 @dataclass
 class Parent:
     """The parent's cells of the dishes, without the customers that the dishes' own tables are."""
@@ -52,23 +73,30 @@ class Parent:
     def second(self) -> np.ndarray:
         """What a second customer more adds to the weight of the first."""
         c = self.customers + 1
-        out = np.maximum(c - self.discount * np.minimum(self.tables, c) + self.fresh, 1e-300)
-        few = np.flatnonzero(c < EXACT)
-        s, t = log_stirling(self.discount), np.minimum(self.tables[few], EXACT)
-        with np.errstate(invalid="ignore"):
-            out[few] = np.exp(s[c[few] + 1, t] - s[c[few], t])  # infinite where the parent needs both
-        return np.nan_to_num(out, nan=1.0, posinf=1e300) / (self.total + 1)
-
-    def log_weights(self, most: int) -> np.ndarray:
-        """Of 1 to ``most`` more customers, a row a dish."""
-        j = np.arange(most)
-        c, t = self.customers[:, None] + j, self.tables[:, None]
-        out = np.log(np.maximum(c - self.discount * np.minimum(t, c) + self.fresh[:, None], 1e-300))
-        np.cumsum(out, axis=1, out=out)
-        few = np.flatnonzero(self.customers + most <= EXACT)
-        if len(few):
-            out[few] = log_stirling(self.discount)[c[few] + 1, np.minimum(self.tables[few], EXACT)[:, None]]
-        return out - np.cumsum(np.log(self.total[:, None] + j), axis=1)
+        out = _growth(self.discount)[np.minimum(c, EXACT - 1) * (EXACT + 1) + np.minimum(self.tables, EXACT)]
+        many = np.flatnonzero(c >= EXACT)
+        if len(many):
+            out[many] = np.maximum(c[many] - self.discount * np.minimum(self.tables[many], c[many]) + self.fresh[many], 1e-300)
+        return out / (self.total + 1)
+
+    def log_weights(self, row: np.ndarray, j: np.ndarray, start: np.ndarray, rising: np.ndarray) -> np.ndarray:
+        """Of j + 1 more customers of each row's dish, times the running products of ``rising``."""
+        c = self.customers[row] + j
+        rising /= self.total[row] + j
+        far = self.customers + np.diff(start, append=len(row)) > EXACT  # beyond the recursion
+        if far.any():
+            at = np.flatnonzero(far[row])
+            r, more = row[at], c[at]
+            rising[at] *= np.maximum(more - self.discount * np.minimum(self.tables[r], more) + self.fresh[r], 1e-300)
+        out = _running(np.log(rising, out=rising), row, start)
+        base = EXACT + 1 + np.minimum(self.tables, EXACT)
+        known = log_stirling(self.discount).ravel()
+        if far.any():
+            at = np.flatnonzero(~far[row])
+            out[at] += known[c[at] * (EXACT + 1) + base[row[at]]]
+        else:
+            out += known[c * (EXACT + 1) + base[row]]
+        return out
 
 
 def draw(count: np.ndarray, others: np.ndarray, d: float, theta: float, parent: Parent | float, rng: np.random.Generator) -> np.ndarray:
@@ -79,19 +107,10 @@ def draw(count: np.ndarray, others: np.ndarray, d: float, theta: float, parent:
         up = parent.take(two).second() if isinstance(parent, Parent) else parent
         odds = (theta + d * (others[two] + 1)) * up / (1 - d)
         out[two] += rng.random(len(two)) * (1 + odds) < odds
-    low = 3
-    for high in (4, 8, 16, 32, 64, 128, EXACT):
-        rows = np.flatnonzero((count >= low) & (count <= high))
-        step = max(1, (1 << 18) // high)
-        for x in range(0, len(rows), step):
-            r = rows[x : x + step]
-            j = np.arange(high)
-            w = np.cumsum(np.log(theta + d * (others[r, None] + j)), axis=1)
-            w += log_stirling(d)[count[r], 1 : high + 1]
-            w += parent.take(r).log_weights(high) if isinstance(parent, Parent) else np.log(parent) * (j + 1)
-            w -= np.log(-np.log(rng.random(w.shape)))
-            out[r] = np.argmax(w, axis=1) + 1
-        low = high + 1
+    some = np.flatnonzero((count > 2) & (count <= EXACT))
+    for r in np.split(some, np.flatnonzero(np.diff(np.cumsum(count[some]) // ENTRIES)) + 1):
+        if len(r):
+            out[r] = _draw_some(count[r], others[r], d, theta, parent.take(r) if isinstance(parent, Parent) else parent, rng)
     many = np.flatnonzero(count > EXACT)
     for x in range(0, len(many), 2048):
         r = many[x : x + 2048]
@@ -99,11 +118,35 @@ def draw(count: np.ndarray, others: np.ndarray, d: float, theta: float, parent:
     return out
 
 
+def _draw_some(count: np.ndarray, others: np.ndarray, d: float, theta: float, parent: Parent | float, rng: np.random.Generator) -> np.ndarray:
+    """Draws by the weights of every possible number of tables, one dish's after another's."""
+    start = np.cumsum(count) - count
+    row = np.repeat(np.arange(len(count)), count)
+    j = np.arange(len(row)) - start[row]
+    w = d * (others[row] + j)
+    w += theta
+    if isinstance(parent, Parent):
+        w = parent.log_weights(row, j, start, w)
+    else:
+        w *= parent
+        w = _running(np.log(w, out=w), row, start)
+    w += log_stirling(d).ravel()[(count * (EXACT + 1) + 1)[row] + j]
+    top = np.maximum.reduceat(w, start)
+    never = np.isneginf(top)  # the parent's tables, as they last were, need more customers: one table
+    w[start[never]] = top[never] = 0.0
+    w -= top[row]
+    below = np.cumsum(np.exp(w, out=w), out=w)
+    before = np.append(0.0, below)[start]
+    at = np.searchsorted(below, before + rng.random(len(count)) * (below[start + count - 1] - before), side="right")
+    return np.clip(at - start, 0, count - 1) + 1
+
+
 def _log_gamma(z: np.ndarray) -> np.ndarray:
     """Stirling's series, after four steps up for its accuracy."""
-    shift = np.log(z) + np.log(z + 1) + np.log(z + 2) + np.log(z + 3)
+    shift = np.log(z * (z + 1) * (z + 2) * (z + 3))
     z = z + 4
-    return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + 1 / (12 * z) - 1 / (360 * z**3) - shift
+    more = 1 / z
+    return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + more * (1 / 12 - more * more / 360) - shift
 
 
 def _draw_many(c: np.ndarray, others: np.ndarray, d: float, theta: float, parent: Parent | float, rng: np.random.Generator) -> np.ndarray:
@@ -146,15 +189,16 @@ def turns(a: np.ndarray, b: np.ndarray, rng: np.random.Generator, most: int = 12
     What ``most`` turns leave, dishes of restaurants with many of them, is drawn in ``rest`` turns at once.
     """
     left, out = np.arange(len(a)), []
-    size_a, size_b = (int(x.max()) + 1 if len(x) else 0 for x in (a, b))
+    best_a, best_b = (np.empty(int(x.max()) + 1 if len(x) else 0, np.int64) for x in (a, b))
     for _ in range(most):
         if not len(left):
             return out
         first = rng.permutation(len(left))
-        best_a, best_b = np.full(size_a, len(a)), np.full(size_b, len(a))
-        np.minimum.at(best_a, a[left], first)
-        np.minimum.at(best_b, b[left], first)
-        won = (first == best_a[a[left]]) & (first == best_b[b[left]])
+        at_a, at_b = a[left], b[left]
+        best_a[at_a] = best_b[at_b] = len(a)
+        np.minimum.at(best_a, at_a, first)
+        np.minimum.at(best_b, at_b, first)
+        won = (first == best_a[at_a]) & (first == best_b[at_b])
         out.append(left[won])
         left = left[~won]
     return out + [x for x in np.array_split(rng.permutation(left), rest) if len(x)]

@@ -7,10 +7,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarrystone.llm import packed, pitmanyor, seating
+from quarrystone.llm import arrays, packed, pitmanyor, seating
 
 def held_out():
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 1
@@ -99,6 +100,57 @@ def test_saddle_point_agrees_with_the_recursion(d, others, base):
     assert abs(found.mean() - exact) < 0.03 * exact + 0.15
 
 
+class Counted:
+    """Random numbers, counted."""
+
+    def __init__(self, seed):
+        self.rng, self.n = np.random.default_rng(seed), 0
+
+    def random(self, shape=None):
+        out = self.rng.random(shape)
+        self.n += np.size(out)
+        return out
+
+
+def test_a_dish_costs_one_random_number_and_no_more_weights_than_customers(monkeypatch):
+    """Dishes used to be padded to 4, 8, 16, ... 512 tables, with a random number for each."""
+    weighed = []
+    monkeypatch.setattr(seating, "ENTRIES", 700)
+    monkeypatch.setattr(seating, "_draw_some", lambda count, *r, f=seating._draw_some: (weighed.append(int(count.sum())), f(count, *r))[1])
+    count = np.array([1, 2, 3, 5, 9, 17, 33, 65, 129, 512, 1, 2, 300])
+    parent = seating.Parent(count % 7, np.minimum(count % 7, 3), 0.4, np.full(len(count), 0.2), np.full(len(count), 40.0))
+    for up in (parent, 0.1):
+        weighed.clear()
+        rng = Counted(1)
+        found = seating.draw(count, np.full(len(count), 10), 0.6, 1.0, up, rng)
+        assert rng.n == (count > 1).sum() and sum(weighed) == count[count > 2].sum() and max(weighed) < 700 + 512
+        assert (found >= 1).all() and (found <= count).all()
+
+
+def test_draws_under_a_parent_match_their_weights():
+    """Dishes of 2 to 40 customers side by side; the parent's cells lie before, at and beyond the end of the recursion. One parent can't have its tables."""
+    d, d_up, theta, rows = 0.6, 0.4, 1.0, 4000
+    kinds = [(2, 0, 1), (3, 4, 2), (4, 0, 9), (7, 0, 1), (12, 300, 20), (40, 480, 30), (5, 508, 30), (3, 2000, 40), (2, 511, 30), (40, 0, 1)]
+    count, above, tables = (np.tile([k[i] for k in kinds], rows) for i in range(3))
+    n = len(count)
+    up = seating.Parent(above, tables, d_up, np.full(n, 0.7), np.full(n, 2500.0))
+    found = seating.draw(count, np.full(n, 6), d, theta, up, np.random.default_rng(8)).reshape(rows, -1)
+    s = seating.log_stirling(d_up)
+    for i, (c, m, t) in enumerate(kinds):
+        if t > m + c:
+            assert (found[:, i] == 1).all()
+            continue
+        w = []
+        for k in range(1, c + 1):
+            own = math.log(stirling(d, c, k)) + sum(math.log(theta + d * (6 + j)) - math.log(2500 + j) for j in range(k))
+            more = s[m + k, t] if m + c <= seating.EXACT else sum(math.log(m + j - d_up * min(t, m + j) + 0.7) for j in range(k))
+            w.append(own + more)
+        p = np.exp(np.array(w) - max(w))
+        p /= p.sum()
+        share = np.bincount(found[:, i], minlength=c + 1)[1:] / rows
+        assert np.abs(share - p).max() < 0.035, (c, m, t)
+
+
 def test_turns_hold_no_two_rows_of_a_restaurant_or_cell():
     rng = np.random.default_rng(4)
     a, b = rng.integers(0, 50, 200), rng.integers(0, 60, 200)
@@ -264,3 +316,31 @@ def test_repeats_nulls_and_empty(spark):
     assert len(out) == 4 and len({r["score"] for r in out if r["doc_id"] != 2}) == 1
     assert pitmanyor.score(spark.createDataFrame([], "doc_id long, text string"), held_out()).count() == 0
     assert pitmanyor.score(spark.createDataFrame([(None, "x y")], "doc_id long, text string"), held_out()).first()["train_tokens"] == 0
+
+
+def test_distinct_rows_and_values_are_those_of_numpy():
+    rng = np.random.default_rng(7)
+    for x in (np.zeros(0, np.uint64), rng.integers(0, 50, 1000).astype(np.uint64) << np.uint64(57), rng.integers(-9, 9, 100)):
+        for a, b in zip(arrays.distinct(x), np.unique(x, return_inverse=True), strict=True):
+            assert (a == b).all()
+    columns = tuple(rng.integers(0, n, 3000) for n in (30, 20, 9))
+    for sizes in ((30, 20, 9), (1 << 30, 1 << 30, 9)):  # together below and above 63 bits
+        found, start = pitmanyor._sorted(columns, sizes)
+        rows, counts = np.unique(np.stack(columns, axis=1), axis=0, return_counts=True)
+        assert (np.stack(found, axis=1) == rows).all() and (np.diff(start, append=3000) == counts).all()
+
+
+def test_a_block_writes_each_word_once():
+    one, word, two = np.array([3, 3, 3, 4, 4], np.uint64), np.array([5, 5, 6, 5, 6], np.uint64) | packed.RARE, np.array([7, 8, 7, 7, 8], np.uint64) | packed.RARE
+    g = pitmanyor.Grams.read(pitmanyor.grams_of(one, word, two, np.ones(5, np.int64)))
+    assert g.words.tolist() == sorted(set(word.tolist())) and g.twos.tolist() == sorted(set(two.tolist()))
+    assert (g.words[np.repeat(g.word, g.cells)] == word).all() and (g.twos[g.two] == two).all()
+
+
+def test_hashes_do_not_depend_on_how_many_bytes_are_summed_at_once(monkeypatch):
+    rng = random.Random(3)
+    texts = pa.array([" ".join("".join(rng.choices("abcÄ€", k=rng.choice([1, 3, 9, 40]))) for _ in range(200)) for _ in range(5)] + ["x" * 200_000 + " y", "", None])
+    h = arrays.words_of(texts).h
+    for size in (16, 1000):
+        monkeypatch.setattr(arrays, "SLICE", size)
+        assert (arrays.words_of(texts).h == h).all()
